@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import audio, bpe, language, mixing, sharding, token_counts
+from quarry.llm import audio, bpe, language, minhash, mixing, sharding, token_counts
 from quarry.llm.common import table
 
 
@@ -30,10 +30,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_language, op7_audio, op8_token_counts, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_language, op7_audio, op8_token_counts, op9_minhash, op10_sharding)}
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql()}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql(), "op9_minhash": minhash.sql(words=4, percent=80)}
