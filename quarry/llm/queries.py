@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import audio, bpe, language, minhash, mixing, sharding, tiles, token_counts
+from quarry.llm import audio, bpe, language, minhash, mixing, rans, sharding, tiles, token_counts
 from quarry.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.linked(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_language, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_language, op5_rans, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql(), "op6_tiles": tiles.sql(), "op9_minhash": minhash.sql(words=4, percent=80)}
