@@ -52,9 +52,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so few rows that long texts stay within a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 512, mb: int = 4) -> None:
+    """Arrow batches of so few rows and megabytes that long texts stay within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
 def utf8(text: Column) -> Column:

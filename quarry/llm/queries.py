@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import audio, bpe, language, minhash, mixing, rans, sharding, tiles, token_counts
+from quarry.llm import audio, bpe, exact_substrings, language, minhash, mixing, rans, sharding, tiles, token_counts
 from quarry.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_language, op5_rans, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_mixing, op4_language, op5_rans, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding)}
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql(), "op6_tiles": tiles.sql(), "op9_minhash": minhash.sql(words=4, percent=80)}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": exact_substrings.sql(), "op3_mixing": mixing.sql(), "op6_tiles": tiles.sql(), "op9_minhash": minhash.sql(words=4, percent=80)}
