@@ -132,32 +132,29 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``ids``: the token ids of the whole text."""
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-
+def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids, n_tokens of every whole text, and whether the ids decode to the text's bytes."""
+    path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
     small_batches(docs.sparkSession)
-    schema = StructType(docs.schema.fields).add("ids", ArrayType(IntegerType(), False), False)
-
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            ids = codec(path, pattern).encode_batch(texts_of(batch.column(batch.schema.names.index(text))))
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(ids, arrow[len(arrow) - 1].type)], schema=arrow)
+    def run(batch: pa.RecordBatch) -> dict:
+        own, texts = codec(path, pattern), texts_of(batch.column(1))
+        ids = own.encode_batch(texts)
+        return {"doc_id": batch.column(0), "ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": [own.decode(i) == t.encode() for i, t in zip(ids, texts)]}
 
-    return docs.mapInArrow(run, schema)
+    schema = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(run, schema), schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decoded(ids: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids) to (doc_id, data): the bytes that the ids stand for."""
-    small_batches(encoded.sparkSession)
+    path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
+    small_batches(ids.sparkSession)
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "data": [codec(path, pattern).decode(ids) for ids in batch.column(1).to_pylist()]}
+        return {"doc_id": batch.column(0), "data": [codec(path, pattern).decode(i or []) for i in batch.column(1).to_pylist()]}
 
-    return encoded.select("doc_id", "ids").mapInArrow(per_batch(run, s := "doc_id long, data binary"), s)
+    return ids.select("doc_id", "ids").mapInArrow(per_batch(run, s := "doc_id long, data binary"), s)
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

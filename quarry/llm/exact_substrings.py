@@ -337,6 +337,32 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return kept_bytes(rows, length).select(F.nullif(F.col("doc"), F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with their repeated strings removed from the text; ``n_chars``, if there is one, counts anew.
+
+    Where a removed range begins or ends inside a character, what is left of the character goes
+    too. A null text stays null, and a document of which nothing is left has an empty text.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
+        F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("__no_text")).alias("row"),
+    )
+
+    def run(batches):
+        for batch in batches:
+            text = pa.array([k.decode("utf-8", "ignore") for k in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([text, batch.column(1)], names=["text", "row"])
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    whole = kept_bytes(rows, length, text=True).select("kept", "row")
+    back = whole.mapInArrow(run, StructType([StructField("text", StringType()), whole.schema["row"]]))
+    text = F.when(~F.col("row.__no_text"), F.col("text"))
+    stated = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {})
+    return back.select(*[stated.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def sql(length: int = LENGTH) -> str:
     """The same in DuckDB's SQL, over hexadecimal texts: one row per start of a string."""
     return f"""

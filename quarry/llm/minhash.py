@@ -213,6 +213,12 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     )
 
 
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: the one of the least doc_id."""
+    gone = deduplicated(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+
+
 def sql(words: int = WORDS, percent: int = PERCENT) -> str:
     """The same in DuckDB's SQL, by counting common shingles of all pairs."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -98,7 +98,10 @@ def drawn(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, max
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    return drawn(docs, **how).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__mix.copies"), F.lit(1))))).filter(F.col("__copy") <= F.col("__mix.copies")).select(*docs.columns)
+    own = ("doc_id", "text", "source")
+    names = [c if c in own else f"in_{k}" for k, c in enumerate(docs.columns)]
+    out = drawn(docs.toDF(*names), **how).filter("__mix.copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))).select(*names).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
