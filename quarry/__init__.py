@@ -1 +1,8 @@
+"""quarry: a PySpark-native code-intelligence engine.
 
+Source repositories are scanned into a relational model of modules, fields,
+events, services and edges; ranked text search, entity cards, dependency,
+impact, trace, field-impact and overview queries run over it as DataFrames.
+"""
+
+__version__ = "0.1.0"

@@ -1 +1 @@
-
+"""Operators over the relational model; each takes and returns DataFrames."""
