@@ -50,32 +50,55 @@ LOW, WORD = np.uint64(1 << 31), np.uint64(32)
 # --- tokenising -----------------------------------------------------------------------------------------------
 
 
+class Codes(dict):
+    """Numbers for pieces, given as they first come; ``fresh`` holds those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        self.fresh.append(piece)
+        return code
+
+
 class WordTokenizer:
     """The library's ids of whole texts, remembering those of its pre-tokens.
 
     Where every character is Latin-1 and no special string can begin, the tokenizer's
     normaliser is lower-casing alone and its pre-tokens follow from one pattern; they are
-    then encoded by the library once each. Any other text goes to the library whole. Both
-    are checked for the tokenizer at hand by ``same_parts``; one that is built otherwise
-    always gets the whole text.
+    numbered, new ones of a batch are encoded by the library together, and a text's ids are
+    gathered by number. Any other text goes to the library whole. Both conditions are checked
+    for the tokenizer at hand; one that is built otherwise always gets the whole text.
     """
 
     LETTER, NUMBER, SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\x09-\\x0d\\x20\\x85\\xa0"
-    KEPT = 400_000
+    #: Pieces and characters of pieces remembered at a time.
+    KEPT, KEPT_CHARS = 1_000_000, 30_000_000
 
     def __init__(self, path: str):
         single_threaded()
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.parts = self.same_parts(json.load(f))
+            spec = json.load(f)
+        mark = spec["model"].get("end_of_word_suffix")
+        self.parts = bool(mark) and self.same_parts(spec)
+        self.ends = np.zeros(self.size, bool)
+        if self.parts:
+            self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith(mark)]] = True
+            # the same model for pieces that are split and lower-cased already
+            self.pieces = Tokenizer.from_file(path)
+            self.pieces.normalizer = normalizers.Sequence([])
+            self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTER}]+|[{self.NUMBER}]|[^{self.SPACE}{self.LETTER}{self.NUMBER}]+")
+        self.forget()
 
     @staticmethod
     def same_parts(spec: dict) -> bool:
@@ -84,29 +107,62 @@ class WordTokenizer:
         expected = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         return normal == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": expected} and all("<|" in t["content"] for t in spec["added_tokens"])
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
+    def forget(self) -> None:
+        self.codes, self.chars = Codes(), 0
+        self.flat, self.used = np.zeros(1 << 16, self.type), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _learn(self) -> None:
+        """The ids of the fresh pieces; a piece ends with a token that bears the word-end mark."""
+        new = self.codes.fresh
+        if not new:
+            return
+        ids = np.array(self.pieces.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, self.type)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the tokenizer takes a pre-token apart")
+        first, last = len(self.codes) - len(new), len(self.codes)
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < last:
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[first:last] = self.used + np.concatenate([[0], ends[:-1]])
+        self.length[first:last] = np.diff(np.concatenate([[0], ends]))
+        self.used += len(ids)
+        self.chars += sum(map(len, new))
+        self.codes.fresh = []
+
+    def _plain(self, text: str) -> bool:
         if not self.parts or "<|" in text:
-            return self._whole([text])[0]
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._whole([text])[0]
-        pieces, known = self.pattern.findall(text.lower()), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > self.KEPT:
-            known.clear()
-        new = [p for p in set(pieces) if p not in known]
-        known.update(zip(new, self._whole(new)))
-        out = b"".join([known[p] for p in pieces])
-        for p in new:
-            if len(p) > 40:
-                del known[p]
+            return False
+        return True
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        if len(self.codes) > self.KEPT or self.chars > self.KEPT_CHARS:
+            self.forget()
+        out: list[bytes] = [b""] * len(texts)
+        codes: list[int] = []
+        plain, bounds = [], [0]
+        for k, text in enumerate(texts):
+            if self._plain(text):
+                codes.extend(map(self.codes.__getitem__, self.pattern.findall(text.lower())))
+                plain.append(k)
+                bounds.append(len(codes))
+            else:
+                out[k] = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type).tobytes()
+        self._learn()
+        code = np.array(codes, np.int64)
+        n = self.length[code]
+        ends = np.cumsum(n)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[code] - (ends - n), n)].tobytes()
+        at = np.concatenate([[0], ends])[bounds] * self.type.itemsize
+        for k, a, b in zip(plain, at[:-1].tolist(), at[1:].tolist()):
+            out[k] = ids[a:b]
         return out
 
 
@@ -233,7 +289,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
     def run(batch: pa.RecordBatch) -> dict:
         own = word_tokenizer(path)
         end = b"" if end_id is None else np.array([end_id], own.type).tobytes()
-        return {"doc_id": batch.column(0), "ids": [own.encode(t) + end for t in texts_of(batch.column(1))]}
+        return {"doc_id": batch.column(0), "ids": [ids + end for ids in own.encode_batch(texts_of(batch.column(1)))]}
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(run, s := "doc_id long, ids binary"), s)
 
