@@ -120,9 +120,9 @@ def scored(index: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n_docs") / F.col("total_len")))
     sizes = spark.createDataFrame([(g, len(group)) for g, group in enumerate(query.groups)], "g int, size int")
     per_group = rows.withColumn("s", idf * weight).groupBy("g", *key).agg(F.count(F.lit(1)).alias("have"), F.sum("s").alias("s")).join(F.broadcast(sizes), "g")
-    # a group that is satisfied counts; the terms of one that is not still add to the score of a hit
+    # only satisfied groups make a hit, but every term that occurs adds to its score
     full = F.sum((F.col("have") == F.col("size")).cast("int"))
-    hits = per_group.groupBy(*key).agg(full.alias("full"), F.sum(F.when(F.col("have") == F.col("size"), F.col("s")).otherwise(0.0)).alias("s"))
+    hits = per_group.groupBy(*key).agg(full.alias("full"), F.sum("s").alias("s"))
     need = len(query.groups) if query.every else 1
     return hits.filter(F.col("full") >= need).select(*key, F.round(-F.col("s"), 6).alias("score"))
 
