@@ -10,10 +10,13 @@
    and the rest are confirmed on the full shingle sets.
 3. Confirmed links are joined by large-star and small-star. A bucket whose
    members lie in several components may still hide a link between two members
-   that are not its representative: such buckets are compared in blocks of
-   ``BLOCK`` members, signatures against signatures, and only pairs across
-   components that may reach the threshold are confirmed on the full sets.
-   So no link between different components is left out, in buckets of any size.
+   that are not its representative: such buckets are compared in cells of one or
+   two blocks of about ``BLOCK`` members. Within a cell, pairs across components
+   that signatures do not rule out are confirmed on the full sets, likeliest
+   first, and a pair whose components meanwhile met is skipped; a cell states
+   only the links that join components, fewer than it has members. So no link
+   between different components is left out, in buckets of any size, and no list
+   of pairs is ever made.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with
 probability 3e-6.
@@ -30,7 +33,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,15 +88,18 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def likely(sig_a: np.ndarray, sig_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether signatures (rows of bytes) may belong to sets of that similarity."""
-    k, j = sig_a.shape[-1], percent / 100
-    return (sig_a == sig_b).sum(axis=-1) >= k * j - DEVIATIONS * (k * j * (1 - j)) ** 0.5
+    return (sig_a == sig_b).sum(axis=-1) >= _least_agreement(sig_a.shape[-1], percent)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity, by intersection and union counts."""
-    small_batches(docs.sparkSession, 128)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id")
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, by intersection and union counts."""
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity; ``texts`` has doc_id and text."""
+    small_batches(texts.sparkSession, 128)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
@@ -104,11 +109,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 coded = batch.column(k).dictionary_encode()
                 sets = shingle_sets(coded.dictionary, words)
                 sides.append([sets[i] for i in coded.indices.to_pylist()])
-            ok = []
-            for s, t in zip(*sides):
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array([similar(s, t, percent) for s, t in zip(*sides)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return both.select("a", "b", _bytes("text_a"), _bytes("text_b")).mapInArrow(run, "a long, b long")
 
@@ -134,39 +136,71 @@ def _screened(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _across(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one block cell that lie in different components and may reach the similarity.
+def joined_in_cell(cell: list[tuple], words: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join components within a cell of rows (side, doc_id, component, n_shingles, sig, text).
 
-    Rows (cell, side, doc_id, component, n_shingles, sig) come sorted by cell; side 0 is compared
-    with side 1, or with itself where a cell has one side.
+    Side 0 is compared with side 1, or with itself where the cell has one side.
     """
-
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        first, second = cell[cell.side == 0], cell[cell.side == 1]
-        second = second if len(second) else first
-        sig_b = np.frombuffer(b"".join(second.sig), np.uint8).reshape(len(second), -1)
-        id_b, comp_b, n_b = second.doc_id.to_numpy(), second.component.to_numpy(), second.n_shingles.to_numpy()
-        out = []
-        for d, c, n, sig in zip(first.doc_id.to_numpy(), first.component.to_numpy(), first.n_shingles.to_numpy(), first.sig):
-            at = np.flatnonzero((comp_b != c) & (100 * np.minimum(n_b, n) >= percent * np.maximum(n_b, n)))
-            at = at[likely(np.frombuffer(sig, np.uint8), sig_b[at], percent)] if len(at) else at
-            out.append(np.stack([np.minimum(id_b[at], d), np.maximum(id_b[at], d)]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    second = [k for k, r in enumerate(cell) if r[0] == 1] or list(range(len(cell)))
+    first = [k for k, r in enumerate(cell) if r[0] == 0]
+    sig = np.frombuffer(b"".join(r[4] for r in cell), np.uint8).reshape(len(cell), -1)
+    comp, size = np.array([r[2] for r in cell]), np.array([r[3] for r in cell])
+    at = np.array(second, np.int64)
+    found = []
+    for k in first:
+        may = at[(comp[at] != comp[k]) & (100 * np.minimum(size[at], size[k]) >= percent * np.maximum(size[at], size[k]))]
+        if len(may):
+            agree = (sig[may] == sig[k]).sum(axis=1)
+            ok = agree >= _least_agreement(sig.shape[1], percent)
+            found += zip((-agree[ok]).tolist(), [k] * int(ok.sum()), may[ok].tolist())
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    out: list[tuple[int, int]] = []
+    if not found:
+        return out
+    involved = sorted({k for _, i, j in found for k in (i, j)})
+    sets = dict(zip(involved, shingle_sets(pa.array([cell[k][5] for k in involved], pa.binary()), words)))
+    for _, i, j in sorted(found):
+        x, y = find(int(comp[i])), find(int(comp[j]))
+        if x != y and similar(sets[i], sets[j], percent):
+            root[max(x, y)] = min(x, y)
+            out.append((cell[i][1], cell[j][1]))
+    return out
+
+
+def _least_agreement(k: int, percent: int) -> float:
+    j = percent / 100
+    return k * j - DEVIATIONS * (k * j * (1 - j)) ** 0.5
+
+
+def _across(cells: DataFrame, words: int, percent: int) -> DataFrame:
+    """The joining links of cells, whose rows (cell, side, doc_id, component, n_shingles, sig, text) come sorted by cell."""
 
     def run(batches):
-        rest = None
-        for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = rest.cell.iloc[-1] if len(rest) else None
-            done = rest[rest.cell != last]
-            for _, cell in done.groupby("cell", sort=False):
-                yield compare(cell)
-            rest = rest[rest.cell == last]
-        if rest is not None and len(rest):
-            yield compare(rest)
+        held, last = [], None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != last:
+                    out += joined_in_cell(held, words, percent)
+                    held = []
+                last = row[0]
+                held.append(row[1:])
+            yield _pairs(out)
+        if held:
+            yield _pairs(joined_in_cell(held, words, percent))
+
+    return cells.mapInArrow(run, "a long, b long")
+
 
-    return blocks.mapInPandas(run, "a long, b long")
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(r) for r in rows], pa.int64()), pa.array([max(r) for r in rows], pa.int64())], names=["a", "b"])
 
 
 def links(docs: DataFrame, known: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +213,9 @@ def links(docs: DataFrame, known: DataFrame, words: int = WORDS, percent: int =
     buckets = members.groupBy("bucket").agg(F.min(pick).alias("pick"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", "pick.rep", "m")
     grouped = written(members.join(buckets, "bucket"), "minhash-buckets")
     stars = grouped.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
-    sure = written(confirmed(_screened(stars, reps, percent), docs, words, percent), "minhash-links")
+    # the texts of documents that share any bucket: read once, used twice
+    texts = written(docs.select("doc_id", "text").join(grouped.select("doc_id").distinct(), "doc_id"), "minhash-texts")
+    sure = written(confirmed(_screened(stars, reps, percent), texts, words, percent), "minhash-links")
     found = written(components(sure), "minhash-components")
     # buckets of three or more members in two or more components
     labelled = grouped.filter("m > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -191,11 +227,12 @@ def links(docs: DataFrame, known: DataFrame, words: int = WORDS, percent: int =
         .withColumn("cell", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
         .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
         .join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-        .select("cell", "side", "doc_id", "component", "n_shingles", "sig")
+        .join(texts, "doc_id")
+        .select("cell", "side", "doc_id", "component", "n_shingles", "sig", _bytes("text"))
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = _across(dealt.repartition(n, "cell").sortWithinPartitions("cell"), percent).distinct()
-    extra = written(confirmed(more, docs, words, percent), "minhash-more")
+    small_batches(spark, 512)
+    extra = written(_across(dealt.repartition(n, "cell").sortWithinPartitions("cell"), words, percent).distinct(), "minhash-more")
     if extra.isEmpty():
         return found, classes
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)
