@@ -11,7 +11,8 @@
 3. Confirmed links are joined by large-star and small-star. A bucket whose
    members lie in several components may still hide a link between two members
    that are not its representative: such buckets are compared in cells of one or
-   two blocks of about ``BLOCK`` members. Within a cell, pairs across components
+   two blocks of about ``BLOCK`` members, those outside the representative's
+   component with each other and with those inside it. Within a cell, pairs across components
    that signatures do not rule out are confirmed on the full sets, likeliest
    first, and a pair whose components meanwhile met is skipped; a cell states
    only the links that join components, fewer than it has members. So no link
@@ -41,7 +42,7 @@ from quarry.llm.common import per_batch, small_batches, written
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, shingle_sets
 
-WORDS, PERCENT, BANDS, ROWS, BLOCK = 5, 80, 32, 5, 256
+WORDS, PERCENT, BANDS, ROWS, BLOCK = 5, 80, 32, 5, 512
 #: Signatures agree in a share of about J; candidates that lie below the threshold by four deviations are dropped.
 DEVIATIONS = 4.5
 
@@ -217,20 +218,30 @@ def links(docs: DataFrame, known: DataFrame, words: int = WORDS, percent: int =
     texts = written(docs.select("doc_id", "text").join(grouped.select("doc_id").distinct(), "doc_id"), "minhash-texts")
     sure = written(confirmed(_screened(stars, reps, percent), texts, words, percent), "minhash-links")
     found = written(components(sure), "minhash-components")
-    # buckets of three or more members in two or more components
+    # buckets of three or more members, some of which are not in the component of their representative
     labelled = grouped.filter("m > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    cells = labelled.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    main = labelled.filter("doc_id = rep").select("bucket", F.col("component").alias("main"))
+    placed = labelled.join(main, "bucket").withColumn("out", F.col("component") != F.col("main"))
+    counts = placed.groupBy("bucket").agg(F.sum(F.col("out").cast("int")).alias("k")).filter("k > 0")
+    size = lambda n: F.ceil(n / BLOCK).cast("int")
+    cells = placed.join(counts, "bucket").withColumn("outer", size(F.col("k"))).withColumn("inner", size(F.col("m") - F.col("k")))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    cells = cells.withColumn("own", own)
+    # outer blocks meet each other and every inner block; inner blocks, one component each, never meet
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    outers, inners = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(0), F.col("inner") - 1)
+    mine = F.when(
+        F.col("out"),
+        F.concat(F.transform(outers, lambda j: cell("o", F.least("own", j), F.greatest("own", j), F.col("own") > j)), F.transform(inners, lambda j: cell("m", F.col("own"), j, F.lit(False)))),
+    ).otherwise(F.transform(outers, lambda i: cell("m", i, F.col("own"), F.lit(True))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        cells.withColumn("other", other)
-        .withColumn("cell", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-        .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+        cells.select("bucket", "doc_id", "component", F.explode(mine).alias("c"))
+        .select(F.xxhash64("bucket", "c.kind", "c.i", "c.j").alias("cell"), "c.side", "doc_id", "component")
         .join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
         .join(texts, "doc_id")
         .select("cell", "side", "doc_id", "component", "n_shingles", "sig", _bytes("text"))
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark, 512)
     extra = written(_across(dealt.repartition(n, "cell").sortWithinPartitions("cell"), words, percent).distinct(), "minhash-more")
     if extra.isEmpty():
