@@ -38,6 +38,20 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def reference() -> str:
+    """All commands with their arguments, as Markdown."""
+    top = parser()
+    commands = next(a for a in top._actions if isinstance(a, argparse._SubParsersAction)).choices
+    lines = ["# quarry", "", "Results are JSON on standard output; errors are JSON on standard error, with exit code 1.", ""]
+    for name, sub in commands.items():
+        lines += [f"## {name}", ""]
+        for a in sub._actions:
+            if "-h" not in a.option_strings:
+                lines.append(f"- `{', '.join(a.option_strings) or a.dest}`" + (f" (default `{a.default}`)" if a.default not in (None, False) else ""))
+        lines.append("")
+    return "\n".join(lines)
+
+
 class CommandError(Exception):
     def __init__(self, code: str, message: str):
         super().__init__(message)
@@ -75,7 +89,7 @@ def run(args: argparse.Namespace, kb: Knowledge):
             if not kb.forget(int(args.id)):
                 raise CommandError("NOT_FOUND", f"no fact {args.id}")
             return {"deleted": True}
-        return kb.status() if c == "status" else parser().format_help()
+        return kb.status() if c == "status" else reference()
     except ToolError as error:
         codes = {"trace": "TRACE_ERROR", "explain": "EXPLAIN_ERROR"}
         raise CommandError("INVALID_MECHANISM" if "mechanism" in str(error) else codes.get(c, "ERROR"), str(error)) from error
