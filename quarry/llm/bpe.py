@@ -19,17 +19,20 @@ import base64
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import per_batch, small_batches, texts_of, tokenizer_path, tokenizer_pattern
+from quarry.llm.pieces import PieceTable
 
 #: First of the 256 code points that stand for bytes inside the model.
 BYTE_BASE = 0x100
-#: Pre-tokens up to this many characters are remembered, this many at a time.
-CACHE_CHARS, CACHE_SIZE = 48, 300_000
+#: Pre-tokens remembered at a time.
+KEPT = 250_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -91,39 +94,22 @@ class Codec:
         self.whole = {mapped(t): i for i, t in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.tokens))
         self.ascii, self.full = splitters(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """A piece that is itself a token is that token; the model merges the others."""
-        out: list = [None] * len(pieces)
-        rest, at = [], []
-        for k, piece in enumerate(pieces):
-            symbols = mapped(piece.encode("utf-8", "surrogatepass"))
-            if symbols in self.whole:
-                out[k] = (self.whole[symbols],)
-            else:
-                rest.append(symbols)
-                at.append(k)
-        for k, ids in zip(at, self.model.encode(rest, num_threads=1) if rest else []):
-            out[k] = tuple(ids)
-        return out
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > CACHE_SIZE:
-            self.known.clear()
-        known, out = self.known, []
-        for text in texts:
-            pieces = (self.ascii if self.ascii is not None and text.isascii() else self.full).findall(text)
-            new = [p for p in set(pieces) if p not in known]
-            known.update(zip(new, self._encode_pieces(new)))
-            out.append([i for p in pieces for i in known[p]])
-            if new and any(len(p) > CACHE_CHARS for p in new):
-                for p in new:
-                    if len(p) > CACHE_CHARS:
-                        del known[p]
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
+        self.names = [str(i) for i in range(len(self.tokens))]
+        self.table = PieceTable(self._learn, "<i4", KEPT)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces: one that is itself a token is that token; the model merges the others."""
+        symbols = [mapped(p.encode("utf-8", "surrogatepass")) for p in new]
+        found = [self.whole.get(s) for s in symbols]
+        rest = iter(self.model.encode([s for s, f in zip(symbols, found) if f is None], num_threads=1))
+        ids = [next(rest) if f is None else [f] for f in found]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(i) for i in ids], np.int64)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return self.table.ids([(self.ascii if self.ascii is not None and t.isascii() else self.full).findall(t) for t in texts])
+
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -135,12 +121,12 @@ def codec(path: str, pattern: str) -> Codec:
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens of every whole text, and whether the ids decode to the text's bytes."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256, 1)
 
     def run(batch: pa.RecordBatch) -> dict:
         own, texts = codec(path, pattern), texts_of(batch.column(1))
         ids = own.encode_batch(texts)
-        return {"doc_id": batch.column(0), "ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": [own.decode(i) == t.encode() for i, t in zip(ids, texts)]}
+        return {"doc_id": batch.column(0), "ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": [own.decode(i.tolist()) == t.encode() for i, t in zip(ids, texts)]}
 
     schema = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(run, schema), schema)
@@ -149,7 +135,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
 def decoded(ids: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids) to (doc_id, data): the bytes that the ids stand for."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
-    small_batches(ids.sparkSession)
+    small_batches(ids.sparkSession, 256, 1)
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "data": [codec(path, pattern).decode(i or []) for i in batch.column(1).to_pylist()]}
@@ -160,16 +146,15 @@ def decoded(ids: DataFrame, path: str | None = None, pattern: str | None = None)
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, decoded again, both hashed."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256, 1)
 
     def run(batch: pa.RecordBatch) -> dict:
         own = codec(path, pattern)
-        names = own.__dict__.setdefault("names", [str(i) for i in range(len(own.tokens))])
         n, ids_hash, data_hash = [], [], []
-        for text in texts_of(batch.column(1)):
-            ids = own.encode_batch([text])[0]
+        for ids in own.encode_batch(texts_of(batch.column(1))):
+            ids = ids.tolist()
             n.append(len(ids))
-            ids_hash.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            ids_hash.append(hashlib.sha256(" ".join(map(own.names.__getitem__, ids)).encode()).hexdigest())
             data_hash.append(hashlib.sha256(own.decode(ids)).hexdigest())
         return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": data_hash}
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,39 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that separates words: space and the five controls 9 to 13.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+from quarry.session import cut, shared_dir
+
+__all__ = ["byte_view", "cut", "per_batch", "release", "releasing", "shared_dir", "single_threaded", "small_batches", "table", "texts_of", "tokenizer_path", "tokenizer_pattern", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``. Only a session in one JVM may go
-    without that setting; it then gets a temporary folder of its own.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    sc = spark.sparkContext
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get().rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A reliable checkpoint in the shared folder: the lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as a table in the shared folder and read back from it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -63,6 +38,31 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def release() -> None:
+    """Gives a worker's free memory back to the system: workers are kept, and others on the machine need it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, with the worker's free memory given back when a task ends."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return held
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], dict], schema: str) -> Callable:
     """A ``mapInArrow`` function from one that returns columns for a record batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,7 +76,7 @@ def per_batch(fn: Callable[[pa.RecordBatch], dict], schema: str) -> Callable:
                 got = fn(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
-    return run
+    return releasing(run)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -43,13 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_view, small_batches, written
+from quarry.llm.common import byte_view, releasing, small_batches, written
 from quarry.llm.shingles import _BACK, _BASE, _BYTE, _power, mix
 from quarry.llm.suffixes import repeats
 
 LENGTH, GRAM, RUN, HOT = 100, 32, 256, 20_000
 #: Bytes hashed at a time, and bytes of segments sorted together.
-PIECE, SORTED = 1 << 20, 3 << 20
+PIECE, SORTED = 1 << 18, 1 << 20
 INNER = 1 << 20
 NULL_ID = -(2**63)
 
@@ -121,7 +121,7 @@ def all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if held:
                 yield _rows(out)
 
-    return docs.mapInArrow(run, "bucket long, content long, doc long, pos long, n long")
+    return docs.mapInArrow(releasing(run), "bucket long, content long, doc long, pos long, n long")
 
 
 def _rows(columns: list[list[np.ndarray]], names=("bucket", "content", "doc", "pos", "n")) -> pa.RecordBatch:
@@ -177,7 +177,7 @@ def collapsed(rows: DataFrame) -> DataFrame:
                 contested = bool(many[0])
             last = (bucket[-1], content[-1], first_doc[-1], first_pos[-1])
 
-    return rows.mapInArrow(run, "contested boolean, bucket long, doc long, pos long, n long")
+    return rows.mapInArrow(releasing(run), "contested boolean, bucket long, doc long, pos long, n long")
 
 
 def _found(contested: bool, bucket, doc, pos, n) -> pa.RecordBatch:
@@ -204,7 +204,7 @@ def fetched(contested: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _cut(rows)
 
-    return docs.join(wanted, "doc").select("doc", "data", "parts").mapInArrow(run, "bucket long, doc long, pos long, n long, data binary")
+    return docs.join(wanted, "doc").select("doc", "data", "parts").mapInArrow(releasing(run), "bucket long, doc long, pos long, n long, data binary")
 
 
 def _cut(rows: list[tuple]) -> pa.RecordBatch:
@@ -257,7 +257,7 @@ def resolved(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield spans(*piece(held))
 
-    return rows.mapInArrow(run, "doc long, pos long, n long")
+    return rows.mapInArrow(releasing(run), "doc long, pos long, n long")
 
 
 def _firsts(held: list[tuple], gone: np.ndarray, length: int, bucket: int) -> list[tuple]:
@@ -294,7 +294,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bool = False) -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, kept_sha256, and with ``text`` the bytes kept) of documents (doc, data)."""
+    """(doc, n_bytes, n_removed, n_spans, kept_sha256, and with ``text`` what is kept as text) of documents (doc, data)."""
     runs = removed(docs, length, gram).groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
 
     def run(batches):
@@ -317,18 +317,18 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bo
                 out["n_removed"].append(len(data) - len(rest))
                 out["n_spans"].append(spans)
                 out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
-                out["kept"].append(rest if text else None)
+                out["kept"].append(rest.decode("utf-8", "ignore") if text else None)
             names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text, *rest_names]
-            columns = [batch.column(0), *(pa.array(out[k], pa.string() if k == "kept_sha256" else pa.binary() if k == "kept" else pa.int64()) for k in names[1 : 5 + text]), *batch.columns[4:]]
+            columns = [batch.column(0), *(pa.array(out[k], pa.string() if k in ("kept", "kept_sha256") else pa.int64()) for k in names[1 : 5 + text]), *batch.columns[4:]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rest_names = [c for c in docs.columns if c not in ("doc", "data")]
     joined = docs.join(runs, "doc", "left").select("doc", "data", "pos", "n", *rest_names)
-    schema = f"doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' * text}"
+    schema = f"doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept string' * text}"
     from pyspark.sql.types import StructType
 
     full = StructType([*StructType.fromDDL(schema).fields, *(docs.schema[c] for c in rest_names)])
-    return joined.mapInArrow(run, full)
+    return joined.mapInArrow(releasing(run), full)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -349,16 +349,8 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("__no_text")).alias("row"),
     )
 
-    def run(batches):
-        for batch in batches:
-            text = pa.array([k.decode("utf-8", "ignore") for k in batch.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([text, batch.column(1)], names=["text", "row"])
-
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    whole = kept_bytes(rows, length, text=True).select("kept", "row")
-    back = whole.mapInArrow(run, StructType([StructField("text", StringType()), whole.schema["row"]]))
-    text = F.when(~F.col("row.__no_text"), F.col("text"))
+    back = kept_bytes(rows, length, text=True)
+    text = F.when(~F.col("row.__no_text"), F.col("kept"))
     stated = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {})
     return back.select(*[stated.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

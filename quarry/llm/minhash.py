@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import per_batch, small_batches, written
+from quarry.llm.common import per_batch, releasing, small_batches, written
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, shingle_sets
 
@@ -113,7 +113,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             ok = pa.array([similar(s, t, percent) for s, t in zip(*sides)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return both.select("a", "b", _bytes("text_a"), _bytes("text_b")).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", _bytes("text_a"), _bytes("text_b")).mapInArrow(releasing(run), "a long, b long")
 
 
 def _bytes(name: str):
@@ -134,7 +134,7 @@ def _screened(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             ok = pa.array(likely(left, right, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(releasing(run), "a long, b long")
 
 
 def joined_in_cell(cell: list[tuple], words: int, percent: int) -> list[tuple[int, int]]:
@@ -197,7 +197,7 @@ def _across(cells: DataFrame, words: int, percent: int) -> DataFrame:
         if held:
             yield _pairs(joined_in_cell(held, words, percent))
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(releasing(run), "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:

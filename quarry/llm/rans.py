@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import per_batch, single_threaded, small_batches, texts_of, tokenizer_path, written
+from quarry.llm.common import per_batch, releasing, single_threaded, small_batches, texts_of, tokenizer_path, written
+from quarry.llm.pieces import PieceTable
 
 BITS, LANES, BLOCK_IDS, CHECKPOINT, END_ID = 20, 1024, 1 << 19, 256, 2
 ROWS_PER_FILE, MAX_FILES = 20_000, 20_000
@@ -50,19 +51,6 @@ LOW, WORD = np.uint64(1 << 31), np.uint64(32)
 # --- tokenising -----------------------------------------------------------------------------------------------
 
 
-class Codes(dict):
-    """Numbers for pieces, given as they first come; ``fresh`` holds those without ids yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = code = len(self)
-        self.fresh.append(piece)
-        return code
-
-
 class WordTokenizer:
     """The library's ids of whole texts, remembering those of its pre-tokens.
 
@@ -74,8 +62,8 @@ class WordTokenizer:
     """
 
     LETTER, NUMBER, SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\x09-\\x0d\\x20\\x85\\xa0"
-    #: Pieces and characters of pieces remembered at a time.
-    KEPT, KEPT_CHARS = 1_000_000, 30_000_000
+    #: Pieces remembered at a time.
+    KEPT = 800_000
 
     def __init__(self, path: str):
         single_threaded()
@@ -98,7 +86,7 @@ class WordTokenizer:
             self.pieces.normalizer = normalizers.Sequence([])
             self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTER}]+|[{self.NUMBER}]|[^{self.SPACE}{self.LETTER}{self.NUMBER}]+")
-        self.forget()
+        self.table = PieceTable(self._learn, self.type, self.KEPT)
 
     @staticmethod
     def same_parts(spec: dict) -> bool:
@@ -107,31 +95,13 @@ class WordTokenizer:
         expected = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         return normal == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": expected} and all("<|" in t["content"] for t in spec["added_tokens"])
 
-    def forget(self) -> None:
-        self.codes, self.chars = Codes(), 0
-        self.flat, self.used = np.zeros(1 << 16, self.type), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self) -> None:
-        """The ids of the fresh pieces; a piece ends with a token that bears the word-end mark."""
-        new = self.codes.fresh
-        if not new:
-            return
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pieces; a piece ends with a token that bears the word-end mark."""
         ids = np.array(self.pieces.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, self.type)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(new):
             raise ValueError("the tokenizer takes a pre-token apart")
-        first, last = len(self.codes) - len(new), len(self.codes)
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.start) < last:
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[first:last] = self.used + np.concatenate([[0], ends[:-1]])
-        self.length[first:last] = np.diff(np.concatenate([[0], ends]))
-        self.used += len(ids)
-        self.chars += sum(map(len, new))
-        self.codes.fresh = []
+        return ids, np.diff(np.concatenate([[0], ends]))
 
     def _plain(self, text: str) -> bool:
         if not self.parts or "<|" in text:
@@ -143,26 +113,12 @@ class WordTokenizer:
         return True
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.codes) > self.KEPT or self.chars > self.KEPT_CHARS:
-            self.forget()
+        plain = [k for k, t in enumerate(texts) if self._plain(t)]
         out: list[bytes] = [b""] * len(texts)
-        codes: list[int] = []
-        plain, bounds = [], [0]
-        for k, text in enumerate(texts):
-            if self._plain(text):
-                codes.extend(map(self.codes.__getitem__, self.pattern.findall(text.lower())))
-                plain.append(k)
-                bounds.append(len(codes))
-            else:
-                out[k] = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type).tobytes()
-        self._learn()
-        code = np.array(codes, np.int64)
-        n = self.length[code]
-        ends = np.cumsum(n)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[code] - (ends - n), n)].tobytes()
-        at = np.concatenate([[0], ends])[bounds] * self.type.itemsize
-        for k, a, b in zip(plain, at[:-1].tolist(), at[1:].tolist()):
-            out[k] = ids[a:b]
+        for k, ids in zip(plain, self.table.ids([self.pattern.findall(texts[k].lower()) for k in plain])):
+            out[k] = ids.tobytes()
+        for k in set(range(len(texts))).difference(plain):
+            out[k] = np.array(self.library.encode_batch_fast([texts[k]], add_special_tokens=False)[0].ids, self.type).tobytes()
         return out
 
 
@@ -226,6 +182,8 @@ def decode_lanes(words: np.ndarray, note: tuple[int, int, np.ndarray], steps: in
         out[k] = s = tables.symbol[slot]
         x = tables.f[s] * (x >> bits) + slot - tables.c[s]
         low = np.flatnonzero(x < LOW)
+        if at + len(low) > len(words):
+            raise ValueError("a block's part misses its checksum: its words end too early")
         x[low] = (x[low] << WORD) | words[at : at + len(low)]
         at += len(low)
     if zlib.crc32(out.astype("<u4").tobytes()) != crc:
@@ -305,7 +263,7 @@ def counts(ids: DataFrame, kind: str, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").mapInArrow(releasing(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -352,7 +310,7 @@ def encoded(ids: DataFrame, frequency: np.ndarray, kind: str) -> DataFrame:
 
     dealt = ids.mapInArrow(per_batch(placed, s := "file int, doc_id long, ids binary"), s)
     ordered = dealt.repartition(n, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
-    return ordered.mapInArrow(run, "file int, block int, before long, ids long, data binary")
+    return ordered.mapInArrow(releasing(run), "file int, block int, before long, ids long, data binary")
 
 
 def decoded(blocks: DataFrame, frequency: np.ndarray) -> DataFrame:
@@ -374,7 +332,7 @@ def decoded(blocks: DataFrame, frequency: np.ndarray) -> DataFrame:
 
     # one row per file, and at most MAX_FILES files: small enough to broadcast
     placed = blocks.join(F.broadcast(base), "file").select("data", (F.col("base") + F.col("before")).alias("start"))
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def filed(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID) -> tuple[DataFrame, np.ndarray]:

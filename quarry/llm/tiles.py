@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, written
+from quarry.llm.common import releasing, small_batches, written
 from quarry.llm.components import components
 
 THRESHOLD, TILE, STEP, SAMPLE = 0.93, 512, 16, 20_000
@@ -106,7 +106,7 @@ def _compared(cells: DataFrame, basis: dict[int, np.ndarray], threshold: float)
         if rest:
             yield links(pd.concat(rest))
 
-    return cells.mapInPandas(run, "a long, b long")
+    return cells.mapInPandas(releasing(run), "a long, b long")
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
