@@ -256,8 +256,9 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     known = written(signatures(rows, words), "minhash-signatures")
     found, classes = links(rows, known, words, percent)
     named = classes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return known.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept")
+        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
     )
 
 
