@@ -72,7 +72,7 @@ def graphql_types(files: DataFrame) -> DataFrame:
 
 def graphql_fields(types: DataFrame) -> DataFrame:
     """(repo_id, path, parent_name, name, type, nullable) of the types whose bodies declare fields, by column expressions."""
-    pattern = F.lit(r"(?m)^\s*(\w+)(?:\([^)]*\))?\s*:\s*(\[?\w+!?\]?!?)")
+    pattern = F.lit("(?m)" + V.GRAPHQL_FIELD)
     body = F.col("body")
     pairs = F.arrays_zip(F.regexp_extract_all(body, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(body, pattern, F.lit(2)).alias("type"))
     rows = types.filter(F.col("kind").isin(*parsers.FIELD_KINDS)).select("repo_id", "path", F.col("name").alias("parent_name"), F.posexplode(pairs).alias("nth", "f"))

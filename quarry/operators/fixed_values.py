@@ -52,3 +52,41 @@ TOPIC_ATTRIBUTE = r'@topic(?:_name)?\s+"([\w.-]+)"'
 PRODUCER_SIGN = r"Kafkaesque\.Producer\.produce_batch|Outbox\.emit|topic_name:"
 TOPIC_LIST = r'topics:\s*\["([\w.-]+)"\]'
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@\s]+)"
+
+#: Patterns of protocol buffers, and words that are no field types.
+PROTO_MESSAGE = r"^message\s+(\w+)\s*\{"
+PROTO_SERVICE = r"^service\s+(\w+)\s*\{"
+PROTO_FIELD = r"^\s+(?:(repeated|optional|required)\s+)?(\w[\w.]*)\s+(\w+)\s*=\s*\d+"
+PROTO_RPC = r"rpc\s+(\w+)\s*\(\s*(\w[\w.]*)\s*\)\s+returns\s+\(\s*(\w[\w.]*)\s*\)"
+PROTO_PACKAGE = r"^package\s+([\w.]+)\s*;"
+PROTO_NO_TYPES = ("message", "enum", "oneof", "reserved", "option", "extend")
+
+#: Patterns of GraphQL definitions, and the kinds whose bodies declare fields.
+GRAPHQL_DEFINITION = r"^(extend\s+)?(type|input|enum|interface)\s+(\w+)(?:\s+implements\s+[\w\s&]+)?\s*\{"
+GRAPHQL_UNION = r"^(extend\s+)?union\s+(\w+)\s*=\s*(.+)"
+GRAPHQL_SCALAR = r"^scalar\s+(\w+)"
+GRAPHQL_FIELD = r"^\s*(\w+)(?:\([^)]*\))?\s*:\s*(\[?\w+!?\]?!?)"
+GRAPHQL_FIELD_KINDS = ("type", "input", "interface")
+
+#: Patterns of Elixir modules, and what a module's name says about its kind.
+MODULE = r"defmodule\s+([\w.]+)\s+do\b"
+DOC_FALSE = r"@moduledoc\s+false\b"
+DOC_BLOCK = r'@moduledoc\s+"""([\s\S]*?)"""'
+DOC_LINE = r'@moduledoc\s+"([^"]*)"'
+DEFINITION = r"^\s+def\s+(\w+)\(([^)]*)\)"
+BARE_DEFINITION = r"^\s+def\s+(\w+)\s*(?:,|do\b|when\b)"
+TABLE = r'schema\s+"(\w+)"'
+SCHEMA = r'\bschema\s+"\w+"\s+do\b'
+ECTO_FIELD = r"field[( ]+:(\w+),\s*:?(\w[\w.]*)"
+ASSOCIATION = r"(belongs_to|has_many|has_one|many_to_many)[( ]+:(\w+),\s*(\w[\w.]*)"
+NAMED_MACRO = r"(object|input_object)\s+:(\w+)\s+do\b"
+ROOT_MACRO = r"(query|mutation)\s+do\b"
+CLIENT_STUB = r"use\s+RpcClient\.(?:Client|MockableRpcClient)[\s\S]*?stub:\s*(\w+(?:\.\w+)*)"
+STUB_CALL = r"(\w+(?:\.\w+)*)\.Stub\.\w+\s*\("
+WORD_ATTRIBUTE = r"@(\w+)\s+~w\(([\s\S]*?)\)a"
+LIST_ATTRIBUTE = r"@(\w+)\s+\[([\s\S]*?)\]"
+REQUIRED_CALL = r"validate_required\s*\(\s*(?:\w+\s*,\s*)?(?:\[([\s\S]*?)\]|@(\w+)\s*\))"
+CAST_CALL = r"\bcast\s*\(\s*(?:\w+\s*,\s*){0,2}(?:\[([\s\S]*?)\]|(@\w+(?:\s*\+\+\s*@\w+)*)\s*\))"
+ATOM = r":(\w+)"
+ATTRIBUTE = r"@(\w+)"
+MODULE_KINDS = (("context", r"Context$|\.Contexts?\."), ("command", r"\.Commands?\.|Command$"), ("query", r"\.Queries?\.|Query$"))

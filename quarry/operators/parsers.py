@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from quarry.operators.fixed_values import PLAIN_ATTRIBUTES
+from quarry.operators import fixed_values as V
 
 _A = re.ASCII
 
@@ -35,16 +35,15 @@ def _blocks(head: re.Pattern, text: str):
 
 # --- protocol buffers -------------------------------------------------------------------------------------------
 
-_MESSAGE, _SERVICE = re.compile(r"^message\s+(\w+)\s*\{", re.M | _A), re.compile(r"^service\s+(\w+)\s*\{", re.M | _A)
-_PROTO_FIELD = re.compile(r"^\s+(?:(repeated|optional|required)\s+)?(\w[\w.]*)\s+(\w+)\s*=\s*\d+", re.M | _A)
-_RPC = re.compile(r"rpc\s+(\w+)\s*\(\s*(\w[\w.]*)\s*\)\s+returns\s+\(\s*(\w[\w.]*)\s*\)", _A)
-_NO_TYPES = {"message", "enum", "oneof", "reserved", "option", "extend"}
+_MESSAGE, _SERVICE = re.compile(V.PROTO_MESSAGE, re.M | _A), re.compile(V.PROTO_SERVICE, re.M | _A)
+_PROTO_FIELD = re.compile(V.PROTO_FIELD, re.M | _A)
+_RPC = re.compile(V.PROTO_RPC, _A)
 
 
 def proto_messages(text: str) -> list[dict]:
     """Messages that begin at the start of a line: name and fields (name, type, optional); inner messages' fields count as the outer's."""
     return [
-        {"name": m.group(1), "fields": [{"name": f.group(3), "type": f.group(2), "optional": f.group(1) == "optional"} for f in _PROTO_FIELD.finditer(body) if f.group(2) not in _NO_TYPES]}
+        {"name": m.group(1), "fields": [{"name": f.group(3), "type": f.group(2), "optional": f.group(1) == "optional"} for f in _PROTO_FIELD.finditer(body) if f.group(2) not in V.PROTO_NO_TYPES]}
         for m, body in _blocks(_MESSAGE, text)
     ]
 
@@ -55,17 +54,17 @@ def proto_services(text: str) -> list[dict]:
 
 
 def proto_package(text: str) -> str | None:
-    m = re.search(r"^package\s+([\w.]+)\s*;", text, re.M | _A)
+    m = re.search(V.PROTO_PACKAGE, text, re.M | _A)
     return m.group(1) if m else None
 
 
 # --- GraphQL ----------------------------------------------------------------------------------------------------
 
-_DEFINITION = re.compile(r"^(extend\s+)?(type|input|enum|interface)\s+(\w+)(?:\s+implements\s+[\w\s&]+)?\s*\{", re.M | _A)
-_UNION, _SCALAR = re.compile(r"^(extend\s+)?union\s+(\w+)\s*=\s*(.+)", re.M | _A), re.compile(r"^scalar\s+(\w+)", re.M | _A)
-_GRAPHQL_FIELD = re.compile(r"^\s*(\w+)(?:\([^)]*\))?\s*:\s*(\[?\w+!?\]?!?)", re.M | _A)
+_DEFINITION = re.compile(V.GRAPHQL_DEFINITION, re.M | _A)
+_UNION, _SCALAR = re.compile(V.GRAPHQL_UNION, re.M | _A), re.compile(V.GRAPHQL_SCALAR, re.M | _A)
+_GRAPHQL_FIELD = re.compile(V.GRAPHQL_FIELD, re.M | _A)
 #: Kinds of definitions whose bodies declare fields.
-FIELD_KINDS = ("type", "input", "interface")
+FIELD_KINDS = V.GRAPHQL_FIELD_KINDS
 
 
 def graphql_types(text: str) -> list[dict]:
@@ -82,20 +81,14 @@ def graphql_fields(body: str) -> list[dict]:
 
 # --- Elixir -----------------------------------------------------------------------------------------------------
 
-_MODULE = re.compile(r"defmodule\s+([\w.]+)\s+do\b", _A)
-_DOC_FALSE = re.compile(r"@moduledoc\s+false\b", _A)
-_DOCS = (re.compile(r'@moduledoc\s+"""([\s\S]*?)"""'), re.compile(r'@moduledoc\s+"([^"]*)"'))
-_DEF, _BARE_DEF = re.compile(r"^\s+def\s+(\w+)\(([^)]*)\)", re.M | _A), re.compile(r"^\s+def\s+(\w+)\s*(?:,|do\b|when\b)", re.M | _A)
-_TABLE, _SCHEMA = re.compile(r'schema\s+"(\w+)"', _A), re.compile(r'\bschema\s+"\w+"\s+do\b', _A)
-_FIELD = re.compile(r"field[( ]+:(\w+),\s*:?(\w[\w.]*)", _A)
-_ASSOC = re.compile(r"(belongs_to|has_many|has_one|many_to_many)[( ]+:(\w+),\s*(\w[\w.]*)", _A)
-_NAMED_MACRO, _ROOT_MACRO = re.compile(r"(object|input_object)\s+:(\w+)\s+do\b", _A), re.compile(r"(query|mutation)\s+do\b", _A)
-_CLIENT_STUB = re.compile(r"use\s+RpcClient\.(?:Client|MockableRpcClient)[\s\S]*?stub:\s*(\w+(?:\.\w+)*)", _A)
-_STUB_CALL = re.compile(r"(\w+(?:\.\w+)*)\.Stub\.\w+\s*\(", _A)
-_SIGIL, _LIST = re.compile(r"@(\w+)\s+~w\(([\s\S]*?)\)a", _A), re.compile(r"@(\w+)\s+\[([\s\S]*?)\]", _A)
-_REQUIRED = re.compile(r"validate_required\s*\(\s*(?:\w+\s*,\s*)?(?:\[([\s\S]*?)\]|@(\w+)\s*\))", _A)
-_CAST = re.compile(r"\bcast\s*\(\s*(?:\w+\s*,\s*){0,2}(?:\[([\s\S]*?)\]|(@\w+(?:\s*\+\+\s*@\w+)*)\s*\))", _A)
-_ATOM, _ATTRIBUTE = re.compile(r":(\w+)", _A), re.compile(r"@(\w+)", _A)
+_MODULE, _DOC_FALSE, _TABLE, _SCHEMA, _FIELD, _ASSOC, _NAMED_MACRO, _ROOT_MACRO, _CLIENT_STUB, _STUB_CALL, _SIGIL, _LIST, _REQUIRED, _CAST, _ATOM, _ATTRIBUTE = (
+    re.compile(p, _A)
+    for p in (
+        V.MODULE, V.DOC_FALSE, V.TABLE, V.SCHEMA, V.ECTO_FIELD, V.ASSOCIATION, V.NAMED_MACRO, V.ROOT_MACRO, V.CLIENT_STUB, V.STUB_CALL, V.WORD_ATTRIBUTE, V.LIST_ATTRIBUTE, V.REQUIRED_CALL, V.CAST_CALL, V.ATOM, V.ATTRIBUTE,
+    )
+)
+_DOCS = (re.compile(V.DOC_BLOCK), re.compile(V.DOC_LINE))
+_DEF, _BARE_DEF = re.compile(V.DEFINITION, re.M | _A), re.compile(V.BARE_DEFINITION, re.M | _A)
 
 
 def _distinct(items) -> list:
@@ -132,10 +125,10 @@ def schema_block(body: str) -> list[str]:
 
 def attribute_lists(body: str) -> dict[str, list[str]]:
     """Names that module attributes list, as words or as atoms; words come first."""
-    found = {m.group(1): m.group(2).split() for m in _SIGIL.finditer(body) if m.group(1) not in PLAIN_ATTRIBUTES}
+    found = {m.group(1): m.group(2).split() for m in _SIGIL.finditer(body) if m.group(1) not in V.PLAIN_ATTRIBUTES}
     words = {k for k, v in found.items()}
     for m in _LIST.finditer(body):
-        if m.group(1) not in PLAIN_ATTRIBUTES and m.group(1) not in words and m.group(1) not in found:
+        if m.group(1) not in V.PLAIN_ATTRIBUTES and m.group(1) not in words and m.group(1) not in found:
             found[m.group(1)] = _ATOM.findall(m.group(2))
     return found
 
@@ -152,8 +145,7 @@ def module_type(name: str, table: str | None) -> str:
     """schema for a module with a table; else by its name; else module."""
     if table:
         return "schema"
-    rules = (("context", r"Context$|\.Contexts?\."), ("command", r"\.Commands?\.|Command$"), ("query", r"\.Queries?\.|Query$"))
-    return next((kind for kind, rule in rules if re.search(rule, name)), "module")
+    return next((kind for kind, rule in V.MODULE_KINDS if re.search(rule, name)), "module")
 
 
 def elixir_modules(text: str) -> list[dict]:

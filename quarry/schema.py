@@ -23,13 +23,14 @@ TABLES = {
 #: Target of an edge whose callee is not known; no repository has this id.
 UNRESOLVED = 0
 
+#: Kinds of entities and their sub-types.
 COARSE_TYPES = ("repo", "file", "module", "service", "event", "learned_fact", "field")
 SEARCHED_TYPES = ("repo", "module", "event", "service", "field")
 MODULE_SUB_TYPES = ("schema", "context", "command", "query", "graphql_type", "graphql_query", "graphql_mutation", "absinthe_object", "absinthe_query", "absinthe_mutation")
 SERVICE_SUB_TYPES = ("grpc",)
 DIRECT_TYPES = ("calls_grpc", "calls_http", "routes_to")
 
-#: Relationship type to the graph's mechanism; other types keep their name.
+#: Relationship type to the graph's mechanism; other types keep their name.
 MECHANISM_OF = {
     "calls_grpc": "grpc",
     "calls_http": "http",
@@ -40,7 +41,7 @@ MECHANISM_OF = {
     "consumes_kafka": "kafka",
 }
 
-#: Relationship type to the label that people read.
+#: Relationship type to the label that people read.
 LABEL_OF = {
     "calls_grpc": "gRPC",
     "calls_http": "HTTP",
@@ -52,7 +53,7 @@ LABEL_OF = {
     "exposes_graphql": "GraphQL",
 }
 
-#: Mechanism filter to the relationship types that it admits.
+#: Mechanism filter to the relationship types that it admits.
 FILTER_TYPES = {
     "grpc": ("calls_grpc",),
     "http": ("calls_http",),
