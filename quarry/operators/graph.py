@@ -118,46 +118,50 @@ def subgraph_edges(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, mechani
     return nodes.join(edges, F.col("node") == F.col("src_id")).join(inside, ["seed", "dst_id"])
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(from_id, to_id, step, src_id, dst_id, mechanism, via, confidence): the hops of one shortest path of each pair.
+def search_trees(sources: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(from_id, node, step, parent, back, mechanism, via, confidence): how a search from each source first meets every node.
 
-    Edges are walked both ways and reported as they point. Of equal paths the one wins that a
-    search in the edges' order finds first: the earlier found parent, then forward before
-    backward, then the edge order. A pair that is not connected has no rows, one of equal ends too.
+    Edges are walked both ways; back is 1 where one is walked against its direction. A node is
+    met first by the earlier found parent, then forward before backward, then by the edge order.
     """
     order = F.struct("cls", "e1", "e2")
     out = edges.filter(F.col("dst_id") != UNRESOLVED)
     keep = ["mechanism", "via", "confidence"]
-    walks = cut(
-        out.select(F.col("src_id").alias("node"), F.col("dst_id").alias("next"), F.lit(0).alias("back"), order.alias("ord"), *keep).unionByName(
-            out.select(F.col("dst_id").alias("node"), F.col("src_id").alias("next"), F.lit(1).alias("back"), order.alias("ord"), *keep)
-        )
-    )
-    start = pairs.filter("from_id <> to_id").select("from_id", "to_id", F.col("from_id").alias("node"), F.lit(0).cast("long").alias("rank"), F.lit(0).alias("step"))
-    seen = start.withColumns({"parent": F.lit(None).cast("long"), "back": F.lit(None).cast("int"), "mechanism": F.lit(None).cast("string"), "via": F.lit(None).cast("string"), "confidence": F.lit(None).cast("string")})
-    frontier, depth = start, 0
-    pair = ["from_id", "to_id"]
-    while depth < max_depth:
-        depth += 1
-        found = frontier.select(*pair, "node", "rank").join(walks, "node").select(*pair, F.col("next").alias("node"), F.struct("rank", "back", "ord").alias("by"), F.col("node").alias("parent"), "back", *keep)
-        first = found.join(seen.select(*pair, "node"), [*pair, "node"], "left_anti").groupBy(*pair, "node").agg(F.min(F.struct("by", "parent", "back", *keep)).alias("best"))
-        ranked = first.select(*pair, "node", F.row_number().over(W.partitionBy(*pair).orderBy("best.by")).cast("long").alias("rank"), F.lit(depth).alias("step"), "best.parent", "best.back", *[f"best.{k}" for k in keep])
-        level = cut(ranked)
-        seen = seen.unionByName(level)
-        arrived = level.filter("node = to_id").select(*pair)
-        frontier = level.join(arrived, pair, "left_anti").select(*pair, "node", "rank", "step")
+    walk = lambda a, b, back: out.select(F.col(a).alias("node"), F.col(b).alias("next"), F.lit(back).alias("back"), order.alias("ord"), *keep)
+    # of parallel edges only the first can ever be taken
+    best = walk("src_id", "dst_id", 0).unionByName(walk("dst_id", "src_id", 1)).groupBy("node", "next").agg(F.min(F.struct("back", "ord", *keep)).alias("w"))
+    walks = cut(best.select("node", "next", "w.*"))
+    none = {"parent": "long", "back": "int", "mechanism": "string", "via": "string", "confidence": "string"}
+    seen = sources.select("from_id", F.col("from_id").alias("node"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("rank"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    frontier = seen
+    for depth in range(1, max_depth + 1):
+        found = frontier.select("from_id", F.col("node").alias("parent"), "rank").join(walks.withColumnRenamed("node", "parent"), "parent")
+        new = found.join(seen.select("from_id", F.col("node").alias("next")), ["from_id", "next"], "left_anti")
+        first = new.groupBy("from_id", F.col("next").alias("node")).agg(F.min(F.struct(F.struct("rank", "back", "ord").alias("by"), "parent", "back", *keep)).alias("b"))
+        rank = F.row_number().over(W.partitionBy("from_id").orderBy("b.by")).cast("long")
+        frontier = cut(first.select("from_id", "node", F.lit(depth).alias("step"), rank.alias("rank"), *[f"b.{c}" for c in none]))
         if frontier.isEmpty():
             break
-    # walked back from the target, one level at a time
-    found = cut(seen)
-    at = found.filter("node = to_id and step > 0")
-    hops = at
-    for _ in range(depth):
-        up = at.select(*pair, F.col("parent").alias("node"), (F.col("step") - 1).alias("step")).filter("step > 0")
-        at = up.join(found, [*pair, "node", "step"])
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(from_id, to_id, step, src_id, dst_id, mechanism, via, confidence): the hops of one shortest path of each pair.
+
+    One search per distinct source serves all its targets; paths are then walked back, all pairs
+    a step at a time. Hops are reported as the edges point. A pair that is not connected has no
+    rows, one of equal ends too.
+    """
+    trees = cut(search_trees(pairs.select("from_id").distinct(), edges, max_depth).filter("step > 0").drop("rank"))
+    at = pairs.select("from_id", "to_id").distinct().join(trees.withColumnRenamed("node", "to_id"), ["from_id", "to_id"]).withColumn("node", F.col("to_id"))
+    hops, deepest = at, trees.agg(F.max("step")).first()[0] or 0
+    for _ in range(deepest - 1):
+        at = at.select("from_id", "to_id", F.col("parent").alias("node")).join(trees, ["from_id", "node"])
         hops = hops.unionByName(at.select(*hops.columns))
-    src, dst = F.when(F.col("back") == 0, F.col("parent")).otherwise(F.col("node")), F.when(F.col("back") == 0, F.col("node")).otherwise(F.col("parent"))
-    return hops.select(*pair, "step", src.alias("src_id"), dst.alias("dst_id"), *keep)
+    forward = F.col("back") == 0
+    src, dst = F.when(forward, F.col("parent")).otherwise(F.col("node")), F.when(forward, F.col("node")).otherwise(F.col("parent"))
+    return hops.select("from_id", "to_id", "step", src.alias("src_id"), dst.alias("dst_id"), "mechanism", "via", "confidence")
 
 
 def named(df: DataFrame, repos: DataFrame, column: str, name: str) -> DataFrame:

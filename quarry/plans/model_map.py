@@ -62,7 +62,7 @@ def edges(spark: SparkSession, sf_dir: str, services: int) -> DataFrame:
 def star_model(spark: SparkSession, sf_dir: str) -> Model:
     part, customer = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "customer")
     services = _table(spark, sf_dir, "supplier").count()
-    file_id = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") + 1)
+    file_id = F.when(F.col("p_size") <= 25, F.col("p_partkey") + 1)
     owner = F.col("p_partkey") % services + 1
     kinds = F.element_at(F.array(F.lit("ecto_schema"), F.lit("proto_message"), F.lit("graphql_type")), (F.col("p_partkey") % 3 + 1).cast("int"))
     sub = F.element_at(F.array(*[F.lit(t) for t in ("schema", "context", "query", "graphql_type")]), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -70,7 +70,7 @@ def star_model(spark: SparkSession, sf_dir: str) -> Model:
     talk = _table(spark, sf_dir, "conversations")
     return Model(
         repos=repos(spark, sf_dir),
-        files=_shaped(part.filter("p_partkey % 2 = 0").select((F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/"), "p_partkey", F.lit(".ex")).alias("path"), F.lit("elixir").alias("language")), "files"),
+        files=_shaped(part.filter("p_size <= 25").select((F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/"), "p_partkey", F.lit(".ex")).alias("path"), F.lit("elixir").alias("language")), "files"),
         modules=_shaped(
             part.select(
                 (F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), file_id.alias("file_id"), F.concat("p_brand", F.lit("."), F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).alias("name"), sub.alias("type"), F.concat("p_name", F.lit(" of "), "p_type").alias("summary"),
@@ -109,9 +109,9 @@ edges AS (
   UNION ALL SELECT 3000000000000000000 + event_id, 'repo', source_id, 'event', k + 1, CASE event_type WHEN 'click' THEN 'produces_event' ELSE 'consumes_event' END, NULL FROM evs WHERE event_type IN ('click', 'view')),
 model_events AS (SELECT k + 1 AS id, k % services + 1 AS repo_id, 'Event' || k || 'Created' AS name, 'message Event' || k || ' { string id }' AS schema_definition, 'proto/event_' || k || '.proto' AS source_file
   FROM (SELECT DISTINCT json_extract_string(props, '$.k')::BIGINT AS k FROM main.events), star),
-files AS (SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, 'lib/' || lower(p_type) || '/' || p_partkey || '.ex' AS path FROM part, star WHERE p_partkey % 2 = 0),
+files AS (SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, 'lib/' || lower(p_type) || '/' || p_partkey || '.ex' AS path FROM part, star WHERE p_size <= 25),
 modules AS (
-  SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 1 END AS file_id,
+  SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, CASE WHEN p_size <= 25 THEN p_partkey + 1 END AS file_id,
     p_brand || '.' || array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], '') AS name,
     (['schema', 'context', 'query', 'graphql_type'])[(p_partkey % 4 + 1)::INT] AS type, p_name || ' of ' || p_type AS summary, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) || '_parts' END AS table_name FROM part, star),
 services AS (SELECT c_custkey + 1 AS id, c_custkey % star.services + 1 AS repo_id, c_name AS name, 'gRPC service for ' || lower(c_mktsegment) AS description, 'grpc' AS service_type FROM customer, star),

@@ -171,21 +171,27 @@ def impact_summary(spark, sf_dir):
 
 _UNDIRECTED = """
 both_ways AS (SELECT src_id AS a, dst_id AS b FROM graph WHERE dst_id <> 0 UNION SELECT dst_id, src_id FROM graph WHERE dst_id <> 0),
-starts AS (SELECT id FROM repos WHERE id % 10 = 1),
-walk AS (SELECT id AS from_id, id AS node, 0 AS depth FROM starts UNION SELECT w.from_id, b.b, w.depth + 1 FROM walk w JOIN both_ways b ON b.a = w.node WHERE w.depth < 8),
+walk AS (SELECT id AS from_id, id AS node, 0 AS depth FROM repos UNION SELECT w.from_id, b.b, w.depth + 1 FROM walk w JOIN both_ways b ON b.a = w.node WHERE w.depth < 16),
 dist AS (SELECT from_id, node AS to_id, min(depth) AS hops FROM walk GROUP BY ALL)"""
 
 
 def _trace_pairs(model) -> DataFrame:
-    """Pairs of every tenth service with every seventh: the argument of the query, not a sample of its data."""
-    a = model.repos.filter("id % 10 = 1").select(F.col("id").alias("from_id"))
-    return a.join(model.repos.filter("id % 7 = 3").select(F.col("id").alias("to_id")), F.lit(True))
+    """Every service with every other: the argument of a trace of all to all."""
+    return model.repos.select(F.col("id").alias("from_id")).join(model.repos.select(F.col("id").alias("to_id")), F.col("from_id") != F.col("to_id"))
 
 
-@query(_with("SELECT s.id AS from_id, t.id AS to_id, d.hops::BIGINT AS hops FROM starts s JOIN repos t ON t.id % 7 = 3 AND t.id <> s.id JOIN dist d ON d.from_id = s.id AND d.to_id = t.id", _UNDIRECTED))
+@query(_with("SELECT from_id, to_id, hops::BIGINT AS hops FROM dist WHERE hops > 0", _UNDIRECTED))
 def shortest_path_len(spark, sf_dir):
     model, edges = _setup(spark, sf_dir)
-    return graph.shortest_paths(_trace_pairs(model), edges, 8).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("hops"))
+    trees = graph.search_trees(model.repos.select(F.col("id").alias("from_id")), edges, 16)
+    return trees.filter("step > 0").select("from_id", F.col("node").alias("to_id"), F.col("step").cast("long").alias("hops"))
+
+
+@query(_with("SELECT from_id, to_id, hops::BIGINT AS hops FROM dist WHERE hops > 0", _UNDIRECTED))
+def shortest_path_hop_counts(spark, sf_dir):
+    """The same from the hops themselves: each path has as many hops as its ends are apart."""
+    model, edges = _setup(spark, sf_dir)
+    return graph.shortest_paths(_trace_pairs(model), edges, 16).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("hops"))
 
 
 @query()

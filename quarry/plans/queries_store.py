@@ -37,23 +37,25 @@ def status_counts(spark, sf_dir):
     return store.status_counts(star_model(spark, sf_dir))
 
 
-@query(_S + "SELECT id, name FROM repos WHERE path NOT IN (SELECT path FROM repos WHERE id % 3 <> 0)")
+@query(_S + "SELECT s_suppkey + 1 AS id, s_name AS name FROM supplier WHERE s_acctbal < 3000")
 def missing_repo_antijoin(spark, sf_dir):
-    repos = star_model(spark, sf_dir).repos
-    return store.missing_repositories(repos, repos.filter("id % 3 <> 0")).select("id", "name")
+    present = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal >= 3000").select(F.concat(F.lit("/repos/"), "s_name").alias("path"))
+    return store.missing_repositories(star_model(spark, sf_dir).repos, present).select("id", "name")
 
 
-@query(_S + "SELECT name, CASE WHEN id % 5 = 0 THEN 'missing' WHEN id % 5 = 1 THEN 'stale' ELSE 'current' END AS state FROM repos ORDER BY name LIMIT 20")
+@query(_S + "SELECT s_name AS name, CASE WHEN s_acctbal < 3000 THEN 'missing' WHEN s_acctbal < 6000 THEN 'stale' ELSE 'current' END AS state FROM supplier ORDER BY name LIMIT 20")
 def staleness_sample(spark, sf_dir):
     repos = star_model(spark, sf_dir).repos.withColumn("last_indexed_commit", F.md5("name"))
-    snapshot = repos.filter("id % 5 <> 0").select("name", F.when(F.col("id") % 5 == 1, F.lit("other")).otherwise(F.md5("name")).alias("head"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal >= 3000")
+    snapshot = s.select(F.col("s_name").alias("name"), F.when(F.col("s_acctbal") < 6000, F.lit("other")).otherwise(F.md5("s_name")).alias("head"))
     return store.staleness(repos, snapshot)
 
 
-@query(_S + "SELECT id, name FROM repos WHERE id % 2 = 0")
+@query(_S + "SELECT s_suppkey + 1 AS id, s_name AS name FROM supplier WHERE s_acctbal < 5000")
 def skip_unchanged(spark, sf_dir):
     repos = star_model(spark, sf_dir).repos.withColumn("last_indexed_commit", F.md5("name"))
-    snapshot = repos.select("name", F.when(F.col("id") % 2 == 0, F.md5("name")).otherwise(F.lit("new")).alias("tip"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    snapshot = s.select(F.col("s_name").alias("name"), F.when(F.col("s_acctbal") < 5000, F.md5("s_name")).otherwise(F.lit("new")).alias("tip"))
     return store.unchanged(repos, snapshot).select("id", "name")
 
 
