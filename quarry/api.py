@@ -60,7 +60,7 @@ class Knowledge:
 
     def reload(self) -> None:
         self.model = self.store.model()
-        self.docs = store.search_index(self.model)
+        self.docs, self.postings = self.store.index()
         self.edges = graph.graph_edges(self.model)
 
     def _seed(self, name: str) -> DataFrame:
@@ -77,10 +77,10 @@ class Knowledge:
     def search(self, query: str, limit: int = 20, repo: str | None = None, kind: str | None = None) -> list[dict]:
         if not query or not query.strip():
             return []
-        return rows(search.search_text(self.model, self.docs, query, limit, repo, kind).orderBy("score", "entity_type", "entity_id"))
+        return rows(search.search_text(self.model, self.docs, query, limit, repo, kind, self.postings).orderBy("score", "entity_type", "entity_id"))
 
     def entity(self, name: str, kind: str | None = None, relationship: str | None = None, repo: str | None = None) -> list[dict]:
-        return rows(entities.find_entities(self.model, self.docs, name, kind, relationship, repo))
+        return rows(entities.find_entities(self.model, self.docs, name, kind, relationship, repo, self.postings))
 
     def deps(self, name: str, direction: str = "upstream", depth: int | str = 1, repo: str | None = None, mechanism: str | None = None) -> dict:
         found = rows(dependencies.dependencies(self.model, self._seed(name), direction, depth, checked_mechanism(mechanism), repo).orderBy("depth", "rank"))

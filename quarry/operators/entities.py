@@ -124,7 +124,7 @@ def in_reading_order(cards: DataFrame) -> DataFrame:
     return cards.orderBy(F.collate("repo", "UNICODE"), F.collate("name", "UNICODE"), "entity_type", "entity_id")
 
 
-def find_entities(model: Model, docs: DataFrame, name: str, wanted: str | None = None, relationship: str | None = None, repo: str | None = None) -> DataFrame:
+def find_entities(model: Model, docs: DataFrame, name: str, wanted: str | None = None, relationship: str | None = None, repo: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Cards of a name: exact ones, or if there are none, those of a ranked search; sorted for reading."""
     from quarry.operators.search import fallback_cards
 
@@ -133,5 +133,5 @@ def find_entities(model: Model, docs: DataFrame, name: str, wanted: str | None =
     else:
         cards = exact_entities(model, model.spark.createDataFrame([(name,)], "query string"), wanted, repo).drop("query")
         if cards.isEmpty():
-            cards = fallback_cards(model, docs, name, wanted, repo)
+            cards = fallback_cards(model, docs, name, wanted, repo, index)
     return in_reading_order(with_relationships(model, cards, relationship))

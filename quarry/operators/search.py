@@ -111,6 +111,10 @@ def scored(index: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
     near = F.col("term").isin([t for _, _, t, _ in query.terms()])
     for t in ends:
         near = near | F.col("term").startswith(t)
+    heads = F.col("p2").isin(sorted({t[:2] for _, _, t, _ in query.terms()}))
+    for t in ends:
+        heads = heads | F.col("p2").startswith(t[:2])
+    near = near & heads
     key = ["entity_type", "sub_type", "entity_id"]
     hits = index.filter(near).join(F.broadcast(wanted), hit).groupBy("g", "k", *key, "dl").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
@@ -190,9 +194,9 @@ def search_text(model: Model, docs: DataFrame, raw: str, limit: int = 20, repo:
     return rows.select("entity_type", "sub_type", "entity_id", "name", "repo", "file_path", F.coalesce("description", "name").alias("snippet"), "score", next_action(F.col("entity_type")).alias("next_action"))
 
 
-def fallback_cards(model: Model, docs: DataFrame, name: str, wanted: str | None = None, repo: str | None = None) -> DataFrame:
+def fallback_cards(model: Model, docs: DataFrame, name: str, wanted: str | None = None, repo: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Cards of a ranked search for a name, as a lookup falls back to; at most 20 hits, the repository filtered after."""
-    hits = ranked(docs, name, 20, wanted)
+    hits = ranked(docs, name, 20, wanted, index)
     rows = hits.select("entity_type", "entity_id").distinct().join(entity_cards(model), ["entity_type", "entity_id"])
     return (rows if repo is None else rows.filter(F.col("repo") == repo)).select(*CARD)
 

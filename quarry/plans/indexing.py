@@ -98,6 +98,7 @@ def index_all(store: Store, root: str, names: list[str] | None = None, force: bo
         store.persist_changed(pick(of("surgical")), changes, of("surgical"))
     results += [{"repo": w["name"], "status": "success", "mode": mode[ids[w["name"]]]} for w in work]
     enrich(store, root)
+    store.write_index()
     return results
 
 

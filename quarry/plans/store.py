@@ -75,7 +75,7 @@ class Store:
             found = self.spark.read.parquet(self._at("_meta")).first()["schema_version"]
             if found == SCHEMA_VERSION:
                 return
-            for name in OWNED:
+            for name in (*OWNED, "fts_docs", "fts_postings"):
                 self._delete(name)
         self.spark.createDataFrame([(SCHEMA_VERSION,)], "schema_version int").write.mode("overwrite").parquet(self._at("_meta"))
 
@@ -119,6 +119,26 @@ class Store:
         rows.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    # -- full-text index
+
+    def write_index(self) -> None:
+        """Rebuilds the stored index of everything but facts: documents, and postings partitioned by two leading characters."""
+        texts = search.index_texts(self.model()).filter("entity_type <> 'learned_fact'")
+        search.fts_docs(texts).write.mode("overwrite").parquet(self._at("fts_docs"))
+        docs = self.spark.read.parquet(self._at("fts_docs"))
+        search.postings(docs).repartition("p2").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(self._at("fts_postings"))
+
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """(documents, postings): the stored ones, with facts as they are now; all made anew where nothing is stored."""
+        facts = search.fts_docs(search.index_texts(self.model()).filter("entity_type = 'learned_fact'"))
+        if not self._exists("fts_postings/_SUCCESS"):
+            docs = search_index(self.model())
+            return docs, search.postings(docs)
+        extra = search.postings(facts)
+        schema = StructType([f for f in extra.schema.fields if f.name != "p2"]).add("p2", "string")
+        stored = self.spark.read.schema(schema).parquet(self._at("fts_postings")).select(*extra.columns)
+        return self.spark.read.schema(facts.schema).parquet(self._at("fts_docs")).unionByName(facts), stored.unionByName(extra)
+
     # -- facts
 
     def learn(self, content: str, repo: str | None = None) -> int:

@@ -159,6 +159,18 @@ def kb(spark, tmp_path_factory):
     return Knowledge(s)
 
 
+def test_stored_index_answers_like_a_fresh_one(kb):
+    ask = ("booking cancellation", "gateway zzz", "paymen zzz", "payments-service", "Stripe")
+    fresh = [kb.search(q) for q in ask]
+    kb.store.write_index()
+    kb.reload()
+    assert [kb.search(q) for q in ask] == fresh and any(fresh)
+    fact = kb.learn("zanzibar is far")["id"]
+    assert [r["entity_id"] for r in kb.search("zanzibar")] == [fact]
+    kb.forget(fact)
+    assert kb.search("zanzibar") == []
+
+
 def test_tools(kb):
     import json
 
