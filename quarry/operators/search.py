@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import like, tokens
 from quarry.operators.entities import CARD, entity_cards
 from quarry.schema import COARSE_TYPES, Model
+from quarry.session import cut
 
 K1, B, LEAST_IDF, ENOUGH = 1.2, 0.75, 1e-6, 3
 #: What to ask next about a hit of each type.
@@ -97,6 +98,16 @@ def type_filter(wanted: str | None) -> Column:
     return F.col("entity_type") == wanted if wanted in COARSE_TYPES else like(F.col("sub_type"), F.lit(wanted))
 
 
+def _near(query: Query) -> Column:
+    """Postings that the query's terms can hit, as literals that prune partitions and row groups before any join."""
+    ends = [t for _, _, t, p in query.terms() if p]
+    near = F.col("term").isin(sorted({t for _, _, t, _ in query.terms()}))
+    heads = F.col("p2").isin(sorted({t[:2] for _, _, t, _ in query.terms()}))
+    for t in ends:
+        near, heads = near | F.col("term").startswith(t), heads | F.col("p2").startswith(t[:2])
+    return near & heads
+
+
 def scored(index: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
     """(entity_type, sub_type, entity_id, score) of the documents that satisfy the query; not yet filtered or cut.
 
@@ -106,17 +117,8 @@ def scored(index: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
     spark = index.sparkSession
     wanted = spark.createDataFrame(query.terms(), "g int, k int, q string, open boolean")
     hit = (F.col("term") == F.col("q")) | (F.col("open") & F.startswith("term", "q"))
-    # the query's terms go to the scan as literals, so partitions and row groups are pruned before the join
-    ends = [t for _, _, t, p in query.terms() if p]
-    near = F.col("term").isin([t for _, _, t, _ in query.terms()])
-    for t in ends:
-        near = near | F.col("term").startswith(t)
-    heads = F.col("p2").isin(sorted({t[:2] for _, _, t, _ in query.terms()}))
-    for t in ends:
-        heads = heads | F.col("p2").startswith(t[:2])
-    near = near & heads
     key = ["entity_type", "sub_type", "entity_id"]
-    hits = index.filter(near).join(F.broadcast(wanted), hit).groupBy("g", "k", *key, "dl").agg(F.sum("tf").alias("tf"))
+    hits = index.filter(_near(query)).join(F.broadcast(wanted), hit).groupBy("g", "k", *key, "dl").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
     rows = hits.join(F.broadcast(df), ["g", "k"]).crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -156,8 +158,9 @@ def relaxed(docs: DataFrame, raw: str, limit: int = 20, wanted: str | None = Non
     if len(groups) < 2:
         return ranked(docs, raw, limit, wanted, index)
     index = postings(docs) if index is None else index
-    stats = index_stats(docs)
     steps = [Query(groups, True), Query(groups, False), Query(groups, False, True)]
+    # what any step can hit is read once: the last step's postings hold the others'
+    index, stats = cut(index.filter(_near(steps[-1]))), cut(index_stats(docs))
     found = [top(scored(index, stats, q).filter(type_filter(wanted)), limit).withColumn("step", F.lit(k)) for k, q in enumerate(steps)]
     rows = reduce(DataFrame.unionByName, found)
     enough = rows.groupBy("step").count().filter(F.col("count") >= ENOUGH).agg(F.coalesce(F.min("step"), F.lit(len(steps) - 1)).alias("chosen"))
