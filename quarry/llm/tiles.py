@@ -9,7 +9,9 @@ product of the first ``STEP`` coordinates is accumulated for all pairs, then of
 the next; what is still to come is at most the product of the two suffix norms
 (Cauchy-Schwarz), and a pair is dropped as soon as sum plus bound cannot reach
 the threshold. The survivors' cosine is taken from the given vectors in double
-precision. The rotation only steers the pruning: any orthonormal basis gives
+precision. A pair of tiles states how many others each class is linked with and
+which classes its links join, not the links themselves, so a group of n vectors
+that are all alike makes rows in proportion to n. The rotation only steers the pruning: any orthonormal basis gives
 the same links, so it is fitted on at most ``SAMPLE`` vectors.
 
 Defined cases: vectors that are null, of length zero, empty, or that hold null
@@ -74,15 +76,33 @@ def tails(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.concatenate([squares[:, ::STEP], np.zeros((len(x), 1))], axis=1))
 
 
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least of the n nodes that each node reaches by links (i, j)."""
+    least = np.arange(n)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, i, least[j])
+        np.minimum.at(new, j, least[i])
+        new = np.minimum(new, new[new])
+        if (new == least).all():
+            return least
+        least = new
+
+
 def _compared(cells: DataFrame, basis: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Links (a, b) of class numbers, of rows (cell, side, class_id, embedding) sorted by cell."""
+    """What cells say of their classes, from rows (cell, side, class_id, copies, embedding) sorted by cell.
+
+    Rows (joins, a, b): without ``joins``, class a is linked with b other vectors in the cell;
+    with it, a and b are in one component. Both are at most one row per class and cell,
+    however many links there are.
+    """
 
     def links(cell: pd.DataFrame) -> pd.DataFrame:
         first, second = cell[cell.side == 0], cell[cell.side == 1]
         upper = not len(second)
         second = first if upper else second
         if not len(first):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return pd.DataFrame({"joins": np.zeros(0, bool), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         x, y = (np.stack(side.embedding.to_numpy()).astype(np.float64) for side in (first, second))
         norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         axes = basis.get(x.shape[1], np.eye(x.shape[1]))
@@ -91,7 +111,15 @@ def _compared(cells: DataFrame, basis: dict[int, np.ndarray], threshold: float)
         i, j = near_pairs(u, v, tails(u), tails(v), threshold, upper)
         cosine = np.einsum("ij,ij->i", x[i], y[j]) / (norm_x[i] * norm_y[j])
         i, j = i[cosine >= threshold], j[cosine >= threshold]
-        return pd.DataFrame({"a": first.class_id.to_numpy()[i], "b": second.class_id.to_numpy()[j]})
+        ids = first.class_id.to_numpy() if upper else np.concatenate([first.class_id, second.class_id])
+        copies = first.copies.to_numpy() if upper else np.concatenate([first.copies, second.copies])
+        j = j if upper else j + len(first)
+        degree = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        linked_ = np.flatnonzero(degree)
+        least = forest(i, j, len(ids))
+        inner = np.flatnonzero(least != np.arange(len(ids)))
+        joins = np.repeat([False, True], [len(linked_), len(inner)])
+        return pd.DataFrame({"joins": joins, "a": np.concatenate([ids[linked_], ids[inner]]), "b": np.concatenate([degree[linked_].astype(np.int64), ids[least[inner]]])})
 
     def run(batches):
         rest: list[pd.DataFrame] = []
@@ -106,7 +134,7 @@ def _compared(cells: DataFrame, basis: dict[int, np.ndarray], threshold: float)
         if rest:
             yield links(pd.concat(rest))
 
-    return cells.mapInPandas(releasing(run), "a long, b long")
+    return cells.mapInPandas(releasing(run), "joins boolean, a long, b long")
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
@@ -143,14 +171,12 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, s
     other = mine.withColumn("part_2", F.explode(F.sequence(F.lit(0), F.col("parts_2") - 1)))
     one, two = F.struct("strip", "part"), F.struct(F.col("strip_2").alias("strip"), F.col("part_2").alias("part"))
     cells = other.select(
-        F.xxhash64("label", "d", F.least(one, two), F.greatest(one, two)).alias("cell"), (one > two).cast("int").alias("side"), "class_id", "embedding"
+        F.xxhash64("label", "d", F.least(one, two), F.greatest(one, two)).alias("cell"), (one > two).cast("int").alias("side"), "class_id", "copies", "embedding"
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = written(_compared(cells.repartition(n, "cell").sortWithinPartitions("cell"), basis, threshold), "tiles-links")
-    found = components(links)
-    size = placed.select("class_id", "copies").groupBy("class_id").agg(F.max("copies").alias("copies"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = both.join(size.withColumnRenamed("class_id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    said = written(_compared(cells.repartition(n, "cell").sortWithinPartitions("cell"), basis, threshold), "tiles-links")
+    found = components(said.filter("joins").select("a", "b"))
+    degree = said.filter("not joins").groupBy("a").agg(F.sum("b").alias("others"))
     stated = (
         classes.join(degree.withColumnRenamed("a", "class_id"), "class_id", "left")
         .join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
