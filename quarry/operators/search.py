@@ -144,7 +144,9 @@ def ranked(docs: DataFrame, raw: str, limit: int = 20, wanted: str | None = None
     index = postings(docs) if index is None else index
     if not groups:
         return index.limit(0).select("entity_type", "sub_type", "entity_id", F.lit(0.0).alias("score"))
-    return top(scored(index, index_stats(docs), Query(groups, True)).filter(type_filter(wanted)), limit)
+    query = Query(groups, True)
+    # the few postings that the terms hit are read once, for their counts and for the scores
+    return top(scored(cut(index.filter(_near(query))), index_stats(docs), query).filter(type_filter(wanted)), limit)
 
 
 def relaxed(docs: DataFrame, raw: str, limit: int = 20, wanted: str | None = None, index: DataFrame | None = None) -> DataFrame:
