@@ -107,6 +107,13 @@ def bfs_downstream(spark, sf_dir):
     return graph.downstream(_all_seeds(model), edges, 4)
 
 
+@query()
+def bfs_downstream_all(spark, sf_dir):
+    """Everything that a service leads to, at any depth; bfs_downstream stops at its SQL's depth of 4."""
+    model, edges = _setup(spark, sf_dir)
+    return graph.downstream(_all_seeds(model), edges)
+
+
 @query(_with("SELECT seed, node, depth::INT AS depth FROM r", _reach("r", "SELECT id FROM repos", "dst_id", "src_id", 3)))
 def bfs_upstream(spark, sf_dir):
     model, edges = _setup(spark, sf_dir)

@@ -45,6 +45,25 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted((tuple(plain(row[k]) for k in at) for row in result.fetchall()), key=repr)
 
 
+def brute_reach(steps, seed):
+    """Least depths from a seed, without it, by plain breadth-first search."""
+    depth, level = {seed: 0}, [seed]
+    while level:
+        level = [y for x in level for y in steps.get(x, ()) if y not in depth and not depth.update({y: depth[x] + 1})]
+    return {(seed, node, d) for node, d in depth.items() if d}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_unlimited_downstream_equals_brute_force(spark):
+    sf, steps = "/root/testdata/sf0.01", {}
+    for r in registry.QUERIES["graph_union"](spark, sf).filter("dst_id <> 0").select("src_id", "dst_id").distinct().collect():
+        steps.setdefault(r.src_id, []).append(r.dst_id)
+    got = {tuple(r) for r in registry.QUERIES["bfs_downstream_all"](spark, sf).select("seed", "node", "depth").collect()}
+    seeds = [r.s_suppkey + 1 for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()]
+    assert got == {row for s in seeds for row in brute_reach(steps, s)}
+    assert max(d for _, _, d in got) > 4
+
+
 def test_every_sql_has_a_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 90
     assert set(registry.QUERIES) <= set(entry_module.queries())
