@@ -2,10 +2,19 @@
 
 It lets every query run over tables of any size. Ids are numbers of natural
 keys, so building it needs no sort and no counter.
+
+``STAR_SQL`` maps a part of the calls, events and files, and ``star_model`` the
+same part, so that both can be compared. Inside ``whole_tables`` it maps all rows:
+a call is direct up to a discount of 0.05 and unresolved otherwise, which agrees
+with the part, and no filter drops calls, events of the four kinds or files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +22,18 @@ from quarry.schema import TABLES, Model
 
 TOPIC_BASE, EVENT_BASE = 2_000_000_000_000_000_000, 3_000_000_000_000_000_000
 
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole_tables() -> Iterator[None]:
+    """Models built inside map all rows of their tables."""
+    token = _WHOLE.set(True)
+    try:
+        yield
+    finally:
+        _WHOLE.reset(token)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,14 +58,21 @@ def _line_key() -> F.Column:
 
 
 def edges(spark: SparkSession, sf_dir: str, services: int) -> DataFrame:
-    line = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
+    whole, discount = _WHOLE.get(), F.round("l_discount", 2)
+    line = _table(spark, sf_dir, "lineitem")
+    if not whole:
+        line = line.filter("l_quantity >= 49")
+    is_direct, is_open = (F.coalesce(discount <= 0.05, F.lit(False)), ~F.coalesce(discount <= 0.05, F.lit(False))) if whole else (discount == 0.0, discount == 0.1)
     kind = F.when(F.col("l_returnflag") == "A", "calls_grpc").when(F.col("l_returnflag") == "N", "calls_http").otherwise("routes_to")
     conf = F.when(F.col("l_linestatus") == "F", "high").otherwise("low")
     base = [_line_key().alias("id"), F.lit("repo").alias("source_type"), (F.col("l_suppkey") + 1).alias("source_id"), kind.alias("relationship_type"), F.concat(F.lit("lib/order_"), "l_orderkey", F.lit(".ex")).alias("source_file")]
-    direct = line.filter(F.round("l_discount", 2) == 0.0).select(*base, F.lit("repo").alias("target_type"), (F.col("l_partkey") % services + 1).alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('"}')).alias("metadata"))
+    direct = line.filter(is_direct).select(*base, F.lit("repo").alias("target_type"), (F.col("l_partkey") % services + 1).alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('"}')).alias("metadata"))
     name = F.concat(F.lit("part-"), "l_partkey")
-    open_ = line.filter(F.round("l_discount", 2) == 0.1).select(*base, F.lit("service_name").alias("target_type"), F.lit(0).cast("long").alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('","unresolved":"true","targetName":"'), name, F.lit('"}')).alias("metadata"))
-    ev = _table(spark, sf_dir, "events").filter("value > 150").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("source_id", F.col("user_id") % services + 1)
+    open_ = line.filter(is_open).select(*base, F.lit("service_name").alias("target_type"), F.lit(0).cast("long").alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('","unresolved":"true","targetName":"'), name, F.lit('"}')).alias("metadata"))
+    ev = _table(spark, sf_dir, "events")
+    if not whole:
+        ev = ev.filter("value > 150")
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("source_id", F.col("user_id") % services + 1)
     role = F.when(F.col("event_type") == "purchase", "producer").otherwise("consumer")
     topic = F.concat(F.lit("topic-"), "k")
     topics = ev.filter("event_type in ('purchase', 'signup')").select(
@@ -62,7 +90,8 @@ def edges(spark: SparkSession, sf_dir: str, services: int) -> DataFrame:
 def star_model(spark: SparkSession, sf_dir: str) -> Model:
     part, customer = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "customer")
     services = _table(spark, sf_dir, "supplier").count()
-    file_id = F.when(F.col("p_size") <= 25, F.col("p_partkey") + 1)
+    is_file = F.lit(True) if _WHOLE.get() else F.col("p_size") <= 25
+    file_id = F.when(is_file, F.col("p_partkey") + 1)
     owner = F.col("p_partkey") % services + 1
     kinds = F.element_at(F.array(F.lit("ecto_schema"), F.lit("proto_message"), F.lit("graphql_type")), (F.col("p_partkey") % 3 + 1).cast("int"))
     sub = F.element_at(F.array(*[F.lit(t) for t in ("schema", "context", "query", "graphql_type")]), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -70,7 +99,7 @@ def star_model(spark: SparkSession, sf_dir: str) -> Model:
     talk = _table(spark, sf_dir, "conversations")
     return Model(
         repos=repos(spark, sf_dir),
-        files=_shaped(part.filter("p_size <= 25").select((F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/"), "p_partkey", F.lit(".ex")).alias("path"), F.lit("elixir").alias("language")), "files"),
+        files=_shaped(part.filter(is_file).select((F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/"), "p_partkey", F.lit(".ex")).alias("path"), F.lit("elixir").alias("language")), "files"),
         modules=_shaped(
             part.select(
                 (F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), file_id.alias("file_id"), F.concat("p_brand", F.lit("."), F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).alias("name"), sub.alias("type"), F.concat("p_name", F.lit(" of "), "p_type").alias("summary"),

@@ -64,6 +64,22 @@ def test_unlimited_downstream_equals_brute_force(spark):
     assert max(d for _, _, d in got) > 4
 
 
+@needs_data
+def test_whole_graph_drops_no_rows(spark, duck):
+    one = lambda sql: duck.execute(sql).fetchall()
+    ((n,),) = one("SELECT count(*) FROM supplier")
+    counts = {r["name"]: r["count"] for r in registry.QUERIES["status_counts_whole"](spark, SF).collect()}
+    (want,) = one("SELECT (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events WHERE event_type <> 'error'), (SELECT count(*) FROM part)")
+    assert (counts["edges"], counts["files"]) == want
+    got = {r[0]: r[1] for r in registry.QUERIES["graph_union_whole"](spark, SF).groupBy("cls").count().collect()}
+    hops = lambda a, b: len({(p, c, k) for p, k in sides[a] for c, k2 in sides[b] if k == k2 and p != c})
+    sides = {}
+    for user, kind, k in one("SELECT user_id, event_type, json_extract_string(props, '$.k') FROM events"):
+        sides.setdefault(kind, set()).add((user % n + 1, k))
+    (calls,) = one("SELECT count(*) FILTER (round(l_discount, 2) <= 0.05), count(*) FILTER (round(l_discount, 2) > 0.05) FROM lineitem")
+    assert got == {0: calls[0], 1: hops("click", "view"), 2: hops("purchase", "signup"), 3: calls[1]}
+
+
 def test_every_sql_has_a_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 90
     assert set(registry.QUERIES) <= set(entry_module.queries())
