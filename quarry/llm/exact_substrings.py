@@ -28,10 +28,12 @@ and parts are sorted in pieces that hand only each string's first start on, so
 memory stays bounded for a passage that stands in a third of all documents.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` bytes
-are kept whole; a null doc_id is smaller than all others; rows that repeat a
-doc_id count as one document: a start is earlier only if it is strictly smaller
-in (doc_id, position), and ranges found in one of the rows are removed from all
-of them; an empty table gives an empty table; other columns are not read.
+are kept whole; a null doc_id is smaller than all others, and each row without
+one is a document of its own; so is each text of a repeated doc_id, while rows
+that repeat both count as one document. A start is earlier only if it is strictly
+smaller in (document, position); documents of one doc_id are in the order of
+their texts' hashes. An empty table gives an empty table; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import byte_view, releasing, small_batches, written
 from quarry.llm.shingles import _BACK, _BASE, _BYTE, _power, mix
@@ -51,7 +54,8 @@ LENGTH, GRAM, RUN, HOT = 100, 32, 256, 20_000
 #: Bytes hashed at a time, and bytes of segments sorted together.
 PIECE, SORTED = 1 << 18, 1 << 20
 INNER = 1 << 20
-NULL_ID = -(2**63)
+#: Rows of one partition that ``keyed`` can number.
+ROWS = 1 << 40
 
 
 def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,9 +199,8 @@ def fetched(contested: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 data = memoryview(data.as_buffer())
                 bucket, pos, n = (parts.values.field(k).to_pylist() for k in range(3))
                 for b, p, m in zip(bucket, pos, n):
-                    if p + m + length - 1 <= len(data):  # else a row that repeats its doc_id with another text
-                        rows.append((b, doc, p, m, bytes(data[p : p + m + length - 1])))
-                        size += m + length
+                    rows.append((b, doc, p, m, bytes(data[p : p + m + length - 1])))
+                    size += m + length
                 if size > 1 << 21:
                     yield _cut(rows)
                     rows, size = [], 0
@@ -305,9 +308,8 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bo
                 if pos.is_valid:
                     delta = np.zeros(len(data) + 1, np.int32)
                     p, m = pos.values.to_numpy(), n.values.to_numpy()
-                    ok = p + m + length - 1 <= len(data)
-                    np.add.at(delta, p[ok], 1)
-                    np.add.at(delta, p[ok] + m[ok] + length - 1, -1)
+                    np.add.at(delta, p, 1)
+                    np.add.at(delta, p + m + length - 1, -1)
                     gone = np.cumsum(delta[:-1]) > 0
                     rest = data[~gone].tobytes()
                     spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
@@ -325,16 +327,49 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bo
     rest_names = [c for c in docs.columns if c not in ("doc", "data")]
     joined = docs.join(runs, "doc", "left").select("doc", "data", "pos", "n", *rest_names)
     schema = f"doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept string' * text}"
-    from pyspark.sql.types import StructType
-
     full = StructType([*StructType.fromDDL(schema).fields, *(docs.schema[c] for c in rest_names)])
     return joined.mapInArrow(releasing(run), full)
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """(doc, data, and other columns) of rows (doc_id, data, ...): a number of each document, in their order.
+
+    Distinct ids are numbers already. Otherwise all rows are dealt by ranges of doc_id, the text's
+    hash and, without a doc_id, a tie number, then numbered within their partition and written,
+    so that every reader sees the same numbers.
+    """
+    others = [c for c in rows.columns if c not in ("doc_id", "data")]
+    plain = rows.select("doc_id", "data", *others).withColumn("doc", F.col("doc_id"))
+    odd = rows.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1))
+    if odd.isEmpty():
+        return plain.select("doc", "data", "doc_id", *others)
+    spark = rows.sparkSession
+    small_batches(spark, 20_000)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("tie")]
+    tie = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    dealt = rows.select("doc_id", "data", *others, F.sha2("data", 256).alias("hash"), tie.alias("tie")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        at, last = TaskContext.get().partitionId() * ROWS - 1, None
+        for batch in batches:
+            numbers = []
+            for key in zip(*(c.to_pylist() for c in batch.columns[-2:]), batch.column(0).to_pylist()):
+                at += key != last
+                last = key
+                numbers.append(at)
+            columns = [pa.array(numbers, pa.int64()), batch.column(1), batch.column(0), *batch.columns[2:-2]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "data", "doc_id", *others])
+
+    schema = StructType([StructField("doc", LongType()), *(rows.schema[c] for c in ("data", "doc_id", *others))])
+    return written(dealt.mapInArrow(releasing(run), schema), "suffix-keyed")
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
-    return kept_bytes(rows, length).select(F.nullif(F.col("doc"), F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = keyed(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data")))
+    return kept_bytes(rows, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -345,11 +380,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
+        F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
         F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("__no_text")).alias("row"),
     )
 
-    back = kept_bytes(rows, length, text=True)
+    back = kept_bytes(keyed(rows), length, text=True)
     text = F.when(~F.col("row.__no_text"), F.col("kept"))
     stated = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {})
     return back.select(*[stated.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

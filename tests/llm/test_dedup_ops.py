@@ -161,6 +161,23 @@ def test_suffix_dedup_of_odd_rows(spark):
     assert {(r.doc_id, r.text, r.n_chars) for r in cleaned.collect()} == {(None, long, len(long)), (1, "", 0), (2, None, None), (3, "x", 1)}
 
 
+def test_rows_without_a_doc_id_and_texts_of_a_repeated_one_are_documents_of_their_own(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    a, b, c, d, e, f = (word() for _ in range(6))
+    # a stands in two rows without an id at the same place, c + d in one of them and later in document 9
+    rows = [(None, a + b), (None, a + c), (None, d), (None, d), (7, e + a), (7, e + f), (7, e + f), (8, f), (9, c + word()), (-5, word())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted({(i is not None, i or 0, hashlib.sha256(t.encode()).hexdigest(), k if i is None else 0): t for k, (i, t) in enumerate(rows)}.items())
+    want = brute_kept([t for _, t in order])
+    by_key = {key: want[k] for k, (key, _) in enumerate(order)}
+    expected = sorted((i is not None, i or 0, *by_key[(i is not None, i or 0, hashlib.sha256(t.encode()).hexdigest(), k if i is None else 0)]) for k, (i, t) in enumerate(rows))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_substrings.deduplicated(df.repartition(3)).collect())
+    assert got == expected
+    kept = sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in exact_substrings.cleaned(df).collect())
+    assert kept == sorted(x[-1] for x in expected)
+
+
 def test_difference_cover_and_blockwise_order():
     assert {(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.V))
     rng = np.random.default_rng(0)
