@@ -118,11 +118,12 @@ def subgraph_edges(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, mechani
     return nodes.join(edges, F.col("node") == F.col("src_id")).join(inside, ["seed", "dst_id"])
 
 
-def search_trees(sources: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def search_trees(sources: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(from_id, node, step, parent, back, mechanism, via, confidence): how a search from each source first meets every node.
 
     Edges are walked both ways; back is 1 where one is walked against its direction. A node is
     met first by the earlier found parent, then forward before backward, then by the edge order.
+    ``max_depth`` None goes on until nothing new is found.
     """
     order = F.struct("cls", "e1", "e2")
     out = edges.filter(F.col("dst_id") != UNRESOLVED)
@@ -133,8 +134,9 @@ def search_trees(sources: DataFrame, edges: DataFrame, max_depth: int = 64) -> D
     walks = cut(best.select("node", "next", "w.*"))
     none = {"parent": "long", "back": "int", "mechanism": "string", "via": "string", "confidence": "string"}
     seen = sources.select("from_id", F.col("from_id").alias("node"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("rank"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         found = frontier.select("from_id", F.col("node").alias("parent"), "rank").join(walks.withColumnRenamed("node", "parent"), "parent")
         new = found.join(seen.select("from_id", F.col("node").alias("next")), ["from_id", "next"], "left_anti")
         first = new.groupBy("from_id", F.col("next").alias("node")).agg(F.min(F.struct(F.struct("rank", "back", "ord").alias("by"), "parent", "back", *keep)).alias("b"))
@@ -146,7 +148,7 @@ def search_trees(sources: DataFrame, edges: DataFrame, max_depth: int = 64) -> D
     return seen
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(from_id, to_id, step, src_id, dst_id, mechanism, via, confidence): the hops of one shortest path of each pair.
 
     One search per distinct source serves all its targets; paths are then walked back, all pairs

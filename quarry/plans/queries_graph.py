@@ -190,7 +190,7 @@ def _trace_pairs(model) -> DataFrame:
 @query(_with("SELECT from_id, to_id, hops::BIGINT AS hops FROM dist WHERE hops > 0", _UNDIRECTED))
 def shortest_path_len(spark, sf_dir):
     model, edges = _setup(spark, sf_dir)
-    trees = graph.search_trees(model.repos.select(F.col("id").alias("from_id")), edges, 16)
+    trees = graph.search_trees(model.repos.select(F.col("id").alias("from_id")), edges)
     return trees.filter("step > 0").select("from_id", F.col("node").alias("to_id"), F.col("step").cast("long").alias("hops"))
 
 
@@ -198,7 +198,7 @@ def shortest_path_len(spark, sf_dir):
 def shortest_path_hop_counts(spark, sf_dir):
     """The same from the hops themselves: each path has as many hops as its ends are apart."""
     model, edges = _setup(spark, sf_dir)
-    return graph.shortest_paths(_trace_pairs(model), edges, 16).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("hops"))
+    return graph.shortest_paths(_trace_pairs(model), edges).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("hops"))
 
 
 @query()

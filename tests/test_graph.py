@@ -84,6 +84,14 @@ def test_trace(spark, chain):
     assert got[(24, 2)][0] == 2
 
 
+def test_trace_has_no_limit(spark):
+    n = 70
+    m = model_of(spark, repos=[repo(i, f"r{i}") for i in range(1, n + 1)], edges=[edge(i, i, i + 1, "calls_grpc") for i in range(1, n)])
+    pairs = spark.createDataFrame([(1, n)], "from_id long, to_id long")
+    trees = graph.search_trees(pairs.select("from_id"), graph.graph_edges(m))
+    assert {(r.node, r.step) for r in trees.collect()} == {(i, i - 1) for i in range(1, n + 1)}
+
+
 def test_trace_shows_via_of_events_only(spark):
     m = model_of(spark, repos=repos(3), events=[{"id": 5, "repo_id": 1, "name": "Made"}], edges=[edge(1, 1, 5, "produces_event", target_type="event"), edge(2, 2, 5, "consumes_event", target_type="event"), edge(3, 2, 3, "calls_grpc")])
     pairs = spark.createDataFrame([(1, 3)], "from_id long, to_id long")
