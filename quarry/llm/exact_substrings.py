@@ -11,9 +11,10 @@ dealt to suffix buckets, and one bucket is sorted at a time:
    its ``length`` bytes. Equal strings have equal buckets. Consecutive starts of
    one bucket form a segment, about ``(length - GRAM) / 2`` starts long, so a
    segment is one small row without text.
-2. Rows meet by bucket, sorted by content key, doc_id and position. Of segments
-   with equal content all but the first are removed whole, a collapse of long
-   ties that needs no text. What remains are buckets of two or more different
+2. Rows meet by bucket, sorted by content, doc_id and position. Of segments with
+   equal content, by 95 bits of two independent hashes, all but the first are
+   removed whole, a collapse of long ties that needs no text; a task drops those
+   that it sees itself before the shuffle. What remains are buckets of two or more different
    contents, mostly the edges of repeated passages, and segments of periodic
    text, which may repeat a string within themselves.
 3. The bytes of these segments are fetched, each bucket's are laid end to end,
@@ -24,8 +25,9 @@ dealt to suffix buckets, and one bucket is sorted at a time:
 
 Step 2 streams, whatever a bucket's size is. In step 3 a bucket of more than
 ``HOT`` segments is dealt anew, start by start, by a hash of the string itself,
-and parts are sorted in pieces that hand only each string's first start on, so
-memory stays bounded for a passage that stands in a third of all documents.
+and a bucket or part is sorted in pieces that hand only each string's first start
+on, so memory holds the distinct strings of one bucket or part, of at most ``HOT``
+segments, even of a passage that stands in a third of all documents.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` bytes
 are kept whole; a null doc_id is smaller than all others, and each row without
@@ -44,24 +46,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from quarry.llm.common import byte_view, releasing, small_batches, written
+from quarry.llm.common import byte_view, numbered, releasing, sliced, written
 from quarry.llm.shingles import _BACK, _BASE, _BYTE, _power, mix
 from quarry.llm.suffixes import repeats
 
 LENGTH, GRAM, RUN, HOT = 100, 32, 256, 20_000
 #: Bytes hashed at a time, and bytes of segments sorted together.
 PIECE, SORTED = 1 << 18, 1 << 20
-INNER = 1 << 20
-#: Rows of one partition that ``keyed`` can number.
-ROWS = 1 << 40
+#: Marks of a segment's length; STEP is above both, and packs a position and a length into one number.
+INNER, STEP = 1 << 20, 1 << 22
+#: Rows that a task combines before they are shuffled, and the mark of those that need not meet others.
+HELD, LOCAL = 1_000_000, -1
 
 
-def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, content, position, starts) of the segments of one text of at least ``length`` bytes.
+def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, content, check, position, starts) of the segments of one text of at least ``length`` bytes.
 
-    INNER is added to the starts of a segment that holds its bucket's gram twice: only such a
+    ``content`` and ``check`` are two independent hashes of a segment's bytes, one modulo 2 ** 64, one
+    modulo a prime, so that no regular text makes both collide. INNER is added to the starts of a segment that holds its bucket's gram twice: only such a
     segment can repeat a string within itself.
     """
     n, w = len(data), length - gram + 1
@@ -87,7 +91,30 @@ def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     first, last = np.searchsorted(picked, start), np.searchsorted(picked, start + size + w - 1) - 1
     inner = twice[np.maximum(last, first)] > twice[first]
     content = mix((total[start + size - 1 + length] - total[start]) * back[start] + size.astype(np.uint64))
-    return least[start].view(np.int64), content.view(np.int64), start, size + INNER * inner
+    # the same bytes as a polynomial modulo a prime, brought to exponent zero by the inverse power
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_PRIME_BYTE[data] * _prime_power(_PRIME_BASE, n)[:n] % _PRIME)])
+    span = (sums[start + size - 1 + length] - sums[start]) % _PRIME
+    check = span * _prime_power(_PRIME_BACK, n)[start] % _PRIME
+    return least[start].view(np.int64), content.view(np.int64), check.view(np.int64), start, size + INNER * inner
+
+
+_PRIME = np.uint64((1 << 31) - 1)
+_prime_rng = np.random.default_rng(20250611)
+_PRIME_BYTE = _prime_rng.integers(1, int(_PRIME), 256, dtype=np.uint64)
+_PRIME_BASE = int(_prime_rng.integers(1 << 20, int(_PRIME)))
+_PRIME_BACK = pow(_PRIME_BASE, -1, int(_PRIME))
+_prime_powers: dict[int, np.ndarray] = {}
+
+
+def _prime_power(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n modulo the prime, by doubling; kept, as no text is hashed in greater pieces."""
+    kept = _prime_powers.get(base)
+    if kept is None or len(kept) <= n:
+        kept = np.ones(1, np.uint64)
+        while len(kept) <= n:
+            kept = np.concatenate([kept, kept * np.uint64(pow(base, len(kept), int(_PRIME))) % _PRIME])
+        _prime_powers[base] = kept
+    return kept
 
 
 def _sliding_max(least: np.ndarray, w: int, m: int) -> np.ndarray:
@@ -105,63 +132,84 @@ _BYTE_CASED[65:91] = mix(_BYTE[97:123])
 
 
 def all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(bucket, content, doc, pos, n) of all documents (doc, data)."""
+    """(bucket, content, check, doc, at) of all documents (doc, data); ``at`` is the position times STEP plus the starts.
+
+    Of rows that a task holds with equal bucket and content only the first goes to its bucket. The
+    others are repeats for certain, whatever other tasks hold; they are dealt evenly, marked by
+    ``check`` LOCAL, so a passage that stands in a third of all documents fills no bucket.
+    """
 
     def run(batches):
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        held = 0
         for batch in batches:
             docs_, (data, offsets) = batch.column(0).to_numpy(), byte_view(batch.column(1))
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            held = 0
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 # a long text is hashed piece by piece; each start is in one piece
                 for at in range(a, b - length + 1, PIECE):
-                    bucket, content, pos, n = segments(data[at : min(b, at + PIECE + length - 1)], length, gram)
-                    for col, new in zip(out, (bucket, content, np.full(len(pos), docs_[k]), pos + (at - a), n)):
+                    bucket, content, check, pos, n = segments(data[at : min(b, at + PIECE + length - 1)], length, gram)
+                    for col, new in zip(out, (bucket, content, check, np.full(len(pos), docs_[k]), (pos + (at - a)) * STEP + n)):
                         col.append(new)
                     held += len(pos)
-                    if held > 100_000:
-                        yield _rows(out)
+                    if held > HELD:
+                        yield _combined(out)
                         out, held = [[], [], [], [], []], 0
-            if held:
-                yield _rows(out)
+        if held:
+            yield _combined(out)
 
-    return docs.mapInArrow(releasing(run), "bucket long, content long, doc long, pos long, n long")
+    return docs.mapInArrow(releasing(run), "bucket long, content long, check long, doc long, at long")
 
 
-def _rows(columns: list[list[np.ndarray]], names=("bucket", "content", "doc", "pos", "n")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in columns], names=list(names))
+def _combined(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    bucket, content, check, doc, at = (np.concatenate(c).astype(np.int64, copy=False) for c in columns)
+    key = mix(bucket.view(np.uint64) + mix(content.view(np.uint64)))
+    order = np.lexsort((at, doc, key))
+    bucket, content, check, doc, at = (c[order] for c in (bucket, content, check, doc, at))
+    again = np.concatenate([[False], (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1]) & (check[1:] == check[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))])
+    # a row that is one document's for the second time is no repeat of itself
+    own = np.concatenate([[False], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])
+    again &= ~own
+    spread = mix(key[order] + doc.view(np.uint64) + mix(at.view(np.uint64))).view(np.int64)
+    bucket, check = np.where(again, spread, bucket), np.where(again, LOCAL, check)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, content, check, doc, at)], names=["bucket", "content", "check", "doc", "at"])
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
-    """Of rows sorted by bucket, content, doc, pos: the repeats of equal content, and the firsts of contested buckets.
+    """Of rows sorted by bucket, content, check, doc, at: the repeats of equal content, and the firsts of contested buckets.
 
     Returns (contested, bucket, doc, pos, n). The state that passes from batch to batch is one row.
     """
 
     def run(batches):
-        last = None  # bucket, content and the first (doc, pos) of the last row
+        last = None  # bucket, content, check and the first (doc, at) of the last row
         waiting, contested = None, False  # the only first of the last bucket so far
         for batch in batches:
-            if not batch.num_rows:
+            columns = [batch.column(k).to_numpy() for k in range(5)]
+            local = columns[2] == LOCAL
+            if local.any():
+                yield _found(False, *(columns[k][local] for k in (0, 3, 4)))
+                columns = [c[~local] for c in columns]
+            bucket, content, check, doc, at = columns
+            if not len(bucket):
                 continue
-            bucket, content, doc, pos, n = (batch.column(k).to_numpy() for k in range(5))
             k = np.arange(len(bucket))
             new_b = np.concatenate([[last is None or bucket[0] != last[0]], bucket[1:] != bucket[:-1]])
-            new_c = new_b | np.concatenate([[last is None or content[0] != last[1]], content[1:] != content[:-1]])
+            other = np.concatenate([[last is None or content[0] != last[1] or check[0] != last[2]], (content[1:] != content[:-1]) | (check[1:] != check[:-1])])
+            new_c = new_b | other
             first = np.maximum.accumulate(np.where(new_c, k, -1))
-            first_doc, first_pos = doc[first], pos[first]
+            first_doc, first_at = doc[first], at[first]
             old = first < 0
             if old.any():
-                first_doc[old], first_pos[old] = last[2], last[3]
-            repeat = ~new_c & ((doc != first_doc) | (pos != first_pos))
+                first_doc[old], first_at[old] = last[3], last[4]
+            repeat = ~new_c & ((doc != first_doc) | (at != first_at))
             if repeat.any():
-                yield _found(False, bucket[repeat], doc[repeat], pos[repeat], n[repeat])
+                yield _found(False, bucket[repeat], doc[repeat], at[repeat])
             # firsts of buckets: the bucket that goes on from the batch before comes first
             f = np.flatnonzero(new_c)
             goes_on = not new_b[0]
             owner = np.cumsum(new_b)[f]  # 0: the bucket that goes on
             per = np.bincount(owner, minlength=int(new_b.sum()) + 1)
-            many = (per > 1) | (np.bincount(owner, n[f] >= INNER, minlength=len(per)) > 0)
+            many = (per > 1) | (np.bincount(owner, at[f] % STEP >= INNER, minlength=len(per)) > 0)
             if goes_on:
                 many[0] |= contested or (waiting is not None and per[0] > 0)
                 if many[0] and not contested and waiting is not None:
@@ -172,20 +220,21 @@ def collapsed(rows: DataFrame) -> DataFrame:
             emit = many[owner]
             if emit.any():
                 e = f[emit]
-                yield _found(True, bucket[e], doc[e], pos[e], n[e])
+                yield _found(True, bucket[e], doc[e], at[e])
             if new_b.any():  # the last bucket began in this batch
                 contested = bool(many[-1])
                 e = f[owner == len(per) - 1]
-                waiting = None if contested else (bucket[e], doc[e], pos[e], n[e])
+                waiting = None if contested else (bucket[e], doc[e], at[e])
             else:
                 contested = bool(many[0])
-            last = (bucket[-1], content[-1], first_doc[-1], first_pos[-1])
+            last = (bucket[-1], content[-1], check[-1], first_doc[-1], first_at[-1])
 
     return rows.mapInArrow(releasing(run), "contested boolean, bucket long, doc long, pos long, n long")
 
 
-def _found(contested: bool, bucket, doc, pos, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), contested)), *(pa.array(np.ascontiguousarray(x)) for x in (bucket, doc, pos, n % INNER))], names=["contested", "bucket", "doc", "pos", "n"])
+def _found(contested: bool, bucket, doc, at) -> pa.RecordBatch:
+    columns = (bucket, doc, at // STEP, at % STEP % INNER)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), contested)), *(pa.array(np.ascontiguousarray(x)) for x in columns)], names=["contested", "bucket", "doc", "pos", "n"])
 
 
 def fetched(contested: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -244,17 +293,18 @@ def resolved(rows: DataFrame, length: int) -> DataFrame:
             b, doc, pos, n, data = zip(*rows)
             return work(np.array(doc), np.array(pos), np.array(n), data)
 
-        for batch in batches:
+        bound = SORTED  # of the current bucket: twice what its firsts hold, so the work stays in proportion
+        for batch in sliced(batches, 10_000, 8):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > SORTED:
-                    if row[0] != held[-1][0]:  # whole buckets only: nothing is handed on
-                        yield spans(*piece(held))
-                        held, size = [], 0
-                    elif size > 2 * SORTED:  # one bucket fills the memory: only the firsts of its strings stay
-                        d, p, gone = piece(held)
-                        yield spans(d, p, gone)
-                        held = _firsts(held, gone, length, row[0])
-                        size = sum(len(r[4]) for r in held) - (1 << 62) * (sum(len(r[4]) for r in held) > SORTED)
+                if size > SORTED and row[0] != held[-1][0]:  # whole buckets only: nothing is handed on
+                    yield spans(*piece(held))
+                    held, size, bound = [], 0, SORTED
+                elif size > 2 * bound and row[0] == held[-1][0]:  # one bucket fills the memory: the firsts of its strings stay
+                    d, p, gone = piece(held)
+                    yield spans(d, p, gone)
+                    held = _firsts(held, gone, length, row[0])
+                    size = sum(len(r[4]) for r in held)
+                    bound = max(SORTED, size)
                 held.append(row)
                 size += len(row[4])
         if held:
@@ -279,9 +329,8 @@ def _firsts(held: list[tuple], gone: np.ndarray, length: int, bucket: int) -> li
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, pos, n) of documents (doc, data): every run of n starts from pos on whose string starts earlier."""
     spark = docs.sparkSession
-    small_batches(spark, 20_000)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = all_segments(docs, length, gram).repartition(n, "bucket").sortWithinPartitions("bucket", "content", "doc", "pos")
+    met = all_segments(docs, length, gram).repartition(n, "bucket").sortWithinPartitions("bucket", "content", "check", "doc", "at")
     found = written(collapsed(met), "suffix-collapsed")
     contested = found.filter("contested")
     hot = contested.groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket", F.ceil(F.col("count") / 1000).cast("int").alias("parts"))
@@ -331,44 +380,9 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bo
     return joined.mapInArrow(releasing(run), full)
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """(doc, data, and other columns) of rows (doc_id, data, ...): a number of each document, in their order.
-
-    Distinct ids are numbers already. Otherwise all rows are dealt by ranges of doc_id, the text's
-    hash and, without a doc_id, a tie number, then numbered within their partition and written,
-    so that every reader sees the same numbers.
-    """
-    others = [c for c in rows.columns if c not in ("doc_id", "data")]
-    plain = rows.select("doc_id", "data", *others).withColumn("doc", F.col("doc_id"))
-    odd = rows.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1))
-    if odd.isEmpty():
-        return plain.select("doc", "data", "doc_id", *others)
-    spark = rows.sparkSession
-    small_batches(spark, 20_000)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("tie")]
-    tie = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    dealt = rows.select("doc_id", "data", *others, F.sha2("data", 256).alias("hash"), tie.alias("tie")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        at, last = TaskContext.get().partitionId() * ROWS - 1, None
-        for batch in batches:
-            numbers = []
-            for key in zip(*(c.to_pylist() for c in batch.columns[-2:]), batch.column(0).to_pylist()):
-                at += key != last
-                last = key
-                numbers.append(at)
-            columns = [pa.array(numbers, pa.int64()), batch.column(1), batch.column(0), *batch.columns[2:-2]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "data", "doc_id", *others])
-
-    schema = StructType([StructField("doc", LongType()), *(rows.schema[c] for c in ("data", "doc_id", *others))])
-    return written(dealt.mapInArrow(releasing(run), schema), "suffix-keyed")
-
-
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text."""
-    rows = keyed(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data")))
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data")))
     return kept_bytes(rows, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -384,7 +398,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("__no_text")).alias("row"),
     )
 
-    back = kept_bytes(keyed(rows), length, text=True)
+    back = kept_bytes(numbered(rows), length, text=True)
     text = F.when(~F.col("row.__no_text"), F.col("kept"))
     stated = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {})
     return back.select(*[stated.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
