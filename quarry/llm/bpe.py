@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import per_batch, small_batches, texts_of, tokenizer_path, tokenizer_pattern
+from quarry.llm.common import per_batch, texts_of, tokenizer_path, tokenizer_pattern
 from quarry.llm.pieces import PieceTable
 
 #: First of the 256 code points that stand for bytes inside the model.
@@ -121,7 +121,6 @@ def codec(path: str, pattern: str) -> Codec:
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens of every whole text, and whether the ids decode to the text's bytes."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
-    small_batches(docs.sparkSession, 256, 1)
 
     def run(batch: pa.RecordBatch) -> dict:
         own, texts = codec(path, pattern), texts_of(batch.column(1))
@@ -129,24 +128,22 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         return {"doc_id": batch.column(0), "ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": [own.decode(i.tolist()) == t.encode() for i, t in zip(ids, texts)]}
 
     schema = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(run, schema), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(run, schema, mb=1), schema)
 
 
 def decoded(ids: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids) to (doc_id, data): the bytes that the ids stand for."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
-    small_batches(ids.sparkSession, 256, 1)
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "data": [codec(path, pattern).decode(i or []) for i in batch.column(1).to_pylist()]}
 
-    return ids.select("doc_id", "ids").mapInArrow(per_batch(run, s := "doc_id long, data binary"), s)
+    return ids.select("doc_id", "ids").mapInArrow(per_batch(run, s := "doc_id long, data binary", mb=1), s)
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, decoded again, both hashed."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or tokenizer_pattern()
-    small_batches(docs.sparkSession, 256, 1)
 
     def run(batch: pa.RecordBatch) -> dict:
         own = codec(path, pattern)
@@ -159,4 +156,4 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": data_hash}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(run, schema), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(run, schema, mb=1), schema)
