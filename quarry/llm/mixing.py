@@ -2,27 +2,31 @@
 
 Tokens (words) are aggregated per source, targets are laid out by weight under
 a cap of ``max_rate`` times each source, and a source's repetition rate is its
-target over its size. A document is emitted floor(rate) times, plus one copy
-with probability equal to the rate's fraction.
-
-The copy is drawn by hash: documents of one source and one size class (powers
-of two) are dealt to salted strata of about ``STRATUM`` rows and ordered there
-by a hash; with one hash-seeded offset u in [0, 1) per stratum, document i gets
-the copy where floor(i * p + u) exceeds floor((i - 1) * p + u). Every document
-has probability p, and a stratum's copies differ from their expectation by less
-than one, so the words taken stay near the target even when a few long
-documents hold much of a source. The salt keeps a hot source out of one task.
-
-Only sums per source and per stratum are gathered; the table of sources goes
-through ordinary joins, so their number is not bounded by the driver.
+target over its size. A document is emitted floor(rate) times, plus one copy by
+a hash-seeded Bernoulli draw: it is taken if its number in [0, 1), which follows
+from the MD5 of the seed, the doc_id and the text, lies below a threshold.
+
+The threshold is the rate's fraction, moved to where the words taken are nearest
+to the target: the numbers of a source are counted in ``BINS`` bins by the words
+of their documents, and of the bins' edges the one counts up to which the words
+come closest to the wanted ones. With many documents it is the fraction but for
+chance; with few, a draw against the fraction itself can miss a source's target
+by a third, as single documents hold much of it.
+
+A draw depends on its own row and its source's threshold alone, so the mix needs
+one aggregation of at most ``BINS`` numbers per source and one join with the
+table of sources. That table is written first: where it is below
+``spark.sql.autoBroadcastJoinThreshold`` Spark broadcasts it and no text is ever
+shuffled; beyond it both sides are shuffled, with adaptive splitting of a hot
+source. Sources are ranked, and their running sums taken, in one sorted pass over
+the table of sources, which spills; it has one row per source.
 
 Defined cases: a null text has size 0 and takes 0 words; documents of size 0
-are emitted floor(rate) times plus the copy like any other; a source without
-words has target 0 and rate 0; a null source is a source of its own, ordered
-last; repeated rows are drawn apart (rows of
-one doc_id are ordered by size, and equal ones are interchangeable); an empty table gives an empty
-table; other columns pass through ``mixed`` untouched, also those whose names
-begin like ours.
+are emitted like any other; a source without words has target 0 and rate 0; a
+null source is a source of its own, ordered last; rows of one doc_id with
+different texts are drawn apart, rows that repeat both share their draw; a null
+doc_id is drawn by its text; an empty table gives an empty table; other columns
+pass through ``mixed`` untouched, also those whose names begin like ours.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WEIGHTS, BUDGET, MAX_RATE, STRATUM = (5, 2, 1), 1.5, 2.0, 2000
+from quarry.llm.common import written
+
+WEIGHTS, BUDGET, MAX_RATE, BINS = (5, 2, 1), 1.5, 2.0, 4096
 
 
 def words(text: Column) -> Column:
@@ -44,12 +50,7 @@ def words(text: Column) -> Column:
     return F.regexp_count(spaced, F.lit(" [^ ]")).cast("long")
 
 
-def _number(digest: Column) -> Column:
-    """The first 32 bits of a hexadecimal digest as a long."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-
-
-def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE, rounds: int = 40) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE) -> DataFrame:
     """(source, source_size) to the same with ``target``: water filled by weight under the caps.
 
     The level L solves sum(min(cap, w * L)) = min(budget * total, sum(cap)). Sources are
@@ -72,42 +73,55 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
     return levelled.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level"))).alias("target"))
 
 
-def drawn(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE, seed: str = "mix") -> DataFrame:
-    """``docs`` with a struct column ``__mix``: size, source_size, target, copies."""
-    text = F.col("text").cast("string")
-    sized = docs.withColumn("__size", words(text)).withColumn("__class", F.length(F.bin("__size")))
-    strata = sized.groupBy(F.col("source").alias("__source"), F.col("__class").alias("__of")).agg(F.count(F.lit(1)).alias("__rows"), F.sum("__size").alias("__sum"))
-    sizes = strata.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("source_size"))
-    goal = targets(sizes, weights, budget, max_rate).select(F.col("source").alias("__by"), F.col("source_size").alias("__ssize"), F.col("target").alias("__target"))
-    plan = strata.join(goal, F.col("__source").eqNullSafe(F.col("__by"))).select("__source", "__of", "__ssize", "__target", F.ceil(F.col("__rows") / STRATUM).alias("__salts"))
-    draw = F.md5(F.concat(F.lit(f"{seed} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    joined = (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__class") == F.col("__of")))
-        .withColumn("__rate", F.when(F.col("__ssize") > 0, F.col("__target") / F.col("__ssize")).otherwise(0.0))
-        .withColumn("__draw", draw)
-        .withColumn("__salt", _number(F.md5(F.concat(F.lit("salt "), F.col("__draw")).cast("binary"))) % F.col("__salts"))
-    )
-    order = W.partitionBy("__source", "__of", "__salt").orderBy("__draw", "__size")
-    stratum = F.concat_ws("|", F.lit(seed), "__source", F.col("__of").cast("string"), F.col("__salt").cast("string"))
-    u = _number(F.md5(stratum.cast("binary"))) / F.lit(float(1 << 32))
-    p, i = F.col("__rate") - F.floor("__rate"), F.row_number().over(order)
-    copies = F.floor("__rate") + F.floor(i * p + u) - F.floor((i - 1) * p + u)
-    mix = F.struct(F.col("__size").alias("size"), F.col("__ssize").alias("source_size"), F.col("__target").alias("target"), copies.cast("long").alias("copies"))
-    return joined.withColumn("__mix", mix).drop("__size", "__class", "__source", "__of", "__ssize", "__target", "__salts", "__rate", "__draw", "__salt")
+def _number(digest: Column) -> Column:
+    """The first 32 bits of a hexadecimal digest as a number in [0, 1)."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def draw(doc_id: Column, text: Column, seed: str) -> Column:
+    """The number that decides about a document's last copy."""
+    own = F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return _number(F.md5(own.cast("binary")))
+
+
+def rates(sized: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE) -> DataFrame:
+    """(source, source_size, target, base, threshold) of rows (source, size, u), as a written table."""
+    bins = sized.groupBy("source", F.floor(F.col("u") * BINS).alias("bin")).agg(F.sum("size").alias("words"))
+    counted = written(bins, "mixing-bins")
+    goal = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, max_rate)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goal = goal.withColumn("base", F.floor(rate)).withColumn("wanted", F.col("target") - F.col("base") * F.col("source_size"))
+    up_to = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
+    edges = counted.select(F.col("source").alias("by"), (F.col("bin") + 1).alias("edge"), up_to.alias("words"))
+    miss = F.struct(F.abs(F.col("words") - F.col("wanted")).alias("by"), "edge")
+    best = goal.join(edges, F.col("source").eqNullSafe(F.col("by"))).groupBy("source", "source_size", "target", "base", "wanted").agg(F.min(miss).alias("best"))
+    threshold = F.when(F.col("best.by") < F.col("wanted"), F.col("best.edge") / F.lit(float(BINS))).otherwise(0.0)
+    return written(best.select("source", "source_size", "target", "base", threshold.alias("threshold")), "mixing-rates")
+
+
+def copies(u: Column) -> Column:
+    """How often a document is taken, by its number and its source's columns ``base`` and ``threshold``."""
+    return F.col("base") + (u < F.col("threshold")).cast("long")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE, seed: str = "mix") -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
     own = ("doc_id", "text", "source")
     names = [c if c in own else f"in_{k}" for k, c in enumerate(docs.columns)]
-    out = drawn(docs.toDF(*names), **how).filter("__mix.copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))).select(*names).toDF(*docs.columns)
+    rows, text = docs.toDF(*names), F.col("text").cast("string")
+    u = draw(F.col("doc_id"), text, seed)
+    plan = rates(rows.select("source", words(text).alias("size"), u.alias("u")), weights, budget, max_rate).select(F.col("source").alias("by"), "base", "threshold")
+    each = rows.join(plan, F.col("source").eqNullSafe(F.col("by"))).withColumn("copies", copies(u)).filter("copies > 0")
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names).toDF(*docs.columns)
 
 
-def report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken of all documents; the text is read once per pass and never shuffled."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-    return drawn(rows, **how).select("doc_id", F.col("__mix.size").alias("size"), F.col("__mix.source_size").alias("source_size"), F.col("__mix.target").alias("target"), (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"))
+def report(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target, taken of all documents; texts are read once, their sizes and draws written."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = written(docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words(text).alias("size"), draw(doc_id, text, seed).alias("u")), "mixing-sizes")
+    plan = rates(rows, weights, budget, max_rate).withColumnRenamed("source", "by")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("by")))
+    return joined.select("doc_id", "size", "source_size", "target", (copies(F.col("u")) * F.col("size")).alias("taken"))
 
 
 def sql(weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE, seed: str = "mix") -> str:
@@ -115,8 +129,8 @@ def sql(weights: tuple = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_
     values = ", ".join(f"{float(w)}::DOUBLE" for w in weights)
     return f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
-classed AS (SELECT *, length(bin(size)) AS class, md5('{seed} ' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM sized),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, ([{values}])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1)::INT] AS w, source_size * {float(max_rate)}::DOUBLE AS cap FROM sources),
@@ -128,14 +142,13 @@ summed AS (
 levelled AS (
   SELECT *, (SELECT arg_min((goal - capped) / open_w, breaks) FROM summed WHERE (goal - capped) / open_w <= breaks) AS level FROM summed),
 goals AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, w * level) END AS target FROM levelled),
-strata AS (SELECT source, class, ceil(count(*) / {float(STRATUM)})::BIGINT AS salts FROM classed GROUP BY source, class),
-dealt AS (
-  SELECT c.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('salt ' || c.draw), 1, 8))::BIGINT % s.salts AS salt
-  FROM classed c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source
-  JOIN strata s ON c.source IS NOT DISTINCT FROM s.source AND c.class = s.class),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source, class, salt ORDER BY draw, size) AS i, rate - floor(rate) AS p,
-    ('0x' || substr(md5(concat_ws('|', '{seed}', source, class::VARCHAR, salt::VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM dealt)
-SELECT doc_id, size, source_size, target, ((floor(rate) + floor(i * p + u) - floor((i - 1) * p + u))::BIGINT * size)::BIGINT AS taken FROM placed"""
+binned AS (SELECT source, floor(u * {BINS})::BIGINT AS bin, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
+based AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS base FROM goals),
+wanted AS (SELECT *, target - base * source_size AS wanted FROM based),
+missed AS (
+  SELECT w.source, w.wanted, min(struct_pack(d := abs(e.words - w.wanted), edge := e.bin + 1)) AS best
+  FROM wanted w JOIN (SELECT source, bin, sum(words) OVER (PARTITION BY source ORDER BY bin) AS words FROM binned) e ON w.source IS NOT DISTINCT FROM e.source GROUP BY w.source, w.wanted),
+rated AS (
+  SELECT s.doc_id, s.size, s.u, w.source_size, w.target, w.base, CASE WHEN m.best.d < m.wanted THEN m.best.edge / {float(BINS)}::DOUBLE ELSE 0 END AS threshold
+  FROM sized s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source JOIN missed m ON s.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, size, source_size, target, ((base + (u < threshold)::INT)::BIGINT * size)::BIGINT AS taken FROM rated"""
