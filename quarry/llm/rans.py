@@ -15,9 +15,10 @@ independently and each is verified.
 Block layout, little endian: header (magic, version, ids, documents, lanes,
 steps per checkpoint, checkpoints, words, CRC of the frequency table), null
 flags and doc_ids, ids per document, then per checkpoint its stream position,
-CRC and states, then the words. The files are rows of a Parquet table in the
-shared folder (file, block, ids before it in its file, block), so any store
-that Spark writes can hold them and a lost task is simply rerun.
+CRC and states, then the words. A folder holds two Parquet tables: ``blocks``
+(file, block, ids before it in its file, ids, data) and ``table``, the
+frequencies, so it can be decoded by itself in any later session, any store that
+Spark writes can hold it, and a lost task is simply rerun.
 
 Defined cases: a null text is an empty one and has the end id alone; a null
 doc_id comes before all others; rows that repeat a doc_id follow each other and
@@ -29,20 +30,22 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import per_batch, releasing, single_threaded, small_batches, texts_of, tokenizer_path, written
+from quarry.llm.common import per_batch, releasing, scratch, shared_dir, single_threaded, sliced, texts_of, tokenizer_path, written
 from quarry.llm.pieces import PieceTable
 
 BITS, LANES, BLOCK_IDS, CHECKPOINT, END_ID = 20, 1024, 1 << 19, 256, 2
-ROWS_PER_FILE, MAX_FILES = 20_000, 20_000
+#: Bytes of ids before coding that one file holds.
+FILE_BYTES = 64 << 20
 HEADER = struct.Struct("<4sHIIIIIII")
 MAGIC, VERSION = b"rANS", 1
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
@@ -242,7 +245,6 @@ def unpack_block(block: bytes, tables: Tables, part: int | None = None) -> tuple
 
 def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
     """(doc_id, ids): little-endian ids of 2 or 4 bytes, by the size of the vocabulary."""
-    small_batches(docs.sparkSession, 256)
 
     def run(batch: pa.RecordBatch) -> dict:
         own = word_tokenizer(path)
@@ -268,24 +270,24 @@ def counts(ids: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
-def encoded(ids: DataFrame, frequency: np.ndarray, kind: str) -> DataFrame:
-    """(file, block, before, ids, data) of rows (doc_id, ids), by ranges of doc_id in ascending order."""
+def encoded(ids: DataFrame, frequency: np.ndarray, kind: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """(file, block, before, ids, data) of rows (doc_id, tie, ids), by ranges of (doc_id, tie) in ascending order.
+
+    There are as many files as the ids' bytes need, so none grows with the corpus; the tie lets a
+    range end between rows of one doc_id, or of none. A file is one range, numbered by its place.
+    """
     spark = ids.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = ids.count()
-    files = min(MAX_FILES, max(n, rows // ROWS_PER_FILE))
-    bounds = ids.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)] or [0.5], 10 * files)).first()[0] or []
-    # a range is found by halving among the bounds, which a table of file numbers per bound would not make shorter
-    bounds = np.unique(np.array(bounds, np.int64))
-
-    def placed(batch: pa.RecordBatch) -> dict:
-        ids_ = [(-1 if d is None else int(np.searchsorted(bounds, d, "left"))) for d in batch.column(0).to_pylist()]
-        return {"file": [max(0, f) for f in ids_], "doc_id": batch.column(0), "ids": batch.column(1)}
+    total = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("ids", pa.int64()), ("data", pa.binary())])
+    width = np.dtype(kind).itemsize
 
     def run(batches):
-        tables = Tables(frequency)
-        file, block, before = None, 0, 0
-        names, lengths, parts, held = [], [], [], 0
+        from pyspark import TaskContext
+
+        tables, file = Tables(frequency), TaskContext.get().partitionId()
+        block, before, held = 0, 0, 0
+        names, lengths, parts = [], [], []
 
         def flush():
             nonlocal block, before, held
@@ -295,33 +297,30 @@ def encoded(ids: DataFrame, frequency: np.ndarray, kind: str) -> DataFrame:
             names.clear(), lengths.clear(), parts.clear()
             return row
 
-        width = np.dtype(kind).itemsize
-        schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("ids", pa.int64()), ("data", pa.binary())])
-        for batch in batches:
-            for f, d, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if names and (f != file or held >= BLOCK_IDS):
+        for batch in sliced(batches, 4096, 8):
+            for d, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held >= BLOCK_IDS:
                     yield flush()
-                if f != file:
-                    file, block, before = f, 0, 0
                 names.append(d), lengths.append(len(own) // width), parts.append(own)
                 held += lengths[-1]
         if names:
             yield flush()
 
-    dealt = ids.mapInArrow(per_batch(placed, s := "file int, doc_id long, ids binary"), s)
-    ordered = dealt.repartition(n, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = ids.repartitionByRange(max(n, total // file_bytes), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return ordered.mapInArrow(releasing(run), "file int, block int, before long, ids long, data binary")
 
 
-def decoded(blocks: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the blocks alone."""
-    small_batches(blocks.sparkSession, 4)
+def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from a folder that ``filed`` has written and nothing else."""
+    frequency = read_frequency(spark, folder)
+    blocks = spark.read.parquet(f"{folder}/blocks")
     per_file = blocks.groupBy("file").agg(F.sum("ids").alias("n"))
     base = per_file.select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
     def run(batches):
         tables = Tables(frequency)
-        for batch in batches:
+        for batch in sliced(batches, 4, 8):
             for data, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids, lengths, ids = unpack_block(data, tables)
                 ends = np.cumsum(lengths, dtype=np.int64)
@@ -330,20 +329,32 @@ def decoded(blocks: DataFrame, frequency: np.ndarray) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins + start), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row per file, and at most MAX_FILES files: small enough to broadcast
-    placed = blocks.join(F.broadcast(base), "file").select("data", (F.col("base") + F.col("before")).alias("start"))
+    # one row per file; written, so that Spark knows its size and broadcasts it only if it is small
+    placed = blocks.join(written(base, "rans-starts"), "file").select("data", (F.col("base") + F.col("before")).alias("start"))
     return placed.mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def filed(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID) -> tuple[DataFrame, np.ndarray]:
-    """The table of blocks of a corpus, written to the shared folder, and its frequency table."""
-    path = path or tokenizer_path("word_bpe_49k.json")
+def read_frequency(spark: SparkSession, folder: str) -> np.ndarray:
+    """The frequency table that stands beside the blocks."""
+    row = spark.read.parquet(f"{folder}/table").first()
+    if row["version"] != VERSION or row["bits"] != BITS:
+        raise ValueError(f"{folder}: a table of another format")
+    return np.frombuffer(bytes(row["frequency"]), "<u4").astype(np.uint64)
+
+
+def filed(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID, folder: str | None = None) -> str:
+    """Writes a corpus's blocks and their frequency table below a folder and returns it."""
+    spark = docs.sparkSession
+    path, folder = path or tokenizer_path("word_bpe_49k.json"), folder or f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
     own = word_tokenizer(path)
-    ids = written(tokenized(docs, path, end_id), "rans-ids")
-    frequency = scaled(counts(ids, own.type.str, own.size))
-    return written(encoded(ids, frequency, own.type.str), "rans-blocks", "uncompressed"), frequency
+    with scratch(spark):
+        ids = written(tokenized(docs, path, end_id).withColumn("tie", F.monotonically_increasing_id()), "rans-ids")
+        frequency = scaled(counts(ids, own.type.str, own.size))
+        spark.createDataFrame([(VERSION, BITS, bytearray(frequency.astype("<u4").tobytes()))], "version int, bits int, frequency binary").coalesce(1).write.parquet(f"{folder}/table")
+        encoded(ids, frequency, own.type.str).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    return folder
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The corpus written in this format and read back: doc_id, start, n_tokens, ids_crc32."""
-    return decoded(*filed(docs, path))
+    return decoded(docs.sparkSession, filed(docs, path))
