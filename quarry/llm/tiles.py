@@ -1,40 +1,50 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison (operator 6).
 
 Vectors are scaled to length 1 and rotated onto principal axes, largest
-variance first. Equal vectors of a label form one class. Within a label,
-classes are ordered by their leading coordinate and cut into tiles of ``TILE``.
-Two unit vectors at cosine c are sqrt(2 - 2c) apart, so two tiles whose leading
-coordinates lie further apart are never compared. In a pair of tiles the
+variance first. Equal vectors of a label form one class. Within a label, classes
+are cut into tiles of at most about ``TILE`` along the leading axes: by strips of
+the first coordinate, a strip that is too full by the second, and so on for
+``SPLITS`` axes, then by a hash. A tile's box holds its least and greatest
+coordinate on ``BOX`` axes. Two unit vectors at cosine c are sqrt(2 - 2c) apart,
+so tiles whose boxes lie further apart are never compared; this is settled on the
+small table of tiles, before any vector is sent anywhere. In a pair of tiles the
 product of the first ``STEP`` coordinates is accumulated for all pairs, then of
 the next; what is still to come is at most the product of the two suffix norms
 (Cauchy-Schwarz), and a pair is dropped as soon as sum plus bound cannot reach
 the threshold. The survivors' cosine is taken from the given vectors in double
 precision. A pair of tiles states how many others each class is linked with and
 which classes its links join, not the links themselves, so a group of n vectors
-that are all alike makes rows in proportion to n. The rotation only steers the pruning: any orthonormal basis gives
-the same links, so it is fitted on at most ``SAMPLE`` vectors.
+that are all alike makes rows in proportion to n.
+
+The rotation only steers the pruning: any orthonormal basis gives the same links.
+It is fitted on at most ``SAMPLE`` vectors, for the ``LENGTHS`` commonest lengths
+in that sample; vectors of other lengths keep their own axes.
 
 Defined cases: vectors that are null, of length zero, empty, or that hold null
-or non-finite components, and rows with a null label, link with nothing;
-vectors of different lengths never link; rows that repeat a vec_id are one
-node, and their mutual equality adds no link; an empty table gives an empty
-table; other columns are not read. A null vec_id links with nothing and is
-kept.
+or non-finite components, and rows with a null label or vec_id, link with nothing
+and stand alone; vectors of different lengths never link; rows that repeat
+vec_id, label and vector are one vector. Different vectors of one vec_id are
+vectors of one node: each row counts the vectors of other ids that its own is
+linked with, and all of them are in the node's component. An empty table gives an
+empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
-from quarry.llm.common import releasing, small_batches, written
+from quarry.llm.common import releasing, written
 from quarry.llm.components import components
 
-THRESHOLD, TILE, STEP, SAMPLE = 0.93, 512, 16, 20_000
+THRESHOLD, TILE, STEP, SAMPLE, LENGTHS = 0.93, 2048, 16, 20_000, 16
+SPLITS, BOX = 4, 8
 #: Pruning allows for so much rounding; the last word is the exact cosine.
-SLACK = 1e-6
+SLACK = 1e-5
 
 
 def principal_axes(sample: np.ndarray) -> np.ndarray:
@@ -89,113 +99,176 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         least = new
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, as rows in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _cell(parts: list[pa.RecordBatch], basis: dict[int, np.ndarray], threshold: float) -> pa.RecordBatch:
+    """What a pair of tiles says of its classes."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    side, k1, k2, ids, copies = (rows[c].to_numpy() for c in ("side", "k1", "k2", "class_id", "copies"))
+    order = np.argsort(side, kind="stable")
+    k1, k2, ids, copies = k1[order], k2[order], ids[order], copies[order]
+    x = matrix(rows["embedding"].combine_chunks())[order]
+    norm = np.linalg.norm(x, axis=1)
+    u = (x / norm[:, None]) @ basis.get(x.shape[1], np.eye(x.shape[1]))
+    n = int((side == 0).sum())
+    upper = n == len(x)
+    a, b = (u, u) if upper else (u[:n], u[n:])
+    i, j = near_pairs(a, b, tails(a), tails(b), threshold, upper)
+    j = j if upper else j + n
+    ok = np.concatenate([np.einsum("ij,ij->i", x[i[at : at + PAIRS]], x[j[at : at + PAIRS]]) / (norm[i[at : at + PAIRS]] * norm[j[at : at + PAIRS]]) >= threshold for at in range(0, len(i), PAIRS)] or [np.zeros(0, bool)])
+    i, j = i[ok], j[ok]
+    degree = (np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))).astype(np.int64)
+    linked_, least = np.flatnonzero(degree), forest(i, j, len(ids))
+    inner = np.flatnonzero(least != np.arange(len(ids)))
+    columns = (
+        np.repeat([False, True], [len(linked_), len(inner)]),
+        np.concatenate([k1[linked_], ids[inner]]),
+        np.concatenate([k2[linked_], ids[least[inner]]]),
+        np.concatenate([degree[linked_], np.zeros(len(inner), np.int64)]),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["joins", "a", "b", "n"])
+
+
+#: Pairs whose exact cosine is taken at a time.
+PAIRS = 1 << 16
+
+
 def _compared(cells: DataFrame, basis: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """What cells say of their classes, from rows (cell, side, class_id, copies, embedding) sorted by cell.
+    """What cells say of their classes, from rows (cell, side, k1, k2, class_id, copies, embedding) sorted by cell.
 
-    Rows (joins, a, b): without ``joins``, class a is linked with b other vectors in the cell;
-    with it, a and b are in one component. Both are at most one row per class and cell,
-    however many links there are.
+    Rows (joins, a, b, n): without ``joins``, the class of key (a, b) is linked with n other vectors
+    in the cell; with it, classes a and b are in one component. Both are at most one row per class
+    and cell, however many links there are.
     """
 
-    def links(cell: pd.DataFrame) -> pd.DataFrame:
-        first, second = cell[cell.side == 0], cell[cell.side == 1]
-        upper = not len(second)
-        second = first if upper else second
-        if not len(first):
-            return pd.DataFrame({"joins": np.zeros(0, bool), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x, y = (np.stack(side.embedding.to_numpy()).astype(np.float64) for side in (first, second))
-        norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        axes = basis.get(x.shape[1], np.eye(x.shape[1]))
-        u = (x / norm_x[:, None]) @ axes
-        v = u if upper else (y / norm_y[:, None]) @ axes
-        i, j = near_pairs(u, v, tails(u), tails(v), threshold, upper)
-        cosine = np.einsum("ij,ij->i", x[i], y[j]) / (norm_x[i] * norm_y[j])
-        i, j = i[cosine >= threshold], j[cosine >= threshold]
-        ids = first.class_id.to_numpy() if upper else np.concatenate([first.class_id, second.class_id])
-        copies = first.copies.to_numpy() if upper else np.concatenate([first.copies, second.copies])
-        j = j if upper else j + len(first)
-        degree = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        linked_ = np.flatnonzero(degree)
-        least = forest(i, j, len(ids))
-        inner = np.flatnonzero(least != np.arange(len(ids)))
-        joins = np.repeat([False, True], [len(linked_), len(inner)])
-        return pd.DataFrame({"joins": joins, "a": np.concatenate([ids[linked_], ids[inner]]), "b": np.concatenate([degree[linked_].astype(np.int64), ids[least[inner]]])})
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            for at, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if held and end > at and held[-1].column(0)[0].as_py() != cell[at]:
+                    yield _cell(held, basis, threshold)
+                    held = []
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+        if held:
+            yield _cell(held, basis, threshold)
+
+    return cells.mapInArrow(releasing(run), "joins boolean, a long, b long, n long")
+
+
+def _coordinates(classes: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
+    """The classes with their length ``d`` and the leading ``BOX`` coordinates of their unit vectors, ``c``."""
+    schema = StructType([*classes.schema.fields, StructField("d", IntegerType()), StructField("c", ArrayType(FloatType()))])
 
     def run(batches):
-        rest: list[pd.DataFrame] = []
-        last = None
-        for pdf in batches:
-            for key, part in pdf.groupby("cell", sort=False):
-                if rest and key != last:
-                    yield links(pd.concat(rest))
-                    rest = []
-                rest.append(part)
-                last = key
-        if rest:
-            yield links(pd.concat(rest))
+        for batch in batches:
+            vectors = batch.column(batch.schema.get_field_index("embedding"))
+            length = np.diff(vectors.offsets.to_numpy())
+            lead = np.zeros((len(length), BOX), np.float32)
+            for d in np.unique(length).tolist():
+                of = np.flatnonzero(length == d)
+                x = matrix(vectors.take(pa.array(of)))
+                u = (x / np.linalg.norm(x, axis=1)[:, None]) @ basis.get(d, np.eye(d))[:, :BOX]
+                lead[of, : u.shape[1]] = u
+            c = pa.ListArray.from_arrays(np.arange(len(length) + 1, dtype=np.int32) * BOX, pa.array(lead.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(length.astype(np.int32)), c], names=[*batch.schema.names, "d", "c"])
 
-    return cells.mapInPandas(releasing(run), "joins boolean, a long, b long")
+    return classes.mapInArrow(releasing(run), schema)
+
+
+def _tiled(classes: DataFrame, basis: dict[int, np.ndarray], threshold: float, tile: int) -> DataFrame:
+    """What all pairs of tiles say of classes (grp, k1, k2, class_id, copies, embedding); only those of one ``grp`` are compared."""
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    width = reach / _REACH
+    g, p = [f"g{k}" for k in range(SPLITS)], [f"p{k}" for k in range(SPLITS)]
+    strips = [F.floor((F.col("c")[k] + 1) / F.lit(width)).cast("int").alias(g[k]) for k in range(SPLITS)]
+    placed = written(_coordinates(classes, basis).select("*", *strips), "tiles-classes")
+    # how full the strips are, to the depth at which a tile's worth is left
+    leaves = placed.groupBy("grp", "d", *g).agg(F.count(F.lit(1)).alias("n"))
+    for k in range(SPLITS):
+        leaves = leaves.withColumn(f"n{k}", F.sum("n").over(W.partitionBy("grp", "d", *g[: k + 1])))
+    full = [F.col(f"n{k}") > tile for k in range(SPLITS)]
+    deeper = [F.lit(True)] + [full[k] for k in range(SPLITS - 1)]  # whether the strips of axis k are told apart
+    parts = F.when(full[-1], F.ceil(F.col(f"n{SPLITS - 1}") / tile)).otherwise(1).cast("int")
+    told = F.lit(True)
+    for k in range(SPLITS):
+        told = told & deeper[k]
+        leaves = leaves.withColumn(p[k], F.when(told, F.col(g[k])).otherwise(-1))
+    leaves = leaves.select("grp", "d", *g, *p, parts.alias("parts"))
+    part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int").alias("part")
+    dealt = placed.join(leaves, ["grp", "d", *g]).select("grp", "d", *p, part, "k1", "k2", "class_id", "copies", "embedding", "c")
+    key = ["grp", "d", *p, "part"]
+    edges = [f(F.col("c")[k]).alias(f"{n}{k}") for k in range(BOX) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    tiles = written(dealt.groupBy(*key).agg(*edges).withColumn("tile", F.monotonically_increasing_id()), "tiles-boxes")
+    # pairs of tiles within reach on the first axis, then by the distance of their boxes; each pair once
+    box = [f"{n}{k}" for k in range(BOX) for n in ("lo", "hi")]
+    steps = F.explode(F.array(*[F.lit(k) for k in range(-_REACH - 1, _REACH + 2)]))
+    mine = tiles.select("grp", "d", F.col("tile").alias("one"), *[F.col(b).alias(f"{b}a") for b in box], "p0", steps.alias("k")).withColumn("p0", F.col("p0") + F.col("k")).drop("k")
+    other = tiles.select("grp", "d", "p0", F.col("tile").alias("two"), *[F.col(b).alias(f"{b}b") for b in box])
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"lo{k}a") - F.col(f"hi{k}b"), F.col(f"lo{k}b") - F.col(f"hi{k}a"))
+    apart = sum((gap(k) * gap(k) for k in range(1, BOX)), gap(0) * gap(0))
+    pairs = mine.join(other, ["grp", "d", "p0"]).filter((F.col("one") <= F.col("two")) & (apart <= reach * reach + SLACK)).select("one", "two")
+    pairs = written(pairs.withColumn("cell", F.monotonically_increasing_id()), "tiles-pairs")
+    sides = pairs.select("cell", F.lit(0).alias("side"), F.col("one").alias("tile")).unionByName(pairs.filter("one <> two").select("cell", F.lit(1).alias("side"), F.col("two").alias("tile")))
+    known = dealt.join(tiles.select(*key, "tile"), key).select("tile", "k1", "k2", "class_id", "copies", "embedding")
+    cells = known.join(sides, "tile").select("cell", "side", "k1", "k2", "class_id", "copies", "embedding")
+    return written(_compared(cells.repartition("cell").sortWithinPartitions("cell"), basis, threshold), "tiles-links")
+
+
+def _keys(*columns: Column) -> list[Column]:
+    """Two hashes of 64 bits that stand for a vector and what it is grouped by."""
+    return [F.xxhash64(F.lit(k), *columns).alias(f"k{k}") for k in (1, 2)]
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(grp, k1, k2, class_id, copies, embedding) of distinct rows (grp, k1, k2, vec_id, embedding)."""
+    return rows.groupBy("grp", "k1", "k2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    spark = vectors.sparkSession
-    small_batches(spark, 2048)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    good = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable()).distinct()
-    # classes of equal vectors: class_id is the least vec_id among them
-    keyed = good.withColumn("key", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.col("embedding").cast("array<string>")).cast("binary"), 256))
-    members = written(keyed.select("key", "vec_id", "label", "embedding"), "tiles-members")
-    classes = members.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count_distinct("vec_id").alias("copies"))
-    reps = members.join(classes, "key").filter(F.col("vec_id") == F.col("class_id")).dropDuplicates(["key"])
-    drawn = reps.select("embedding", F.xxhash64("class_id").alias("draw")).orderBy("draw").limit(sample).collect()
-    basis = {}
-    for d in {len(r["embedding"]) for r in drawn}:
-        basis[d] = principal_axes(np.array([r["embedding"] for r in drawn if len(r["embedding"]) == d]))
-    # the leading coordinate of the unit vector, by built-in functions
-    axis = spark.createDataFrame([(d, b[:, 0].tolist()) for d, b in basis.items()], "d int, axis array<double>")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    lead = F.coalesce(dot(F.col("embedding"), F.col("axis")), F.col("embedding")[0]) / F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    placed = reps.withColumn("d", F.size("embedding")).join(F.broadcast(axis), "d", "left").withColumn("lead", lead)
-    # tiles: strips of the leading coordinate narrower than the reach, cut further by a hash where they are full
-    strips = F.floor((F.col("lead") + 1) / _strip(threshold)).cast("int")
-    placed = written(placed.withColumn("strip", strips).select("label", "d", "strip", "class_id", "copies", "key", "embedding"), "tiles-classes")
-    full = placed.groupBy("label", "d", "strip").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
-    dealt = placed.join(full, ["label", "d", "strip"]).withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
-    # a tile meets the tiles of its own strip and of those within reach, each pair of tiles once
-    reach = range(-_REACH, _REACH + 1)
-    near = full.select("label", "d", F.col("strip").alias("strip_2"), F.col("parts").alias("parts_2"))
-    steps = F.explode(F.array(*[F.lit(k) for k in reach])).alias("k")
-    pairs = full.select("label", "d", "strip", "parts", steps).withColumn("strip_2", F.col("strip") + F.col("k")).join(near, ["label", "d", "strip_2"])
-    mine = dealt.join(pairs.drop("k", "parts"), ["label", "d", "strip"])
-    other = mine.withColumn("part_2", F.explode(F.sequence(F.lit(0), F.col("parts_2") - 1)))
-    one, two = F.struct("strip", "part"), F.struct(F.col("strip_2").alias("strip"), F.col("part_2").alias("part"))
-    cells = other.select(
-        F.xxhash64("label", "d", F.least(one, two), F.greatest(one, two)).alias("cell"), (one > two).cast("int").alias("side"), "class_id", "copies", "embedding"
-    )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    said = written(_compared(cells.repartition(n, "cell").sortWithinPartitions("cell"), basis, threshold), "tiles-links")
-    found = components(said.filter("joins").select("a", "b"))
-    degree = said.filter("not joins").groupBy("a").agg(F.sum("b").alias("others"))
-    stated = (
-        classes.join(degree.withColumnRenamed("a", "class_id"), "class_id", "left")
-        .join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    )
-    known = members.select("vec_id", "key").distinct().join(stated, "key").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    return rows.select("vec_id").join(known, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept")
-    )
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("string").alias("grp"))
+    given = F.col("vec_id").isNotNull() & F.col("grp").isNotNull() & usable()
+    keyed = rows.select("vec_id", "grp", "embedding", *[F.when(given, k).alias(n) for k, n in zip(_keys(F.col("grp"), F.col("embedding")), ("k1", "k2"))])
+    members = written(keyed.filter("k1 is not null").dropDuplicates(["vec_id", "grp", "k1", "k2"]), "tiles-members")
+    classes = written(_classes(members), "tiles-all")
+    drawn = classes.select("embedding", F.xxhash64("k1").alias("draw")).orderBy("draw").limit(sample).collect()
+    sizes: dict[int, int] = {}
+    for r in drawn:
+        sizes[len(r["embedding"])] = sizes.get(len(r["embedding"]), 0) + 1
+    basis = {d: principal_axes(np.array([r["embedding"] for r in drawn if len(r["embedding"]) == d])) for d in sorted(sizes, key=lambda d: (-sizes[d], d))[:LENGTHS]}
+    said = _tiled(classes, basis, threshold, tile)
+    joins = said.filter("joins").select("a", "b")
+    degree = said.filter("not joins").groupBy(F.col("a").alias("k1"), F.col("b").alias("k2")).agg(F.sum("n").alias("others"))
+    repeated = members.groupBy("vec_id").count().filter("count > 1").select("vec_id")
+    same = None
+    if not repeated.isEmpty():
+        # links between vectors of one vec_id count for none of them, but join their classes
+        several = members.join(repeated, "vec_id")
+        own = several.select("vec_id", "embedding", F.concat_ws("|", "grp", "vec_id").alias("grp"), F.col("k1").alias("o1"), F.col("k2").alias("o2"))
+        own = written(own.select("*", *_keys(F.col("grp"), F.col("embedding"))), "tiles-repeated")
+        inner = _tiled(_classes(own), basis, threshold, tile).filter("not joins").groupBy(F.col("a").alias("k1"), F.col("b").alias("k2")).agg(F.sum("n").alias("same"))
+        same = own.join(inner, ["k1", "k2"]).select("vec_id", F.col("o1").alias("k1"), F.col("o2").alias("k2"), "same")
+        joins = joins.unionByName(several.join(classes.select("grp", "k1", "k2", "class_id"), ["grp", "k1", "k2"]).select(F.col("class_id").alias("a"), F.col("vec_id").alias("b")))
+    found = components(joins).withColumnRenamed("node", "class_id")
+    stated = classes.select("k1", "k2", "class_id", "copies").join(degree, ["k1", "k2"], "left").join(found, "class_id", "left")
+    stated = stated.select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    out = keyed.select("vec_id", "k1", "k2").join(stated, ["k1", "k2"], "left")
+    if same is not None:
+        out = out.join(same, ["vec_id", "k1", "k2"], "left").withColumn("n_links", F.col("n_links") - F.coalesce("same", F.lit(0)))
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 #: Strips are so wide that vectors within reach lie at most this many strips apart.
 _REACH = 3
 
 
-def _strip(threshold: float) -> float:
-    return float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9) / _REACH
-
-
 def sql(threshold: float = THRESHOLD) -> str:
     """The same in DuckDB's SQL, by comparing all pairs of a label."""
     return f"""
