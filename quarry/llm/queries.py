@@ -35,7 +35,7 @@ def op6_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(table(spark, sf_dir, "documents")).drop("tensor", "spans")
+    return audio.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
