@@ -20,7 +20,7 @@
    of pairs is ever made.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with
-probability 3e-6.
+probability (1 - 0.8^5)^32 = 3e-6 if its minima agree independently.
 
 Defined cases: a text that is null, empty or without words has an empty set and
 is linked with nothing; a document with fewer words than a shingle has its whole
@@ -38,33 +38,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import per_batch, releasing, small_batches, written
+from quarry.llm.common import numbered, per_batch, releasing, sliced, utf8, written
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, shingle_sets
 
 WORDS, PERCENT, BANDS, ROWS, BLOCK = 5, 80, 32, 5, 512
-#: Signatures agree in a share of about J; candidates that lie below the threshold by four deviations are dropped.
+#: Signatures agree in a share of about J; candidates that lie below the threshold by this many deviations are dropped.
 DEVIATIONS = 4.5
 
 _rng = np.random.default_rng(5)
-_A = (_rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+_B = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of a * x + b modulo 2 ** 32 over the set, for each of the hash functions."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    best = np.full(len(_A), 2**32 - 1, np.uint32)
+    """The least value over the set of each hash function: the high half of a * x + b modulo 2 ** 64, for x of 32 bits.
+
+    With a and b uniform this multiply-shift family is pairwise independent.
+    """
+    x = hashes >> np.uint64(32)
+    best = np.full(len(_A), 2**64 - 1, np.uint64)
     for at in range(0, len(x), 512):
         some = x[at : at + 512][None, :] * _A[:, None]
         some += _B[:, None]
         np.minimum(best, some.min(axis=1), out=best)
-    return best
+    return (best >> np.uint64(32)).astype(np.uint32)
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, set_key, sig (one byte of each minimum) and bands of every document."""
-    small_batches(docs.sparkSession, 512)
     salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -84,7 +86,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "set_key": keys, "sig": sigs, "bands": bands}
 
     schema = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(per_batch(run, schema), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(per_batch(run, schema, 512), schema)
 
 
 def likely(sig_a: np.ndarray, sig_b: np.ndarray, percent: int) -> np.ndarray:
@@ -100,11 +102,10 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity; ``texts`` has doc_id and text."""
-    small_batches(texts.sparkSession, 128)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 128):
             sides = []
             for k in (2, 3):
                 coded = batch.column(k).dictionary_encode()
@@ -122,14 +123,11 @@ def _bytes(name: str):
 
 def _screened(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs that set sizes and signatures do not rule out."""
-    small_batches(pairs.sparkSession, 4096)
     side = lambda k: known.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 4096, 8):
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
             ok = pa.array(likely(left, right, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
@@ -185,7 +183,7 @@ def _across(cells: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches):
         held, last = [], None
-        for batch in batches:
+        for batch in sliced(batches, 512):
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[0] != last:
@@ -242,7 +240,6 @@ def links(docs: DataFrame, known: DataFrame, words: int = WORDS, percent: int =
         .join(texts, "doc_id")
         .select("cell", "side", "doc_id", "component", "n_shingles", "sig", _bytes("text"))
     )
-    small_batches(spark, 512)
     extra = written(_across(dealt.repartition(n, "cell").sortWithinPartitions("cell"), words, percent).distinct(), "minhash-more")
     if extra.isEmpty():
         return found, classes
@@ -263,9 +260,16 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns: the one of the least doc_id."""
-    gone = deduplicated(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    """One row of each group of near duplicates, with all its columns: the one of the least doc_id.
+
+    Rows without a doc_id and rows that repeat one are documents of their own here: all rows are
+    numbered by doc_id (null first) and text, so copies among them go and different texts stay.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("data"), row.alias("row")), each=True)
+    found = deduplicated(rows.select(F.col("doc").alias("doc_id"), F.col("data").cast("string").alias("text")), words, percent)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("doc"))
+    return rows.join(gone, "doc", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def sql(words: int = WORDS, percent: int = PERCENT) -> str:
