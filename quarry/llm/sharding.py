@@ -7,27 +7,42 @@ a placement takes logarithmic time. ``pack`` opens bins of a fixed capacity as
 needed and so keeps their number small; ``pack_into`` looks for the smallest
 capacity with which at most ``n`` bins suffice.
 
-The driver never sees all groups. A group of at least 1 / ``GRAIN`` of the
-bytes is placed on its own, and there can be at most GRAIN of them; the others
-are dealt by a hash of their text to ``BUNDLES`` bundles, each placed as one.
-Both numbers are constants, so what is collected and broadcast is bounded at
-any input size. Slots are numbered per shard from counts of (shard, salt)
-cells, so a group of copies that holds a third of the rows is spread over many
-tasks.
+The driver never sees all groups: packing has two levels, and every group goes
+through the tree at the first. Groups are dealt to cells by a hash, about
+``PER_CELL`` groups each, and each cell's are packed, in descending size, into
+items of 1 / ``GRAIN`` of all bytes; a group above that is an item of its own. The
+items of all cells are then packed into the shards. Any two items of a cell
+exceed an item's capacity together, so there are fewer than 2 * ``GRAIN`` items,
+one more per cell, and at most ``GRAIN`` large groups: what the driver packs and
+broadcasts is bounded by constants at any size. The price of the second level is
+at most an item's bytes in a shard's fill, 1 / 256 of a shard with 16 shards.
+With ``capacity`` in place of a number of shards, items are 1 / ``PIECES`` of it,
+and as few shards are opened as packing needs.
+
+Rows find their shard by a join on the group. Groups of at least 1 / ``HOT`` of
+all rows, of which there are at most ``HOT``, go through a broadcast, so no
+shuffled key holds more than that share. Slots are numbered per shard from counts
+of (shard, cell) parts, so a group of copies that holds a third of the rows is
+spread over many tasks.
 
 Defined cases: a null text is of size 1 and a group of its own, apart from the
-empty text, which is of size 1 too; repeated rows are members of their group
-like any others; an empty table gives an empty table; other columns are not
-read.
+empty text, which is of size 1 too; a null or repeated doc_id changes nothing, as
+groups are texts; repeated rows are members of their group like any others; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARDS, GRAIN, BUNDLES, CELLS = 16, 4096, 4096, 64
+from quarry.llm.common import releasing, written
+
+SHARDS, GRAIN, PIECES, PER_CELL, CELLS, HOT = 16, 4096, 64, 20_000, 4096, 1024
+#: Rows of a shard that are numbered together, and items that a cell can number.
+ROWS_PER_PART, ITEMS = 50_000, 1 << 40
 
 
 class BalancedTree:
@@ -152,8 +167,37 @@ def pack_into(sizes: list[int], n: int) -> list[int]:
     return best
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, bundles: int = BUNDLES) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard under the law ``bytes``."""
+def items_of(groups: DataFrame, capacity: int) -> DataFrame:
+    """(group, item, bytes) of rows (cell, group, bytes): each cell's groups packed best fit decreasing into items of a capacity."""
+
+    def run(batches):
+        tree, cell, opened = BalancedTree(), None, 0
+        for batch in batches:
+            out = []
+            for at, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if at != cell:
+                    tree, cell, opened = BalancedTree(), at, 0
+                found = tree.ceiling((size, -1))
+                if found is None:
+                    left, item, opened = capacity, opened, opened + 1
+                else:
+                    left, item = found
+                    tree.remove(found)
+                if left > size:
+                    tree.insert((left - size, item))
+                out.append(at * ITEMS + item)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64()), batch.column(2)], names=["group", "item", "bytes"])
+
+    ordered = groups.select("cell", "group", "bytes").repartition("cell").sortWithinPartitions("cell", F.col("bytes").desc(), "group")
+    return ordered.mapInArrow(releasing(run), "group binary, item long, bytes long")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None, grain: int = GRAIN) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard under the law ``bytes``.
+
+    There are ``shards`` shards of the smallest capacity that suffices or, with ``capacity``, as few
+    of that capacity as packing needs; then a text whose copies exceed it is an error.
+    """
     spark = docs.sparkSession
     data = F.col("text").cast("string").cast("binary")
     rows = docs.select(
@@ -162,32 +206,35 @@ def sharded(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, bundles:
         F.crc32(F.coalesce(data, F.lit(b""))).alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2(data, 256)), F.lit(b"")).alias("group"),
     )
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    least = max(1, -(-total // grain))
-    bundle = F.pmod(F.xxhash64("group"), F.lit(bundles))
-    # one pass over the groups: large ones keep their key, the others fall into their bundle
-    items = groups.groupBy(F.when(F.col("bytes") >= least, F.col("group")).alias("large"), F.when(F.col("bytes") < least, bundle).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    placed = sorted(items.collect(), key=lambda r: (r["bundle"] is None, r["bundle"], bytes(r["large"] or b"")))
-    bins = pack_into([r["bytes"] for r in placed], shards)
-    alone = spark.createDataFrame([(bytes(r["large"]), b) for r, b in zip(placed, bins) if r["large"] is not None], "large binary, own int")
-    dealt = spark.createDataFrame([(r["bundle"], b) for r, b in zip(placed, bins) if r["bundle"] is not None], "bundle long, common int")
-    owned = (
-        rows.withColumn("bundle", bundle)
-        .join(F.broadcast(alone), F.col("group") == F.col("large"), "left")
-        .join(F.broadcast(dealt), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "common").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).alias("cell"))
-    )
-    return slotted(owned)
+    rows = written(rows.withColumn("tie", F.monotonically_increasing_id()), "sharding-rows")
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "sharding-groups")
+    total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups"), F.max("bytes").alias("largest")).first()
+    if capacity is not None and (total["largest"] or 0) > capacity:
+        raise ValueError(f"a text's copies take {total['largest']} bytes, more than a shard's {capacity}")
+    item = max(1, -(-(total["bytes"] or 0) // grain)) if capacity is None else max(1, capacity // PIECES)
+    cells = min(CELLS, max(1, -(-total["groups"] // PER_CELL)))
+    packed = written(items_of(groups.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells))), item), "sharding-items")
+    items = sorted(packed.groupBy("item").agg(F.sum("bytes").alias("bytes")).collect(), key=lambda r: r["item"])
+    sizes = [r["bytes"] for r in items]
+    bins = pack_into(sizes, shards) if capacity is None else pack(sizes, capacity)
+    placed = spark.createDataFrame([(r["item"], b) for r, b in zip(items, bins)], "item long, shard int")
+    assigned = packed.join(F.broadcast(placed), "item").select("group", "shard")
+    hot = assigned.join(F.broadcast(groups.filter(F.col("rows") * HOT >= (total["rows"] or 0)).select("group")), "group", "left_semi")
+    hot = written(hot, "sharding-hot")
+    few = rows.join(F.broadcast(hot), "group")
+    rest = rows.join(F.broadcast(hot), "group", "left_anti").join(assigned, "group")
+    parts = max(1, (total["rows"] or 0) // ((max(bins, default=0) + 1) * ROWS_PER_PART))
+    owned = few.unionByName(rest).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("tie"), F.lit(parts)).alias("part"), "tie")
+    return slotted(written(owned, "sharding-owned"))
 
 
 def slotted(owned: DataFrame) -> DataFrame:
-    """Slots per shard: the cells before a row's own, then its place within the cell."""
-    before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    first = owned.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    place = W.partitionBy("shard", "cell").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    """Slots per shard: the parts before a row's own, then its place within the part, by the order in which rows are stored."""
+    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    first = owned.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    place = W.partitionBy("shard", "part").orderBy("tie")
     return (
-        owned.join(F.broadcast(first), ["shard", "cell"])
+        owned.join(written(first, "sharding-parts"), ["shard", "part"])
         .withColumn("slot", (F.col("first") + F.row_number().over(place) - 1).cast("long"))
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
     )
