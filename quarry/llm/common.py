@@ -56,12 +56,6 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     discard(spark, [p for p in _LEFT[first:] if p not in kept])
 
 
-def small_batches(spark: SparkSession, rows: int = 512, mb: int = 4) -> None:
-    """Arrow batches of so few rows and megabytes that long texts stay within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, mb: int = 4) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so few rows and megabytes that what a function makes of long texts stays small.
 
