@@ -270,15 +270,14 @@ def counts(ids: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
-def encoded(ids: DataFrame, frequency: np.ndarray, kind: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+def encoded(ids: DataFrame, frequency: np.ndarray, kind: str, total: int, file_bytes: int = FILE_BYTES) -> DataFrame:
     """(file, block, before, ids, data) of rows (doc_id, tie, ids), by ranges of (doc_id, tie) in ascending order.
 
-    There are as many files as the ids' bytes need, so none grows with the corpus; the tie lets a
+    There are as many files as ``total`` bytes of ids need, so none grows with the corpus; the tie lets a
     range end between rows of one doc_id, or of none. A file is one range, numbered by its place.
     """
     spark = ids.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("ids", pa.int64()), ("data", pa.binary())])
     width = np.dtype(kind).itemsize
 
@@ -348,10 +347,11 @@ def filed(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID,
     path, folder = path or tokenizer_path("word_bpe_49k.json"), folder or f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
     own = word_tokenizer(path)
     with scratch(spark):
-        ids = written(tokenized(docs, path, end_id).withColumn("tie", F.monotonically_increasing_id()), "rans-ids")
-        frequency = scaled(counts(ids, own.type.str, own.size))
+        ids = written(tokenized(docs, path, end_id).withColumn("tie", F.monotonically_increasing_id()), "rans-ids", "snappy")
+        seen = counts(ids, own.type.str, own.size)
+        frequency = scaled(seen)
         spark.createDataFrame([(VERSION, BITS, bytearray(frequency.astype("<u4").tobytes()))], "version int, bits int, frequency binary").coalesce(1).write.parquet(f"{folder}/table")
-        encoded(ids, frequency, own.type.str).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+        encoded(ids, frequency, own.type.str, int(seen.sum()) * own.type.itemsize).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     return folder
 
 

@@ -304,7 +304,7 @@ def test_token_files_are_read_by_another_process(spark, tmp_path):
 def test_many_files_of_few_bytes(spark):
     ids = spark.createDataFrame([(None if k % 3 == 0 else k // 2, k, bytearray(np.array([k % 50, 2], "<u2").tobytes())) for k in range(400)], "doc_id long, tie long, ids binary")
     frequency = rans.scaled(rans.counts(ids, "<u2", 64))
-    blocks = rans.encoded(ids, frequency, "<u2", file_bytes=40)
+    blocks = rans.encoded(ids, frequency, "<u2", total=1600, file_bytes=40)
     files = [r.file for r in blocks.select("file").distinct().collect()]
     assert len(files) > 20  # rows without a doc_id are a third of all and lie in several files
     tables = rans.Tables(frequency)
