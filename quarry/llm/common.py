@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.session import cut, shared_dir
 
-__all__ = ["byte_view", "cut", "discard", "numbered", "per_batch", "release", "releasing", "scratch", "shared_dir", "single_threaded", "sliced", "table", "texts_of", "tokenizer_path", "tokenizer_pattern", "utf8", "written"]
+__all__ = ["byte_view", "cut", "discard", "known", "numbered", "odd_ids", "per_batch", "release", "releasing", "scratch", "shared_dir", "single_threaded", "sliced", "table", "texts_of", "tokenizer_path", "tokenizer_pattern", "utf8", "written"]
 
 #: Tables that ``written`` has left in the shared folder and nothing has deleted yet.
 _LEFT: list[str] = []
@@ -73,8 +73,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, mb: int = 4) -> I
 ROWS = 1 << 40
 
 
+def odd_ids(rows: DataFrame) -> bool:
+    """Whether a doc_id is null or repeated."""
+    return not rows.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1)).isEmpty()
+
+
+def known(doc_id: Column) -> Column:
+    """An id that is never null, in a form that shows it: joins then add no filter, and can share a shuffle."""
+    return F.coalesce(doc_id, F.lit(0))
+
+
 def numbered(rows: DataFrame, each: bool = False) -> DataFrame:
-    """(doc, data, doc_id, others) of rows (doc_id, data, others): a number of each document, in their order.
+    """(doc, data, others) of rows (doc_id, data, others): a number of each document, in their order.
 
     Distinct ids are numbers already. Otherwise all rows are dealt by ranges of doc_id (null first),
     the text's hash and a tie, then numbered within their partition and written, so that every
@@ -82,9 +92,8 @@ def numbered(rows: DataFrame, each: bool = False) -> DataFrame:
     doc_id never do; with ``each``, every row has its own.
     """
     others = [c for c in rows.columns if c not in ("doc_id", "data")]
-    odd = rows.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1))
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("doc"), "data", "doc_id", *others)
+    if not odd_ids(rows):
+        return rows.select(known(F.col("doc_id")).alias("doc"), "data", *others)
     spark = rows.sparkSession
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("tie")]
     tie = F.monotonically_increasing_id() if each else F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
@@ -101,10 +110,10 @@ def numbered(rows: DataFrame, each: bool = False) -> DataFrame:
                 at += key != last
                 last = key
                 numbers.append(at)
-            columns = [pa.array(numbers, pa.int64()), batch.column(1), batch.column(0), *batch.columns[2:-2]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "data", "doc_id", *others])
+            columns = [pa.array(numbers, pa.int64()), *batch.columns[1:-2]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "data", *others])
 
-    schema = StructType([StructField("doc", LongType()), *(rows.schema[c] for c in ("data", "doc_id", *others))])
+    schema = StructType([StructField("doc", LongType()), *(rows.schema[c] for c in ("data", *others))])
     return written(dealt.mapInArrow(releasing(run), schema), "numbered")
 
 

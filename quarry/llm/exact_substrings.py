@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import byte_view, numbered, releasing, sliced, written
+from quarry.llm.common import byte_view, known, numbered, odd_ids, releasing, sliced, written
 from quarry.llm.shingles import _BACK, _BASE, _BYTE, _power, mix
 from quarry.llm.suffixes import repeats
 
@@ -169,8 +169,9 @@ def _combined(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
     # a row that is one document's for the second time is no repeat of itself
     own = np.concatenate([[False], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])
     again &= ~own
-    spread = mix(key[order] + doc.view(np.uint64) + mix(at.view(np.uint64))).view(np.int64)
-    bucket, check = np.where(again, spread, bucket), np.where(again, LOCAL, check)
+    # a document's repeats stay together, a stretch of it at a time, and so are small when compressed
+    spread = mix(doc.view(np.uint64) + mix((at // (STEP << 20)).view(np.uint64))).view(np.int64)
+    bucket, content, check = np.where(again, spread, bucket), np.where(again, 0, content), np.where(again, LOCAL, check)
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, content, check, doc, at)], names=["bucket", "content", "check", "doc", "at"])
 
 
@@ -382,8 +383,11 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bo
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text."""
-    rows = numbered(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data")))
-    return kept_bytes(rows, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
+    # distinct ids are the documents' numbers: texts go without another column, and one shuffle of them serves both joins
+    odd = odd_ids(rows)
+    keyed = numbered(rows.withColumn("id", F.col("doc_id"))) if odd else rows.select(known(F.col("doc_id")).alias("doc"), "data")
+    return kept_bytes(keyed, length).select(F.col("id" if odd else "doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
