@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.edges import mechanism, metadata_field
 from quarry.schema import UNRESOLVED, Model
-from quarry.session import cut
+from quarry.session import cut, staged
 
 GRAPH_COLUMNS = ("src_id", "dst_id", "mechanism", "confidence", "via", "relationship_type", "cls", "e1", "e2")
 KAFKA = ("produces_kafka", "consumes_kafka")
@@ -85,7 +85,8 @@ def reached(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
     ``seeds`` has one column, seed. ``edges`` are followed from src_id to dst_id, never to 0.
     ``max_depth`` None goes on until nothing new is found.
     """
-    steps = cut(edges.filter(F.col("dst_id") != UNRESOLVED).select(F.col("src_id").alias("node"), F.col("dst_id").alias("next")).distinct())
+    # a written table: where it is small enough Spark broadcasts it at every level
+    steps = staged(edges.filter(F.col("dst_id") != UNRESOLVED).select(F.col("src_id").alias("node"), F.col("dst_id").alias("next")).distinct(), "graph-steps")
     frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
@@ -131,7 +132,7 @@ def search_trees(sources: DataFrame, edges: DataFrame, max_depth: int | None = N
     walk = lambda a, b, back: out.select(F.col(a).alias("node"), F.col(b).alias("next"), F.lit(back).alias("back"), order.alias("ord"), *keep)
     # of parallel edges only the first can ever be taken
     best = walk("src_id", "dst_id", 0).unionByName(walk("dst_id", "src_id", 1)).groupBy("node", "next").agg(F.min(F.struct("back", "ord", *keep)).alias("w"))
-    walks = cut(best.select("node", "next", "w.*"))
+    walks = staged(best.select("node", "next", "w.*"), "graph-walks")
     none = {"parent": "long", "back": "int", "mechanism": "string", "via": "string", "confidence": "string"}
     seen = sources.select("from_id", F.col("from_id").alias("node"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("rank"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     frontier, depth = seen, 0
@@ -155,7 +156,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = N
     a step at a time. Hops are reported as the edges point. A pair that is not connected has no
     rows, one of equal ends too.
     """
-    trees = cut(search_trees(pairs.select("from_id").distinct(), edges, max_depth).filter("step > 0").drop("rank"))
+    trees = staged(search_trees(pairs.select("from_id").distinct(), edges, max_depth).filter("step > 0").drop("rank"), "graph-trees")
     at = pairs.select("from_id", "to_id").distinct().join(trees.withColumnRenamed("node", "to_id"), ["from_id", "to_id"]).withColumn("node", F.col("to_id"))
     hops, deepest = at, trees.agg(F.max("step")).first()[0] or 0
     for _ in range(deepest - 1):

@@ -5,35 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import named, subgraph_edges, upstream
+from quarry.operators.graph import named, upstream
 from quarry.schema import Model
 
 TIERS = {1: "direct", 2: "indirect"}
 
 
+def impact_nodes(model: Model, edges: DataFrame, seeds: DataFrame, mechanism: str | None = None, max_depth: int = 3) -> DataFrame:
+    """(seed, service, node, name, depth, tier): one row per affected service of each seed."""
+    nodes = upstream(seeds, edges, max_depth, mechanism)
+    tier = F.when(F.col("depth") == 1, TIERS[1]).when(F.col("depth") == 2, TIERS[2]).otherwise("transitive")
+    return named(named(nodes.withColumn("tier", tier), model.repos, "seed", "service"), model.repos, "node", "name")
+
+
+def _inner_links(nodes: DataFrame, seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seed, node, dst_id, what ``pairs`` says): the pairs (src_id, dst_id) from a node into its seed or the seed's nodes."""
+    inside = nodes.select("seed", F.col("node").alias("dst_id")).unionByName(seeds.select("seed", F.col("seed").alias("dst_id"))).distinct()
+    return nodes.select("seed", "node").join(pairs, F.col("node") == F.col("src_id")).join(inside, ["seed", "dst_id"])
+
+
 def impact_entries(model: Model, edges: DataFrame, seeds: DataFrame, mechanism: str | None = None, max_depth: int = 3) -> DataFrame:
-    """(seed, service, node, depth, tier, mechanisms, confidence): one row per affected service of each seed.
+    """The affected services with ``mechanisms`` and ``confidence``.
 
     Mechanisms are distinct, in the order of the edges; confidences are all, in the same order.
+    Parallel edges are gathered per pair of services before the pairs are joined with the seeds.
     """
-    nodes = upstream(seeds, edges, max_depth, mechanism)
-    own = subgraph_edges(seeds, nodes, edges, mechanism)
-    listed = own.groupBy("seed", "node").agg(F.array_sort(F.collect_list(F.struct("cls", "e1", "e2", "mechanism", "confidence"))).alias("edges"))
-    tier = F.when(F.col("depth") == 1, TIERS[1]).when(F.col("depth") == 2, TIERS[2]).otherwise("transitive")
-    rows = nodes.join(listed, ["seed", "node"], "left").withColumn("tier", tier)
+    nodes = impact_nodes(model, edges, seeds, mechanism, max_depth)
+    followed = edges if mechanism is None else edges.filter(F.col("mechanism") == mechanism)
+    pairs = followed.groupBy("src_id", "dst_id").agg(F.collect_list(F.struct("cls", "e1", "e2", "mechanism", "confidence")).alias("links"))
+    listed = _inner_links(nodes, seeds, pairs).groupBy("seed", "node").agg(F.array_sort(F.flatten(F.collect_list("links"))).alias("edges"))
+    rows = nodes.join(listed, ["seed", "node"], "left")
     rows = rows.withColumn("mechanisms", F.coalesce(F.array_distinct(F.transform("edges", lambda e: e["mechanism"])), F.array().cast("array<string>")))
     rows = rows.withColumn("confidence", F.coalesce(F.transform("edges", lambda e: e["confidence"]), F.array().cast("array<string>")))
-    return named(named(rows.drop("edges"), model.repos, "seed", "service"), model.repos, "node", "name")
+    return rows.drop("edges")
 
 
-def impact_stats(entries: DataFrame) -> DataFrame:
+def impact_stats(nodes: DataFrame) -> DataFrame:
     """(seed, service, total, direct, indirect, transitive, score, summary): one row per seed that affects others."""
     count = lambda t: F.sum((F.col("tier") == t).cast("long"))
-    rows = entries.groupBy("seed", "service").agg(F.count(F.lit(1)).alias("total"), count("direct").alias("direct"), count("indirect").alias("indirect"), count("transitive").alias("transitive"))
+    rows = nodes.groupBy("seed", "service").agg(F.count(F.lit(1)).alias("total"), count("direct").alias("direct"), count("indirect").alias("indirect"), count("transitive").alias("transitive"))
     rows = rows.withColumn("score", 3 * F.col("direct") + 2 * F.col("indirect") + F.col("transitive"))
     return rows.withColumn("summary", F.format_string("%s: %d direct, %d indirect, %d transitive (score: %d)", "service", "direct", "indirect", "transitive", "score"))
 
 
-def mechanism_histogram(entries: DataFrame) -> DataFrame:
-    """(seed, mechanism, entries): how many affected services are linked by each mechanism."""
-    return entries.select("seed", F.explode("mechanisms").alias("mechanism")).groupBy("seed", "mechanism").agg(F.count(F.lit(1)).alias("entries"))
+def mechanism_histogram(nodes: DataFrame, seeds: DataFrame, edges: DataFrame, mechanism: str | None = None) -> DataFrame:
+    """(seed, mechanism, entries): how many affected services (seed, node) are linked by each mechanism."""
+    followed = edges if mechanism is None else edges.filter(F.col("mechanism") == mechanism)
+    kinds = _inner_links(nodes, seeds, followed.select("src_id", "dst_id", "mechanism").distinct()).select("seed", "node", "mechanism").distinct()
+    return kinds.groupBy("seed", "mechanism").agg(F.count(F.lit(1)).alias("entries"))

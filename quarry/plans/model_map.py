@@ -1,38 +1,24 @@
-"""A star schema seen as the relational model: suppliers are services, orders their calls.
-
-It lets every query run over tables of any size. Ids are numbers of natural
-keys, so building it needs no sort and no counter.
-
-``STAR_SQL`` maps a part of the calls, events and files, and ``star_model`` the
-same part, so that both can be compared. Inside ``whole_tables`` it maps all rows:
-a call is direct up to a discount of 0.05 and unresolved otherwise, which agrees
-with the part, and no filter drops calls, events of the four kinds or files.
+"""A star schema seen as the relational model: suppliers are services, order lines their calls.
+
+It lets every query run over tables of any size, and every row of the tables it
+maps is in the model: a line is a direct call where its discount is at most 0.05
+and a call of a name otherwise, an event is produced or consumed, directly or by
+way of a topic. A service calls ``FAN`` others, spread so that some steps reach
+all of them, and an event's or topic's name tells the group of its user, so paths
+are several steps long and the number of links grows with the rows. Ids are
+numbers of natural keys, so building it needs no sort and no counter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.schema import TABLES, Model
 
 TOPIC_BASE, EVENT_BASE = 2_000_000_000_000_000_000, 3_000_000_000_000_000_000
-
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-@contextmanager
-def whole_tables() -> Iterator[None]:
-    """Models built inside map all rows of their tables."""
-    token = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(token)
+#: Services that a service calls; users of an event's or topic's name; kinds of names among which the numbers of an event choose.
+FAN, GROUP, NAMES = 3, 8, 100
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,30 +43,35 @@ def _line_key() -> F.Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long") + 1
 
 
+def _key(props: str = "props") -> F.Column:
+    return F.coalesce(F.get_json_object(props, "$.k").cast("long"), F.lit(0))
+
+
+def _subject(ev: DataFrame) -> DataFrame:
+    """Events with ``k``, the number of the event or topic that they are about: their own number, and the user's group."""
+    return ev.withColumn("k", _key() % NAMES + NAMES * F.floor(F.col("user_id") / GROUP).cast("long"))
+
+
 def edges(spark: SparkSession, sf_dir: str, services: int) -> DataFrame:
-    whole, discount = _WHOLE.get(), F.round("l_discount", 2)
     line = _table(spark, sf_dir, "lineitem")
-    if not whole:
-        line = line.filter("l_quantity >= 49")
-    is_direct, is_open = (F.coalesce(discount <= 0.05, F.lit(False)), ~F.coalesce(discount <= 0.05, F.lit(False))) if whole else (discount == 0.0, discount == 0.1)
+    is_direct = F.coalesce(F.round("l_discount", 2) <= 0.05, F.lit(False))
     kind = F.when(F.col("l_returnflag") == "A", "calls_grpc").when(F.col("l_returnflag") == "N", "calls_http").otherwise("routes_to")
     conf = F.when(F.col("l_linestatus") == "F", "high").otherwise("low")
     base = [_line_key().alias("id"), F.lit("repo").alias("source_type"), (F.col("l_suppkey") + 1).alias("source_id"), kind.alias("relationship_type"), F.concat(F.lit("lib/order_"), "l_orderkey", F.lit(".ex")).alias("source_file")]
-    direct = line.filter(is_direct).select(*base, F.lit("repo").alias("target_type"), (F.col("l_partkey") % services + 1).alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('"}')).alias("metadata"))
+    callee = (F.col("l_suppkey") * FAN + F.col("l_partkey") % FAN) % services + 1
+    direct = line.filter(is_direct).select(*base, F.lit("repo").alias("target_type"), callee.alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('"}')).alias("metadata"))
     name = F.concat(F.lit("part-"), "l_partkey")
-    open_ = line.filter(is_open).select(*base, F.lit("service_name").alias("target_type"), F.lit(0).cast("long").alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('","unresolved":"true","targetName":"'), name, F.lit('"}')).alias("metadata"))
-    ev = _table(spark, sf_dir, "events")
-    if not whole:
-        ev = ev.filter("value > 150")
-    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("source_id", F.col("user_id") % services + 1)
+    open_ = line.filter(~is_direct).select(*base, F.lit("service_name").alias("target_type"), F.lit(0).cast("long").alias("target_id"), F.concat(F.lit('{"confidence":"'), conf, F.lit('","unresolved":"true","targetName":"'), name, F.lit('"}')).alias("metadata"))
+    ev = _subject(_table(spark, sf_dir, "events")).withColumn("source_id", F.col("user_id") % services + 1)
     role = F.when(F.col("event_type") == "purchase", "producer").otherwise("consumer")
     topic = F.concat(F.lit("topic-"), "k")
     topics = ev.filter("event_type in ('purchase', 'signup')").select(
         (F.lit(TOPIC_BASE) + F.col("event_id")).alias("id"), F.lit("repo").alias("source_type"), "source_id", F.when(F.col("event_type") == "purchase", "produces_kafka").otherwise("consumes_kafka").alias("relationship_type"), F.lit("lib/topics.ex").alias("source_file"),
         F.lit("service_name").alias("target_type"), F.lit(0).cast("long").alias("target_id"), F.concat(F.lit('{"topic":"'), topic, F.lit('","role":"'), role, F.lit('","confidence":"high"}')).alias("metadata"),
     )
-    events_ = ev.filter("event_type in ('click', 'view')").select(
-        (F.lit(EVENT_BASE) + F.col("event_id")).alias("id"), F.lit("repo").alias("source_type"), "source_id", F.when(F.col("event_type") == "click", "produces_event").otherwise("consumes_event").alias("relationship_type"), F.lit("lib/events.ex").alias("source_file"),
+    # clicks and errors are produced, views are consumed
+    events_ = ev.filter("event_type in ('click', 'view', 'error')").select(
+        (F.lit(EVENT_BASE) + F.col("event_id")).alias("id"), F.lit("repo").alias("source_type"), "source_id", F.when(F.col("event_type") == "view", "consumes_event").otherwise("produces_event").alias("relationship_type"), F.lit("lib/events.ex").alias("source_file"),
         F.lit("event").alias("target_type"), (F.col("k") + 1).alias("target_id"), F.lit(None).cast("string").alias("metadata"),
     )
     rows = direct.unionByName(open_).unionByName(topics).unionByName(events_)
@@ -90,16 +81,15 @@ def edges(spark: SparkSession, sf_dir: str, services: int) -> DataFrame:
 def star_model(spark: SparkSession, sf_dir: str) -> Model:
     part, customer = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "customer")
     services = _table(spark, sf_dir, "supplier").count()
-    is_file = F.lit(True) if _WHOLE.get() else F.col("p_size") <= 25
-    file_id = F.when(is_file, F.col("p_partkey") + 1)
+    file_id = F.col("p_partkey") + 1
     owner = F.col("p_partkey") % services + 1
     kinds = F.element_at(F.array(F.lit("ecto_schema"), F.lit("proto_message"), F.lit("graphql_type")), (F.col("p_partkey") % 3 + 1).cast("int"))
     sub = F.element_at(F.array(*[F.lit(t) for t in ("schema", "context", "query", "graphql_type")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    k = _table(spark, sf_dir, "events").select((F.get_json_object("props", "$.k").cast("long")).alias("k")).distinct()
+    k = _subject(_table(spark, sf_dir, "events")).select("k").distinct()
     talk = _table(spark, sf_dir, "conversations")
     return Model(
         repos=repos(spark, sf_dir),
-        files=_shaped(part.filter(is_file).select((F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/"), "p_partkey", F.lit(".ex")).alias("path"), F.lit("elixir").alias("language")), "files"),
+        files=_shaped(part.select((F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/"), "p_partkey", F.lit(".ex")).alias("path"), F.lit("elixir").alias("language")), "files"),
         modules=_shaped(
             part.select(
                 (F.col("p_partkey") + 1).alias("id"), owner.alias("repo_id"), file_id.alias("file_id"), F.concat("p_brand", F.lit("."), F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).alias("name"), sub.alias("type"), F.concat("p_name", F.lit(" of "), "p_type").alias("summary"),
@@ -122,25 +112,25 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same model in DuckDB's SQL, as common table expressions to put before a query.
-STAR_SQL = """
+STAR_SQL = f"""
 star AS (SELECT count(*) AS services FROM supplier),
 repos AS (SELECT s_suppkey + 1 AS id, s_name AS name, '/repos/' || s_name AS path, 'service of nation ' || s_nationkey AS description FROM supplier),
 lines AS (
   SELECT *, ('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT, strftime(l_shipdate, '%Y-%m-%d'))), 1, 15))::BIGINT + 1 AS id,
     CASE l_returnflag WHEN 'A' THEN 'calls_grpc' WHEN 'N' THEN 'calls_http' ELSE 'routes_to' END AS kind, CASE WHEN l_linestatus = 'F' THEN 'high' ELSE 'low' END AS conf
-  FROM lineitem WHERE l_quantity >= 49),
-evs AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k, user_id % services + 1 AS source_id FROM main.events, star WHERE value > 150),
-edges AS (
-  SELECT id, 'repo' AS source_type, l_suppkey + 1 AS source_id, 'repo' AS target_type, l_partkey % services + 1 AS target_id, kind AS relationship_type, '{"confidence":"' || conf || '"}' AS metadata FROM lines, star WHERE round(l_discount, 2) = 0.0
-  UNION ALL SELECT id, 'repo', l_suppkey + 1, 'service_name', 0, kind, '{"confidence":"' || conf || '","unresolved":"true","targetName":"part-' || l_partkey || '"}' FROM lines WHERE round(l_discount, 2) = 0.1
+  FROM lineitem),
+evs AS MATERIALIZED (SELECT *, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) % {NAMES} + {NAMES} * (user_id // {GROUP}) AS k, user_id % services + 1 AS source_id FROM main.events, star),
+edges AS MATERIALIZED (
+  SELECT id, 'repo' AS source_type, l_suppkey + 1 AS source_id, 'repo' AS target_type, (l_suppkey * {FAN} + l_partkey % {FAN}) % services + 1 AS target_id, kind AS relationship_type, '{{"confidence":"' || conf || '"}}' AS metadata FROM lines, star WHERE coalesce(round(l_discount, 2) <= 0.05, false)
+  UNION ALL SELECT id, 'repo', l_suppkey + 1, 'service_name', 0, kind, '{{"confidence":"' || conf || '","unresolved":"true","targetName":"part-' || l_partkey || '"}}' FROM lines WHERE NOT coalesce(round(l_discount, 2) <= 0.05, false)
   UNION ALL SELECT 2000000000000000000 + event_id, 'repo', source_id, 'service_name', 0, CASE event_type WHEN 'purchase' THEN 'produces_kafka' ELSE 'consumes_kafka' END,
-    '{"topic":"topic-' || k || '","role":"' || CASE event_type WHEN 'purchase' THEN 'producer' ELSE 'consumer' END || '","confidence":"high"}' FROM evs WHERE event_type IN ('purchase', 'signup')
-  UNION ALL SELECT 3000000000000000000 + event_id, 'repo', source_id, 'event', k + 1, CASE event_type WHEN 'click' THEN 'produces_event' ELSE 'consumes_event' END, NULL FROM evs WHERE event_type IN ('click', 'view')),
-model_events AS (SELECT k + 1 AS id, k % services + 1 AS repo_id, 'Event' || k || 'Created' AS name, 'message Event' || k || ' { string id }' AS schema_definition, 'proto/event_' || k || '.proto' AS source_file
-  FROM (SELECT DISTINCT json_extract_string(props, '$.k')::BIGINT AS k FROM main.events), star),
-files AS (SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, 'lib/' || lower(p_type) || '/' || p_partkey || '.ex' AS path FROM part, star WHERE p_size <= 25),
+    '{{"topic":"topic-' || k || '","role":"' || CASE event_type WHEN 'purchase' THEN 'producer' ELSE 'consumer' END || '","confidence":"high"}}' FROM evs WHERE event_type IN ('purchase', 'signup')
+  UNION ALL SELECT 3000000000000000000 + event_id, 'repo', source_id, 'event', k + 1, CASE event_type WHEN 'view' THEN 'consumes_event' ELSE 'produces_event' END, NULL FROM evs WHERE event_type IN ('click', 'view', 'error')),
+model_events AS (SELECT k + 1 AS id, k % services + 1 AS repo_id, 'Event' || k || 'Created' AS name, 'message Event' || k || ' {{ string id }}' AS schema_definition, 'proto/event_' || k || '.proto' AS source_file
+  FROM (SELECT DISTINCT k FROM evs), star),
+files AS (SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, 'lib/' || lower(p_type) || '/' || p_partkey || '.ex' AS path FROM part, star),
 modules AS (
-  SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, CASE WHEN p_size <= 25 THEN p_partkey + 1 END AS file_id,
+  SELECT p_partkey + 1 AS id, p_partkey % services + 1 AS repo_id, p_partkey + 1 AS file_id,
     p_brand || '.' || array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], '') AS name,
     (['schema', 'context', 'query', 'graphql_type'])[(p_partkey % 4 + 1)::INT] AS type, p_name || ' of ' || p_type AS summary, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) || '_parts' END AS table_name FROM part, star),
 services AS (SELECT c_custkey + 1 AS id, c_custkey % star.services + 1 AS repo_id, c_name AS name, 'gRPC service for ' || lower(c_mktsegment) AS description, 'grpc' AS service_type FROM customer, star),

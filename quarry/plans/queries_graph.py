@@ -10,6 +10,7 @@ from quarry.operators import dependencies, explain, field_impact, graph, impact,
 from quarry.plans.model_map import STAR_SQL, star_model
 from quarry.plans.registry import query
 from quarry.schema import DIRECT_TYPES
+from quarry.session import staged
 
 _MECH = "CASE relationship_type WHEN 'calls_grpc' THEN 'grpc' WHEN 'calls_http' THEN 'http' WHEN 'routes_to' THEN 'gateway' WHEN 'produces_event' THEN 'event' WHEN 'consumes_event' THEN 'event' WHEN 'produces_kafka' THEN 'kafka' WHEN 'consumes_kafka' THEN 'kafka' ELSE relationship_type END"
 _LABEL = "CASE relationship_type WHEN 'calls_grpc' THEN 'gRPC' WHEN 'calls_http' THEN 'HTTP' WHEN 'routes_to' THEN 'Gateway' WHEN 'produces_kafka' THEN 'Kafka producer' WHEN 'consumes_kafka' THEN 'Kafka consumer' ELSE relationship_type END"
@@ -25,17 +26,23 @@ g_event AS (SELECT p.repo_id AS src_id, c.repo_id AS dst_id, 'event' AS mechanis
 g_topic AS (SELECT p.repo_id AS src_id, c.repo_id AS dst_id, 'kafka' AS mechanism, NULL::VARCHAR AS confidence, p.name AS via, 'produces_kafka' AS relationship_type, 2 AS cls, min(struct_pack(a := p.id, b := c.id)) AS o
   FROM p_topic p JOIN p_topic c ON p.key = c.key AND p.kind = 'produces_kafka' AND c.kind = 'consumes_kafka' AND p.repo_id <> c.repo_id GROUP BY ALL),
 g_open AS (SELECT source_id AS src_id, 0::BIGINT AS dst_id, {_MECH} AS mechanism, confidence, target_name AS via, relationship_type, 3 AS cls, id AS e1, 0::BIGINT AS e2 FROM stated WHERE source_type = 'repo' AND target_type = 'service_name' AND relationship_type NOT IN ('produces_kafka', 'consumes_kafka')),
-graph AS (SELECT * FROM g_direct UNION ALL SELECT * EXCLUDE (o), o.a, o.b FROM g_event UNION ALL SELECT * EXCLUDE (o), o.a, o.b FROM g_topic UNION ALL SELECT * FROM g_open)"""
+graph AS MATERIALIZED (SELECT * FROM g_direct UNION ALL SELECT * EXCLUDE (o), o.a, o.b FROM g_event UNION ALL SELECT * EXCLUDE (o), o.a, o.b FROM g_topic UNION ALL SELECT * FROM g_open),
+steps AS MATERIALIZED (SELECT DISTINCT src_id, dst_id, mechanism FROM graph WHERE dst_id <> 0)"""
 
 _ALL = "src_id, dst_id, mechanism, confidence, via, relationship_type, cls, e1, e2"
 
 
-def _reach(name: str, seeds: str, src: str, dst: str, depth: int, where: str = "true") -> str:
-    """Least depths from seeds, by a recursive union that drops repeated (seed, node, depth)."""
+def _reach(name: str, seeds: str, src: str, dst: str, depth: int | None = None, where: str = "true") -> str:
+    """Least depths from seeds, by a recursive union that drops repeated (seed, node, depth).
+
+    No shortest path has as many steps as there are services, so that bound stands for none.
+    """
+    bound = "(SELECT services FROM star)" if depth is None else str(depth)
     return f"""
+{name}_steps AS MATERIALIZED (SELECT DISTINCT {src} AS a, {dst} AS b FROM steps g WHERE {where}),
 {name}_walk AS (
   SELECT id AS seed, id AS node, 0 AS depth FROM ({seeds})
-  UNION SELECT w.seed, g.{dst}, w.depth + 1 FROM {name}_walk w JOIN graph g ON g.{src} = w.node WHERE w.depth < {depth} AND g.dst_id <> 0 AND {where}),
+  UNION SELECT w.seed, g.b, w.depth + 1 FROM {name}_walk w JOIN {name}_steps g ON g.a = w.node WHERE w.depth < {bound}),
 {name} AS (SELECT seed, node, min(depth) AS depth FROM {name}_walk GROUP BY seed, node HAVING min(depth) > 0)"""
 
 
@@ -48,6 +55,17 @@ def _setup(spark: SparkSession, sf_dir: str):
     return model, graph.graph_edges(model)
 
 
+def _one(model) -> DataFrame:
+    """The service that questions about a single one name."""
+    return model.repos.filter(F.col("name") == "Supplier#000000001").select(F.col("id").alias("seed"))
+
+
+def _graph(spark: SparkSession, sf_dir: str):
+    """Model and edges for traversals, which read the edges several times."""
+    model, edges = _setup(spark, sf_dir)
+    return model, staged(edges, "graph-edges")
+
+
 def _all_seeds(model) -> DataFrame:
     return model.repos.select(F.col("id").alias("seed"))
 
@@ -101,28 +119,31 @@ def allowed_types(spark, sf_dir):
     return star_model(spark, sf_dir).edges.filter(F.col("relationship_type").isin(*kinds)).groupBy("relationship_type").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(_with("SELECT seed, node, depth::INT AS depth FROM r", _reach("r", "SELECT id FROM repos", "src_id", "dst_id", 4)))
-def bfs_downstream(spark, sf_dir):
-    model, edges = _setup(spark, sf_dir)
-    return graph.downstream(_all_seeds(model), edges, 4)
+_DEPTHS = "SELECT seed, node, depth::INT AS depth FROM r"
 
 
-@query()
-def bfs_downstream_all(spark, sf_dir):
-    """Everything that a service leads to, at any depth; bfs_downstream stops at its SQL's depth of 4."""
-    model, edges = _setup(spark, sf_dir)
+@query(_with(_DEPTHS, _reach("r", "SELECT id FROM repos", "src_id", "dst_id")))
+def bfs_downstream(spark, sf_dir):
+    """Everything that each service leads to, at any depth."""
+    model, edges = _graph(spark, sf_dir)
     return graph.downstream(_all_seeds(model), edges)
 
 
+@query(_with(_DEPTHS, _reach("r", "SELECT id FROM repos", "src_id", "dst_id", 2)))
+def bfs_downstream_depth(spark, sf_dir):
+    model, edges = _graph(spark, sf_dir)
+    return graph.downstream(_all_seeds(model), edges, 2)
+
+
 @query(_with("SELECT seed, node, depth::INT AS depth FROM r", _reach("r", "SELECT id FROM repos", "dst_id", "src_id", 3)))
 def bfs_upstream(spark, sf_dir):
-    model, edges = _setup(spark, sf_dir)
+    model, edges = _graph(spark, sf_dir)
     return graph.upstream(_all_seeds(model), edges, 3)
 
 
 @query(_with("SELECT seed, node, depth::INT AS depth FROM r", _reach("r", "SELECT id FROM repos", "dst_id", "src_id", 3, "g.mechanism = 'grpc'")))
 def bfs_upstream_mech(spark, sf_dir):
-    model, edges = _setup(spark, sf_dir)
+    model, edges = _graph(spark, sf_dir)
     return graph.upstream(_all_seeds(model), edges, 3, "grpc")
 
 
@@ -137,22 +158,31 @@ entries AS (
   FROM r JOIN repos s ON s.id = r.seed JOIN repos n ON n.id = r.node LEFT JOIN mechs m ON m.seed = r.seed AND m.node = r.node LEFT JOIN confs c ON c.seed = r.seed AND c.node = r.node)"""
 
 
-def _entries(spark, sf_dir, mechanism=None):
-    model, edges = _setup(spark, sf_dir)
-    return impact.impact_entries(model, edges, _all_seeds(model), mechanism)
+def _shown(entries: DataFrame) -> DataFrame:
+    confidence = F.transform("confidence", lambda c: F.coalesce(c, F.lit("-")))
+    return entries.select("seed", "service", "node", "depth", "tier", "name", F.array_join("mechanisms", ",").alias("mechanisms"), F.array_join(confidence, ",").alias("confidence"))
+
 
+_ENTRIES = "SELECT seed, service, node, depth, tier, name, mechanisms, confidence FROM entries"
 
-@query(_with("SELECT seed, service, node, depth, tier, name, mechanisms, confidence FROM entries", _IMPACT))
+
+@query(_with(_ENTRIES, _IMPACT))
 def impact_tiers(spark, sf_dir):
     """Every service's blast radius at once."""
-    rows = _entries(spark, sf_dir)
-    shown = F.transform("confidence", lambda c: F.coalesce(c, F.lit("-")))
-    return rows.select("seed", "service", "node", "depth", "tier", "name", F.array_join("mechanisms", ",").alias("mechanisms"), F.array_join(shown, ",").alias("confidence"))
+    model, edges = _graph(spark, sf_dir)
+    return _shown(impact.impact_entries(model, edges, _all_seeds(model)))
+
+
+@query(_with(_ENTRIES + " WHERE service = 'Supplier#000000001'", _IMPACT))
+def impact_of_one(spark, sf_dir):
+    """One service's blast radius, as it is asked for."""
+    model, edges = _graph(spark, sf_dir)
+    return _shown(impact.impact_entries(model, edges, _one(model)))
 
 
 @query(_with("SELECT seed, node, count(*)::BIGINT AS edges FROM own GROUP BY ALL", _IMPACT))
 def impact_edge_collection(spark, sf_dir):
-    model, edges = _setup(spark, sf_dir)
+    model, edges = _graph(spark, sf_dir)
     seeds = _all_seeds(model)
     return graph.subgraph_edges(seeds, graph.upstream(seeds, edges, 3), edges).groupBy("seed", "node").agg(F.count(F.lit(1)).alias("edges"))
 
@@ -161,59 +191,97 @@ _STATS = """
 stats AS (SELECT seed, service, count(*)::BIGINT AS total, count(*) FILTER (tier = 'direct')::BIGINT AS direct, count(*) FILTER (tier = 'indirect')::BIGINT AS indirect, count(*) FILTER (tier = 'transitive')::BIGINT AS transitive FROM entries GROUP BY ALL)"""
 
 
+def _nodes(spark, sf_dir) -> DataFrame:
+    model, edges = _graph(spark, sf_dir)
+    return impact.impact_nodes(model, edges, _all_seeds(model))
+
+
 @query(_with("SELECT *, (3 * direct + 2 * indirect + transitive)::BIGINT AS score FROM stats", _IMPACT, _STATS))
 def impact_stats(spark, sf_dir):
-    return impact.impact_stats(_entries(spark, sf_dir)).drop("summary")
+    return impact.impact_stats(_nodes(spark, sf_dir)).drop("summary")
 
 
 @query(_with("SELECT seed, m AS mechanism, count(*)::BIGINT AS entries FROM (SELECT seed, unnest(string_split(mechanisms, ',')) AS m FROM entries WHERE mechanisms <> '') GROUP BY ALL", _IMPACT))
 def impact_mechanism_hist(spark, sf_dir):
-    return impact.mechanism_histogram(_entries(spark, sf_dir))
+    model, edges = _graph(spark, sf_dir)
+    seeds = _all_seeds(model)
+    return impact.mechanism_histogram(impact.impact_nodes(model, edges, seeds), seeds, edges)
 
 
 @query(_with("SELECT seed, service || ': ' || direct || ' direct, ' || indirect || ' indirect, ' || transitive || ' transitive (score: ' || (3 * direct + 2 * indirect + transitive) || ')' AS summary FROM stats", _IMPACT, _STATS))
 def impact_summary(spark, sf_dir):
-    return impact.impact_stats(_entries(spark, sf_dir)).select("seed", "summary")
+    return impact.impact_stats(_nodes(spark, sf_dir)).select("seed", "summary")
 
 
 _UNDIRECTED = """
-both_ways AS (SELECT src_id AS a, dst_id AS b FROM graph WHERE dst_id <> 0 UNION SELECT dst_id, src_id FROM graph WHERE dst_id <> 0),
-walk AS (SELECT id AS from_id, id AS node, 0 AS depth FROM repos UNION SELECT w.from_id, b.b, w.depth + 1 FROM walk w JOIN both_ways b ON b.a = w.node WHERE w.depth < 16),
-dist AS (SELECT from_id, node AS to_id, min(depth) AS hops FROM walk GROUP BY ALL)"""
+both_ways AS MATERIALIZED (SELECT src_id AS a, dst_id AS b FROM steps UNION SELECT dst_id, src_id FROM steps),
+walk AS (SELECT id AS from_id, id AS node, 0 AS depth FROM repos UNION SELECT w.from_id, b.b, w.depth + 1 FROM walk w JOIN both_ways b ON b.a = w.node WHERE w.depth < (SELECT services FROM star)),
+dist AS MATERIALIZED (SELECT from_id, node AS to_id, min(depth) AS hops FROM walk GROUP BY ALL)"""
+
+#: A search from every service, level by level in the order in which it finds services, and the paths walked back.
+_TREES = """
+walks AS MATERIALIZED (
+  SELECT node, next, min(struct_pack(back := back, cls := cls, e1 := e1, e2 := e2, mechanism := mechanism, via := via)) AS w FROM (
+    SELECT src_id AS node, dst_id AS next, 0 AS back, cls, e1, e2, mechanism, via FROM graph WHERE dst_id <> 0
+    UNION ALL SELECT dst_id, src_id, 1, cls, e1, e2, mechanism, via FROM graph WHERE dst_id <> 0) GROUP BY node, next),
+tree AS (
+  SELECT id AS from_id, id AS node, 0 AS step, 0::BIGINT AS rank, NULL::BIGINT AS parent, 0 AS back, NULL::VARCHAR AS mechanism, NULL::VARCHAR AS via FROM repos
+  UNION ALL SELECT from_id, node, step, row_number() OVER (PARTITION BY from_id ORDER BY b.rank, b.back, b.cls, b.e1, b.e2), b.parent, b.back, b.mechanism, b.via FROM (
+    SELECT t.from_id, k.next AS node, t.step + 1 AS step, min(struct_pack(rank := t.rank, back := k.w.back, cls := k.w.cls, e1 := k.w.e1, e2 := k.w.e2, parent := t.node, mechanism := k.w.mechanism, via := k.w.via)) AS b
+    FROM tree t JOIN walks k ON k.node = t.node JOIN dist d ON d.from_id = t.from_id AND d.to_id = k.next AND d.hops = t.step + 1 GROUP BY t.from_id, k.next, t.step)),
+path AS (
+  SELECT from_id, node AS to_id, step, parent, back, mechanism, via, node FROM tree WHERE step > 0
+  UNION ALL SELECT p.from_id, p.to_id, t.step, t.parent, t.back, t.mechanism, t.via, t.node FROM path p JOIN tree t ON t.from_id = p.from_id AND t.node = p.parent AND t.step > 0),
+hops AS MATERIALIZED (
+  SELECT p.from_id, p.to_id, p.step, s.name AS "from", d.name AS "to", p.mechanism, CASE WHEN p.mechanism IN ('event', 'kafka') THEN p.via END AS via
+  FROM path p JOIN repos s ON s.id = CASE WHEN back = 0 THEN parent ELSE node END JOIN repos d ON d.id = CASE WHEN back = 0 THEN node ELSE parent END)"""
+
+
+def _pairs_of(model, starts: DataFrame) -> DataFrame:
+    """Each service of ``starts`` (from_id) with every other: one search per start serves all its pairs."""
+    to = model.repos.select(F.col("id").alias("to_id"))
+    return starts.join(to, F.col("from_id") != F.col("to_id"))
 
 
 def _trace_pairs(model) -> DataFrame:
     """Every service with every other: the argument of a trace of all to all."""
-    return model.repos.select(F.col("id").alias("from_id")).join(model.repos.select(F.col("id").alias("to_id")), F.col("from_id") != F.col("to_id"))
+    return _pairs_of(model, model.repos.select(F.col("id").alias("from_id")))
 
 
 @query(_with("SELECT from_id, to_id, hops::BIGINT AS hops FROM dist WHERE hops > 0", _UNDIRECTED))
 def shortest_path_len(spark, sf_dir):
-    model, edges = _setup(spark, sf_dir)
+    model, edges = _graph(spark, sf_dir)
     trees = graph.search_trees(model.repos.select(F.col("id").alias("from_id")), edges)
     return trees.filter("step > 0").select("from_id", F.col("node").alias("to_id"), F.col("step").cast("long").alias("hops"))
 
 
-@query(_with("SELECT from_id, to_id, hops::BIGINT AS hops FROM dist WHERE hops > 0", _UNDIRECTED))
-def shortest_path_hop_counts(spark, sf_dir):
-    """The same from the hops themselves: each path has as many hops as its ends are apart."""
-    model, edges = _setup(spark, sf_dir)
-    return graph.shortest_paths(_trace_pairs(model), edges).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("hops"))
-
-
-@query()
+@query(_with('SELECT from_id, to_id, step::INT AS step, "from", "to", mechanism, via FROM hops', _UNDIRECTED, _TREES))
 def shortest_path_hops(spark, sf_dir):
-    model, edges = _setup(spark, sf_dir)
+    model, edges = _graph(spark, sf_dir)
     return trace.trace_hops(model, edges, _trace_pairs(model))
 
 
-@query()
+_CHAINS = """
+chains AS (
+  SELECT from_id, to_id, count(*)::BIGINT AS hop_count, arg_min("from", step) || string_agg(' -[' || mechanism || coalesce(': ' || via, '') || ']-> ' || "to", '' ORDER BY step) AS path_summary FROM hops GROUP BY ALL)"""
+_SUMMARY = """SELECT a.id AS from_id, b.id AS to_id, a.name AS "from", b.name AS "to", hop_count, path_summary FROM repos a JOIN repos b ON a.id <> b.id LEFT JOIN chains c ON c.from_id = a.id AND c.to_id = b.id"""
+
+
+@query(_with(_SUMMARY, _UNDIRECTED, _TREES, _CHAINS))
 def trace_summary(spark, sf_dir):
-    model, edges = _setup(spark, sf_dir)
+    model, edges = _graph(spark, sf_dir)
     pairs = _trace_pairs(model)
     return trace.trace_summaries(model, trace.trace_hops(model, edges, pairs), pairs)
 
 
+@query(_with(_SUMMARY + " WHERE a.name = 'Supplier#000000001'", _UNDIRECTED, _TREES, _CHAINS))
+def trace_from_one(spark, sf_dir):
+    """One service's paths to all others."""
+    model, edges = _graph(spark, sf_dir)
+    pairs = _pairs_of(model, _one(model).select(F.col("seed").alias("from_id")))
+    return trace.trace_summaries(model, trace.trace_hops(model, edges, pairs), pairs)
+
+
 def _links_sql(up: bool, mechanism: str | None = None) -> str:
     mine, other = ("source_id", "target_id") if up else ("target_id", "source_id")
     ev = ("consumes_event", "produces_event") if up else ("produces_event", "consumes_event")
@@ -262,11 +330,34 @@ def deps_depth_three(spark, sf_dir):
     return _deps(spark, sf_dir, depth=3).filter("type = 'repo'").select("seed", "name", "depth")
 
 
-@query()
+def _deps_levels(depth: int) -> str:
+    """The services and names that each service depends on, level by level: by the first link in the order of the search."""
+    out = ["d0 AS (SELECT id AS seed, 'r' || id AS key, id AS linked_id, name, NULL::VARCHAR AS mechanism, NULL::VARCHAR AS unresolved, [name] AS path, 0::BIGINT AS rank, 0 AS depth FROM repos)"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT seed, key FROM d{j}" for j in range(k))
+        out.append(f"""
+d{k} AS MATERIALIZED (
+  SELECT seed, key, b.linked_id, b.name, b.mechanism, b.unresolved, b.path, row_number() OVER (PARTITION BY seed ORDER BY b.rank, b.cls, b.e1, b.e2) AS rank, {k} AS depth FROM (
+    SELECT f.seed, k.key, min(struct_pack(rank := f.rank, cls := k.cls, e1 := k.e1, e2 := k.e2, linked_id := k.linked_id, name := k.name, mechanism := k.mechanism, unresolved := k.unresolved, path := list_concat(f.path, [k.segment, k.name]))) AS b
+    FROM d{k - 1} f JOIN first_links k ON k.repo_id = f.linked_id AND f.unresolved IS NULL WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.seed = f.seed AND s.key = k.key) GROUP BY f.seed, k.key))""")
+    return "first_links AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, key ORDER BY cls, e1, e2) AS nth FROM keyed) WHERE nth = 1),\n" + ",".join(out)
+
+
+_PATHS = " UNION ALL ".join(f"SELECT seed, name, CASE WHEN unresolved IS NULL THEN 'repo' ELSE 'unresolved' END AS type, mechanism, depth::INT AS depth, array_to_string(path, ' > ') AS path FROM d{k}" for k in (1, 2, 3))
+
+
+@query(_with(_PATHS, _links_sql(True), _deps_levels(3)))
 def deps_paths(spark, sf_dir):
     return _deps(spark, sf_dir, depth=3).select("seed", "name", "type", "mechanism", "depth", F.array_join("path", " > ").alias("path"))
 
 
+@query(_with(f"SELECT * FROM ({_PATHS}) WHERE seed = (SELECT id FROM repos WHERE name = 'Supplier#000000001')", _links_sql(True), _deps_levels(3)))
+def deps_of_one(spark, sf_dir):
+    """One service's dependencies, as they are asked for."""
+    model = star_model(spark, sf_dir)
+    return dependencies.dependencies(model, _one(model), depth=3).select("seed", "name", "type", "mechanism", "depth", F.array_join("path", " > ").alias("path"))
+
+
 _CONN = """
 conn AS (
   SELECT DISTINCT s.id AS repo_id, 'talks_to' AS side, g.mechanism, o.name FROM graph g JOIN repos s ON s.id = g.src_id JOIN repos o ON o.id = g.dst_id WHERE s.name <> o.name AND (g.cls IN (1, 2) OR (g.cls = 0 AND relationship_type IN ('calls_grpc', 'calls_http', 'routes_to')))

@@ -24,23 +24,3 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 from quarry.plans import queries_extract, queries_graph, queries_search, queries_store  # noqa: E402, F401
-from quarry.plans.model_map import whole_tables  # noqa: E402
-
-#: Queries over calls, events and files. Each is registered over whole tables too, without SQL.
-WHOLE = (
-    "edges_direct edges_event_two_hop edges_topic_two_hop edges_unresolved graph_union graph_reverse edge_metadata_json mechanism_label allowed_types bfs_downstream_all bfs_upstream bfs_upstream_mech "
-    "impact_tiers impact_edge_collection impact_stats impact_mechanism_hist impact_summary shortest_path_len shortest_path_hop_counts shortest_path_hops trace_summary "
-    "deps_upstream deps_downstream deps_mech_filter deps_depth_three deps_paths explain_connections explain_summary explain_truncated explain_events explain_counts "
-    "field_boundaries field_consumers field_origins field_impact_summary entity_relationships entity_relationship_filter entity_exact entity_shared_fields name_dim_lookup find_entity_fallback status_counts"
-).split()
-
-
-def _over_whole_tables(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with whole_tables():
-            return fn(spark, sf_dir)
-
-    return run
-
-
-QUERIES |= {f"{name}_whole": _over_whole_tables(QUERIES[name]) for name in WHOLE}

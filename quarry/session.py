@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cores: str = "4", **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "6g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName("quarry")
     for key, value in (defaults | conf).items():
@@ -43,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: what is used several times is made once, and has a known size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """A reliable checkpoint: an executor that is lost later costs nothing that was computed before."""
     shared_dir(df.sparkSession)
