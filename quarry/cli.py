@@ -9,6 +9,7 @@ import sys
 import time
 
 from quarry.api import Knowledge, ToolError
+from quarry.plans.indexing import NO_BRANCH
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     add("forget", ("id", one))
     add("status")
     add("docs")
+    add("serve", ("--root", one))
     return top
 
 
@@ -62,7 +64,8 @@ def run(args: argparse.Namespace, kb: Knowledge):
     c = args.command
     try:
         if c == "index":
-            return kb.index(args.root, names=args.repo, force=args.force, refresh=args.refresh)
+            shown = (lambda done, total, name: print(f"[{done}/{total}] {name}", file=sys.stderr)) if args.verbose else None
+            return kb.index(args.root, names=args.repo, force=args.force, refresh=args.refresh, progress=shown)
         if c == "search":
             if args.list_types:
                 return kb.types()
@@ -96,9 +99,13 @@ def run(args: argparse.Namespace, kb: Knowledge):
 
 
 def index_summary(results: list[dict]) -> str:
-    """One line about an index run."""
+    """An index run in a few lines: the counts, and what was skipped for want of a branch, failed or could not be refreshed."""
     by = lambda s: sum(r["status"] == s for r in results)
-    return f"{by('success')} indexed, {by('skipped')} skipped, {by('error')} failed"
+    lines = [f"{by('success')} indexed, {by('skipped')} skipped, {by('error')} failed"]
+    lines += [f"{r['repo']}: {r['reason']}" for r in results if r.get("reason") == NO_BRANCH]
+    lines += [f"{r['repo']}: {r['error']} ({r['category']})" for r in results if r["status"] == "error"]
+    lines += [f"{r['repo']}: not refreshed, {r['refresh_error']}" for r in results if r.get("refresh_error")]
+    return "\n".join(lines)
 
 
 def main(argv: list[str] | None = None, kb: Knowledge | None = None) -> int:
@@ -108,7 +115,12 @@ def main(argv: list[str] | None = None, kb: Knowledge | None = None) -> int:
         from quarry.plans.store import Store
         from quarry.session import local_session
 
-        kb = Knowledge(Store(local_session("*"), args.store))
+        kb = Knowledge(Store(local_session("*"), args.store), getattr(args, "root", None) if args.command == "serve" else None)
+    if args.command == "serve":
+        from quarry.server import serve
+
+        serve(kb, sys.stdin, sys.stdout)
+        return 0
     try:
         got = run(args, kb)
     except CommandError as error:

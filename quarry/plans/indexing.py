@@ -1,11 +1,14 @@
 """From working trees to the stored model: scan, extract, resolve, write, enrich.
 
-Everything of all repositories is one set of DataFrames: files are read and
-parsed in parallel, names are resolved by joins, and each table is written once.
+Everything of all repositories is one set of DataFrames: git is asked, files are
+read and parsed in parallel, names are resolved by joins, and each table is
+written once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,42 +56,23 @@ def tables_of(repos: DataFrame, files: DataFrame, found: dict[str, DataFrame], k
     return {"repos": repos, "files": stored_files, "modules": modules, "services": services, "events": events, "fields": fields, "edges": cut(edges)}
 
 
-def index_all(store: Store, root: str, names: list[str] | None = None, force: bool = False, refresh: bool = False, organizations: tuple[str, ...] = ()) -> list[dict]:
-    """Indexes the repositories below ``root`` and returns one result per repository: name, mode, or the error that stopped it."""
-    spark, results = store.spark, []
-    paths = [p for p in repositories.discover(root) if not names or p.rsplit("/", 1)[-1] in names]
-    stored = {r["name"]: r for r in store.table("repos").collect()}
-    work, changes = [], []
-    for path in paths:
-        name = path.rsplit("/", 1)[-1]
-        branch = git.default_branch(path)
-        if refresh and branch:
-            got = git.refresh(path, branch)
-            if got.get("error"):
-                results.append({"repo": name, "status": "error", "error": got["error"], "category": git.error_category(got["error"])})
-        head, tip = git.current_commit(path), git.branch_commit(path, branch) if branch else None
-        old = stored.get(name)
-        if not force and old is not None and tip is not None and old["last_indexed_commit"] == tip:
-            results.append({"repo": name, "status": "skipped", "mode": "skip"})
-            continue
-        last = old["last_indexed_commit"] if old else None
-        reach = bool(last and git.reachable(path, last))
-        lines = git.name_status(path, last, branch).splitlines() if reach and branch and not force else []
-        work.append({"name": name, "path": path, "head": head, "branch": branch, "last": last, "tip": tip, "reachable": reach, "lines": lines})
-    if not work:
-        return results
+NO_BRANCH, UNCHANGED = "no main or master branch", "no new commits"
+
+
+def _written(store: Store, work: list[dict], force: bool, organizations: tuple[str, ...]) -> dict[str, str]:
+    """Extracts and stores repositories (probes with ``last``) together; returns the mode of each by name."""
+    spark = store.spark
     repos = repositories.repository_table(spark, [w["path"] for w in work])
     files = cut(repositories.working_tree(repos))
     stamp = spark.createDataFrame([(w["name"], w["head"], w["branch"]) for w in work], "name string, last_indexed_commit string, default_branch string")
     known = repositories.metadata(repos, files).join(stamp, "name").withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp())
     model = store.model()
-    found = extracted(files, organizations)
-    tables = tables_of(cut(known), files, found, model.repos, model.services, model.events, model.modules)
+    tables = tables_of(cut(known), files, extracted(files, organizations), model.repos, model.services, model.events, model.modules)
     ids = {r["name"]: r["id"] for r in repos.collect()}
     changes = git.parsed_changes(spark.createDataFrame([(ids[w["name"]], line) for w in work for line in w["lines"]], "repo_id long, line string"))
     counts = {r["repo_id"]: r["count"] for r in changes.groupBy("repo_id").count().collect()}
     sizes = {r["repo_id"]: r["count"] for r in files.groupBy("repo_id").count().collect()}
-    plan = spark.createDataFrame([(ids[w["name"]], force, w["last"], w["tip"] or "", w["reachable"], counts.get(ids[w["name"]], 0), sizes.get(ids[w["name"]], 0)) for w in work], "repo_id long, force boolean, last string, tip string, reachable boolean, changed int, files int")
+    plan = spark.createDataFrame([(ids[w["name"]], force, w["last"], w["head"] or "", w["reachable"], counts.get(ids[w["name"]], 0), sizes.get(ids[w["name"]], 0)) for w in work], "repo_id long, force boolean, last string, tip string, reachable boolean, changed int, files int")
     mode = {r["repo_id"]: r["mode"] for r in modes(plan).collect()}
     of = lambda kind: [i for i in ids.values() if mode[i] == kind]
     pick = lambda i: {k: v.filter(F.col("id" if k == "repos" else "repo_id").isin(i)) for k, v in tables.items()}
@@ -96,10 +80,56 @@ def index_all(store: Store, root: str, names: list[str] | None = None, force: bo
         store.persist(pick(of("full")), of("full"))
     if of("surgical"):
         store.persist_changed(pick(of("surgical")), changes, of("surgical"))
-    results += [{"repo": w["name"], "status": "success", "mode": mode[ids[w["name"]]]} for w in work]
-    enrich(store, root)
-    store.write_index()
-    return results
+    return {w["name"]: mode[ids[w["name"]]] for w in work}
+
+
+def index_all(
+    store: Store, root: str, names: list[str] | None = None, force: bool = False, refresh: bool = False, organizations: tuple[str, ...] = (), progress: Callable[[int, int, str], None] | None = None
+) -> list[dict]:
+    """Indexes the repositories below ``root``; one result per repository: its mode, why it is skipped, or what stopped it.
+
+    Repositories that are named are indexed whatever their commits are. Others are skipped without a
+    main or master branch and without new commits. All are extracted together; if that fails, each
+    is tried by itself, so one that cannot be indexed leaves the others alone. A refresh that fails
+    is stated in the result, and the repository is indexed as it is.
+    """
+    say = progress or (lambda done, total, name: None)
+    wanted = [(p.rsplit("/", 1)[-1], p) for p in repositories.discover(root)]
+    wanted = [(n, p) for n, p in wanted if not names or n in names]
+    if not wanted:
+        return []
+    stored = {r["name"]: r["last_indexed_commit"] for r in store.table("repos").filter(F.col("name").isin([n for n, _ in wanted])).select("name", "last_indexed_commit").collect()}
+    results: dict[str, dict] = {}
+    work = []
+    for found in git.probes(store.spark, [(n, p, stored.get(n)) for n, p in wanted], refresh):
+        name = found["name"]
+        results[name] = {"repo": name} | ({"refresh_error": found["refresh_error"], "category": git.error_category(found["refresh_error"])} if found["refresh_error"] else {})
+        skip = None
+        if not force and not names:
+            skip = NO_BRANCH if not found["branch"] else UNCHANGED if stored.get(name) and stored[name] == found["tip"] else None
+        if skip:
+            results[name] |= {"status": "skipped", "mode": "skip", "reason": skip}
+        else:
+            work.append(found | {"last": stored.get(name)})
+    say(len(results) - len(work), len(results), "")
+    if work:
+        try:
+            batch, failed = _written(store, work, force, organizations), {}
+        except Exception:  # noqa: BLE001
+            batch, failed = {}, {}
+            for w in work:
+                try:
+                    batch |= _written(store, [w], force, organizations)
+                except Exception as error:  # noqa: BLE001
+                    failed[w["name"]] = str(error).splitlines()[0] if str(error) else type(error).__name__
+        for done, w in enumerate(work, len(results) - len(work) + 1):
+            name = w["name"]
+            results[name] |= {"status": "error", "error": failed[name], "category": git.error_category(failed[name])} if name in failed else {"status": "success", "mode": batch[name]}
+            say(done, len(results), name)
+        if batch:
+            enrich(store, root)
+            store.write_index()
+    return [results[n] for n, _ in wanted]
 
 
 def enrich(store: Store, root: str) -> int:

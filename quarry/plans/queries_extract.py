@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import extract
+from quarry.operators import fixed_values as V
 from quarry.plans.registry import query
-from quarry.shape import LIMIT, compact, envelope
+from quarry.shape import ITEMS, LIMIT, list_response
 
 
 def _pages(spark, sf_dir) -> DataFrame:
@@ -20,11 +23,19 @@ def http_host_extract(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", host.alias("host"), F.split_part(host, F.lit("."), F.lit(1)).alias("service"))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'api.stripe.com' WHEN 1 THEN 'github.com' WHEN 2 THEN 'notgithub.com' ELSE 'billing.internal' END AS host FROM pages WHERE page_id % 4 IN (2, 3)")
+_EXTERNAL = " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in V.EXTERNAL_DOMAINS)
+
+
+@query(f"""WITH hosts AS (
+  SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@\\s]+)', 1)) AS host FROM (
+    SELECT page_id, url FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) FROM pages))
+SELECT page_id, host FROM hosts WHERE host <> '' AND NOT ({_EXTERNAL})""")
 def external_domain_antijoin(spark, sf_dir):
-    k = F.col("page_id") % 4
-    url = F.when(k == 0, "https://api.stripe.com/v1").when(k == 1, "https://github.com/x").when(k == 2, "https://notgithub.com").otherwise("http://billing.internal:4000/api")
-    return _pages(spark, sf_dir).select("page_id", extract.url_host(url).alias("host")).filter(~extract.external_host(F.col("host")))
+    """The addresses of all pages, and all that they link to, without those of known public services."""
+    pages = _pages(spark, sf_dir)
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("url"))
+    hosts = pages.select("page_id", "url").unionByName(links).select("page_id", extract.url_host(F.col("url")).alias("host"))
+    return hosts.filter(~extract.external_host(F.col("host")))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
@@ -141,11 +152,12 @@ def rpc_domains(spark, sf_dir):
     return rows.select("name", extract.rpc_domain(F.col("name"), ("Acme",)).alias("domain"))
 
 
-@query()
+@query(f"""WITH shown AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS total, len(to_json(struct_pack(doc_id := doc_id, source := source, lang := lang))) AS n FROM documents),
+sizes AS (SELECT m, (SELECT sum(n) + m - 1 FROM shown WHERE k <= m) + len('{{"summary":"' || m || ' documents","data":[],"total":' || (SELECT max(total) FROM shown) || ',"truncated":' || CASE WHEN m < (SELECT max(total) FROM shown) THEN 'true' ELSE 'false' END || '}}') AS chars FROM (SELECT unnest([10, 5, 2, 1]) AS m))
+SELECT (SELECT max(m) FROM sizes WHERE chars <= {LIMIT})::BIGINT AS shown, (SELECT max(total) FROM shown)::BIGINT AS total""")
 def response_budget(spark, sf_dir):
-    """How many of the first ten documents fit one response."""
-    rows = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").select("doc_id", "text").limit(10).collect()]
-    n = len(rows)
-    while n > 1 and len(compact(envelope("s", rows[:n], len(rows), n < len(rows)))) > LIMIT:
-        n //= 2
-    return spark.createDataFrame([(n, len(rows))], "shown long, total long")
+    """How many of all documents' cards a tool's answer shows, and of how many: the answer itself says both."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = [r.asDict() for r in docs.select("doc_id", "source", "lang").orderBy("doc_id").limit(ITEMS).collect()]
+    answer = json.loads(list_response(first, lambda shown: f"{len(shown)} documents", total=docs.count()))
+    return spark.createDataFrame([(len(answer["data"]), answer["total"])], "shown long, total long")

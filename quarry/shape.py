@@ -24,12 +24,16 @@ def _clipped(value: Any, width: int) -> Any:
     return {k: _clipped(v, width) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-def list_response(items: list, summary: Callable[[list], str], most: int = ITEMS) -> str:
-    """A list's envelope within the limit: fewer items, halved until they fit; of a single one the strings are cut."""
+def list_response(items: list, summary: Callable[[list], str], most: int = ITEMS, total: int | None = None) -> str:
+    """A list's envelope within the limit: fewer items, halved until they fit; of a single one the strings are cut.
+
+    ``total`` counts all items where ``items`` are only the first of them.
+    """
+    total = len(items) if total is None else total
     n = max(1, min(most, len(items)))
     while True:
         shown = items[:n]
-        text = compact(envelope(summary(shown), shown, len(items), len(items) > len(shown)))
+        text = compact(envelope(summary(shown), shown, total, total > len(shown)))
         if len(text) <= LIMIT or n == 1:
             break
         n = max(1, n // 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,37 @@ def error_category(message: str) -> str:
     return next((k for k, words in rules.items() if any(w in text for w in words)), "other")
 
 
+PROBE_ROW = "name string, path string, head string, branch string, tip string, reachable boolean, lines array<string>, refresh_error string"
+
+
+def probe(name: str, path: str, last: str | None, refreshed: bool = False) -> dict:
+    """What git says of one repository: its commits, and its changes from ``last`` to HEAD.
+
+    With ``refreshed`` it is fetched and reset first; what stood in the way of that is stated, and
+    the repository is taken as it is.
+    """
+    branch = default_branch(path)
+    error = refresh(path, branch).get("error") if refreshed and branch else None
+    reach = bool(last and reachable(path, last))
+    lines = name_status(path, last, "HEAD").splitlines() if reach else []
+    return {"name": name, "path": path, "head": current_commit(path), "branch": branch, "tip": branch_commit(path, branch) if branch else None, "reachable": reach, "lines": lines, "refresh_error": error}
+
+
+def probes(spark: SparkSession, repos: list[tuple[str, str, str | None]], refreshed: bool = False) -> list[dict]:
+    """Probes of (name, path, last), by the executors, which see the same file system; one row per repository comes back."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(PROBE_ROW))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([probe(r["name"], r["path"], r["last"], refreshed) for r in batch.to_pylist()], schema=schema)
+
+    rows = spark.createDataFrame(repos, "name string, path string, last string").repartition(max(1, len(repos) // 8))
+    return sorted((r.asDict() for r in rows.mapInArrow(run, PROBE_ROW).collect()), key=lambda r: r["name"])
+
+
 def name_status(repo: str, since: str, branch: str) -> str:
     """The output of a diff by names and letters, empty if it fails."""
     return _git(repo, "diff", "--name-status", f"{since}..{branch}", timeout=60) or ""

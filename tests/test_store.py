@@ -103,6 +103,45 @@ def test_index_skip_and_surgical_equals_full(spark, root, tmp_path):
     assert surgical == tables(other)
 
 
+def test_which_repositories_are_indexed(spark, root, tmp_path, monkeypatch):
+    kb = store.Store(spark, str(tmp_path / "kb"))
+    subprocess.run(["git", "-C", str(root / "app-pay"), "branch", "-m", "main", "trunk"], check=True)
+    got = {r["repo"]: r for r in indexing.index_all(kb, str(root))}
+    assert got["app-pay"] == {"repo": "app-pay", "status": "skipped", "mode": "skip", "reason": indexing.NO_BRANCH} and got["app-shop"]["status"] == "success"
+    # a repository that is named is indexed without a branch and without new commits
+    got = indexing.index_all(kb, str(root), names=["app-pay"])
+    assert [(r["repo"], r["status"]) for r in got] == [("app-pay", "success")]
+    assert [(r["repo"], r["status"]) for r in indexing.index_all(kb, str(root), names=["app-shop"])] == [("app-shop", "success")]
+    # a refresh that fails is one result with what stood in its way
+    got = indexing.index_all(kb, str(root), names=["app-shop"], refresh=True)
+    assert [(r["status"], r["refresh_error"], r["category"]) for r in got] == [("success", "fetch failed or timed out", "timeout")]
+    # changes are those up to HEAD, also where another branch is checked out
+    subprocess.run(["git", "-C", str(root / "app-shop"), "checkout", "-q", "-b", "work"], check=True)
+    write(root / "app-shop" / "lib/new.ex", "defmodule Shop.New do\nend\n")
+    last = git.current_commit(str(root / "app-shop"))
+    commit(root / "app-shop")
+    assert git.probe("app-shop", str(root / "app-shop"), last)["lines"] == ["A\tlib/new.ex"]
+
+
+def test_a_failing_repository_leaves_the_others_alone(spark, root, tmp_path, monkeypatch):
+    kb, real, seen = store.Store(spark, str(tmp_path / "kb")), indexing._written, []
+
+    def broken(store_, work, *rest):
+        if any(w["name"] == "app-pay" for w in work):
+            raise ValueError("cannot parse this")
+        return real(store_, work, *rest)
+
+    monkeypatch.setattr(indexing, "_written", broken)
+    got = {r["repo"]: r for r in indexing.index_all(kb, str(root), progress=lambda *step: seen.append(step))}
+    assert got["app-shop"] == {"repo": "app-shop", "status": "success", "mode": "full"}
+    assert got["app-pay"] == {"repo": "app-pay", "status": "error", "error": "cannot parse this", "category": "other"}
+    assert seen[0] == (0, 2, "") and [s[:2] for s in seen[1:]] == [(1, 2), (2, 2)]
+    assert {r["name"] for r in kb.model().repos.collect()} == {"app-shop"}
+    from quarry.cli import index_summary
+
+    assert index_summary(list(got.values())) == "1 indexed, 0 skipped, 1 failed\napp-pay: cannot parse this (other)"
+
+
 def test_catalog_enrichment(spark, root, tmp_path):
     src = root / "my-event-catalog" / "src"
     write(src / "domains/d/index.mdx", "---\nid: d\nname: Sales\nservices:\n  - id: 's:shop'\n---\n")
