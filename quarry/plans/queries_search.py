@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenized
 from quarry.operators import entities, search
 from quarry.plans.model_map import STAR_SQL, document_texts, star_model
 from quarry.plans.registry import query
+from quarry.plans.store import stored_index, written_index
+from quarry.session import shared_dir
 
 _TOK = "trim(lower(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')))".format
 _LIST = "list_filter(string_split(" + _TOK("coalesce({0}, '')").replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}") + ", ' '), lambda w: w <> '')"
@@ -57,6 +61,20 @@ def _docs(spark, sf_dir):
     return model, search.fts_docs(search.index_texts(model).unionByName(document_texts(spark, sf_dir)))
 
 
+#: Folders of stored indexes by application and tables; an index is built by the first question to it.
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir):
+    """(model, documents, postings): as stored, so a question reads the postings of its terms and no text."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        path = f"{shared_dir(spark)}/fts-{uuid.uuid4().hex}"
+        written_index(_docs(spark, sf_dir)[1], path)
+        _INDEXED[key] = path
+    return star_model(spark, sf_dir), *stored_index(spark, _INDEXED[key])
+
+
 @query(f"WITH {STAR_SQL}\nSELECT id, {_TOK('name')} AS tokens FROM modules")
 def tokenize_names(spark, sf_dir):
     return star_model(spark, sf_dir).modules.select("id", tokenized(F.col("name")).alias("tokens"))
@@ -84,27 +102,27 @@ def fts_stats(spark, sf_dir):
 
 @query(_with(_OUT + "h", _hits_sql("h", [["nation"]], True)))
 def fts_single(spark, sf_dir):
-    docs = _docs(spark, sf_dir)[1]
-    return search.scored(search.postings(docs), search.index_stats(docs), search.Query((("nation",),), True))
+    _, docs, index = _index(spark, sf_dir)
+    return search.scored(index, search.index_stats(docs), search.Query((("nation",),), True))
 
 
 @query(_with(_OUT + "h", _hits_sql("h", [["small"], ["ring"]], True)))
 def fts_and(spark, sf_dir):
-    docs = _docs(spark, sf_dir)[1]
-    return search.scored(search.postings(docs), search.index_stats(docs), search.Query(search.words_of("small ring"), True))
+    _, docs, index = _index(spark, sf_dir)
+    return search.scored(index, search.index_stats(docs), search.Query(search.words_of("small ring"), True))
 
 
 @query(_with(_OUT + "h", _hits_sql("h", [["small", "ring"], ["widget"]], False)))
 def fts_or(spark, sf_dir):
     """``SmallRing widget``: the tokens of one word belong together."""
-    docs = _docs(spark, sf_dir)[1]
-    return search.scored(search.postings(docs), search.index_stats(docs), search.Query(search.words_of("SmallRing widget"), False))
+    _, docs, index = _index(spark, sf_dir)
+    return search.scored(index, search.index_stats(docs), search.Query(search.words_of("SmallRing widget"), False))
 
 
 @query(_with(_OUT + "h", _hits_sql("h", [["brand", "1"], ["eve"]], False, True)))
 def fts_prefix_or(spark, sf_dir):
-    docs = _docs(spark, sf_dir)[1]
-    return search.scored(search.postings(docs), search.index_stats(docs), search.Query(search.words_of("Brand#1 eve"), False, True))
+    _, docs, index = _index(spark, sf_dir)
+    return search.scored(index, search.index_stats(docs), search.Query(search.words_of("Brand#1 eve"), False, True))
 
 
 @query(_with(f"SELECT {_KEY} FROM sized WHERE contains(' ' || array_to_string(name_tokens, ' ') || ' ', ' cold bolt ') OR contains(' ' || array_to_string(desc_tokens, ' ') || ' ', ' cold bolt ')"))
@@ -114,7 +132,16 @@ def fts_phrase(spark, sf_dir):
 
 @query(_with(_OUT + "h " + _TOP + "20", _hits_sql("h", [["hot"], ["gear"]], True)))
 def fts_bm25_topk(spark, sf_dir):
-    return search.ranked(_docs(spark, sf_dir)[1], "hot gear")
+    _, docs, index = _index(spark, sf_dir)
+    return search.ranked(docs, "hot gear", index=index)
+
+
+@query(_with(f"""SELECT entity_type || ':' || sub_type AS entity_type, entity_id, array_to_string(name_tokens, ' ') AS name, array_to_string(desc_tokens, ' ') AS description, score
+  FROM (SELECT * FROM h {_TOP}20) JOIN sized USING (entity_type, sub_type, entity_id)""", _hits_sql("h", [["hot"], ["gear"]], True)))
+def fts_raw(spark, sf_dir):
+    """The same hits with their tokens and composite type, as the index holds them."""
+    _, docs, index = _index(spark, sf_dir)
+    return search.raw_search(docs, "hot gear", index=index)
 
 
 _RELAXED = """
@@ -130,23 +157,27 @@ def _relaxed_sql(groups: list[list[str]], where: str = "true") -> tuple[str, ...
 @query(_with(_OUT + "chosen", *_relaxed_sql([["gear"], ["zznothing"]])))
 def fts_relaxed(spark, sf_dir):
     """No document has both words, so either will do."""
-    return search.relaxed(_docs(spark, sf_dir)[1], "gear zznothing")
+    _, docs, index = _index(spark, sf_dir)
+    return search.relaxed(docs, "gear zznothing", index=index)
 
 
 @query(_with(_OUT + "chosen", *_relaxed_sql([["eventn"], ["suppl"]])))
 def fts_relaxed_prefix(spark, sf_dir):
     """No document has either word, so words that begin so will do."""
-    return search.relaxed(_docs(spark, sf_dir)[1], "eventn suppl")
+    _, docs, index = _index(spark, sf_dir)
+    return search.relaxed(docs, "eventn suppl", index=index)
 
 
 @query(_with(_OUT + "h WHERE entity_type = 'module' " + _TOP + "20", _hits_sql("h", [["economy"]], True)))
 def fts_type_coarse(spark, sf_dir):
-    return search.ranked(_docs(spark, sf_dir)[1], "ECONOMY", wanted="module")
+    _, docs, index = _index(spark, sf_dir)
+    return search.ranked(docs, "ECONOMY", wanted="module", index=index)
 
 
 @query(_with(_OUT + "h WHERE sub_type ILIKE 'Schema' " + _TOP + "20", _hits_sql("h", [["economy"]], True)))
 def fts_type_granular(spark, sf_dir):
-    return search.ranked(_docs(spark, sf_dir)[1], "ECONOMY", wanted="Schema")
+    _, docs, index = _index(spark, sf_dir)
+    return search.ranked(docs, "ECONOMY", wanted="Schema", index=index)
 
 
 _CARDS = """
@@ -172,14 +203,14 @@ _SHOWN = f"SELECT h.entity_type, h.sub_type, h.entity_id, c.name, c.repo, c.file
 
 @query(_with(_SHOWN.format("chosen"), _CARDS, *_relaxed_sql([["blue"], ["bolt"]])))
 def search_text_hydrated(spark, sf_dir):
-    model, docs = _docs(spark, sf_dir)
-    return search.search_text(model, docs, "blue bolt")
+    model, docs, index = _index(spark, sf_dir)
+    return search.search_text(model, docs, "blue bolt", index=index)
 
 
 @query(_with(_SHOWN.format("(SELECT * FROM h " + _TOP + "20)") + " WHERE c.repo = 'Supplier#000000001'", _CARDS, _hits_sql("h", [["supplier", "000000001"]], True)))
 def fts_repo_post_limit(spark, sf_dir):
-    model, docs = _docs(spark, sf_dir)
-    return search.search_text(model, docs, "Supplier#000000001", repo="Supplier#000000001")
+    model, docs, index = _index(spark, sf_dir)
+    return search.search_text(model, docs, "Supplier#000000001", repo="Supplier#000000001", index=index)
 
 
 @query(_with(f"SELECT DISTINCT entity_type, {_NEXT} FROM sized"))
@@ -227,12 +258,12 @@ def name_dim_lookup(spark, sf_dir):
 
 @query(_ENTITY + "SELECT entity_type, sub_type, entity_id, name, repo, file_path, description FROM exact_cards WHERE name = 'Supplier#000000007'")
 def find_entity(spark, sf_dir):
-    model, docs = _docs(spark, sf_dir)
-    return entities.find_entities(model, docs, "Supplier#000000007").drop("relationships")
+    model, docs, index = _index(spark, sf_dir)
+    return entities.find_entities(model, docs, "Supplier#000000007", index=index).drop("relationships")
 
 
 @query(_with("SELECT c.entity_type, c.sub_type, c.entity_id, c.name, c.repo, c.file_path, c.description FROM (SELECT * FROM h WHERE entity_type = 'module' " + _TOP + "20) h JOIN search_cards c ON c.entity_type = h.entity_type AND c.entity_id = h.entity_id", _CARDS, _hits_sql("h", [["red"], ["plate"]], True)))
 def find_entity_fallback(spark, sf_dir):
     """No entity has this very name, so the ranked search answers."""
-    model, docs = _docs(spark, sf_dir)
-    return entities.find_entities(model, docs, "red plate", wanted="module").drop("relationships")
+    model, docs, index = _index(spark, sf_dir)
+    return entities.find_entities(model, docs, "red plate", wanted="module", index=index).drop("relationships")

@@ -23,4 +23,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from quarry.plans import queries_extract, queries_graph, queries_search, queries_store  # noqa: E402, F401
+from quarry.plans import queries_extract, queries_graph, queries_search, queries_sources, queries_store  # noqa: E402, F401

@@ -1,8 +1,9 @@
-"""The stored model: Parquet tables partitioned by repository, facts and hygiene.
+"""The stored model: Parquet tables partitioned by buckets of repositories, facts and hygiene.
 
-A repository's rows are replaced by overwriting its partitions, so a write
-touches nothing of other repositories and a failed one leaves the old
-partitions in place. Facts are the only state that cannot be derived again;
+A repository's rows are replaced by overwriting its bucket with what the bucket
+held of other repositories and the new rows, so a table has as many files as
+buckets however many repositories there are, and a write reads and touches no
+other bucket. A failed one leaves the old partitions in place. Facts are the only state that cannot be derived again;
 a schema change drops the other tables and keeps them.
 """
 
@@ -20,7 +21,7 @@ from quarry.schema import SCHEMA_VERSION, TABLES, Model, empty_model
 
 #: Tables whose rows belong to a repository, by the column that says to which.
 OWNED = {"repos": "id", "files": "repo_id", "modules": "repo_id", "services": "repo_id", "events": "repo_id", "edges": "repo_id", "fields": "repo_id"}
-PART = "part_repo"
+PART, BUCKETS = "part_repo", 64
 MAX_CHANGED, MAX_CHANGED_SHARE = 200, 0.5
 
 
@@ -48,25 +49,46 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         schema = StructType.fromDDL(TABLES[name])
-        if not self._exists(name):
-            return self.spark.createDataFrame([], schema)
+        return self._stored(name).select(*schema.names) if self._exists(name) else self.spark.createDataFrame([], schema)
+
+    def _stored(self, name: str) -> DataFrame:
+        """A table as it is stored, with the bucket that prunes its partitions."""
+        schema = StructType.fromDDL(TABLES[name])
         stored = StructType([*schema.fields, *StructType.fromDDL(f"{PART} long").fields] if name in OWNED else schema.fields)
-        return self.spark.read.schema(stored).parquet(self._at(name)).select(*schema.names)
+        return self.spark.read.schema(stored).parquet(self._at(name))
 
     def model(self) -> Model:
         return Model(**{name: self.table(name) for name in TABLES})
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """Replaces the partitions of the repositories that ``rows`` hold, and no others."""
-        owner = OWNED[name]
-        shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TABLES[name]).fields]).withColumn(PART, F.col(owner))
-        shaped.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self._at(name))
+    def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
+        """All columns of a table, missing ones null, and the bucket."""
+        fields = StructType.fromDDL(TABLES[name]).fields
+        shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        return shaped.withColumn(PART, F.pmod(F.col(OWNED[name]), F.lit(BUCKETS)))
+
+    def replace(self, name: str, rows: DataFrame | None, repo_ids: list[int]) -> None:
+        """Puts ``rows`` (None: nothing) in place of all rows of these repositories."""
+        touched = sorted({i % BUCKETS for i in repo_ids})
+        ids = self.spark.createDataFrame([(i,) for i in repo_ids], f"{OWNED[name]} long")
+        parts = []
+        if self._exists(name):
+            stored = self._shaped(name, self._stored(name).filter(F.col(PART).isin(touched)))
+            parts.append(stored.join(ids, OWNED[name], "left_anti").select(*stored.columns))
+        if rows is not None:
+            parts.append(self._shaped(name, rows))
+        if not parts:
+            return
+        merged = self._staged(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+        left = [r[0] for r in merged.select(PART).distinct().collect()]
+        merged.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self._at(name))
+        for bucket in set(touched) - set(left):
+            if self._exists(f"{name}/{PART}={bucket}"):
+                self._delete(f"{name}/{PART}={bucket}")
 
     def clear(self, name: str, repo_ids: list[int]) -> None:
-        """Removes the partitions of repositories that have no rows any more."""
-        for i in repo_ids:
-            if self._exists(f"{name}/{PART}={i}"):
-                self._delete(f"{name}/{PART}={i}")
+        """Removes all rows of repositories."""
+        if self._exists(name):
+            self.replace(name, None, repo_ids)
 
     # -- versions
 
@@ -85,12 +107,7 @@ class Store:
         """All rows of these repositories, in place of what was stored of them."""
         for name in OWNED:
             if name in tables:
-                rows = tables[name].cache()
-                owners = {r[0] for r in rows.select(OWNED[name]).distinct().collect()}
-                self.clear(name, [i for i in repo_ids if i not in owners])
-                if owners:
-                    self.write(name, rows)
-                rows.unpersist()
+                self.replace(name, tables[name], repo_ids)
 
     def persist_changed(self, tables: dict[str, DataFrame], changed: DataFrame, repo_ids: list[int]) -> None:
         """Rows of changed files (repo_id, path) in place of those stored of them; rows of other files stay.
@@ -124,9 +141,7 @@ class Store:
     def write_index(self) -> None:
         """Rebuilds the stored index of everything but facts: documents, and postings partitioned by two leading characters."""
         texts = search.index_texts(self.model()).filter("entity_type <> 'learned_fact'")
-        search.fts_docs(texts).write.mode("overwrite").parquet(self._at("fts_docs"))
-        docs = self.spark.read.parquet(self._at("fts_docs"))
-        search.postings(docs).repartition("p2").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(self._at("fts_postings"))
+        written_index(search.fts_docs(texts), self.path)
 
     def index(self) -> tuple[DataFrame, DataFrame]:
         """(documents, postings): the stored ones, with facts as they are now; all made anew where nothing is stored."""
@@ -134,10 +149,8 @@ class Store:
         if not self._exists("fts_postings/_SUCCESS"):
             docs = search_index(self.model())
             return docs, search.postings(docs)
-        extra = search.postings(facts)
-        schema = StructType([f for f in extra.schema.fields if f.name != "p2"]).add("p2", "string")
-        stored = self.spark.read.schema(schema).parquet(self._at("fts_postings")).select(*extra.columns)
-        return self.spark.read.schema(facts.schema).parquet(self._at("fts_docs")).unionByName(facts), stored.unionByName(extra)
+        docs, stored = stored_index(self.spark, self.path)
+        return docs.unionByName(facts), stored.unionByName(search.postings(facts))
 
     # -- facts
 
@@ -176,6 +189,23 @@ class Store:
         return len(ids)
 
 
+def written_index(docs: DataFrame, path: str) -> None:
+    """The tables ``fts_docs`` and ``fts_postings`` below ``path``; a prefix's terms are dealt to several tasks, as some prefixes are in most texts."""
+    spark = docs.sparkSession
+    docs.write.mode("overwrite").parquet(f"{path}/fts_docs")
+    rows = search.postings(spark.read.schema(docs.schema).parquet(f"{path}/fts_docs"))
+    dealt = rows.repartition(F.col("p2"), F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("p2", "term")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{path}/fts_postings")
+
+
+def stored_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, postings) as ``written_index`` left them; a query's terms prune partitions and row groups."""
+    docs = spark.read.parquet(f"{path}/fts_docs")
+    shape = search.postings(docs).schema
+    schema = StructType([f for f in shape.fields if f.name != "p2"]).add("p2", "string")
+    return docs, spark.read.schema(schema).parquet(f"{path}/fts_postings").select(*shape.names)
+
+
 def facts_listed(facts: DataFrame, repo: str | None = None) -> DataFrame:
     """Facts, of one repository or all, the latest first."""
     rows = facts if repo is None else facts.filter(F.col("repo") == repo)
@@ -230,4 +260,4 @@ def search_index(model: Model, fact_text: str = "repo") -> DataFrame:
     return search.fts_docs(search.index_texts(model, fact_text))
 
 
-__all__ = ["Store", "empty_model", "facts_listed", "missing_repositories", "modes", "search_index", "stale_facts", "staleness", "status_counts", "unchanged"]
+__all__ = ["Store", "empty_model", "facts_listed", "missing_repositories", "modes", "search_index", "stale_facts", "staleness", "status_counts", "stored_index", "unchanged", "written_index"]
