@@ -396,6 +396,8 @@ def test_pipeline_stages(spark):
         out = stage(spark, seen, sf).cache()
         if name != "byte_bpe":
             assert out.columns == docs.columns, name
+        if name == "language":
+            assert out.count() == docs.count()  # all prose is of a learned language
         if name == "near_duplicates":
             texts = {r.doc_id: r.text for r in out.collect()}
             sets = brute_sets(list(texts.values()), 5)

@@ -137,7 +137,7 @@ def test_language_of_held_out_texts(spark):
     noise = ["".join(rnd.choice("qxzjkvwpbgy") for _ in range(300)), "".join(chr(rnd.randrange(0xA1, 0x2FF)) for _ in range(400)), "".join(rnd.choice("qxzjkvwpbgy ") for _ in range(3000))]
     more = spark.createDataFrame([(2000 + k, t, None, "x") for k, t in enumerate(noise)], df.schema).unionByName(spark.createDataFrame([(3000, "the and of it was he for it with as his on be", None, "x")], df.schema))
     odd = df.unionByName(more).withColumn("noise", F.lit("n")).withColumn("__bytes", F.lit(1)).withColumn("row", F.lit(2))
-    kept = language.spoken(odd)
+    kept = language.spoken(odd, most=0.9)  # a network of so few documents is less sure
     ids = {r.doc_id: r.lang for r in kept.collect()}
     assert kept.columns == odd.columns and {1000, 1001, 2000, 2001, 2002}.isdisjoint(ids) and {i for i, _, _ in rows} <= set(ids) and ids[3000] == "en"
 
