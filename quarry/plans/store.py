@@ -68,19 +68,18 @@ class Store:
 
     def replace(self, name: str, rows: DataFrame | None, repo_ids: list[int]) -> None:
         """Puts ``rows`` (None: nothing) in place of all rows of these repositories."""
+        put = lambda df: df.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self._at(name))
+        if not self._exists(name):
+            if rows is not None:
+                put(self._shaped(name, rows))
+            return
         touched = sorted({i % BUCKETS for i in repo_ids})
         ids = self.spark.createDataFrame([(i,) for i in repo_ids], f"{OWNED[name]} long")
-        parts = []
-        if self._exists(name):
-            stored = self._shaped(name, self._stored(name).filter(F.col(PART).isin(touched)))
-            parts.append(stored.join(ids, OWNED[name], "left_anti").select(*stored.columns))
-        if rows is not None:
-            parts.append(self._shaped(name, rows))
-        if not parts:
-            return
-        merged = self._staged(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+        stored = self._shaped(name, self._stored(name).filter(F.col(PART).isin(touched)))
+        others = stored.join(ids, OWNED[name], "left_anti").select(*stored.columns)
+        merged = self._staged(others if rows is None else others.unionByName(self._shaped(name, rows)))
         left = [r[0] for r in merged.select(PART).distinct().collect()]
-        merged.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self._at(name))
+        put(merged)
         for bucket in set(touched) - set(left):
             if self._exists(f"{name}/{PART}={bucket}"):
                 self._delete(f"{name}/{PART}={bucket}")
