@@ -40,9 +40,15 @@ def merge_batch(store: Store, batch: DataFrame) -> None:
     latest.unpersist()
 
 
-def start(store: Store, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Merges every micro-batch of the stream into the store."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: merge_batch(store, batch)).start()
+def start(store: Store, stream: DataFrame, checkpoint: str, index: bool = True) -> StreamingQuery:
+    """Merges every micro-batch of the stream into the store, and writes the text index anew after it unless ``index`` is off."""
+
+    def merged(batch: DataFrame, _: int) -> None:
+        merge_batch(store, batch)
+        if index:
+            store.write_index()
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merged).start()
 
 
 def change_counts(stream: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
