@@ -17,7 +17,8 @@ one more per cell, and at most ``GRAIN`` large groups: what the driver packs and
 broadcasts is bounded by constants at any size. The price of the second level is
 at most an item's bytes in a shard's fill, 1 / 256 of a shard with 16 shards.
 With ``capacity`` in place of a number of shards, items are 1 / ``PIECES`` of it,
-and as few shards are opened as packing needs.
+and as few shards are opened as packing needs; the driver then packs about 2 * ``PIECES``
+items per shard, and their table is broadcast only where it is small.
 
 Rows find their shard by a join on the group. Groups of at least 1 / ``HOT`` of
 all rows, of which there are at most ``HOT``, go through a broadcast, so no
@@ -218,7 +219,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None,
     sizes = [r["bytes"] for r in items]
     bins = pack_into(sizes, shards) if capacity is None else pack(sizes, capacity)
     placed = spark.createDataFrame([(r["item"], b) for r, b in zip(items, bins)], "item long, shard int")
-    assigned = packed.join(F.broadcast(placed), "item").select("group", "shard")
+    # with a capacity the items grow with the corpus: their table is written, so that Spark goes by its size
+    placed = F.broadcast(placed) if capacity is None else written(placed, "sharding-placed")
+    assigned = packed.join(placed, "item").select("group", "shard")
     hot = assigned.join(F.broadcast(groups.filter(F.col("rows") * HOT >= (total["rows"] or 0)).select("group")), "group", "left_semi")
     hot = written(hot, "sharding-hot")
     few = rows.join(F.broadcast(hot), "group")
