@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import audio, bpe, exact_substrings, language, minhash, mixing, rans, sharding, tiles, token_counts
+from quarry.llm import audio, bpe, chunk_reuse, exact_substrings, language, minhash, mixing, rans, sharding, tiles, token_counts
 from quarry.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_mixing, op4_language, op5_rans, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding)}
+def op11_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_mixing, op4_language, op5_rans, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding, op11_chunk_reuse)}
 
 ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": exact_substrings.sql(), "op3_mixing": mixing.sql(), "op6_tiles": tiles.sql(), "op9_minhash": minhash.sql(words=4, percent=80)}
