@@ -63,7 +63,8 @@ def test_cuts_follow_the_content():
 
 
 def test_repeated_chunks_are_found(spark):
-    text = "".join(random.Random(5).choice("abcdef gh") for _ in range(40_000))
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abcdef gh") for _ in range(40_000))
     df = spark.createDataFrame([(k, f"{k} {text}") for k in range(5)] + [(9, text[::-1])], "doc_id long, text string")
     repeated = chunk_reuse.repeated_chunks(df)
     spans = [chunk_reuse._spans(f"{k} {text}".encode(), repeated) for k in range(5)]
