@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import audio, bpe, chunk_reuse, exact_substrings, language, minhash, mixing, rans, sharding, tiles, token_counts
+from quarry.llm import audio, bpe, chunk_reuse, exact_substrings, language, lexical, minhash, mixing, phrases, rans, sharding, tiles, token_counts
 from quarry.llm.common import table
 
 
@@ -54,6 +54,14 @@ def op11_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reuse.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_mixing, op4_language, op5_rans, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding, op11_chunk_reuse)}
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": exact_substrings.sql(), "op3_mixing": mixing.sql(), "op6_tiles": tiles.sql(), "op9_minhash": minhash.sql(words=4, percent=80)}
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_mixing, op4_language, op5_rans, op6_tiles, op7_audio, op8_token_counts, op9_minhash, op10_sharding, op11_chunk_reuse, op12_lexical, op13_phrases)}
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": exact_substrings.sql(), "op3_mixing": mixing.sql(), "op6_tiles": tiles.sql(), "op9_minhash": minhash.sql(words=4, percent=80), "op12_lexical": lexical.sql(), "op13_phrases": phrases.sql()}

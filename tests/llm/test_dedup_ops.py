@@ -448,12 +448,12 @@ def test_pipeline_stages_with_odd_rows(spark):
 
 
 def test_queries_and_their_sql(spark):
-    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 11))
-    assert set(queries.ORACLE_SQL) == {"op1_suffix_dedup", "op3_mixing", "op6_tiles", "op9_minhash"}
+    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 14))
+    assert set(queries.ORACLE_SQL) == {"op1_suffix_dedup", "op3_mixing", "op6_tiles", "op9_minhash", "op12_lexical", "op13_phrases"}
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, text in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
