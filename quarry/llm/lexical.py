@@ -146,7 +146,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE, depth: int = DEPTH) -> tuple[l
     if row is None:
         return [], np.zeros((0, 1), np.float32), 0
     known = bytes(row["terms"]).split(b" ") if row["terms"] else []
-    return known, np.frombuffer(bytes(row["weights"]), np.float32).reshape(len(known), -1), row["depth"]
+    return known, np.frombuffer(bytes(row["weights"]), np.float32).reshape(len(known), max(1, (1 << row["depth"]) - 1)), row["depth"]
 
 
 # --- the index ------------------------------------------------------------------------------------------------
