@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.llm.common import releasing, single_threaded, sliced, texts_of, tokenizer_path, written
+from quarry.llm.pieces import PieceTable
 from quarry.llm.token_counts import spliceable, stable
 
 #: Bytes of a chunk: at least, at most, and leading hash bits that are zero at a cut (1024 bytes more on average).
@@ -50,6 +52,22 @@ SLICE = 4 << 20
 BLOCK, REACH = 1 << 20, 32
 
 
+#: Pre-tokens remembered at a time.
+KEPT = 250_000
+
+#: The byte-level pre-tokens, with the letters, numbers and white space of Latin-1 spelled out.
+_LETTERS, _NUMBERS, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACE}{_LETTERS}{_NUMBERS}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _gear() -> np.ndarray:
     """A fixed number for each byte: the leading 32 bits of its BLAKE2 hash."""
     return np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "big") for b in range(256)], np.uint32)
@@ -125,10 +143,25 @@ class Codec:
             self.bytes[k] = content
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.margin = max([len(c) for c in added.values()], default=1)
+        self.special = [c.decode() for c in added.values()]
+        self.table = PieceTable(self._learn, self.type, KEPT)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._library(pieces)
+        return np.concatenate([*ids, np.zeros(0, self.type)]), np.array([len(i) for i in ids], np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text by itself. In Latin-1 texts without special strings each different pre-token is encoded once."""
+        if not self.joins:
+            return self._library(texts)
+        plain = [k for k, t in enumerate(texts) if latin(t) and not any(s in t for s in self.special)]
+        others = sorted({*range(len(texts))} - {*plain})
+        out = dict(zip(plain, self.table.ids([PIECE.findall(texts[k]) for k in plain]))) | dict(zip(others, self._library([texts[k] for k in others])))
+        return [out[k] for k in range(len(texts))]
+
     def data(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 

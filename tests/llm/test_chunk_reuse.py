@@ -51,6 +51,13 @@ def test_spans_cut_anywhere_join_to_the_text(library, seed):
         assert own.joined(spans).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_all_of_latin_1_in_every_place(library):
+    own, rnd = chunk_reuse.Codec(tokenizer_path("byte_bpe_50k.json")), random.Random(9)
+    texts = ["".join(chr(rnd.choice([rnd.randrange(256), 32, 39, 10, 115])) for _ in range(60)) for _ in range(800)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_follow_the_content():
     rnd = random.Random(3)
     shared = "".join(rnd.choice("abcdefgh éß日") for _ in range(60_000)).encode()
