@@ -8,9 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import dependencies, entities, explain, field_impact, graph, impact, search, trace
+from quarry.operators import dependencies, entities, explain, field_impact, impact, search, trace
 from quarry.plans import indexing, store
 from quarry.schema import FILTER_TYPES
+from quarry.session import cut
 from quarry.shape import compact, field_impact_response, impact_response, list_response, single_response
 from quarry.sources import git
 
@@ -59,9 +60,11 @@ class Knowledge:
         self.reload()
 
     def reload(self) -> None:
+        """Goes to the store's last version."""
+        self.store.refresh()
         self.model = self.store.model()
-        self.docs, self.postings = self.store.index()
-        self.edges = graph.graph_edges(self.model)
+        self.docs, self.text = self.store.index()
+        self.stored, self.edges = self.store.graph(), self.store.edges()
 
     def _seed(self, name: str) -> DataFrame:
         return self.model.repos.filter(F.col("name") == name).select(F.col("id").alias("seed"))
@@ -77,18 +80,23 @@ class Knowledge:
     def search(self, query: str, limit: int = 20, repo: str | None = None, kind: str | None = None) -> list[dict]:
         if not query or not query.strip():
             return []
-        return rows(search.search_text(self.model, self.docs, query, limit, repo, kind, self.postings).orderBy("score", "entity_type", "entity_id"))
+        return rows(search.search_text(self.model, self.docs, query, limit, repo, kind, self.text).orderBy("score", "entity_type", "entity_id"))
 
     def entity(self, name: str, kind: str | None = None, relationship: str | None = None, repo: str | None = None) -> list[dict]:
-        return rows(entities.find_entities(self.model, self.docs, name, kind, relationship, repo, self.postings))
+        return rows(entities.find_entities(self.model, self.docs, name, kind, relationship, repo, self.text))
 
     def deps(self, name: str, direction: str = "upstream", depth: int | str = 1, repo: str | None = None, mechanism: str | None = None) -> dict:
-        found = rows(dependencies.dependencies(self.model, self._seed(name), direction, depth, checked_mechanism(mechanism), repo).orderBy("depth", "rank"))
+        near = None if self.stored is None else lambda frontier: self.stored.near(direction, frontier, "node")
+        found = rows(dependencies.dependencies(self.model, self._seed(name), direction, depth, checked_mechanism(mechanism), repo, near).orderBy("depth", "rank"))
         return {"entity": {"name": name, "type": "repo", "repoName": name}, "dependencies": [{k: d[k] for k in ("name", "type", "mechanism", "confidence", "depth", "path")} for d in found]}
 
     def impact(self, name: str, mechanism: str | None = None, depth: int = 3) -> dict:
         self._known(name)
-        entries = impact.impact_entries(self.model, self.edges, self._seed(name), checked_mechanism(mechanism), depth)
+        seed, edges, nodes, checked = self._seed(name), self.edges, None, checked_mechanism(mechanism)
+        if self.stored is not None:
+            nodes = cut(self.stored.upstream(seed, depth, checked))
+            edges = self.stored.near("out", nodes, "node")
+        entries = impact.impact_entries(self.model, edges, seed, checked, depth, nodes)
         found = rows(entries.orderBy("depth", "node"))
         tiers = {t: [{"name": e["name"], "mechanisms": e["mechanisms"], "confidence": e["confidence"]} for e in found if e["tier"] == t] for t in ("direct", "indirect", "transitive")}
         counts = {t: len(v) for t, v in tiers.items()}
@@ -103,7 +111,7 @@ class Knowledge:
     def trace(self, start: str, end: str) -> dict:
         self._known(start, end)
         pairs = self._seed(start).select(F.col("seed").alias("from_id")).join(self._seed(end).select(F.col("seed").alias("to_id")), F.lit(True))
-        hops = trace.trace_hops(self.model, self.edges, pairs)
+        hops = trace.trace_hops(self.model, self.edges, pairs) if self.stored is None else cut(trace.traced_pairs(self.model, self.stored.walks, pairs))
         found = rows(trace.trace_summaries(self.model, hops, pairs))[0]
         if found["path_summary"] is None:
             raise ToolError(f"No path between {start} and {end}")

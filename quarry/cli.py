@@ -7,6 +7,7 @@ import json
 import os
 import sys
 import time
+from collections import Counter
 
 from quarry.api import Knowledge, ToolError
 from quarry.plans.indexing import NO_BRANCH
@@ -99,11 +100,14 @@ def run(args: argparse.Namespace, kb: Knowledge):
 
 
 def index_summary(results: list[dict]) -> str:
-    """An index run in a few lines: the counts, and what was skipped for want of a branch, failed or could not be refreshed."""
+    """An index run in a few lines: the counts, errors by category, and what was skipped for want of a branch, failed, is missing or could not be refreshed."""
     by = lambda s: sum(r["status"] == s for r in results)
     lines = [f"{by('success')} indexed, {by('skipped')} skipped, {by('error')} failed"]
     lines += [f"{r['repo']}: {r['reason']}" for r in results if r.get("reason") == NO_BRANCH]
+    kinds = Counter(r["category"] for r in results if r.get("category"))
+    lines += [f"{kind}: {n}" for kind, n in sorted(kinds.items(), key=lambda k: (-k[1], k[0]))] if len(kinds) > 1 or kinds.total() > 1 else []
     lines += [f"{r['repo']}: {r['error']} ({r['category']})" for r in results if r["status"] == "error"]
+    lines += [f"{r['repo']}: {r['reason']}" for r in results if r["status"] == "missing"]
     lines += [f"{r['repo']}: not refreshed, {r['refresh_error']}" for r in results if r.get("refresh_error")]
     return "\n".join(lines)
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.edges import admitted, described, label, metadata_field
+from quarry.operators.graph import Touched, met
 from quarry.schema import DIRECT_TYPES, UNRESOLVED, Model
 from quarry.session import cut
 
 MAX_DEPTH = 10
-LINK_COLUMNS = ("repo_id", "linked_id", "name", "mechanism", "confidence", "segment", "unresolved", "cls", "e1", "e2")
+LINK_COLUMNS = ("repo_id", "linked_id", "name", "mechanism", "confidence", "segment", "unresolved", "kind", "cls", "e1", "e2")
 
 
 def _links(rows: DataFrame, cls: int, **columns) -> DataFrame:
@@ -24,11 +27,11 @@ def _stated(model: Model) -> DataFrame:
     return model.edges.withColumn("confidence", metadata_field(meta, "confidence")).withColumn("topic", metadata_field(meta, "topic")).withColumn("target_name", metadata_field(meta, "targetName"))
 
 
-def links(model: Model, direction: str = "upstream", mechanism: str | None = None) -> DataFrame:
-    """All one-hop links of a direction: (repo_id, linked_id, name, mechanism, confidence, segment, unresolved, order).
+def links(model: Model, direction: str = "upstream", mechanism: str | None = None, touching: Touched | None = None) -> DataFrame:
+    """All one-hop links of a direction: (repo_id, linked_id, name, mechanism, confidence, segment, unresolved, kind, order).
 
-    Four kinds, in this order: direct calls, events, topics and (upstream only) calls whose
-    callee is only a name.
+    Four classes, in this order: direct calls, events, topics and (upstream only) calls whose
+    callee is only a name. With ``touching`` only links that a change of it can make, end or alter.
     """
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"direction is upstream or downstream, not {direction}")
@@ -42,8 +45,11 @@ def links(model: Model, direction: str = "upstream", mechanism: str | None = Non
     if direct:
         rows = of_repo.filter((F.col("target_type") == "repo") & kind.isin(*direct))
         mine, other = ("source_id", "target_id") if up else ("target_id", "source_id")
-        rows = rows.select(F.col(mine).alias("repo_id"), F.col(other).alias("linked_id"), kind, conf, F.col("id").alias("e1")).join(names, "linked_id")
-        parts.append(_links(rows, 0, mechanism=described(kind, conf), segment=label(kind)))
+        rows = rows.select(F.col(mine).alias("repo_id"), F.col(other).alias("linked_id"), kind, conf, F.col("id").alias("e1"))
+        if touching is not None:  # an end that changes its name or goes alters the links of others too
+            rows = touching.of(rows, "repo_id").unionByName(touching.of(rows, "linked_id")).distinct()
+        rows = rows.join(names, "linked_id")
+        parts.append(_links(rows, 0, mechanism=described(kind, conf), segment=label(kind), kind=kind))
     mine_kind, other_kind = ("consumes_event", "produces_event") if up else ("produces_event", "consumes_event")
     if mine_kind in admitted(mechanism, ("produces_event", "consumes_event")):
         mine = of_repo.filter(kind == mine_kind).select(F.col("source_id").alias("repo_id"), F.col("target_id").alias("event_id"), F.col("id").alias("e1"))
@@ -51,42 +57,55 @@ def links(model: Model, direction: str = "upstream", mechanism: str | None = Non
         events = model.events.select(F.col("id").alias("event_id"), F.col("name").alias("event"))
         # one row per (repository, event) on either side before they meet
         mine, other = mine.groupBy("repo_id", "event_id").agg(F.min("e1").alias("e1")), other.groupBy("linked_id", "event_id").agg(F.min("e2").alias("e2"))
-        rows = mine.join(other, "event_id").join(events, "event_id").join(names, "linked_id")
-        parts.append(_links(rows, 1, mechanism=F.concat(F.lit("event ("), F.col("event"), F.lit(")")), confidence=F.lit(None).cast("string"), segment=F.concat(F.lit("event("), F.col("event"), F.lit(")")), e2=F.col("e2")))
+        rows = met(mine.join(events, "event_id"), other, "event_id", "repo_id", "linked_id", touching, "event").join(names, "linked_id")
+        parts.append(_links(rows, 1, mechanism=F.concat(F.lit("event ("), F.col("event"), F.lit(")")), confidence=F.lit(None).cast("string"), segment=F.concat(F.lit("event("), F.col("event"), F.lit(")")), kind=F.lit("event"), e2=F.col("e2")))
     mine_kind, other_kind = ("consumes_kafka", "produces_kafka") if up else ("produces_kafka", "consumes_kafka")
     if mine_kind in admitted(mechanism, ("produces_kafka", "consumes_kafka")):
         mine = of_repo.filter((kind == mine_kind) & F.col("topic").isNotNull()).groupBy(F.col("source_id").alias("repo_id"), "topic").agg(F.min("id").alias("e2"))
         # what the other side says (its label and confidence) is shown, in the other side's order
         other = of_repo.filter((kind == other_kind) & F.col("topic").isNotNull()).groupBy(F.col("source_id").alias("linked_id"), "topic", conf).agg(F.min("id").alias("e1"))
-        rows = mine.join(other, "topic").filter(F.col("repo_id") != F.col("linked_id")).join(names, "linked_id")
-        parts.append(_links(rows, 2, mechanism=described(F.lit(other_kind), conf), segment=F.concat(F.lit("Kafka("), F.col("topic"), F.lit(")")), e2=F.col("e2")))
+        rows = met(mine, other, "topic", "repo_id", "linked_id", touching).filter(F.col("repo_id") != F.col("linked_id")).join(names, "linked_id")
+        parts.append(_links(rows, 2, mechanism=described(F.lit(other_kind), conf), segment=F.concat(F.lit("Kafka("), F.col("topic"), F.lit(")")), kind=F.lit("kafka"), e2=F.col("e2")))
     if up and direct:
-        rows = of_repo.filter((F.col("target_type") == "service_name") & kind.isin(*direct)).withColumn("target_name", F.coalesce("target_name", F.lit("unknown")))
+        rows = (of_repo if touching is None else touching.of(of_repo, "source_id")).filter((F.col("target_type") == "service_name") & kind.isin(*direct)).withColumn("target_name", F.coalesce("target_name", F.lit("unknown")))
         rows = rows.select(F.col("source_id").alias("repo_id"), F.lit(UNRESOLVED).cast("long").alias("linked_id"), F.col("target_name").alias("name"), kind, conf, F.col("id").alias("e1"))
-        parts.append(_links(rows, 3, mechanism=described(kind, conf, unresolved=F.col("name")), segment=label(kind), unresolved=F.col("name")))
+        parts.append(_links(rows, 3, mechanism=described(kind, conf, unresolved=F.col("name")), segment=label(kind), unresolved=F.col("name"), kind=kind))
     if not parts:
-        return model.spark.createDataFrame([], "repo_id long, linked_id long, name string, mechanism string, confidence string, segment string, unresolved string, cls int, e1 long, e2 long")
+        return model.spark.createDataFrame([], "repo_id long, linked_id long, name string, mechanism string, confidence string, segment string, unresolved string, kind string, cls int, e1 long, e2 long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def dependencies(model: Model, seeds: DataFrame, direction: str = "upstream", depth: int | str = 1, mechanism: str | None = None, repo: str | None = None) -> DataFrame:
+def admits(mechanism: str | None, direction: str) -> Column:
+    """Which stored links a mechanism filter leaves: what ``links`` would make with it."""
+    if mechanism is None:
+        return F.lit(True)
+    ends = ("consumes_event", "consumes_kafka") if direction == "upstream" else ("produces_event", "produces_kafka")
+    kinds = [*admitted(mechanism, DIRECT_TYPES), *[k.split("_")[1] for k in ends if k in admitted(mechanism, ends)]]
+    return F.col("kind").isin(kinds)
+
+
+def dependencies(
+    model: Model, seeds: DataFrame, direction: str = "upstream", depth: int | str = 1, mechanism: str | None = None, repo: str | None = None, near: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(seed, name, type, mechanism, confidence, depth, path, rank) of every seed's dependencies, first found first.
 
     A repository is found once, by the link that a search in order meets first; an unresolved
     name once per way it is shown, as a leaf. ``repo`` hides other names but still walks
-    through them, and hides all unresolved ones.
+    through them, and hides all unresolved ones. ``near`` gives stored links of a frontier's nodes
+    (node), or more; without it all links are made first.
     """
     limit = MAX_DEPTH if depth == "all" else int(depth)
-    hops = cut(links(model, direction, mechanism))
+    hops = cut(links(model, direction, mechanism)) if near is None else None
+    next_hops = (lambda frontier: hops) if near is None else (lambda frontier: near(frontier).filter(admits(mechanism, direction)))
     start = seeds.join(model.repos.select(F.col("id").alias("seed"), F.col("name")), "seed")
     frontier = start.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("rank"), F.array("name").alias("path"))
     seen = frontier.select("seed", F.concat(F.lit("repo:"), F.col("node")).alias("key"))
     levels = []
     for d in range(1, limit + 1):
-        found = frontier.withColumnRenamed("path", "before").join(hops, F.col("node") == F.col("repo_id"))
+        found = frontier.withColumnRenamed("path", "before").join(next_hops(frontier), F.col("node") == F.col("repo_id"))
         key = F.when(F.col("unresolved").isNull(), F.concat(F.lit("repo:"), F.col("linked_id"))).otherwise(F.concat(F.lit("unresolved:"), F.col("unresolved"), F.lit(":"), F.col("mechanism")))
         found = found.withColumn("key", key).join(seen, ["seed", "key"], "left_anti")
         path = F.concat("before", F.array("segment", "name")).alias("path")

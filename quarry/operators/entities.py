@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.schema import COARSE_TYPES, MODULE_SUB_TYPES, SEARCHED_TYPES, SERVICE_SUB_TYPES, Model
 
+if TYPE_CHECKING:
+    from quarry.operators.search import Index
+
 CARD = ("entity_type", "sub_type", "entity_id", "name", "repo", "file_path", "description")
 FACT_CHARS, FACT_REPO = 100, "user-knowledge"
 
@@ -124,7 +128,7 @@ def in_reading_order(cards: DataFrame) -> DataFrame:
     return cards.orderBy(F.collate("repo", "UNICODE"), F.collate("name", "UNICODE"), "entity_type", "entity_id")
 
 
-def find_entities(model: Model, docs: DataFrame, name: str, wanted: str | None = None, relationship: str | None = None, repo: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def find_entities(model: Model, docs: DataFrame, name: str, wanted: str | None = None, relationship: str | None = None, repo: str | None = None, index: Index | None = None) -> DataFrame:
     """Cards of a name: exact ones, or if there are none, those of a ranked search; sorted for reading."""
     from quarry.operators.search import fallback_cards
 

@@ -11,9 +11,9 @@ from quarry.schema import Model
 TIERS = {1: "direct", 2: "indirect"}
 
 
-def impact_nodes(model: Model, edges: DataFrame, seeds: DataFrame, mechanism: str | None = None, max_depth: int = 3) -> DataFrame:
-    """(seed, service, node, name, depth, tier): one row per affected service of each seed."""
-    nodes = upstream(seeds, edges, max_depth, mechanism)
+def impact_nodes(model: Model, edges: DataFrame, seeds: DataFrame, mechanism: str | None = None, max_depth: int = 3, found: DataFrame | None = None) -> DataFrame:
+    """(seed, service, node, name, depth, tier): one row per affected service of each seed; ``found`` if what leads to the seeds is known."""
+    nodes = upstream(seeds, edges, max_depth, mechanism) if found is None else found
     tier = F.when(F.col("depth") == 1, TIERS[1]).when(F.col("depth") == 2, TIERS[2]).otherwise("transitive")
     return named(named(nodes.withColumn("tier", tier), model.repos, "seed", "service"), model.repos, "node", "name")
 
@@ -24,13 +24,14 @@ def _inner_links(nodes: DataFrame, seeds: DataFrame, pairs: DataFrame) -> DataFr
     return nodes.select("seed", "node").join(pairs, F.col("node") == F.col("src_id")).join(inside, ["seed", "dst_id"])
 
 
-def impact_entries(model: Model, edges: DataFrame, seeds: DataFrame, mechanism: str | None = None, max_depth: int = 3) -> DataFrame:
+def impact_entries(model: Model, edges: DataFrame, seeds: DataFrame, mechanism: str | None = None, max_depth: int = 3, found: DataFrame | None = None) -> DataFrame:
     """The affected services with ``mechanisms`` and ``confidence``.
 
     Mechanisms are distinct, in the order of the edges; confidences are all, in the same order.
     Parallel edges are gathered per pair of services before the pairs are joined with the seeds.
+    With ``found``, ``edges`` need to hold only those that begin at a service in it.
     """
-    nodes = impact_nodes(model, edges, seeds, mechanism, max_depth)
+    nodes = impact_nodes(model, edges, seeds, mechanism, max_depth, found)
     followed = edges if mechanism is None else edges.filter(F.col("mechanism") == mechanism)
     pairs = followed.groupBy("src_id", "dst_id").agg(F.collect_list(F.struct("cls", "e1", "e2", "mechanism", "confidence")).alias("links"))
     listed = _inner_links(nodes, seeds, pairs).groupBy("seed", "node").agg(F.array_sort(F.flatten(F.collect_list("links"))).alias("edges"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import camel_of_kebab, like_anywhere, like_suffix, number_of_key, snake_of_kebab
+from quarry.operators.names import matched
 
 RELATIONSHIP_OF = {"grpc": "calls_grpc", "http": "calls_http", "gateway": "routes_to"}
 
@@ -72,12 +73,10 @@ def with_parents(fields: DataFrame, modules: DataFrame, events: DataFrame) -> Da
 def like_matches(names: DataFrame, table: DataFrame) -> DataFrame:
     """(name, id): the least id of ``table`` whose name contains ``name``, wildcards included.
 
-    A containment test has no key to join by. The names are distinct and unresolved ones only,
-    and ``table`` holds repositories or services; Spark runs it as a nested-loop join over the
-    smaller side, which is broadcast only while it is below the session's threshold.
+    Candidates share the rarest run of characters of the looked-up name.
     """
-    pairs = names.join(table.select("id", F.col("name").alias("stored")), like_anywhere(F.col("stored"), F.col("name")))
-    return pairs.groupBy("name").agg(F.min("id").alias("id"))
+    pairs = matched(names.select(F.col("name").alias("needle")), table.select("id", "name"))
+    return pairs.groupBy(F.col("needle").alias("name")).agg(F.min("id").alias("id"))
 
 
 def topology_targets(targets: DataFrame, repos: DataFrame, services: DataFrame) -> DataFrame:
@@ -126,9 +125,11 @@ def catalog_matches(catalog: DataFrame, events: DataFrame) -> DataFrame:
     stored = events.select(F.col("id").alias("event_id"), "name", "source_file")
     exact = wanted.join(stored, F.col("camel") == F.col("name")).select("catalog_id", "event_id", F.lit(1).alias("strategy"))
     rest = wanted.join(exact.select("catalog_id").distinct(), "catalog_id", "left_anti")
-    suffix = rest.join(stored, like_suffix(F.col("name"), F.col("camel"))).select("catalog_id", "event_id", F.lit(2).alias("strategy"))
+    near = lambda column, table, test: rest.join(matched(rest.select(F.col(column).alias("needle")), table, test).withColumnRenamed("needle", column), column)
+    suffix = near("camel", stored.select(F.col("event_id").alias("id"), "name"), like_suffix).select("catalog_id", F.col("id").alias("event_id"), F.lit(2).alias("strategy"))
     rest = rest.join(suffix.select("catalog_id").distinct(), "catalog_id", "left_anti")
-    payload = rest.join(stored.filter("name = 'Payload'"), like_anywhere(F.col("source_file"), F.col("snake"))).select("catalog_id", "event_id", F.lit(3).alias("strategy"))
+    payloads = stored.filter("name = 'Payload'").select(F.col("event_id").alias("id"), F.col("source_file").alias("name"))
+    payload = near("snake", payloads, like_anywhere).select("catalog_id", F.col("id").alias("event_id"), F.lit(3).alias("strategy"))
     return exact.unionByName(suffix).unionByName(payload)
 
 

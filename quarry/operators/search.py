@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ DOC = ("entity_type", "sub_type", "entity_id", "name", "description")
 
 
 def index_texts(model: Model, fact_text: str = "repo") -> DataFrame:
-    """(entity_type, sub_type, entity_id, name, description): the texts that are indexed for every entity.
+    """(entity_type, sub_type, entity_id, owner, name, description): the texts that are indexed for every entity, and its repository.
 
     Parts of a description that are null are left out. ``fact_text`` says what a fact is found
     by besides its content: its repository (as a full rebuild does) or its content again (as
@@ -34,7 +35,7 @@ def index_texts(model: Model, fact_text: str = "repo") -> DataFrame:
     """
     repo = model.repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo"))
     text = lambda *parts: F.concat_ws(" ", *parts)
-    doc = lambda df, kind, sub, name, description: df.select(F.lit(kind).alias("entity_type"), F.coalesce(sub, F.lit(kind)).alias("sub_type"), F.col("id").alias("entity_id"), F.col(name).alias("name"), description.alias("description"))
+    doc = lambda df, kind, sub, name, description: df.select(F.lit(kind).alias("entity_type"), F.coalesce(sub, F.lit(kind)).alias("sub_type"), F.col("id").alias("entity_id"), (F.col("repo_id") if "repo_id" in df.columns else F.lit(None).cast("long") if kind == "learned_fact" else F.col("id")).alias("owner"), F.col(name).alias("name"), description.alias("description"))
     event = F.when(F.col("parent_type") == "proto_message", F.concat(F.lit("event:"), F.col("parent_name")))
     return reduce(
         DataFrame.unionByName,
@@ -49,9 +50,9 @@ def index_texts(model: Model, fact_text: str = "repo") -> DataFrame:
     )
 
 
-def fts_docs(texts: DataFrame) -> DataFrame:
-    """Texts with their token lists and length: (doc key, name_tokens, desc_tokens, dl)."""
-    rows = texts.select("entity_type", "sub_type", "entity_id", tokens(F.col("name")).alias("name_tokens"), tokens(F.col("description")).alias("desc_tokens"))
+def fts_docs(texts: DataFrame, *more: str) -> DataFrame:
+    """Texts with their token lists and length: (doc key, further columns, name_tokens, desc_tokens, dl)."""
+    rows = texts.select("entity_type", "sub_type", "entity_id", *more, tokens(F.col("name")).alias("name_tokens"), tokens(F.col("description")).alias("desc_tokens"))
     return rows.withColumn("dl", F.size("name_tokens") + F.size("desc_tokens"))
 
 
@@ -62,6 +63,26 @@ def postings(docs: DataFrame) -> DataFrame:
     return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3))
 
 
+def positional(docs: DataFrame) -> DataFrame:
+    """The same with ``places``: where the term stands, names first; a place is left free between the two lists."""
+    both = F.concat("name_tokens", F.array(F.lit(None).cast("string")), "desc_tokens")
+    words = docs.select("entity_type", "sub_type", "entity_id", "dl", F.posexplode(both).alias("place", "term")).filter("term is not null")
+    counted = words.groupBy("term", "entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3))
+
+
+class Index(NamedTuple):
+    """Postings, and one row of statistics about all documents."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def over(docs: DataFrame) -> Index:
+        """The index of documents that are not stored."""
+        return Index(positional(docs), index_stats(docs))
+
+
 def index_stats(docs: DataFrame) -> DataFrame:
     """(n_docs, total_len): one row about the whole index."""
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
@@ -138,47 +159,61 @@ def top(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy("score", "entity_type", "entity_id").limit(limit)
 
 
-def ranked(docs: DataFrame, raw: str, limit: int = 20, wanted: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def ranked(index: Index, raw: str, limit: int = 20, wanted: str | None = None) -> DataFrame:
     """All words of the query must occur; the best ``limit`` of the type."""
     groups = words_of(raw)
-    index = postings(docs) if index is None else index
     if not groups:
-        return index.limit(0).select("entity_type", "sub_type", "entity_id", F.lit(0.0).alias("score"))
-    query = Query(groups, True)
-    # the few postings that the terms hit are read once, for their counts and for the scores
-    return top(scored(cut(index.filter(_near(query))), index_stats(docs), query).filter(type_filter(wanted)), limit)
+        return _nothing(index)
+    return _step(index, Query(groups, True), limit, wanted)
 
 
-def relaxed(docs: DataFrame, raw: str, limit: int = 20, wanted: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def _nothing(index: Index) -> DataFrame:
+    return index.postings.limit(0).select("entity_type", "sub_type", "entity_id", F.lit(0.0).alias("score"))
+
+
+def _step(index: Index, query: Query, limit: int, wanted: str | None) -> DataFrame:
+    """The few postings that the terms hit are read once, for their counts and for the scores."""
+    near = cut(index.postings.filter(_near(query)).select("term", "entity_type", "sub_type", "entity_id", "dl", "tf", "p2"))
+    return top(scored(near, index.stats, query).filter(type_filter(wanted)), limit)
+
+
+def relaxed(index: Index, raw: str, limit: int = 20, wanted: str | None = None) -> DataFrame:
     """All words; with fewer than three hits any word; with fewer than three again any word by prefix.
 
     Hits are counted after the type filter and the limit. A query of one word is never relaxed.
-    The choice is part of the plan: each step's rows carry its number, and the first step with
-    enough rows, or the last, stays.
+    Each step reads the postings of its own terms, and only if those before it found too few.
     """
     groups = words_of(raw)
     if len(groups) < 2:
-        return ranked(docs, raw, limit, wanted, index)
-    index = postings(docs) if index is None else index
+        return ranked(index, raw, limit, wanted)
     steps = [Query(groups, True), Query(groups, False), Query(groups, False, True)]
-    # what any step can hit is read once: the last step's postings hold the others'
-    index, stats = cut(index.filter(_near(steps[-1]))), cut(index_stats(docs))
-    found = [top(scored(index, stats, q).filter(type_filter(wanted)), limit).withColumn("step", F.lit(k)) for k, q in enumerate(steps)]
-    rows = reduce(DataFrame.unionByName, found)
-    enough = rows.groupBy("step").count().filter(F.col("count") >= ENOUGH).agg(F.coalesce(F.min("step"), F.lit(len(steps) - 1)).alias("chosen"))
-    return rows.join(F.broadcast(enough), F.col("step") == F.col("chosen")).select("entity_type", "sub_type", "entity_id", "score")
+    for query in steps[:-1]:
+        found = cut(_step(index, query, limit, wanted))
+        if found.count() >= ENOUGH:  # at most ``limit`` rows
+            return found
+    return _step(index, steps[-1], limit, wanted)
 
 
-def phrase(docs: DataFrame, raw: str) -> DataFrame:
-    """Documents in whose name or description the query's tokens stand next to each other, in order."""
-    text = " ".join(t for g in words_of(raw) for t in g)
-    inside = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")).contains(f" {text} ")
-    return docs.filter(inside("name_tokens") | inside("desc_tokens") if text else F.lit(False)).select("entity_type", "sub_type", "entity_id")
+def phrase(index: Index, raw: str) -> DataFrame:
+    """Documents in whose name or description the query's tokens stand next to each other, in order.
+
+    Every place of the k-th token says where a phrase would begin; a document has the phrase where
+    all tokens agree on a beginning. Only postings of the tokens are read.
+    """
+    wanted = [t for g in words_of(raw) for t in g]
+    key = ["entity_type", "sub_type", "entity_id"]
+    if not wanted:
+        return index.postings.limit(0).select(*key)
+    spark = index.postings.sparkSession
+    asked = spark.createDataFrame(list(enumerate(wanted)), "k int, q string")
+    near = index.postings.filter(_near(Query((tuple(wanted),), True))).select("term", *key, "places")
+    begins = near.join(F.broadcast(asked), F.col("term") == F.col("q")).select(*key, "k", F.explode("places").alias("place"))
+    return begins.groupBy(*key, (F.col("place") - F.col("k")).alias("begin")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted)).select(*key).distinct()
 
 
-def raw_search(docs: DataFrame, raw: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+def raw_search(docs: DataFrame, raw: str, limit: int = 20, index: Index | None = None) -> DataFrame:
     """Hits with their tokenized texts and composite type, unhydrated."""
-    hits = ranked(docs, raw, limit, None, index)
+    hits = ranked(index or Index.over(docs), raw, limit)
     rows = hits.join(docs, ["entity_type", "sub_type", "entity_id"])
     return rows.select(F.concat_ws(":", "entity_type", "sub_type").alias("entity_type"), "entity_id", F.array_join("name_tokens", " ").alias("name"), F.array_join("desc_tokens", " ").alias("description"), "score")
 
@@ -190,18 +225,18 @@ def next_action(kind: Column) -> Column:
     return out.otherwise(F.lit("kb_entity"))
 
 
-def search_text(model: Model, docs: DataFrame, raw: str, limit: int = 20, repo: str | None = None, wanted: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def search_text(model: Model, docs: DataFrame, raw: str, limit: int = 20, repo: str | None = None, wanted: str | None = None, index: Index | None = None) -> DataFrame:
     """Hits as they are shown. The repository filter and the drop of hits without an entity come after the limit."""
-    hits = relaxed(docs, raw, limit, wanted, index)
+    hits = relaxed(index or Index.over(docs), raw, limit, wanted)
     rows = hits.join(entity_cards(model).drop("sub_type"), ["entity_type", "entity_id"])
     if repo is not None:
         rows = rows.filter(F.col("repo") == repo)
     return rows.select("entity_type", "sub_type", "entity_id", "name", "repo", "file_path", F.coalesce("description", "name").alias("snippet"), "score", next_action(F.col("entity_type")).alias("next_action"))
 
 
-def fallback_cards(model: Model, docs: DataFrame, name: str, wanted: str | None = None, repo: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def fallback_cards(model: Model, docs: DataFrame, name: str, wanted: str | None = None, repo: str | None = None, index: Index | None = None) -> DataFrame:
     """Cards of a ranked search for a name, as a lookup falls back to; at most 20 hits, the repository filtered after."""
-    hits = ranked(docs, name, 20, wanted, index)
+    hits = ranked(index or Index.over(docs), name, 20, wanted)
     rows = hits.select("entity_type", "entity_id").distinct().join(entity_cards(model), ["entity_type", "entity_id"])
     return (rows if repo is None else rows.filter(F.col("repo") == repo)).select(*CARD)
 

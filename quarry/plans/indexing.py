@@ -56,7 +56,7 @@ def tables_of(repos: DataFrame, files: DataFrame, found: dict[str, DataFrame], k
     return {"repos": repos, "files": stored_files, "modules": modules, "services": services, "events": events, "fields": fields, "edges": cut(edges)}
 
 
-NO_BRANCH, UNCHANGED = "no main or master branch", "no new commits"
+NO_BRANCH, UNCHANGED, ABSENT = "no main or master branch", "no new commits", "no such repository"
 
 
 def _written(store: Store, work: list[dict], force: bool, organizations: tuple[str, ...]) -> dict[str, str]:
@@ -76,28 +76,46 @@ def _written(store: Store, work: list[dict], force: bool, organizations: tuple[s
     mode = {r["repo_id"]: r["mode"] for r in modes(plan).collect()}
     of = lambda kind: [i for i in ids.values() if mode[i] == kind]
     pick = lambda i: {k: v.filter(F.col("id" if k == "repos" else "repo_id").isin(i)) for k, v in tables.items()}
-    if of("full"):
-        store.persist(pick(of("full")), of("full"))
-    if of("surgical"):
-        store.persist_changed(pick(of("surgical")), changes, of("surgical"))
+    # one version for everything that is stored of these repositories, the text index and the graph included
+    with store.transaction():
+        if of("full"):
+            store.persist(pick(of("full")), of("full"))
+        if of("surgical"):
+            store.persist_changed(pick(of("surgical")), changes, of("surgical"))
+        store.update_index(list(ids.values()))
+        store.update_graph(model, list(ids.values()))
     return {w["name"]: mode[ids[w["name"]]] for w in work}
 
 
+def _in_halves(store: Store, work: list[dict], force: bool, organizations: tuple[str, ...]) -> tuple[dict[str, str], dict[str, str]]:
+    """(mode by name, error by name): all together, and where that fails by halves, so one failing repository costs a logarithm of runs."""
+    try:
+        return _written(store, work, force, organizations), {}
+    except Exception as error:  # noqa: BLE001
+        if len(work) == 1:
+            return {}, {work[0]["name"]: str(error).splitlines()[0] if str(error) else type(error).__name__}
+    middle = len(work) // 2
+    parts = [_in_halves(store, half, force, organizations) for half in (work[:middle], work[middle:])]
+    return parts[0][0] | parts[1][0], parts[0][1] | parts[1][1]
+
+
 def index_all(
     store: Store, root: str, names: list[str] | None = None, force: bool = False, refresh: bool = False, organizations: tuple[str, ...] = (), progress: Callable[[int, int, str], None] | None = None
 ) -> list[dict]:
     """Indexes the repositories below ``root``; one result per repository: its mode, why it is skipped, or what stopped it.
 
     Repositories that are named are indexed whatever their commits are. Others are skipped without a
-    main or master branch and without new commits. All are extracted together; if that fails, each
-    is tried by itself, so one that cannot be indexed leaves the others alone. A refresh that fails
-    is stated in the result, and the repository is indexed as it is.
+    main or master branch and without new commits. All are extracted together; if that fails, they
+    are tried by halves, so one that cannot be indexed leaves the others alone. A refresh that fails
+    is stated in the result, and the repository is indexed as it is. A name that no repository has
+    gives a result that says so.
     """
     say = progress or (lambda done, total, name: None)
     wanted = [(p.rsplit("/", 1)[-1], p) for p in repositories.discover(root)]
     wanted = [(n, p) for n, p in wanted if not names or n in names]
+    absent = [{"repo": n, "status": "missing", "reason": ABSENT} for n in dict.fromkeys(names or []) if n not in {w for w, _ in wanted}]
     if not wanted:
-        return []
+        return absent
     stored = {r["name"]: r["last_indexed_commit"] for r in store.table("repos").filter(F.col("name").isin([n for n, _ in wanted])).select("name", "last_indexed_commit").collect()}
     results: dict[str, dict] = {}
     work = []
@@ -113,23 +131,15 @@ def index_all(
             work.append(found | {"last": stored.get(name)})
     say(len(results) - len(work), len(results), "")
     if work:
-        try:
-            batch, failed = _written(store, work, force, organizations), {}
-        except Exception:  # noqa: BLE001
-            batch, failed = {}, {}
-            for w in work:
-                try:
-                    batch |= _written(store, [w], force, organizations)
-                except Exception as error:  # noqa: BLE001
-                    failed[w["name"]] = str(error).splitlines()[0] if str(error) else type(error).__name__
+        batch, failed = _in_halves(store, work, force, organizations)
         for done, w in enumerate(work, len(results) - len(work) + 1):
             name = w["name"]
             results[name] |= {"status": "error", "error": failed[name], "category": git.error_category(failed[name])} if name in failed else {"status": "success", "mode": batch[name]}
             say(done, len(results), name)
         if batch:
             enrich(store, root)
-            store.write_index()
-    return [results[n] for n, _ in wanted]
+            store.grow()
+    return [results[n] for n, _ in wanted] + absent
 
 
 def enrich(store: Store, root: str) -> int:
@@ -141,7 +151,11 @@ def enrich(store: Store, root: str) -> int:
     found = cut(catalog.entries(store.spark.createDataFrame(texts, "kind string, ord int, text string")))
     domains = resolve.event_domains(catalog.domain_rows(found), catalog.service_rows(found))
     events = store.table("events")
-    rows = store._staged(resolve.enriched_events(events, catalog.event_rows(found), domains))
+    rows = cut(resolve.enriched_events(events, catalog.event_rows(found), domains))
     touched = resolve.catalog_matches(catalog.event_rows(found), rows).select("event_id").distinct().count()
-    store.persist({"events": rows}, [r["repo_id"] for r in rows.select("repo_id").distinct().collect()])
+    # only repositories whose events got another domain or owner are written
+    stated = lambda df: df.select("id", "repo_id", "domain", "owner_team")
+    ids = [r["repo_id"] for r in stated(rows).exceptAll(stated(events)).select("repo_id").distinct().collect()]
+    if ids:
+        store.persist({"events": rows.filter(F.col("repo_id").isin(ids))}, ids)
     return touched

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import edges as E
 from quarry.operators import dependencies, explain, field_impact, graph, impact, trace
+from quarry.plans.derived import derived
 from quarry.plans.model_map import STAR_SQL, star_model
 from quarry.plans.registry import query
+from quarry.plans.stored_graph import GraphStore
 from quarry.schema import DIRECT_TYPES
-from quarry.session import staged
+from quarry.session import cut, staged
 
 _MECH = "CASE relationship_type WHEN 'calls_grpc' THEN 'grpc' WHEN 'calls_http' THEN 'http' WHEN 'routes_to' THEN 'gateway' WHEN 'produces_event' THEN 'event' WHEN 'consumes_event' THEN 'event' WHEN 'produces_kafka' THEN 'kafka' WHEN 'consumes_kafka' THEN 'kafka' ELSE relationship_type END"
 _LABEL = "CASE relationship_type WHEN 'calls_grpc' THEN 'gRPC' WHEN 'calls_http' THEN 'HTTP' WHEN 'routes_to' THEN 'Gateway' WHEN 'produces_kafka' THEN 'Kafka producer' WHEN 'consumes_kafka' THEN 'Kafka consumer' ELSE relationship_type END"
@@ -66,6 +68,12 @@ def _graph(spark: SparkSession, sf_dir: str):
     return model, staged(edges, "graph-edges")
 
 
+def _stored(spark: SparkSession, sf_dir: str):
+    """Model and stored graph, for questions about few services."""
+    model = star_model(spark, sf_dir)
+    return model, derived(spark, sf_dir, "graph", lambda path: GraphStore.of(spark, path, None).written(model))
+
+
 def _all_seeds(model) -> DataFrame:
     return model.repos.select(F.col("id").alias("seed"))
 
@@ -175,9 +183,10 @@ def impact_tiers(spark, sf_dir):
 
 @query(_with(_ENTRIES + " WHERE service = 'Supplier#000000001'", _IMPACT))
 def impact_of_one(spark, sf_dir):
-    """One service's blast radius, as it is asked for."""
-    model, edges = _graph(spark, sf_dir)
-    return _shown(impact.impact_entries(model, edges, _one(model)))
+    """One service's blast radius, as it is asked for: over the stored graph, from the buckets of each frontier."""
+    model, stored = _stored(spark, sf_dir)
+    found = cut(stored.upstream(_one(model), 3))
+    return _shown(impact.impact_entries(model, stored.near("out", found, "node"), _one(model), found=found))
 
 
 @query(_with("SELECT seed, node, count(*)::BIGINT AS edges FROM own GROUP BY ALL", _IMPACT))
@@ -282,6 +291,15 @@ def trace_from_one(spark, sf_dir):
     return trace.trace_summaries(model, trace.trace_hops(model, edges, pairs), pairs)
 
 
+@query(_with(_SUMMARY + " WHERE a.name = 'Supplier#000000001' AND b.name = 'Supplier#000000007'", _UNDIRECTED, _TREES, _CHAINS))
+def trace_of_pair(spark, sf_dir):
+    """One service's path to another, found from both ends over the stored graph."""
+    model, stored = _stored(spark, sf_dir)
+    to = model.repos.filter(F.col("name") == "Supplier#000000007").select(F.col("id").alias("to_id"))
+    pairs = _one(model).select(F.col("seed").alias("from_id")).crossJoin(to)
+    return trace.trace_summaries(model, trace.traced_pairs(model, stored.walks, pairs), pairs)
+
+
 def _links_sql(up: bool, mechanism: str | None = None) -> str:
     mine, other = ("source_id", "target_id") if up else ("target_id", "source_id")
     ev = ("consumes_event", "produces_event") if up else ("produces_event", "consumes_event")
@@ -353,9 +371,9 @@ def deps_paths(spark, sf_dir):
 
 @query(_with(f"SELECT * FROM ({_PATHS}) WHERE seed = (SELECT id FROM repos WHERE name = 'Supplier#000000001')", _links_sql(True), _deps_levels(3)))
 def deps_of_one(spark, sf_dir):
-    """One service's dependencies, as they are asked for."""
-    model = star_model(spark, sf_dir)
-    return dependencies.dependencies(model, _one(model), depth=3).select("seed", "name", "type", "mechanism", "depth", F.array_join("path", " > ").alias("path"))
+    """One service's dependencies, as they are asked for: over stored links, from the buckets of each frontier."""
+    model, stored = _stored(spark, sf_dir)
+    return dependencies.dependencies(model, _one(model), depth=3, near=lambda f: stored.near("upstream", f, "node")).select("seed", "name", "type", "mechanism", "depth", F.array_join("path", " > ").alias("path"))
 
 
 _CONN = """

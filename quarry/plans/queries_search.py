@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenized
 from quarry.operators import entities, search
+from quarry.plans.derived import derived
 from quarry.plans.model_map import STAR_SQL, document_texts, star_model
 from quarry.plans.registry import query
-from quarry.plans.store import stored_index, written_index
-from quarry.session import shared_dir
+from quarry.plans.text_index import built
 
 _TOK = "trim(lower(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')))".format
 _LIST = "list_filter(string_split(" + _TOK("coalesce({0}, '')").replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}") + ", ' '), lambda w: w <> '')"
@@ -56,23 +54,20 @@ _TOP = f"ORDER BY score, entity_type, entity_id LIMIT "
 _OUT = f"SELECT {_KEY}, score FROM "
 
 
-def _docs(spark, sf_dir):
+def _texts(spark, sf_dir):
     model = star_model(spark, sf_dir)
-    return model, search.fts_docs(search.index_texts(model).unionByName(document_texts(spark, sf_dir)))
+    return model, search.index_texts(model).unionByName(document_texts(spark, sf_dir), allowMissingColumns=True)
 
 
-#: Folders of stored indexes by application and tables; an index is built by the first question to it.
-_INDEXED: dict[tuple[str, str], str] = {}
+def _docs(spark, sf_dir):
+    model, texts = _texts(spark, sf_dir)
+    return model, search.fts_docs(texts)
 
 
 def _index(spark, sf_dir):
-    """(model, documents, postings): as stored, so a question reads the postings of its terms and no text."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXED:
-        path = f"{shared_dir(spark)}/fts-{uuid.uuid4().hex}"
-        written_index(_docs(spark, sf_dir)[1], path)
-        _INDEXED[key] = path
-    return star_model(spark, sf_dir), *stored_index(spark, _INDEXED[key])
+    """(model, documents, index): as stored, so a question reads the postings of its terms and no text."""
+    index = derived(spark, sf_dir, "fts", lambda path: built(spark, path, _texts(spark, sf_dir)[1]))
+    return star_model(spark, sf_dir), index.docs(), index.searchable()
 
 
 @query(f"WITH {STAR_SQL}\nSELECT id, {_TOK('name')} AS tokens FROM modules")
@@ -103,37 +98,37 @@ def fts_stats(spark, sf_dir):
 @query(_with(_OUT + "h", _hits_sql("h", [["nation"]], True)))
 def fts_single(spark, sf_dir):
     _, docs, index = _index(spark, sf_dir)
-    return search.scored(index, search.index_stats(docs), search.Query((("nation",),), True))
+    return search.scored(index.postings, index.stats, search.Query((("nation",),), True))
 
 
 @query(_with(_OUT + "h", _hits_sql("h", [["small"], ["ring"]], True)))
 def fts_and(spark, sf_dir):
     _, docs, index = _index(spark, sf_dir)
-    return search.scored(index, search.index_stats(docs), search.Query(search.words_of("small ring"), True))
+    return search.scored(index.postings, index.stats, search.Query(search.words_of("small ring"), True))
 
 
 @query(_with(_OUT + "h", _hits_sql("h", [["small", "ring"], ["widget"]], False)))
 def fts_or(spark, sf_dir):
     """``SmallRing widget``: the tokens of one word belong together."""
     _, docs, index = _index(spark, sf_dir)
-    return search.scored(index, search.index_stats(docs), search.Query(search.words_of("SmallRing widget"), False))
+    return search.scored(index.postings, index.stats, search.Query(search.words_of("SmallRing widget"), False))
 
 
 @query(_with(_OUT + "h", _hits_sql("h", [["brand", "1"], ["eve"]], False, True)))
 def fts_prefix_or(spark, sf_dir):
     _, docs, index = _index(spark, sf_dir)
-    return search.scored(index, search.index_stats(docs), search.Query(search.words_of("Brand#1 eve"), False, True))
+    return search.scored(index.postings, index.stats, search.Query(search.words_of("Brand#1 eve"), False, True))
 
 
 @query(_with(f"SELECT {_KEY} FROM sized WHERE contains(' ' || array_to_string(name_tokens, ' ') || ' ', ' cold bolt ') OR contains(' ' || array_to_string(desc_tokens, ' ') || ' ', ' cold bolt ')"))
 def fts_phrase(spark, sf_dir):
-    return search.phrase(_docs(spark, sf_dir)[1], "cold bolt")
+    return search.phrase(_index(spark, sf_dir)[2], "cold bolt")
 
 
 @query(_with(_OUT + "h " + _TOP + "20", _hits_sql("h", [["hot"], ["gear"]], True)))
 def fts_bm25_topk(spark, sf_dir):
     _, docs, index = _index(spark, sf_dir)
-    return search.ranked(docs, "hot gear", index=index)
+    return search.ranked(index, "hot gear")
 
 
 @query(_with(f"""SELECT entity_type || ':' || sub_type AS entity_type, entity_id, array_to_string(name_tokens, ' ') AS name, array_to_string(desc_tokens, ' ') AS description, score
@@ -158,26 +153,26 @@ def _relaxed_sql(groups: list[list[str]], where: str = "true") -> tuple[str, ...
 def fts_relaxed(spark, sf_dir):
     """No document has both words, so either will do."""
     _, docs, index = _index(spark, sf_dir)
-    return search.relaxed(docs, "gear zznothing", index=index)
+    return search.relaxed(index, "gear zznothing")
 
 
 @query(_with(_OUT + "chosen", *_relaxed_sql([["eventn"], ["suppl"]])))
 def fts_relaxed_prefix(spark, sf_dir):
     """No document has either word, so words that begin so will do."""
     _, docs, index = _index(spark, sf_dir)
-    return search.relaxed(docs, "eventn suppl", index=index)
+    return search.relaxed(index, "eventn suppl")
 
 
 @query(_with(_OUT + "h WHERE entity_type = 'module' " + _TOP + "20", _hits_sql("h", [["economy"]], True)))
 def fts_type_coarse(spark, sf_dir):
     _, docs, index = _index(spark, sf_dir)
-    return search.ranked(docs, "ECONOMY", wanted="module", index=index)
+    return search.ranked(index, "ECONOMY", wanted="module")
 
 
 @query(_with(_OUT + "h WHERE sub_type ILIKE 'Schema' " + _TOP + "20", _hits_sql("h", [["economy"]], True)))
 def fts_type_granular(spark, sf_dir):
     _, docs, index = _index(spark, sf_dir)
-    return search.ranked(docs, "ECONOMY", wanted="Schema", index=index)
+    return search.ranked(index, "ECONOMY", wanted="Schema")
 
 
 _CARDS = """

@@ -1,61 +1,117 @@
-"""The stored model: Parquet tables partitioned by buckets of repositories, facts and hygiene.
-
-A repository's rows are replaced by overwriting its bucket with what the bucket
-held of other repositories and the new rows, so a table has as many files as
-buckets however many repositories there are, and a write reads and touches no
-other bucket. A failed one leaves the old partitions in place. Facts are the only state that cannot be derived again;
-a schema change drops the other tables and keeps them.
+"""The stored model: tables in buckets of repositories, facts, text index and graph, in versions.
+
+A version is one small file that says which folders make up every table. Changes
+write new folders beside the old ones, and a version that names them appears whole
+or not at all once everything is written: a run that dies between two tables
+leaves the former version, all of it. Whoever has opened a version goes on reading
+its folders until ``vacuum`` deletes what the last versions no longer name. One
+writer at a time is assumed; a second one gets an error in place of a version.
+
+A repository's rows are replaced by writing its bucket anew: what the bucket held
+of other repositories, and the new rows. Spark splits a large bucket among several
+tasks and files, and there are more buckets as tables grow. Facts are the only
+state that cannot be derived again; a schema change drops the rest and keeps them.
 """
 
 from __future__ import annotations
 
+import copy
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.functions.text import number_of_key
-from quarry.operators import search
+from quarry.operators import graph, search
+from quarry.plans.stored_graph import GraphStore
+from quarry.plans.text_index import TextIndex
 from quarry.schema import SCHEMA_VERSION, TABLES, Model, empty_model
+from quarry.sources import folders
 
 #: Tables whose rows belong to a repository, by the column that says to which.
 OWNED = {"repos": "id", "files": "repo_id", "modules": "repo_id", "services": "repo_id", "events": "repo_id", "edges": "repo_id", "fields": "repo_id"}
 PART, BUCKETS = "part_repo", 64
+#: Bytes of a bucket from which tables get more buckets.
+BUCKET_BYTES = 1 << 30
 MAX_CHANGED, MAX_CHANGED_SHARE = 200, 0.5
 
 
 class Store:
-    """Tables below one folder, which all executors must see."""
+    """Tables below one folder, which all executors must see, as of one version."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._check_version()
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self._open = spark, path.rstrip("/"), False
+        self.state = {"version": 0, "schema": SCHEMA_VERSION, "buckets": buckets, "tables": {}, "facts": [], "index": None, "graph": None}
+        self.refresh()
+        if self.state["schema"] != SCHEMA_VERSION:
+            with self.transaction():
+                self.state |= {"schema": SCHEMA_VERSION, "tables": {}, "index": None, "graph": None}
 
-    # -- tables
+    # -- versions
 
-    def _at(self, name: str) -> str:
-        return f"{self.path}/{name}"
+    def _versions(self) -> list[str]:
+        return folders.matching(self.spark, f"{self.path}/versions/*.json")
 
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._at(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def refresh(self) -> None:
+        """Goes to the last version; frames that were made of the former one stay as they are."""
+        if found := self._versions():
+            self.state = json.loads(folders.read_text(self.spark, found[-1]))
 
-    def _delete(self, name: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._at(name))
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """A scope whose changes become one version at its end, or none if it fails; inner scopes belong to the outer one."""
+        if self._open:
+            yield
+            return
+        before, self._open = copy.deepcopy(self.state), True
+        try:
+            yield
+            if self.state != before:
+                self.state["version"] += 1
+                folders.write_text(self.spark, f"{self.path}/versions/{self.state['version']:012d}.json", json.dumps(self.state))
+        except BaseException:
+            self.state = before
+            raise
+        finally:
+            self._open = False
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes what none of the last ``keep`` versions names, and older versions; returns how many folders went."""
+        found = self._versions()
+        states = [json.loads(folders.read_text(self.spark, p)) for p in found[-keep:]]
+        named = {c for s in states for c in s["facts"]} | {c for s in states for t in s["tables"].values() for c in t.values()}
+        gone = [p for p in folders.matching(self.spark, f"{self.path}/data/*/commit=*") + folders.matching(self.spark, f"{self.path}/data/*/{PART}=*/commit=*") if p.rsplit("commit=", 1)[-1] not in named]
+        for path in [*gone, *found[:-keep]]:
+            folders.delete(self.spark, path)
+        indexes = [TextIndex.of(self.spark, self._at("index"), s["index"]) for s in states]
+        indexes[-1].discard_unused(indexes)
+        GraphStore.of(self.spark, self._at("graph"), states[-1]["graph"]).discard_unused([s["graph"] for s in states])
+        return len(gone)
 
-    def table(self, name: str) -> DataFrame:
-        schema = StructType.fromDDL(TABLES[name])
-        return self._stored(name).select(*schema.names) if self._exists(name) else self.spark.createDataFrame([], schema)
+    # -- tables
+
+    def _at(self, name: str) -> str:
+        return f"{self.path}/data/{name}"
 
-    def _stored(self, name: str) -> DataFrame:
-        """A table as it is stored, with the bucket that prunes its partitions."""
+    def table(self, name: str) -> DataFrame:
         schema = StructType.fromDDL(TABLES[name])
-        stored = StructType([*schema.fields, *StructType.fromDDL(f"{PART} long").fields] if name in OWNED else schema.fields)
-        return self.spark.read.schema(stored).parquet(self._at(name))
+        if name == "learned_facts":
+            paths = [f"{self._at(name)}/commit={c}" for c in self.state["facts"]]
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._stored(name).select(*schema.names)
+
+    def _stored(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table as it is stored, all of it or some buckets."""
+        known = self.state["tables"].get(name, {})
+        paths = [f"{self._at(name)}/{PART}={b}/commit={c}" for b, c in sorted(known.items()) if buckets is None or int(b) in buckets]
+        schema = StructType([*StructType.fromDDL(TABLES[name]).fields, *StructType.fromDDL(f"{PART} int, commit string").fields])
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self._at(name)).parquet(*paths)
 
     def model(self) -> Model:
         return Model(**{name: self.table(name) for name in TABLES})
@@ -64,49 +120,54 @@ class Store:
         """All columns of a table, missing ones null, and the bucket."""
         fields = StructType.fromDDL(TABLES[name]).fields
         shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-        return shaped.withColumn(PART, F.pmod(F.col(OWNED[name]), F.lit(BUCKETS)))
+        return shaped.withColumn(PART, F.pmod(F.col(OWNED[name]), F.lit(self.state["buckets"])).cast("int"))
+
+    def _put(self, name: str, rows: DataFrame, touched: list[int]) -> None:
+        """Writes shaped rows as the touched buckets' new folders."""
+        commit = uuid.uuid4().hex
+        rows.withColumn("commit", F.lit(commit)).hint("rebalance", PART).write.mode("append").partitionBy(PART, "commit").parquet(self._at(name))
+        made = {p.split(f"{PART}=")[1].split("/")[0] for p in folders.matching(self.spark, f"{self._at(name)}/{PART}=*/commit={commit}")}
+        known = self.state["tables"].setdefault(name, {})
+        for bucket in map(str, touched):
+            known.pop(bucket, None)
+            if bucket in made:
+                known[bucket] = commit
 
     def replace(self, name: str, rows: DataFrame | None, repo_ids: list[int]) -> None:
         """Puts ``rows`` (None: nothing) in place of all rows of these repositories."""
-        put = lambda df: df.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self._at(name))
-        if not self._exists(name):
-            if rows is not None:
-                put(self._shaped(name, rows))
-            return
-        touched = sorted({i % BUCKETS for i in repo_ids})
-        ids = self.spark.createDataFrame([(i,) for i in repo_ids], f"{OWNED[name]} long")
-        stored = self._shaped(name, self._stored(name).filter(F.col(PART).isin(touched)))
-        others = stored.join(ids, OWNED[name], "left_anti").select(*stored.columns)
-        merged = self._staged(others if rows is None else others.unionByName(self._shaped(name, rows)))
-        left = [r[0] for r in merged.select(PART).distinct().collect()]
-        put(merged)
-        for bucket in set(touched) - set(left):
-            if self._exists(f"{name}/{PART}={bucket}"):
-                self._delete(f"{name}/{PART}={bucket}")
+        touched = sorted({i % self.state["buckets"] for i in repo_ids})
+        with self.transaction():
+            ids = self.spark.createDataFrame([(i,) for i in repo_ids], f"{OWNED[name]} long")
+            kept = self._shaped(name, self._stored(name, touched).join(ids, OWNED[name], "left_anti"))
+            self._put(name, kept if rows is None else kept.unionByName(self._shaped(name, rows)), touched)
 
     def clear(self, name: str, repo_ids: list[int]) -> None:
         """Removes all rows of repositories."""
-        if self._exists(name):
+        if self.state["tables"].get(name):
             self.replace(name, None, repo_ids)
 
-    # -- versions
-
-    def _check_version(self) -> None:
-        if self._exists("_meta"):
-            found = self.spark.read.parquet(self._at("_meta")).first()["schema_version"]
-            if found == SCHEMA_VERSION:
-                return
-            for name in (*OWNED, "fts_docs", "fts_postings"):
-                self._delete(name)
-        self.spark.createDataFrame([(SCHEMA_VERSION,)], "schema_version int").write.mode("overwrite").parquet(self._at("_meta"))
+    def grow(self, bucket_bytes: int = BUCKET_BYTES) -> int:
+        """More buckets for tables whose buckets have become large, all in one version; returns how many there are."""
+        size = max([sum(folders.size(self.spark, f"{self._at(n)}/{PART}={b}/commit={c}") for b, c in t.items()) for n, t in self.state["tables"].items()], default=0)
+        wanted = self.state["buckets"]
+        while size > bucket_bytes * wanted:
+            wanted *= 2
+        if wanted > self.state["buckets"]:
+            with self.transaction():
+                old = {name: self.table(name) for name in self.state["tables"]}
+                self.state["buckets"], self.state["tables"] = wanted, {}
+                for name, rows in old.items():
+                    self._put(name, self._shaped(name, rows), list(range(wanted)))
+        return wanted
 
     # -- whole and incremental writes
 
     def persist(self, tables: dict[str, DataFrame], repo_ids: list[int]) -> None:
         """All rows of these repositories, in place of what was stored of them."""
-        for name in OWNED:
-            if name in tables:
-                self.replace(name, tables[name], repo_ids)
+        with self.transaction():
+            for name in OWNED:
+                if name in tables:
+                    self.replace(name, tables[name], repo_ids)
 
     def persist_changed(self, tables: dict[str, DataFrame], changed: DataFrame, repo_ids: list[int]) -> None:
         """Rows of changed files (repo_id, path) in place of those stored of them; rows of other files stay.
@@ -126,48 +187,90 @@ class Store:
             new = tables[name].withColumn("__path", F.col("path") if name in ("files", "modules") and "path" in tables[name].columns else F.col("source_file")).join(keys, ["repo_id", "__path"], "left_semi")
             columns = StructType.fromDDL(TABLES[name]).names
             shape = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(StructType.fromDDL(TABLES[name])[c].dataType).alias(c) for c in columns])  # noqa: B023, E731
-            merged[name] = self._staged(shape(old).unionByName(shape(new)))
+            merged[name] = shape(old).unionByName(shape(new))
         self.persist(merged, repo_ids)
 
-    def _staged(self, rows: DataFrame) -> DataFrame:
-        """Rows written aside: what is read from a table's partitions must not be overwritten while it is read."""
-        path = self._at(f"_stage/{uuid.uuid4().hex}")
-        rows.write.parquet(path)
-        return self.spark.read.parquet(path)
+    # -- text index
 
-    # -- full-text index
+    def _text_index(self) -> TextIndex:
+        return TextIndex.of(self.spark, self._at("index"), self.state["index"])
 
     def write_index(self) -> None:
-        """Rebuilds the stored index of everything but facts: documents, and postings partitioned by two leading characters."""
-        texts = search.index_texts(self.model()).filter("entity_type <> 'learned_fact'")
-        written_index(search.fts_docs(texts), self.path)
-
-    def index(self) -> tuple[DataFrame, DataFrame]:
-        """(documents, postings): the stored ones, with facts as they are now; all made anew where nothing is stored."""
-        facts = search.fts_docs(search.index_texts(self.model()).filter("entity_type = 'learned_fact'"))
-        if not self._exists("fts_postings/_SUCCESS"):
+        """Makes the text index anew, in one segment; a fact is found by its repository too."""
+        with self.transaction():
+            self.state["index"] = TextIndex(self.spark, self._at("index")).changed(search.index_texts(self.model())).state()
+
+    def update_index(self, repo_ids: list[int]) -> None:
+        """Brings the index up to date with the stored rows of these repositories; only texts that differ are written."""
+        if self.state["index"] is None:
+            return self.write_index()
+        with self.transaction():
+            owners, index = self.spark.createDataFrame([(i,) for i in repo_ids], "owner long"), self._text_index()
+            texts = search.index_texts(self.model().of_repositories(repo_ids))
+            self.state["index"] = index.changed(*index.differences(texts.filter("owner is not null"), owners)).merged().state()
+
+    def index(self) -> tuple[DataFrame, search.Index]:
+        """(documents, index) as stored, or made for the question where nothing is stored."""
+        if self.state["index"] is None:
             docs = search_index(self.model())
-            return docs, search.postings(docs)
-        docs, stored = stored_index(self.spark, self.path)
-        return docs.unionByName(facts), stored.unionByName(search.postings(facts))
+            return docs, search.Index.over(docs)
+        index = self._text_index()
+        return index.docs(), index.searchable()
+
+    # -- graph
+
+    def _graph(self) -> GraphStore:
+        return GraphStore.of(self.spark, self._at("graph"), self.state["graph"])
+
+    def write_graph(self) -> None:
+        """Stores the service graph of the whole model."""
+        with self.transaction():
+            self.state["graph"] = self._graph().written(self.model()).state
+
+    def update_graph(self, before: Model, repo_ids: list[int]) -> None:
+        """Brings the stored graph up to date after rows of these repositories changed; ``before`` is the model as it was."""
+        if self.state["graph"] is None:
+            return self.write_graph()
+        with self.transaction():
+            self.state["graph"] = self._graph().updated(before, self.model(), repo_ids).state
+
+    def graph(self) -> GraphStore | None:
+        """The stored graph, None where there is none."""
+        return None if self.state["graph"] is None else self._graph()
+
+    def edges(self) -> DataFrame:
+        return graph.graph_edges(self.model()) if self.state["graph"] is None else self._graph().edges()
 
     # -- facts
 
     def learn(self, content: str, repo: str | None = None) -> int:
-        """Stores a fact and returns its id, a number of its content, repository and moment."""
+        """Stores a fact and returns its id, a number of its content, repository and moment. It is found by its content."""
         now = self.spark.sql("SELECT current_timestamp() AS t").first()["t"]
         row = self.spark.createDataFrame([(content, repo, now)], "content string, repo string, created_at timestamp")
         row = row.withColumn("id", number_of_key(F.lit("fact"), F.col("content"), F.col("repo"), F.col("created_at"), F.lit(uuid.uuid4().hex))).select("id", "content", "repo", "created_at")
         fact = row.collect()
-        self.spark.createDataFrame(fact, TABLES["learned_facts"]).write.mode("append").parquet(self._at("learned_facts"))
+        stored = self.spark.createDataFrame(fact, TABLES["learned_facts"])
+        with self.transaction():
+            self._put_facts(stored, self.state["facts"])
+            if self.state["index"] is not None:
+                texts = search.index_texts(empty_model(self.spark).with_tables(learned_facts=stored), "content")
+                self.state["index"] = self._text_index().changed(texts).merged().state()
         return fact[0]["id"]
 
+    def _put_facts(self, rows: DataFrame, others: list[str]) -> None:
+        commit = uuid.uuid4().hex
+        rows.coalesce(1).write.parquet(f"{self._at('learned_facts')}/commit={commit}")
+        self.state["facts"] = [*others, commit]
+
     def forget(self, fact_id: int) -> bool:
         facts = self.table("learned_facts")
         if facts.filter(F.col("id") == fact_id).isEmpty():
             return False
-        kept = self._staged(facts.filter(F.col("id") != fact_id))
-        kept.write.mode("overwrite").parquet(self._at("learned_facts"))
+        with self.transaction():
+            self._put_facts(facts.filter(F.col("id") != fact_id), [])
+            if self.state["index"] is not None:
+                gone = self.spark.createDataFrame([("learned_fact", fact_id)], "entity_type string, entity_id long")
+                self.state["index"] = self._text_index().changed(None, gone).merged().state()
         return True
 
     # -- hygiene
@@ -178,33 +281,21 @@ class Store:
         ids = [r["id"] for r in gone.select("id").collect()]
         if not ids:
             return 0
-        into = self.table("edges").filter((F.col("target_type") == "repo") & F.col("target_id").isin(ids) & ~F.col("repo_id").isin(ids))
+        before = self.model()
+        into = before.edges.filter((F.col("target_type") == "repo") & F.col("target_id").isin(ids) & ~F.col("repo_id").isin(ids))
         others = [r["repo_id"] for r in into.select("repo_id").distinct().collect()]
-        if others:
-            kept = self._staged(self.table("edges").filter(F.col("repo_id").isin(others) & ~((F.col("target_type") == "repo") & F.col("target_id").isin(ids))))
-            self.persist({"edges": kept}, others)
-        for name in OWNED:
-            self.clear(name, ids)
+        with self.transaction():
+            if others:
+                self.persist({"edges": before.edges.filter(F.col("repo_id").isin(others) & ~((F.col("target_type") == "repo") & F.col("target_id").isin(ids)))}, others)
+            for name in OWNED:
+                self.clear(name, ids)
+            if self.state["index"] is not None:
+                self.update_index(ids)
+            if self.state["graph"] is not None:
+                self.update_graph(before, [*ids, *others])
         return len(ids)
 
 
-def written_index(docs: DataFrame, path: str) -> None:
-    """The tables ``fts_docs`` and ``fts_postings`` below ``path``; a prefix's terms are dealt to several tasks, as some prefixes are in most texts."""
-    spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{path}/fts_docs")
-    rows = search.postings(spark.read.schema(docs.schema).parquet(f"{path}/fts_docs"))
-    dealt = rows.repartition(F.col("p2"), F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("p2", "term")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{path}/fts_postings")
-
-
-def stored_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, postings) as ``written_index`` left them; a query's terms prune partitions and row groups."""
-    docs = spark.read.parquet(f"{path}/fts_docs")
-    shape = search.postings(docs).schema
-    schema = StructType([f for f in shape.fields if f.name != "p2"]).add("p2", "string")
-    return docs, spark.read.schema(schema).parquet(f"{path}/fts_postings").select(*shape.names)
-
-
 def facts_listed(facts: DataFrame, repo: str | None = None) -> DataFrame:
     """Facts, of one repository or all, the latest first."""
     rows = facts if repo is None else facts.filter(F.col("repo") == repo)
@@ -259,4 +350,4 @@ def search_index(model: Model, fact_text: str = "repo") -> DataFrame:
     return search.fts_docs(search.index_texts(model, fact_text))
 
 
-__all__ = ["Store", "empty_model", "facts_listed", "missing_repositories", "modes", "search_index", "stale_facts", "staleness", "status_counts", "stored_index", "unchanged", "written_index"]
+__all__ = ["Store", "empty_model", "facts_listed", "missing_repositories", "modes", "search_index", "stale_facts", "staleness", "status_counts", "unchanged"]

@@ -110,12 +110,6 @@ def parsed_changes(lines: DataFrame) -> DataFrame:
     return lines.select("repo_id", F.explode(found).alias("c")).select("repo_id", "c.path", "c.status")
 
 
-def changes_of(spark: SparkSession, repos: list[tuple[int, str, str, str]]) -> DataFrame:
-    """Change sets of (repo_id, path, since, branch)."""
-    rows = [(i, line) for i, path, since, branch in repos for line in name_status(path, since, branch).splitlines()]
-    return parsed_changes(spark.createDataFrame(rows, "repo_id long, line string"))
-
-
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """The same from two snapshots (repo_id, path, hash), where there is no git: by content."""
     rows = before.withColumnRenamed("hash", "was").join(after.withColumnRenamed("hash", "is"), ["repo_id", "path"], "full_outer")
@@ -124,9 +118,6 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def repo_snapshot(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame:
-    """(name, head, branch, tip) of (name, path)."""
-    rows = []
-    for name, path in repos:
-        branch = default_branch(path)
-        rows.append((name, current_commit(path), branch, branch_commit(path, branch) if branch else None))
+    """(name, head, branch, tip) of (name, path), asked by the executors."""
+    rows = [(p["name"], p["head"], p["branch"], p["tip"]) for p in probes(spark, [(n, p, None) for n, p in repos])] if repos else []
     return spark.createDataFrame(rows, "name string, head string, branch string, tip string")

@@ -62,7 +62,7 @@ def test_next_actions(kb):
 def test_scores_follow_bm25(spark):
     texts = spark.createDataFrame([("a", "a", i, t, None) for i, t in enumerate(["x y", "x x z", "z", "w", "w w q"])], "entity_type string, sub_type string, entity_id long, name string, description string")
     docs = search.fts_docs(texts)
-    got = {r.entity_id: r.score for r in search.ranked(docs, "x").collect()}
+    got = {r.entity_id: r.score for r in search.ranked(search.Index.over(docs), "x").collect()}
     import math
 
     idf, avg = math.log((5 - 2 + 0.5) / (2 + 0.5)), 10 / 5
@@ -71,9 +71,9 @@ def test_scores_follow_bm25(spark):
 
 
 def test_phrase(kb):
-    _, docs = kb
-    assert {r.entity_id for r in search.phrase(docs, "hotel booking").collect()} == {1}
-    assert search.phrase(docs, "booking hotel").count() == 0 and search.phrase(docs, "").count() == 0
+    index = search.Index.over(kb[1])
+    assert {r.entity_id for r in search.phrase(index, "hotel booking").collect()} == {1}
+    assert search.phrase(index, "booking hotel").count() == 0 and search.phrase(index, "").count() == 0
 
 
 def test_fact_texts_of_both_paths(spark):

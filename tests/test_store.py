@@ -246,3 +246,69 @@ def test_command_line(kb, capsys):
     assert main(["forget", "5"], kb) == 1 and "NOT_FOUND" in capsys.readouterr().err
     for argv in (["status"], ["impact", "booking-service"], ["field-impact", "guest_name"], ["learned"], ["docs"], ["search", "--list-types"], ["search", "BookingCreated", "--entity"], ["trace", "payments-service", "booking-service", "--timing"]):
         assert main(argv, kb) == 0
+
+
+def test_a_run_that_dies_between_tables_leaves_the_former_version(spark, tmp_path, monkeypatch):
+    m = golden(spark)
+    kb = store.Store(spark, str(tmp_path / "kb"))
+    kb.persist(dict(m.items()), [1, 2])
+    kb.write_index()
+    kb.write_graph()
+    before, reader = tables(kb), store.Store(spark, str(tmp_path / "kb"))
+    later = m.with_tables(modules=m.modules.withColumn("name", F.lit("new")), edges=m.edges.limit(0))
+    real = store.Store._put
+
+    def dying(self, name, *rest):
+        real(self, name, *rest)
+        if name == "modules":
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(store.Store, "_put", dying)
+    with pytest.raises(KeyboardInterrupt):
+        kb.persist(dict(later.items()), [1, 2])
+    monkeypatch.undo()
+    # in this process, for who had opened it, and for who opens it now
+    assert tables(kb) == tables(reader) == tables(store.Store(spark, str(tmp_path / "kb"))) == before
+    kb.persist(dict(later.items()), [1, 2])
+    assert {r["name"] for r in kb.table("modules").collect()} == {"new"} and tables(reader) == before
+    assert kb.vacuum() > 0 and {r["name"] for r in kb.table("modules").collect()} == {"new"}
+    assert kb.index()[0].count() > 0 and kb.edges().count() > 0
+
+
+def test_a_second_writer_gets_an_error(spark, tmp_path):
+    m = golden(spark)
+    one, two = (store.Store(spark, str(tmp_path / "kb")) for _ in range(2))
+    one.persist({"repos": m.repos}, [1, 2])
+    with pytest.raises(FileExistsError):
+        two.persist({"repos": m.repos}, [1, 2])
+    two.refresh()
+    two.persist({"edges": m.edges}, [1, 2])
+    one.refresh()
+    assert one.table("edges").count() == 3 and one.table("repos").count() == 2
+
+
+def test_buckets_grow_with_the_tables(spark, tmp_path):
+    kb = store.Store(spark, str(tmp_path / "kb"), buckets=2)
+    repos = spark.range(1, 60).select("id", F.concat(F.lit("r"), "id").alias("name"))
+    kb.persist({"repos": repos}, list(range(1, 60)))
+    assert kb.grow() == 2 and kb.grow(bucket_bytes=500) >= 4
+    assert kb.table("repos").count() == 59 and store.Store(spark, str(tmp_path / "kb")).state["buckets"] >= 4
+    kb.clear("repos", [7])
+    assert kb.table("repos").count() == 58
+
+
+def test_index_and_graph_follow_an_index_run(spark, root, tmp_path):
+    kb = store.Store(spark, str(tmp_path / "kb"))
+    indexing.index_all(kb, str(root))
+    write(root / "app-pay" / "lib/h.ex", "defmodule Pay.Other do\n  plug Tesla.Middleware.BaseUrl, \"http://app-shop:80\"\nend\n")
+    commit(root / "app-pay")
+    assert [r["repo"] for r in indexing.index_all(kb, str(root), names=["app-pay", "nobody"])] == ["app-pay", "nobody"]
+    fresh = store.Store(spark, str(tmp_path / "kb2"))
+    fresh.persist({n: kb.table(n) for n in store.OWNED}, [r["id"] for r in kb.table("repos").select("id").collect()])
+    fresh.write_index()
+    fresh.write_graph()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(kb.index()[0].drop("digest")) == rows(fresh.index()[0].drop("digest"))
+    for kind in ("out", "in", "upstream", "downstream"):
+        assert rows(kb.graph().read(kind)) == rows(fresh.graph().read(kind))
+    assert kb._text_index().n_docs == fresh._text_index().n_docs and len(kb._text_index().segments) >= 1

@@ -24,7 +24,7 @@ def test_batches_replace_their_files(spark, tmp_path):
     m = store.model()
     assert {r["name"] for r in m.modules.collect()} == {"X2", "Y"}
     assert {r.relationship_type for r in m.edges.collect()} == {"produces_event", "consumes_event"}
-    _, postings = store.index()
+    postings = store.index()[1].postings
     assert {r.term for r in postings.filter("entity_type = 'module'").select("term").distinct().collect()} >= {"x2", "y"}
     assert postings.filter("term = 'old'").count() == 0
 
