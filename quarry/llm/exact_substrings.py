@@ -399,22 +399,24 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
-        F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("__no_text")).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").isNull().alias("absent"),
     )
 
     back = kept_bytes(numbered(rows), length, text=True)
-    text = F.when(~F.col("row.__no_text"), F.col("kept"))
+    text = F.when(~F.col("absent"), F.col("kept"))
     stated = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {})
     return back.select(*[stated.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def sql(length: int = LENGTH) -> str:
-    """The same in DuckDB's SQL, over hexadecimal texts: one row per start of a string."""
+    """The same in DuckDB's SQL, over hexadecimal texts: blocks of a text first, then one row per start of a string."""
+    block = 256
     return f"""
 WITH hexed AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 sized AS MATERIALIZED (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM hexed),
-starts AS (SELECT doc_id, unnest(range(0, n - {length - 1})) AS p, h FROM sized WHERE n >= {length}),
-firsts AS (SELECT doc_id, p, row_number() OVER (PARTITION BY hash(substr(h, 1 + 2 * p::INT, {2 * length})) ORDER BY doc_id, p) AS k FROM starts),
+blocks AS MATERIALIZED (SELECT doc_id, q, least({block}, n - {length - 1} - q) AS m, substr(h, 1 + 2 * q::INT, {2 * (block + length - 1)}) AS b FROM (SELECT *, unnest(range(0, n - {length - 1}, {block})) AS q FROM sized WHERE n >= {length})),
+starts AS MATERIALIZED (SELECT doc_id, q + i AS p, hash(substr(b, 1 + 2 * i::INT, {2 * length})) AS s FROM (SELECT *, unnest(range(0, m)) AS i FROM blocks)),
+firsts AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM starts),
 gone AS MATERIALIZED (SELECT doc_id, p FROM firsts WHERE k > 1),
 edges AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > {length}, true) AS new FROM gone),
 numbered AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edges),
