@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.session import cut, shared_dir
 
-__all__ = ["byte_view", "cut", "discard", "known", "numbered", "odd_ids", "per_batch", "release", "releasing", "scratch", "shared_dir", "single_threaded", "sliced", "table", "texts_of", "tokenizer_path", "tokenizer_pattern", "utf8", "written"]
+__all__ = ["byte_view", "cut", "discard", "known", "numbered", "odd_ids", "per_batch", "release", "releasing", "reported", "scratch", "shared_dir", "single_threaded", "sliced", "table", "texts_of", "tokenizer_path", "tokenizer_pattern", "utf8", "written"]
 
 #: Tables that ``written`` has left in the shared folder and nothing has deleted yet.
 _LEFT: list[str] = []
@@ -117,6 +117,19 @@ def numbered(rows: DataFrame, each: bool = False) -> DataFrame:
     return written(dealt.mapInArrow(releasing(run), schema), "numbered")
 
 
+def reported(found: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """What was ``found`` by numbers (column, component_id, kept, others) by the ids (column, id) that the numbers stand for.
+
+    A component is named by its least id. One without any has none, and keeps its first number.
+    """
+    order = found.columns
+    known = found.join(ids.distinct(), column)
+    named = known.groupBy("component_id").agg(F.min("id").alias("named"))
+    kept = F.when(F.col("named").isNull(), F.col("kept")).otherwise(F.col("id").eqNullSafe(F.col("named")))
+    stated = {column: F.col("id"), "component_id": F.col("named"), "kept": kept}
+    return known.join(named, "component_id").select(*[stated.get(c, F.col(c)).alias(c) for c in order])
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text, none for null."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -24,9 +24,10 @@ probability (1 - 0.8^5)^32 = 3e-6 if its minima agree independently.
 
 Defined cases: a text that is null, empty or without words has an empty set and
 is linked with nothing; a document with fewer words than a shingle has its whole
-sequence as one shingle; rows that repeat a doc_id are one node; a null doc_id
-is linked with nothing and is its own component (null), kept; an empty table
-gives an empty table; other columns are not read.
+sequence as one shingle; rows without a doc_id, and different texts of a repeated
+one, are documents of their own, and all rows are then numbered first; a component
+is named by its least doc_id, one without any by null, and keeps one row; an empty
+table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import numbered, per_batch, releasing, sliced, utf8, written
+from quarry.llm.common import numbered, odd_ids, per_batch, releasing, reported, sliced, utf8, written
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, shingle_sets
 
@@ -248,8 +249,20 @@ def links(docs: DataFrame, known: DataFrame, words: int = WORDS, percent: int =
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+    """doc_id, n_shingles, component_id, kept of every document.
+
+    Rows without a doc_id, and different texts of a repeated one, are documents of their own and
+    link others. A component is named by its least doc_id; one without any has none, and keeps one row.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if not odd_ids(rows):
+        return _deduplicated(rows, words, percent)
+    own = numbered(rows.select("doc_id", utf8(F.col("text")).alias("data"), F.col("doc_id").alias("id")))
+    found = _deduplicated(own.select(F.col("doc").alias("doc_id"), F.col("data").cast("string").alias("text")), words, percent)
+    return reported(found, own.select(F.col("doc").alias("doc_id"), "id"), "doc_id")
+
+
+def _deduplicated(rows: DataFrame, words: int, percent: int) -> DataFrame:
     known = written(signatures(rows, words), "minhash-signatures")
     found, classes = links(rows, known, words, percent)
     named = classes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
@@ -267,7 +280,7 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("data"), row.alias("row")), each=True)
-    found = deduplicated(rows.select(F.col("doc").alias("doc_id"), F.col("data").cast("string").alias("text")), words, percent)
+    found = _deduplicated(rows.select(F.col("doc").alias("doc_id"), F.col("data").cast("string").alias("text")), words, percent)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("doc"))
     return rows.join(gone, "doc", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 

@@ -21,8 +21,8 @@ It is fitted on at most ``SAMPLE`` vectors, for the ``LENGTHS`` commonest length
 in that sample; vectors of other lengths keep their own axes.
 
 Defined cases: vectors that are null, of length zero, empty, or that hold null
-or non-finite components, and rows with a null label or vec_id, link with nothing
-and stand alone; vectors of different lengths never link; rows that repeat
+or non-finite components, and rows with a null label, link with nothing and stand
+alone; vectors without a vec_id are vectors of their own, which link others; vectors of different lengths never link; rows that repeat
 vec_id, label and vector are one vector. Different vectors of one vec_id are
 vectors of one node: each row counts the vectors of other ids that its own is
 linked with, and all of them are in the node's component. An empty table gives an
@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
-from quarry.llm.common import releasing, written
+from quarry.llm.common import numbered, releasing, reported, written
 from quarry.llm.components import components
 
 THRESHOLD, TILE, STEP, SAMPLE, LENGTHS = 0.93, 2048, 16, 20_000, 16
@@ -231,8 +231,20 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector."""
+    """vec_id, n_links, component_id, kept of every vector.
+
+    Vectors without a vec_id are vectors of their own and link others. A component is named by its
+    least vec_id; one without any has none, and keeps one row.
+    """
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("string").alias("grp"))
+    if rows.filter("vec_id is null").isEmpty():
+        return _linked(rows, threshold, tile, sample)
+    own = numbered(rows.select(F.col("vec_id").alias("doc_id"), F.lit("").cast("binary").alias("data"), "embedding", "grp", F.col("vec_id").alias("id")))
+    found = _linked(own.select(F.col("doc").alias("vec_id"), "embedding", "grp"), threshold, tile, sample)
+    return reported(found, own.select(F.col("doc").alias("vec_id"), "id"), "vec_id")
+
+
+def _linked(rows: DataFrame, threshold: float, tile: int, sample: int) -> DataFrame:
     given = F.col("vec_id").isNotNull() & F.col("grp").isNotNull() & usable()
     keyed = rows.select("vec_id", "grp", "embedding", *[F.when(given, k).alias(n) for k, n in zip(_keys(F.col("grp"), F.col("embedding")), ("k1", "k2"))])
     members = written(keyed.filter("k1 is not null").dropDuplicates(["vec_id", "grp", "k1", "k2"]), "tiles-members")

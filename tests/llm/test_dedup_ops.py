@@ -75,10 +75,22 @@ def test_minhash_equals_brute_force(spark, seed):
     rows = minhash.deduplicated(frame(spark, texts), 4, 80).collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+        k = 6 if r.doc_id is None else r.doc_id  # the row without an id has the text of document 6, and links others as this does
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[k]), want[k], want[k] == r.doc_id)
+
+
+def test_minhash_links_by_way_of_rows_without_an_id(spark):
+    rnd = random.Random(3)
+    base = [rnd.choice(WORDS) for _ in range(200)]
+    changed = lambda n: " ".join([*base[:-n], *(f"n{n}_{k}" for k in range(n))])
+    other = " ".join(rnd.choice(WORDS) for _ in range(50))
+    # 4 and 9 are linked only by way of a row without an id; 7 has two texts, one of them a copy of 4's
+    rows = [(9, changed(36)), (None, changed(18)), (4, " ".join(base)), (None, other), (None, other), (7, " ".join(base)), (7, "quite another text"), (12, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit(1)).withColumn("id", F.lit(2)).withColumn("named", F.lit(3))
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.deduplicated(df).collect()]
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    want = [(9, 4, False), (None, 4, False), (4, 4, True), (None, None, True), (None, None, False), (7, 4, False), (7, 7, True), (12, 12, True), (None, None, True)]
+    assert sorted(got, key=order) == sorted(want, key=order)
 
 
 def test_a_link_between_members_that_are_not_the_representative():
@@ -235,8 +247,10 @@ def test_tiles_of_repeated_and_missing_ids(spark):
     rows += [rows[3], rows[3]]  # the same vector again
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("k1", F.lit(0)).withColumn("tile", F.lit(0))
     got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in tiles.linked(df).collect())
-    want = [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 2, 1), (2, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6)]
-    assert got == [(False, i, n, c, i == c) for i, n, c in want] + [(True, 0, 0, None, True)]
+    want = [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 3, 1), (2, 3, 1), (2, 3, 1), (3, 1, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6)]
+    assert got == [(False, i, n, c, i == c) for i, n, c in want] + [(True, 0, 3, 1, False)]
+    alone = tiles.linked(spark.createDataFrame([(None, near(a), 1), (None, near(a), 1), (None, far, 1), (9, far, 2)], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in alone) == [(0, 0, 0, True), (0, 1, 0, False), (0, 1, 0, True), (9, 0, 9, True)]
     lone = tiles.linked(spark.createDataFrame([(1, near(a), 1), (1, near(a), 1)], "vec_id long, embedding array<float>, label int"))
     assert [r.n_links for r in lone.collect()] == [0, 0]
 
@@ -447,6 +461,20 @@ def test_pipeline_stages_with_odd_rows(spark):
     assert docs.filter("not round_trip").count() == 0
 
 
+INNER = ("__no_text", "absent", "row", "kept", "doc", "data", "id", "hash", "tie", "pos", "n", "n_bytes", "gone", "draw", "size", "component_id", "named", "lang_pred", "noise", "each", "copies", "taken", "key", "bucket")
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_pipeline_stages_with_columns_named_as_their_own(spark, odd):
+    rnd = random.Random(2)
+    rows = [(None if odd and k < 2 else k, " ".join(rnd.choice(WORDS) for _ in range(80)), "en", "s", 5) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in INNER})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.filter(F.col("__no_text") != "__no_text").count() == 0 and out.count() > 0, name
+
+
 def test_queries_and_their_sql(spark):
     assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 14))
     assert set(queries.ORACLE_SQL) == {"op1_suffix_dedup", "op3_mixing", "op6_tiles", "op9_minhash", "op12_lexical", "op13_phrases"}
