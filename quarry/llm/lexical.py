@@ -42,7 +42,7 @@ TOP = 20
 #: Bounds of the fit: documents, terms, levels; rounds of exchanges at a node, documents of a leaf at least.
 SAMPLE, VOCABULARY, DEPTH, EXCHANGES, LEAF = 4096, 16_384, 6, 20, 32
 #: Postings and documents of a shard, about; items scored together; growth of the rounds.
-POSTINGS, SHARD_DOCS, TOGETHER, GROWTH = 1_000_000, 30_000, 64, 4
+POSTINGS, SHARD_DOCS, TOGETHER, GROWTH = 1_000_000, 30_000, 256, 4
 #: Fixed values of the score.
 SCALE, GAIN, K, B = 1000, 1_000_000_000, 12, 25
 
@@ -252,14 +252,21 @@ def _best(rows: DataFrame, top: int) -> DataFrame:
 
 
 def _scored(visits: DataFrame, lists: DataFrame, terms: DataFrame, blocks: int, top: int) -> DataFrame:
-    """(item, doc_id, at, score): the best ``top`` documents of each visited shard for each item that visits it."""
+    """(item, doc_id, at, score): the best ``top`` documents of each visited shard for each item that visits it.
+
+    The visited shards' rows of asked terms go once to the tasks that score a block of items, and
+    what the items ask goes there beside them, so the index itself is never shuffled for a join.
+    """
     visits = visits.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    asked = visits.join(lists, "item").groupBy("leaf", "shard", "block", "term").agg(F.collect_list(F.struct("item", "weight")).alias("items"))
-    heads = visits.select("leaf", "shard", "block", F.lit("").alias("term")).distinct().withColumn("items", F.lit(None).cast(asked.schema["items"].dataType))
-    rows = terms.select("leaf", "shard", "term", "docs", "parts").join(asked.unionByName(heads), ["leaf", "shard", "term"])
+    asked = visits.join(lists, "item").groupBy("shard", "block", "term").agg(F.collect_list(F.struct("item", "weight")).alias("items"))
+    asked = asked.withColumns({"docs": F.lit(None).cast("binary"), "parts": F.lit(None).cast("binary")})
+    wanted = lists.select("term").unionByName(lists.select(F.lit("").alias("term"))).distinct()  # the empty term has a shard's documents
+    rows = terms.select("shard", "term", "docs", "parts").join(wanted, "term", "left_semi").join(visits.select("shard", "block").distinct(), "shard")
+    rows = rows.withColumn("items", F.lit(None).cast(asked.schema["items"].dataType)).select(*asked.columns)
+    dealt = rows.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "term", F.col("items").isNull())
 
     def run(batches):
-        now, ids, null, items, scores = None, None, None, {}, []
+        now, ids, null, items, scores, asks = None, None, None, {}, [], (None, None)
 
         def found():
             for item, k in items.items():
@@ -271,23 +278,25 @@ def _scored(visits: DataFrame, lists: DataFrame, terms: DataFrame, blocks: int,
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), item)), pa.array(ids[at], mask=null[at]), pa.array((now[0] << 32) + at), pa.array(s[at])], names=["item", "doc_id", "at", "score"])
 
         for batch in batches:
-            for shard, block, _, asks, docs, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, block, term, own, docs, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 if (shard, block) != now:
                     yield from found()
                     now, items, scores = (shard, block), {}, []
-                if asks is None:  # the shard's documents come first: their term is the empty one
+                if own is not None:
+                    asks = (term, own)
+                elif not term:
                     n = len(docs) // 9
                     ids, null = np.frombuffer(docs, "<i8", n), np.frombuffer(docs, np.bool_, n, 8 * n)
-                    continue
-                place, part = np.frombuffer(docs, "<u4"), np.frombuffer(parts, "<u4").astype(np.int64)
-                for ask in asks:
-                    k = items.setdefault(ask["item"], len(items))
-                    if k == len(scores):
-                        scores.append(np.zeros(len(ids), np.int64))
-                    scores[k][place] += ask["weight"] * part
+                elif term == asks[0]:
+                    place, part = np.frombuffer(docs, "<u4"), np.frombuffer(parts, "<u4").astype(np.int64)
+                    for ask in asks[1]:
+                        k = items.setdefault(ask["item"], len(items))
+                        if k == len(scores):
+                            scores.append(np.zeros(len(ids), np.int64))
+                        scores[k][place] += ask["weight"] * part
+                    asks = (None, None)
         yield from found()
 
-    dealt = rows.select("shard", "block", "term", "items", "docs", "parts").repartition("shard", "block").sortWithinPartitions("shard", "block", "term")
     return dealt.mapInArrow(releasing(run), "item long, doc_id long, at long, score long")
 
 
