@@ -142,6 +142,22 @@ def test_language_of_held_out_texts(spark):
     assert kept.columns == odd.columns and {1000, 1001, 2000, 2001, 2002}.isdisjoint(ids) and {i for i, _, _ in rows} <= set(ids) and ids[3000] == "en"
 
 
+def test_the_bound_as_shipped_rejects_noise_and_keeps_prose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(8)
+    noise = [
+        *("".join(rnd.choice("qxzjkvwpbgy") for _ in range(n)) for n in (300, 3000)),
+        *("".join(chr(rnd.randrange(0xA1, 0x2FF)) for _ in range(n)) for n in (400, 4000)),
+        *("".join(chr(rnd.randrange(0x21, 0x7F)) for _ in range(n)) for n in (300, 2000)),
+    ]
+    first = 10_000_000
+    more = spark.createDataFrame([(first + k, t) for k, t in enumerate(noise)], "doc_id long, text string")
+    kept = language.spoken(docs.unionByName(more, allowMissingColumns=True)).select("doc_id").collect()
+    ids = {r.doc_id for r in kept}
+    assert not [k for k in range(len(noise)) if first + k in ids]
+    assert len(ids) == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_a_very_long_text_has_the_language_of_its_windows(spark):
     rnd = random.Random(3)
     stock = {"en": "the and of to in that is was he for it with".split(), "de": "der die und in den von zu das mit sich des auf".split()}
