@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.operators.fixed_values import CAMEL, CAPITALS, NO_TOKEN
+
 
 def tokenized(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits, joined by blanks; camel case is split, null gives ''.
 
     Everything runs as JVM string functions, so it stays in generated code.
     """
-    split = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.coalesce(F.lower(F.trim(F.regexp_replace(split, "[^a-zA-Z0-9]+", " "))), F.lit(""))
+    split = F.regexp_replace(F.regexp_replace(text, CAMEL, "$1 $2"), CAPITALS, "$1 $2")
+    return F.coalesce(F.lower(F.trim(F.regexp_replace(split, NO_TOKEN, " "))), F.lit(""))
+
+
+def words(text: str) -> tuple[str, ...]:
+    """The same words of a Python string."""
+    return tuple(re.sub(NO_TOKEN, " ", re.sub(CAPITALS, r"\1 \2", re.sub(CAMEL, r"\1 \2", text))).lower().split())
 
 
 def tokens(text: Column) -> Column:

@@ -90,3 +90,8 @@ CAST_CALL = r"\bcast\s*\(\s*(?:\w+\s*,\s*){0,2}(?:\[([\s\S]*?)\]|(@\w+(?:\s*\+\+
 ATOM = r":(\w+)"
 ATTRIBUTE = r"@(\w+)"
 MODULE_KINDS = (("context", r"Context$|\.Contexts?\."), ("command", r"\.Commands?\.|Command$"), ("query", r"\.Queries?\.|Query$"))
+
+# How names and texts become tokens. A space goes between a lower-case letter or digit and a
+# capital, and before the last capital of a run that a lower-case letter follows; whatever is no ASCII letter
+# or digit becomes one space. In Spark and in Python alike.
+CAMEL, CAPITALS, NO_TOKEN = r"([a-z0-9])([A-Z])", r"([A-Z]+)([A-Z][a-z])", r"[^a-zA-Z0-9]+"

@@ -8,6 +8,8 @@ lists with equal weight; smaller is better.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 from typing import NamedTuple
@@ -15,12 +17,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import like, tokens
+from quarry.functions.text import like, tokens, words
 from quarry.operators.entities import CARD, entity_cards
 from quarry.schema import COARSE_TYPES, Model
 from quarry.session import cut
 
 K1, B, LEAST_IDF, ENOUGH = 1.2, 0.75, 1e-6, 3
+#: Zones for each doubling of a document's length; growth of the rounds in which zones are read.
+ZONES, GROWTH = 4, 4
 #: What to ask next about a hit of each type.
 NEXT_ACTION = {"field": "kb_field_impact", "repo": "kb_explain", "module": "kb_entity", "event": "kb_entity", "service": "kb_entity", "learned_fact": "kb_search"}
 DOC = ("entity_type", "sub_type", "entity_id", "name", "description")
@@ -58,24 +62,35 @@ def fts_docs(texts: DataFrame, *more: str) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, entity_type, sub_type, entity_id, dl, tf, p2, p3): the inverted index; p2 and p3 are prefixes to partition by."""
-    words = docs.select("entity_type", "sub_type", "entity_id", "dl", F.explode(F.concat("name_tokens", "desc_tokens")).alias("term"))
-    counted = words.groupBy("term", "entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    found = docs.select("entity_type", "sub_type", "entity_id", "dl", F.explode(F.concat("name_tokens", "desc_tokens")).alias("term"))
+    counted = found.groupBy("term", "entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3))
 
 
 def positional(docs: DataFrame) -> DataFrame:
     """The same with ``places``: where the term stands, names first; a place is left free between the two lists."""
     both = F.concat("name_tokens", F.array(F.lit(None).cast("string")), "desc_tokens")
-    words = docs.select("entity_type", "sub_type", "entity_id", "dl", F.posexplode(both).alias("place", "term")).filter("term is not null")
-    counted = words.groupBy("term", "entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3))
+    found = docs.select("entity_type", "sub_type", "entity_id", "dl", F.posexplode(both).alias("place", "term")).filter("term is not null")
+    counted = found.groupBy("term", "entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3)).withColumn("zone", zone())
+
+
+def zone() -> Column:
+    """The class of a document's length: four classes for each doubling. All terms of a document are in its zone."""
+    return F.floor(F.log2(F.col("dl")) * ZONES).cast("int")
+
+
+def term_counts(postings: DataFrame) -> DataFrame:
+    """(term, zone, n, most, least): documents of each zone that hold a term, their greatest count of it and least length."""
+    return postings.groupBy("term", "zone").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
 
 
 class Index(NamedTuple):
-    """Postings, and one row of statistics about all documents."""
+    """Postings, one row of statistics about all documents, and, where they are stored, the counts of terms by zone."""
 
     postings: DataFrame
     stats: DataFrame
+    terms: DataFrame | None = None
 
     @staticmethod
     def over(docs: DataFrame) -> Index:
@@ -103,13 +118,7 @@ class Query:
 
 def words_of(raw: str) -> tuple[tuple[str, ...], ...]:
     """The query's words as groups of tokens; operators and signs that people type are ordinary text or nothing."""
-    import re
-
-    def split(word: str) -> tuple[str, ...]:
-        word = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", word))
-        return tuple(re.sub(r"[^a-zA-Z0-9]+", " ", word).lower().split())
-
-    return tuple(g for g in map(split, raw.split()) if g)
+    return tuple(g for g in map(words, raw.split()) if g)
 
 
 def type_filter(wanted: str | None) -> Column:
@@ -164,7 +173,51 @@ def ranked(index: Index, raw: str, limit: int = 20, wanted: str | None = None) -
     groups = words_of(raw)
     if not groups:
         return _nothing(index)
-    return _step(index, Query(groups, True), limit, wanted)
+    return _every(index, groups, limit, wanted)
+
+
+def _every(index: Index, groups: tuple[tuple[str, ...], ...], limit: int, wanted: str | None) -> DataFrame:
+    return _step(index, Query(groups, True), limit, wanted) if index.terms is None else bounded(index, groups, limit, wanted)
+
+
+def bounded(index: Index, groups: tuple[tuple[str, ...], ...], limit: int, wanted: str | None = None) -> DataFrame:
+    """The best ``limit`` documents that have all terms, zone by zone, the most promising first.
+
+    What a zone can give at most follows from each term's greatest count and least length there.
+    Postings of a zone are read only if that reaches the score of the last hit so far, and a zone
+    that lacks a term is never read. A query has few terms and there are few zones, so the bounds
+    are plain numbers.
+    """
+    weight = Counter(t for group in groups for t in group)
+    n_docs, total_len = index.stats.first()
+    found = index.terms.filter(F.col("term").isin(list(weight)) & F.col("p2").isin(sorted({t[:2] for t in weight}))).groupBy("term", "zone").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).collect()
+    df = {t: sum(r["n"] for r in found if r["term"] == t) for t in weight}
+    idf = {t: max(LEAST_IDF, math.log((n_docs - n + 0.5) / (n + 0.5))) * weight[t] for t, n in df.items()}
+    part = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl * n_docs / total_len))
+    at: dict[int, dict[str, float]] = {}
+    for r in found:
+        if r["n"] > 0:
+            at.setdefault(r["zone"], {})[r["term"]] = idf[r["term"]] * part(r["most"], r["least"])
+    order = sorted(((sum(v.values()), z) for z, v in at.items() if len(v) == len(weight)), key=lambda x: (-x[0], x[1]))
+    key, spark = ["entity_type", "sub_type", "entity_id"], index.postings.sparkSession
+    weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double")) if idf else None
+    best, done, upto = None, 0, 2
+    while done < len(order):
+        least = None
+        if best is not None and len(best) == limit:
+            least = -best[-1]["score"]
+        # scores are rounded to six places, so a bound within that of the last hit may tie with it
+        zones = [z for b, z in order[done:upto] if least is None or b >= least - 1e-6]
+        if not zones:  # bounds fall
+            break
+        near = index.postings.filter(_near(Query((tuple(weight),), True)) & F.col("zone").isin(zones)).join(weights, "term")
+        tf, dl = F.col("tf"), F.col("dl")
+        scores = near.groupBy(*key).agg(F.count(F.lit(1)).alias("have"), F.sum(F.col("idf") * part(tf, dl)).alias("s")).filter(F.col("have") == len(weight))
+        rows = top(scores.select(*key, F.round(-F.col("s"), 6).alias("score")).filter(type_filter(wanted)), limit).collect()
+        best = sorted([*(best or []), *rows], key=lambda r: (r["score"], r["entity_type"], r["entity_id"]))[:limit]
+        done, upto = upto, upto * GROWTH
+    schema = "entity_type string, sub_type string, entity_id long, score double"
+    return spark.createDataFrame([tuple(r) for r in best or []], schema)
 
 
 def _nothing(index: Index) -> DataFrame:
@@ -188,7 +241,7 @@ def relaxed(index: Index, raw: str, limit: int = 20, wanted: str | None = None)
         return ranked(index, raw, limit, wanted)
     steps = [Query(groups, True), Query(groups, False), Query(groups, False, True)]
     for query in steps[:-1]:
-        found = cut(_step(index, query, limit, wanted))
+        found = cut(_every(index, groups, limit, wanted) if query.every else _step(index, query, limit, wanted))
         if found.count() >= ENOUGH:  # at most ``limit`` rows
             return found
     return _step(index, steps[-1], limit, wanted)

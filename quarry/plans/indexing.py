@@ -69,7 +69,7 @@ def _written(store: Store, work: list[dict], force: bool, organizations: tuple[s
     model = store.model()
     tables = tables_of(cut(known), files, extracted(files, organizations), model.repos, model.services, model.events, model.modules)
     ids = {r["name"]: r["id"] for r in repos.collect()}
-    changes = git.parsed_changes(spark.createDataFrame([(ids[w["name"]], line) for w in work for line in w["lines"]], "repo_id long, line string"))
+    changes = cut(git.parsed_changes(git.diff_lines(spark, [(ids[w["name"]], w["path"], w["last"]) for w in work if w["reachable"]])))
     counts = {r["repo_id"]: r["count"] for r in changes.groupBy("repo_id").count().collect()}
     sizes = {r["repo_id"]: r["count"] for r in files.groupBy("repo_id").count().collect()}
     plan = spark.createDataFrame([(ids[w["name"]], force, w["last"], w["head"] or "", w["reachable"], counts.get(ids[w["name"]], 0), sizes.get(ids[w["name"]], 0)) for w in work], "repo_id long, force boolean, last string, tip string, reachable boolean, changed int, files int")
@@ -137,7 +137,12 @@ def index_all(
             results[name] |= {"status": "error", "error": failed[name], "category": git.error_category(failed[name])} if name in failed else {"status": "success", "mode": batch[name]}
             say(done, len(results), name)
         if batch:
-            enrich(store, root)
+            try:
+                enrich(store, root)
+            except Exception as error:  # noqa: BLE001
+                # what was indexed is stored; only domains and owners are as they were
+                for name in batch:
+                    results[name]["enrich_error"] = str(error).splitlines()[0] if str(error) else type(error).__name__
             store.grow()
     return [results[n] for n, _ in wanted] + absent
 

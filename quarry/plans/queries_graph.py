@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import edges as E
 from quarry.operators import dependencies, explain, field_impact, graph, impact, trace
+from quarry.plans import sql_functions
 from quarry.plans.derived import derived
 from quarry.plans.model_map import STAR_SQL, star_model
 from quarry.plans.registry import query
@@ -189,6 +190,14 @@ def impact_of_one(spark, sf_dir):
     return _shown(impact.impact_entries(model, stored.near("out", found, "node"), _one(model), found=found))
 
 
+@query(_with("SELECT node, name, depth, tier FROM entries WHERE service = 'Supplier#000000002'", _IMPACT))
+def impact_in_sql(spark, sf_dir):
+    """The same question to another service, in SQL."""
+    model, stored = _stored(spark, sf_dir)
+    sql_functions.register(spark, model, stored.edges())
+    return spark.sql("SELECT node, name, depth, tier FROM impact_of('Supplier#000000002', 3)")
+
+
 @query(_with("SELECT seed, node, count(*)::BIGINT AS edges FROM own GROUP BY ALL", _IMPACT))
 def impact_edge_collection(spark, sf_dir):
     model, edges = _graph(spark, sf_dir)

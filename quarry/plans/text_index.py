@@ -25,7 +25,9 @@ from quarry.sources import folders
 
 KEY = ["entity_type", "entity_id"]
 DOC_SCHEMA = "entity_type string, sub_type string, entity_id long, owner long, digest long, name_tokens array<string>, desc_tokens array<string>, dl int"
-POSTING_SCHEMA = "term string, entity_type string, sub_type string, entity_id long, dl int, tf long, places array<int>, p3 string"
+POSTING_SCHEMA = "term string, entity_type string, sub_type string, entity_id long, dl int, tf long, places array<int>, p3 string, zone int"
+#: Counts of terms by zone; those of removed documents are negative and say in which segment these lie.
+TERM_SCHEMA = "term string, zone int, n long, most long, least int, home int"
 REMOVED_SCHEMA = "entity_type string, entity_id long"
 #: Tasks to which the terms of a prefix are dealt.
 DEALT = 8
@@ -66,7 +68,7 @@ class TextIndex:
     # -- reading
 
     def _read(self, kind: str, schema: str, segments: tuple[Segment, ...]) -> DataFrame:
-        schema = f"{schema}, seg int, commit string" + (", p2 string" if kind == "postings" else "")
+        schema = f"{schema}, seg int, commit string" + (", p2 string" if kind in ("postings", "terms") else "")
         if not segments:
             return self.spark.createDataFrame([], schema)
         paths = [f"{self.root}/{kind}/seg={s.seg}/commit={s.commit}" for s in segments]
@@ -92,13 +94,17 @@ class TextIndex:
     def postings(self) -> DataFrame:
         """The postings of live documents; a question's terms prune partitions and row groups."""
         rows = self._read("postings", POSTING_SCHEMA, tuple(s for s in self.segments if s.docs))
-        return self._live(rows).select("term", "entity_type", "sub_type", "entity_id", "dl", "tf", "places", "p2", "p3")
+        return self._live(rows).select("term", "entity_type", "sub_type", "entity_id", "dl", "tf", "places", "p2", "p3", "zone")
+
+    def terms(self) -> DataFrame:
+        """(term, zone, n, most, least, p2): sums of ``n`` count live documents; ``most`` and ``least`` bound them."""
+        return self._read("terms", TERM_SCHEMA, self.segments).drop("seg", "commit", "home")
 
     def stats(self) -> DataFrame:
         return self.spark.createDataFrame([(self.n_docs, self.total_len)], "n_docs long, total_len long")
 
     def searchable(self) -> search.Index:
-        return search.Index(self.postings(), self.stats())
+        return search.Index(self.postings(), self.stats(), self.terms())
 
     # -- changes
 
@@ -117,16 +123,21 @@ class TextIndex:
             docs = self._read("docs", DOC_SCHEMA, (Segment(seg, commit, 1, 0),))
         keys = docs.select(*KEY)
         keys = (keys if removed is None else keys.unionByName(removed.select(*KEY))).distinct()
-        dead = self.docs().join(keys, KEY, "left_semi").select(*KEY, "dl")
-        gone, gone_len = 0, 0
+        live = self._live(self._read("docs", DOC_SCHEMA, tuple(s for s in self.segments if s.docs)))
+        dead = live.join(keys, KEY, "left_semi").select(*KEY, "dl", F.col("seg").alias("home"), "sub_type", "name_tokens", "desc_tokens")
+        gone, gone_len, removed_terms = 0, 0, None
         if self.segments:
             self._write("removed", dead, seg, commit)
-            gone, gone_len = self._read("removed", f"{REMOVED_SCHEMA}, dl int", (Segment(seg, commit, 0, 1),)).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            stones = self._read("removed", f"{REMOVED_SCHEMA}, dl int, home int, sub_type string, name_tokens array<string>, desc_tokens array<string>", (Segment(seg, commit, 0, 1),))
+            gone, gone_len = stones.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            held = stones.select("home", "dl", F.explode(F.array_distinct(F.concat("name_tokens", "desc_tokens"))).alias("term")).withColumn("zone", search.zone())
+            removed_terms = held.groupBy("term", "zone", "home").agg((-F.count(F.lit(1))).alias("n")) if gone else None
         added, added_len = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        if added:
-            self._postings(docs, seg, commit)
         if not added and not gone:
             return self
+        if added:
+            self._postings(docs, seg, commit)
+        self._counts(seg, commit, bool(added), removed_terms)
         return replace(self, segments=(*self.segments, Segment(seg, commit, added, gone)), n_docs=self.n_docs + added - gone, total_len=self.total_len + added_len - gone_len)
 
     def _write(self, kind: str, rows: DataFrame, seg: int, commit: str) -> None:
@@ -134,9 +145,18 @@ class TextIndex:
 
     def _postings(self, docs: DataFrame, seg: int, commit: str) -> None:
         rows = search.positional(docs)
-        dealt = rows.repartition(F.col("p2"), F.pmod(F.xxhash64("term"), F.lit(DEALT))).sortWithinPartitions("p2", "term")
+        dealt = rows.repartition(F.col("p2"), F.pmod(F.xxhash64("term"), F.lit(DEALT))).sortWithinPartitions("p2", "zone", "term")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/postings/seg={seg}/commit={commit}")
 
+    def _counts(self, seg: int, commit: str, added: bool, removed: DataFrame | None) -> None:
+        """Writes the counts of a segment's terms, with those that its tombstones take away."""
+        own = self._read("postings", POSTING_SCHEMA, (Segment(seg, commit, 1, 0),) if added else ())
+        rows = search.term_counts(own).withColumn("home", F.lit(None).cast("int"))
+        if removed is not None:
+            rows = rows.unionByName(removed, allowMissingColumns=True)
+        rows = rows.withColumn("p2", F.substring("term", 1, 2))
+        rows.repartition("p2").sortWithinPartitions("p2", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/terms/seg={seg}/commit={commit}")
+
     def merged(self, every: bool = False) -> TextIndex:
         """The same documents in fewer segments: all from the first one on that is less than twice as large as those after it, or all."""
         sizes = [s.docs + s.removed for s in self.segments]
@@ -151,9 +171,14 @@ class TextIndex:
         count, gone = docs.count(), 0
         if count:
             self._postings(docs, seg, commit)
+        removed_terms = None
         if old and (stones := part._tombstones()) is not None:
             self._write("removed", stones.select(*KEY), seg, commit)
             gone = self._read("removed", REMOVED_SCHEMA, (Segment(seg, commit, 0, 1),)).count()
+            # documents of the merged segments have left with their counts, those of older ones have not
+            removed_terms = part._read("terms", TERM_SCHEMA, some).filter(F.col("home") < some[0].seg).groupBy("term", "zone", "home").agg(F.sum("n").alias("n"))
+        if count or gone:
+            self._counts(seg, commit, bool(count), removed_terms)
         return replace(self, segments=(*old, *([Segment(seg, commit, count, gone)] if count or gone else [])))
 
     def differences(self, texts: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -56,11 +56,11 @@ def error_category(message: str) -> str:
     return next((k for k, words in rules.items() if any(w in text for w in words)), "other")
 
 
-PROBE_ROW = "name string, path string, head string, branch string, tip string, reachable boolean, lines array<string>, refresh_error string"
+PROBE_ROW = "name string, path string, head string, branch string, tip string, reachable boolean, refresh_error string"
 
 
 def probe(name: str, path: str, last: str | None, refreshed: bool = False) -> dict:
-    """What git says of one repository: its commits, and its changes from ``last`` to HEAD.
+    """What git says of one repository: its commits, and whether ``last`` is still one of them.
 
     With ``refreshed`` it is fetched and reset first; what stood in the way of that is stated, and
     the repository is taken as it is.
@@ -68,8 +68,7 @@ def probe(name: str, path: str, last: str | None, refreshed: bool = False) -> di
     branch = default_branch(path)
     error = refresh(path, branch).get("error") if refreshed and branch else None
     reach = bool(last and reachable(path, last))
-    lines = name_status(path, last, "HEAD").splitlines() if reach else []
-    return {"name": name, "path": path, "head": current_commit(path), "branch": branch, "tip": branch_commit(path, branch) if branch else None, "reachable": reach, "lines": lines, "refresh_error": error}
+    return {"name": name, "path": path, "head": current_commit(path), "branch": branch, "tip": branch_commit(path, branch) if branch else None, "reachable": reach, "refresh_error": error}
 
 
 def probes(spark: SparkSession, repos: list[tuple[str, str, str | None]], refreshed: bool = False) -> list[dict]:
@@ -92,6 +91,19 @@ def name_status(repo: str, since: str, branch: str) -> str:
     return _git(repo, "diff", "--name-status", f"{since}..{branch}", timeout=60) or ""
 
 
+def diff_lines(spark: SparkSession, repos: list[tuple[int, str, str]]) -> DataFrame:
+    """(repo_id, line) of the changes up to HEAD of (repo_id, path, since), by the executors; no diff reaches the driver."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                lines = name_status(r["path"], r["since"], "HEAD").splitlines()
+                yield pa.RecordBatch.from_arrays([pa.array([r["repo_id"]] * len(lines), pa.int64()), pa.array(lines, pa.string())], names=["repo_id", "line"])
+
+    rows = spark.createDataFrame(repos, "repo_id long, path string, since string").repartition(max(1, len(repos) // 8))
+    return rows.mapInArrow(run, "repo_id long, line string")
+
+
 def parsed_changes(lines: DataFrame) -> DataFrame:
     """(repo_id, path, status) of rows (repo_id, line): added, modified or deleted.
 

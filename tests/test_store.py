@@ -120,7 +120,7 @@ def test_which_repositories_are_indexed(spark, root, tmp_path, monkeypatch):
     write(root / "app-shop" / "lib/new.ex", "defmodule Shop.New do\nend\n")
     last = git.current_commit(str(root / "app-shop"))
     commit(root / "app-shop")
-    assert git.probe("app-shop", str(root / "app-shop"), last)["lines"] == ["A\tlib/new.ex"]
+    assert [tuple(r) for r in git.diff_lines(spark, [(7, str(root / "app-shop"), last)]).collect()] == [(7, "A\tlib/new.ex")]
 
 
 def test_a_failing_repository_leaves_the_others_alone(spark, root, tmp_path, monkeypatch):

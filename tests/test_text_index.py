@@ -77,6 +77,40 @@ def test_unused_files_are_deleted(spark, tmp_path):
         index.docs().count()
 
 
+def test_zones_that_cannot_matter_are_not_read(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    filler = [f"f{k}" for k in range(50)]
+    rows = [("file", "a", k, k % 5, None, " ".join((["needle"] * rnd.randint(1, 2) if k % 3 == 0 else []) + (["Hay"] if k % 2 else []) + [rnd.choice(filler) for _ in range(int(rnd.paretovariate(0.7)) + 1)][:3000])) for k in range(900)]
+    index = built(spark, str(tmp_path / "i"), text(spark, rows))
+    index = index.changed(text(spark, [("file", "a", 3, 3, "needle", "Hay")]), spark.createDataFrame([("file", 5), ("file", 6)], "entity_type string, entity_id long"))
+    full = search.Index(index.postings(), index.stats())
+    read = []
+    real = search._near
+    for merged in (index, index.merged(every=True)):
+        found = merged.searchable()
+        for q, limit, kind in (("needle", 20, None), ("needle hay", 5, None), ("Hay needle needle", 7, "file"), ("needle nowhere", 5, None), ("needle", 3, "repo"), ("needle", 1000, None)):
+            read.clear()
+            watched = found._replace(postings=Watched(found.postings, read))
+            got = [tuple(r) for r in search.ranked(watched, q, limit, kind).orderBy("score", "entity_type", "entity_id").collect()]
+            want = [tuple(r) for r in search.ranked(full, q, limit, kind).orderBy("score", "entity_type", "entity_id").collect()]
+            assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6), q
+            if (q, limit) in (("needle", 20), ("needle hay", 5)):
+                every = found.postings.filter(real(search.Query((tuple(q.split()),), True))).count()
+                assert 0 < sum(read) < every / 2, (q, read, every)
+
+
+class Watched:
+    """Postings that count the rows of each filter."""
+
+    def __init__(self, df, read):
+        self.df, self.read, self.sparkSession = df, read, df.sparkSession
+
+    def filter(self, condition):
+        rows = self.df.filter(condition)
+        self.read.append(rows.count())
+        return rows
+
+
 def test_phrases_stay_inside_a_list_and_repeat_words(spark):
     rows = text(spark, [("a", "a", 1, None, "x y", "z w"), ("a", "a", 2, None, "q", "x x y x"), ("a", "a", 3, None, "y z", None), ("a", "a", 4, None, None, "X-Y")])
     index = search.Index.over(search.fts_docs(rows))
