@@ -14,7 +14,9 @@ dealt to suffix buckets, and one bucket is sorted at a time:
 2. Rows meet by bucket, sorted by content, doc_id and position. Of segments with
    equal content, by 95 bits of two independent hashes, all but the first are
    removed whole, a collapse of long ties that needs no text; a task drops those
-   that it sees itself before the shuffle. What remains are buckets of two or more different
+   that it sees itself before the shuffle. Two of n different segments agree on all
+   bits with a probability of at most n^2 / 2^96, which is 1e-4 for the 3e12 segments
+   of 100 TB and 1e-12 for those of 10 GB. What remains are buckets of two or more different
    contents, mostly the edges of repeated passages, and segments of periodic
    text, which may repeat a string within themselves.
 3. The bytes of these segments are fetched, each bucket's are laid end to end,

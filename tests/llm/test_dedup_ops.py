@@ -82,10 +82,11 @@ def test_minhash_equals_brute_force(spark, seed):
 def test_minhash_links_by_way_of_rows_without_an_id(spark):
     rnd = random.Random(3)
     base = [rnd.choice(WORDS) for _ in range(200)]
-    changed = lambda n: " ".join([*base[:-n], *(f"n{n}_{k}" for k in range(n))])
+    near = [*base[:-18], *(f"n{k}" for k in range(18))]
+    far = [*(f"f{k}" for k in range(12)), *near[12:]]
     other = " ".join(rnd.choice(WORDS) for _ in range(50))
     # 4 and 9 are linked only by way of a row without an id; 7 has two texts, one of them a copy of 4's
-    rows = [(9, changed(36)), (None, changed(18)), (4, " ".join(base)), (None, other), (None, other), (7, " ".join(base)), (7, "quite another text"), (12, None), (None, "")]
+    rows = [(9, " ".join(far)), (None, " ".join(near)), (4, " ".join(base)), (None, other), (None, other), (7, " ".join(base)), (7, "quite another text"), (12, None), (None, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit(1)).withColumn("id", F.lit(2)).withColumn("named", F.lit(3))
     got = [(r.doc_id, r.component_id, r.kept) for r in minhash.deduplicated(df).collect()]
     order = lambda r: tuple((x is None, x or 0) for x in r)
