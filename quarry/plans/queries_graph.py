@@ -104,6 +104,18 @@ def graph_union(spark, sf_dir):
     return _setup(spark, sf_dir)[1]
 
 
+#: The graph after every tenth service has lost its calls, events and topics.
+_LESS_SQL = GRAPH_SQL.replace("edges AS MATERIALIZED (", "all_edges AS MATERIALIZED (", 1).replace("model_events AS (", "edges AS (SELECT * FROM all_edges WHERE source_id % 10 <> 3),\nmodel_events AS (", 1)
+
+
+@query("WITH RECURSIVE " + _LESS_SQL + f"\nSELECT {_ALL} FROM graph")
+def graph_after_change(spark, sf_dir):
+    """The stored graph, brought up to date by the edges that the change ends or alters."""
+    model, stored = _stored(spark, sf_dir)
+    ids = [r["id"] for r in model.repos.filter("id % 10 = 3").select("id").collect()]
+    return stored.updated(model, model.with_tables(edges=model.edges.filter("repo_id % 10 <> 3")), ids).edges()
+
+
 @query(_with("SELECT dst_id AS src_id, src_id AS dst_id, mechanism, confidence, via, relationship_type, cls, e1, e2 FROM graph WHERE dst_id <> 0"))
 def graph_reverse(spark, sf_dir):
     return graph.reverse_edges(_setup(spark, sf_dir)[1])

@@ -139,6 +139,31 @@ def fts_raw(spark, sf_dir):
     return search.raw_search(docs, "hot gear", index=index)
 
 
+#: The texts after modules were renamed and fields removed.
+_CHANGED_SQL = INDEX_SQL.replace("all_texts AS (SELECT * FROM texts UNION ALL", "all_texts AS (SELECT entity_type, sub_type, entity_id, CASE WHEN entity_type = 'module' THEN 'Renamed ' || name ELSE name END AS name, description FROM texts WHERE entity_type <> 'field' UNION ALL")
+
+
+def _changed_index(spark, sf_dir):
+    """The stored index after a change that is written as a segment of its own: every module renamed, every field removed."""
+    model, texts = _texts(spark, sf_dir)
+    index = derived(spark, sf_dir, "fts", lambda path: built(spark, path, texts))
+    renamed = search.index_texts(model).filter("entity_type = 'module'").withColumn("name", F.concat(F.lit("Renamed "), "name"))
+    return index.changed(renamed, model.fields.select(F.lit("field").alias("entity_type"), F.col("id").alias("entity_id")))
+
+
+@query("WITH " + _CHANGED_SQL + f",{_hits_sql('h', [['renamed'], ['gear']], True)}\n" + _OUT + "h " + _TOP + "20")
+def fts_after_change(spark, sf_dir):
+    """Ranked over the changed index: replaced documents by their new texts, statistics as carried on."""
+    return search.ranked(_changed_index(spark, sf_dir).searchable(), "renamed gear")
+
+
+@query("WITH " + _CHANGED_SQL + ",found AS (SELECT term, count(*)::BIGINT AS n FROM postings GROUP BY term)\nSELECT term, n, n_docs, total_len FROM found, stats")
+def fts_counts_after_change(spark, sf_dir):
+    """How many documents hold each term, and the statistics, as carried on by the change and not counted anew."""
+    index = _changed_index(spark, sf_dir)
+    return index.terms().groupBy("term").agg(F.sum("n").alias("n")).filter("n > 0").withColumns({"n_docs": F.lit(index.n_docs).cast("long"), "total_len": F.lit(index.total_len).cast("long")})
+
+
 _RELAXED = """
 c1 AS (SELECT * FROM h1 WHERE {w} ORDER BY score, entity_type, entity_id LIMIT 20), c2 AS (SELECT * FROM h2 WHERE {w} ORDER BY score, entity_type, entity_id LIMIT 20), c3 AS (SELECT * FROM h3 WHERE {w} ORDER BY score, entity_type, entity_id LIMIT 20),
 chosen AS (SELECT * FROM c1 WHERE (SELECT count(*) FROM c1) >= 3 UNION ALL SELECT * FROM c2 WHERE (SELECT count(*) FROM c1) < 3 AND (SELECT count(*) FROM c2) >= 3
