@@ -85,6 +85,7 @@ CLIENT_STUB = r"use\s+RpcClient\.(?:Client|MockableRpcClient)[\s\S]*?stub:\s*(\w
 STUB_CALL = r"(\w+(?:\.\w+)*)\.Stub\.\w+\s*\("
 WORD_ATTRIBUTE = r"@(\w+)\s+~w\(([\s\S]*?)\)a"
 LIST_ATTRIBUTE = r"@(\w+)\s+\[([\s\S]*?)\]"
+# each of the next two reads both forms of a call, a list and an attribute, in one pass
 REQUIRED_CALL = r"validate_required\s*\(\s*(?:\w+\s*,\s*)?(?:\[([\s\S]*?)\]|@(\w+)\s*\))"
 CAST_CALL = r"\bcast\s*\(\s*(?:\w+\s*,\s*){0,2}(?:\[([\s\S]*?)\]|(@\w+(?:\s*\+\+\s*@\w+)*)\s*\))"
 ATOM = r":(\w+)"

@@ -144,6 +144,7 @@ def index_all(
                 for name in batch:
                     results[name]["enrich_error"] = str(error).splitlines()[0] if str(error) else type(error).__name__
             store.grow()
+            store.vacuum()
     return [results[n] for n, _ in wanted] + absent
 
 

@@ -37,6 +37,8 @@ OWNED = {"repos": "id", "files": "repo_id", "modules": "repo_id", "services": "r
 PART, BUCKETS = "part_repo", 64
 #: Bytes of a bucket from which tables get more buckets.
 BUCKET_BYTES = 1 << 30
+#: Versions that readers can count on.
+KEPT = 8
 MAX_CHANGED, MAX_CHANGED_SHARE = 200, 0.5
 
 
@@ -79,9 +81,11 @@ class Store:
         finally:
             self._open = False
 
-    def vacuum(self, keep: int = 1) -> int:
+    def vacuum(self, keep: int = KEPT) -> int:
         """Deletes what none of the last ``keep`` versions names, and older versions; returns how many folders went."""
         found = self._versions()
+        if not found:
+            return 0
         states = [json.loads(folders.read_text(self.spark, p)) for p in found[-keep:]]
         named = {c for s in states for c in s["facts"]} | {c for s in states for t in s["tables"].values() for c in t.values()}
         gone = [p for p in folders.matching(self.spark, f"{self.path}/data/*/commit=*") + folders.matching(self.spark, f"{self.path}/data/*/{PART}=*/commit=*") if p.rsplit("commit=", 1)[-1] not in named]
@@ -116,6 +120,14 @@ class Store:
     def model(self) -> Model:
         return Model(**{name: self.table(name) for name in TABLES})
 
+    def rows_of(self, name: str, repo_ids: list[int]) -> DataFrame:
+        """The rows of some repositories, from their buckets."""
+        columns = StructType.fromDDL(TABLES[name]).names
+        return self._stored(name, self._buckets(repo_ids)).filter(F.col(OWNED[name]).isin(repo_ids)).select(*columns)
+
+    def _buckets(self, repo_ids: list[int]) -> list[int]:
+        return sorted({i % self.state["buckets"] for i in repo_ids})
+
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
         """All columns of a table, missing ones null, and the bucket."""
         fields = StructType.fromDDL(TABLES[name]).fields
@@ -135,7 +147,7 @@ class Store:
 
     def replace(self, name: str, rows: DataFrame | None, repo_ids: list[int]) -> None:
         """Puts ``rows`` (None: nothing) in place of all rows of these repositories."""
-        touched = sorted({i % self.state["buckets"] for i in repo_ids})
+        touched = self._buckets(repo_ids)
         with self.transaction():
             ids = self.spark.createDataFrame([(i,) for i in repo_ids], f"{OWNED[name]} long")
             kept = self._shaped(name, self._stored(name, touched).join(ids, OWNED[name], "left_anti"))
@@ -175,13 +187,12 @@ class Store:
         Services and edges are replaced whole: both are made from all files.
         """
         merged = {k: v for k, v in tables.items() if k in ("repos", "services", "edges")}
-        ids = self.spark.createDataFrame([(i,) for i in repo_ids], "repo_id long")
         keys = changed.select("repo_id", F.col("path").alias("__path")).distinct()
-        files = self.table("files").select(F.col("id").alias("file_id"), F.col("path").alias("__file"))
+        files = self.rows_of("files", repo_ids).select(F.col("id").alias("file_id"), F.col("path").alias("__file"))
         for name, path in (("files", F.col("path")), ("modules", F.col("__file")), ("events", F.col("source_file")), ("fields", F.col("source_file"))):
             if name not in tables:
                 continue
-            old = self.table(name).join(ids, "repo_id", "left_semi")
+            old = self.rows_of(name, repo_ids)
             old = old.join(files, "file_id", "left") if name == "modules" else old
             old = old.withColumn("__path", path).join(keys, ["repo_id", "__path"], "left_anti")
             new = tables[name].withColumn("__path", F.col("path") if name in ("files", "modules") and "path" in tables[name].columns else F.col("source_file")).join(keys, ["repo_id", "__path"], "left_semi")
@@ -206,8 +217,8 @@ class Store:
             return self.write_index()
         with self.transaction():
             owners, index = self.spark.createDataFrame([(i,) for i in repo_ids], "owner long"), self._text_index()
-            texts = search.index_texts(self.model().of_repositories(repo_ids))
-            self.state["index"] = index.changed(*index.differences(texts.filter("owner is not null"), owners)).merged().state()
+            own = empty_model(self.spark).with_tables(**{name: self.rows_of(name, repo_ids) for name in OWNED})
+            self.state["index"] = index.changed(*index.differences(search.index_texts(own), owners)).merged().state()
 
     def index(self) -> tuple[DataFrame, search.Index]:
         """(documents, index) as stored, or made for the question where nothing is stored."""

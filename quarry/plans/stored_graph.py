@@ -124,15 +124,18 @@ class GraphStore:
     def updated(self, before: Model, after: Model, repo_ids: list[int]) -> GraphStore:
         """The graph after all rows of these repositories changed from ``before`` to ``after``."""
         touching = graph.touched(before, after, repo_ids)
-        tables = {kind: dict(known) for kind, known in self.state["tables"].items()}
-        for kind, (by, _, key) in TABLES.items():
-            old, new = made(kind, before, touching), made(kind, after, touching)
-            marks = folders.staged(self.spark, old.select(*key, F.lit(False).alias("new")).unionByName(new.select(*key, F.lit(True).alias("new"))), f"{self.root}/_stage")
-            buckets = self.buckets_of(marks.frame, by)
-            if buckets:
-                stays = self.read(kind, buckets).join(marks.frame.filter("not new").select(*key), list(key), "left_anti")
-                self._put(kind, stays.unionByName(new), tables, buckets)
-            marks.discard()
+        tables = {kind: dict(self.state["tables"].get(kind, {})) for kind in TABLES}
+        for source, kinds in (("out", ("out", "in")), ("upstream", ("upstream",)), ("downstream", ("downstream",))):
+            old, new = made(source, before, touching), made(source, after, touching)
+            both = folders.staged(self.spark, old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))), f"{self.root}/_stage")
+            for kind in kinds:
+                by, _, key = TABLES[kind]
+                rows = both.frame if kind != "in" else both.frame.filter(F.col("dst_id") != UNRESOLVED)
+                buckets = self.buckets_of(rows, by)
+                if buckets:
+                    stays = self.read(kind, buckets).join(rows.filter("not new").select(*key), list(key), "left_anti")
+                    self._put(kind, stays.unionByName(rows.filter("new").drop("new")), tables, buckets)
+            both.discard()
         return GraphStore(self.spark, self.root, {**self.state, "tables": tables})
 
     def discard_unused(self, states: list[dict | None]) -> None:

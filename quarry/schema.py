@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 10
 
@@ -84,10 +83,6 @@ class Model:
     def with_tables(self, **tables: DataFrame) -> Model:
         return replace(self, **tables)
 
-    def of_repositories(self, ids: list[int]) -> Model:
-        """The rows that belong to these repositories; facts stay."""
-        return replace(self, repos=self.repos.filter(F.col("id").isin(ids)), **{n: getattr(self, n).filter(F.col("repo_id").isin(ids)) for n in ("files", "modules", "services", "events", "edges", "fields")})
-
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(f.name, getattr(self, f.name)) for f in fields(self)]
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions.text import number_of_key
 from quarry.plans.indexing import extracted, tables_of
-from quarry.plans.store import Store
+from quarry.plans.store import KEPT, Store
 from quarry.session import cut
 from quarry.sources.repository_source import RepositorySource
 
@@ -60,8 +60,16 @@ def merge_batch(store: Store, batch: DataFrame, index: bool = True) -> None:
 
 
 def start(store: Store, stream: DataFrame, checkpoint: str, index: bool = True) -> StreamingQuery:
-    """Merges every micro-batch of the stream into the store; text index and graph follow by what changed unless ``index`` is off."""
-    merged = lambda batch, _: merge_batch(store, batch, index)
+    """Merges every micro-batch of the stream into the store; text index and graph follow by what changed unless ``index`` is off.
+
+    Once in ``KEPT`` batches the folders of older versions are deleted.
+    """
+
+    def merged(batch: DataFrame, number: int) -> None:
+        merge_batch(store, batch, index)
+        if number % KEPT == KEPT - 1:
+            store.vacuum()
+
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merged).start()
 
 

@@ -12,7 +12,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One or two of every family; the driver compares them all.
 SOME = (
     "graph_union impact_tiers impact_summary impact_mechanism_hist bfs_downstream bfs_upstream_mech shortest_path_len shortest_path_hops trace_summary deps_paths deps_upstream deps_mech_filter explain_truncated explain_summary field_consumers field_impact_summary tokenize_names fts_postings fts_or fts_prefix_or fts_relaxed_prefix "
-    "search_text_hydrated entity_shared_fields entity_relationship_filter facts_list fts_raw absinthe_types grpc_priorities event_links_by_name association_edges persist_full clear_repositories mode_choice resolve_priority dedup_topology catalog_kebab_match surgical_overwrite proto_fields graphql_fields elixir_modules grpc_clients topic_regex_extract"
+    "search_text_hydrated entity_shared_fields entity_relationship_filter facts_list fts_raw absinthe_types grpc_priorities event_links_by_name association_edges persist_full clear_repositories mode_choice resolve_priority dedup_topology catalog_kebab_match surgical_overwrite proto_fields graphql_fields elixir_modules grpc_clients topic_regex_extract "
+    "impact_of_one impact_in_sql trace_of_pair deps_of_one fts_phrase fts_bm25_topk fts_after_change fts_counts_after_change graph_after_change"
 ).split()
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
