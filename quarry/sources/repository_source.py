@@ -1,6 +1,6 @@
 """Repositories as a Spark data source: committed files, the changes between commits, and a stream of changes.
 
-    spark.dataSource.register(RepositorySource)
+    register(spark)
     spark.read.format("repositories").load("/code")
     spark.read.format("repositories").option("since", '{"shop": "4f0c"}').load("/code")
     spark.readStream.format("repositories").load("/code")
@@ -19,6 +19,7 @@ import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith
 
 from quarry.operators.fixed_values import MAX_FILE_BYTES
@@ -86,6 +87,12 @@ def heads(root: str) -> dict[str, tuple[str, str]]:
     return {name: at for name, at in found.items() if at[1]}
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, which then lets Python sources see filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RepositorySource)
+
+
 class RepositorySource(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -15,7 +15,7 @@ from quarry.functions.text import number_of_key
 from quarry.plans.indexing import extracted, tables_of
 from quarry.plans.store import KEPT, Store
 from quarry.session import cut
-from quarry.sources.repository_source import RepositorySource
+from quarry.sources.repository_source import register
 
 FILE_SCHEMA = "repo_id long, repo string, path string, content string, changed_at timestamp"
 
@@ -27,7 +27,7 @@ def file_stream(spark: SparkSession, folder: str, source: str = "parquet", files
 
 def repository_stream(spark: SparkSession, root: str) -> DataFrame:
     """A stream of the committed changes of the repositories below ``root``, deleted files included."""
-    spark.dataSource.register(RepositorySource)
+    register(spark)
     rows = spark.readStream.format("repositories").load(root)
     return rows.select(number_of_key(F.lit("repo"), F.col("repo")).alias("repo_id"), "repo", "path", "content", F.current_timestamp().alias("changed_at"), (F.col("change") == "deleted").alias("deleted"))
 

@@ -36,7 +36,7 @@ def code(tmp_path):
 
 
 def load(spark, root, **options):
-    spark.dataSource.register(repository_source.RepositorySource)
+    repository_source.register(spark)
     return spark.read.format("repositories").options(**options).load(str(root))
 
 
@@ -64,13 +64,9 @@ def test_filters_come_before_contents(spark, code, monkeypatch):
 
     left = list(reader.pushFilters([EqualTo(("repo",), "shop"), StringStartsWith(("path",), "lib/"), LessThan(("length",), 45), GreaterThan(("length",), 1)]))
     assert [type(f) for f in left] == [GreaterThan] and [s.repo for s in reader.partitions()] == ["shop"]
-    assert [(r[1], r[3]) for s in reader.partitions() for r in reader.read(s)] == [("lib/a b.ex", 27)]
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    try:
-        df = load(spark, code).filter((F.col("repo") == "shop") & F.col("path").startswith("lib/") & (F.col("length") < 45))
-        assert [(r.repo, r.path) for r in df.collect()] == [("shop", "lib/a b.ex")]
-    finally:
-        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert [(r[1], r[3]) for s in reader.partitions() for r in reader.read(s)] == [("lib/a b.ex", 24)]
+    df = load(spark, code).filter((F.col("repo") == "shop") & F.col("path").startswith("lib/") & (F.col("length") < 45))
+    assert [(r.repo, r.path) for r in df.collect()] == [("shop", "lib/a b.ex")]
 
 
 def drain(store, spark, root, checkpoint):
