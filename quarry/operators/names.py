@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import like_anywhere
+from quarry.functions.text import like_anywhere, like_suffix
 
 LONGEST = 3
 
@@ -53,3 +53,20 @@ def matched(needles: DataFrame, names: DataFrame, test: Callable[[Column, Column
     rated = asked.join(counts, ["size", "run"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = rated.groupBy("needle", "size").agg(F.min(F.struct("n", "run")).alias("r")).filter(F.col("r.n") > 0).select("needle", "size", F.col("r.run").alias("run"))
     return rarest.join(postings, ["size", "run"]).filter(test(F.col("name"), F.col("needle"))).select("needle", "id")
+
+
+def ending(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """(needle, id) for all pairs of ``needles`` (needle) and ``names`` (id, name) where the name ends in the needle: ``matched`` with ``like_suffix``.
+
+    A needle without wildcards is a key: the end of each name, by as many lengths as the needles
+    have, meets it as a whole, so the cost is that of the names and of the pairs that match, however
+    many needles share their runs. Needles with wildcards go by their rarest run.
+    """
+    wanted = needles.select("needle").filter("needle is not null").distinct()
+    open_ = F.col("needle").rlike(r"[%_\\]")
+    keys = wanted.filter(~open_).select("needle", F.lower("needle").alias("end"))
+    sizes = [r["size"] for r in keys.select(F.length("end").alias("size")).distinct().collect()]
+    low = names.filter("name is not null").select("id", F.lower("name").alias("low"))
+    ends = F.filter(F.array(*[F.lit(s) for s in sizes]).cast("array<int>"), lambda s: s <= F.length("low"))
+    cut = low.select("id", "low", F.explode(ends).alias("size")).select("id", F.substring("low", F.length("low") - F.col("size") + 1, F.col("size")).alias("end"))
+    return keys.join(cut, "end").select("needle", "id").unionByName(matched(wanted.filter(open_), names, like_suffix))

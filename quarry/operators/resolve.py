@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import camel_of_kebab, like_anywhere, like_suffix, number_of_key, snake_of_kebab
-from quarry.operators.names import matched
+from quarry.functions.text import camel_of_kebab, like_anywhere, number_of_key, snake_of_kebab
+from quarry.operators.names import ending, matched
+from quarry.session import staged
 
 RELATIONSHIP_OF = {"grpc": "calls_grpc", "http": "calls_http", "gateway": "routes_to"}
 
@@ -121,15 +122,16 @@ def catalog_matches(catalog: DataFrame, events: DataFrame) -> DataFrame:
     it, or a ``Payload`` whose file's path holds the snake-cased name.
     """
     slug = F.regexp_replace("catalog_id", "^event:", "")
-    wanted = catalog.select("catalog_id").distinct().withColumn("camel", camel_of_kebab(slug)).withColumn("snake", snake_of_kebab(slug))
-    stored = events.select(F.col("id").alias("event_id"), "name", "source_file")
+    # both sides and what each strategy leaves are used several times: made once
+    wanted = staged(catalog.select("catalog_id").distinct().withColumn("camel", camel_of_kebab(slug)).withColumn("snake", snake_of_kebab(slug)), "catalog-ids")
+    stored = staged(events.select(F.col("id").alias("event_id"), "name", "source_file"), "catalog-events")
     exact = wanted.join(stored, F.col("camel") == F.col("name")).select("catalog_id", "event_id", F.lit(1).alias("strategy"))
-    rest = wanted.join(exact.select("catalog_id").distinct(), "catalog_id", "left_anti")
-    near = lambda column, table, test: rest.join(matched(rest.select(F.col(column).alias("needle")), table, test).withColumnRenamed("needle", column), column)
-    suffix = near("camel", stored.select(F.col("event_id").alias("id"), "name"), like_suffix).select("catalog_id", F.col("id").alias("event_id"), F.lit(2).alias("strategy"))
-    rest = rest.join(suffix.select("catalog_id").distinct(), "catalog_id", "left_anti")
+    rest = staged(wanted.join(exact.select("catalog_id").distinct(), "catalog_id", "left_anti"), "catalog-rest")
+    near = lambda column, table, find: rest.join(find(rest.select(F.col(column).alias("needle")), table).withColumnRenamed("needle", column), column)
+    suffix = staged(near("camel", stored.select(F.col("event_id").alias("id"), "name"), ending).select("catalog_id", F.col("id").alias("event_id"), F.lit(2).alias("strategy")), "catalog-suffixes")
+    rest = staged(rest.join(suffix.select("catalog_id").distinct(), "catalog_id", "left_anti"), "catalog-open")
     payloads = stored.filter("name = 'Payload'").select(F.col("event_id").alias("id"), F.col("source_file").alias("name"))
-    payload = near("snake", payloads, like_anywhere).select("catalog_id", F.col("id").alias("event_id"), F.lit(3).alias("strategy"))
+    payload = near("snake", payloads, matched).select("catalog_id", F.col("id").alias("event_id"), F.lit(3).alias("strategy"))
     return exact.unionByName(suffix).unionByName(payload)
 
 
