@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +70,68 @@ def postings(docs: DataFrame) -> DataFrame:
     return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3))
 
 
-def positional(docs: DataFrame) -> DataFrame:
-    """The same with ``places``: where the term stands, names first; a place is left free between the two lists."""
+#: What a document says of a term; and the tokens that a task orders at a time.
+PLACED = "term string, entity_type string, sub_type string, entity_id long, dl int, tf long, places array<int>"
+SORTED_AT_ONCE = 1 << 20
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(term, entity_type, sub_type, entity_id, dl, tf, places): one row per term of each row of ``docs``, made where the document is.
+
+    A document's terms are all in its row, so nothing is shuffled to count them. ``places`` says
+    where the term stands, names first; a place is left free between the two lists.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(PLACED))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("both")
+        words = pc.dictionary_encode(pc.list_flatten(lists))
+        code, size = words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
+        length = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+        key = doc * size + code
+        real = np.flatnonzero(code >= 0)
+        order = real[np.argsort(key[real], kind="stable")]
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(first, len(key))
+        owner = pa.array(doc[order][first])
+        term = words.dictionary.take(pa.array(code[order][first]))
+        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+        columns = [term, *(batch.column(c).take(owner) for c in ("entity_type", "sub_type", "entity_id", "dl")), pa.array(np.diff(ends)), places]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            many = np.cumsum(pc.list_value_length(batch.column("both")).fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                upto = int(np.searchsorted(many, (many[at - 1] if at else 0) + SORTED_AT_ONCE, side="right"))
+                upto = max(upto, at + 1)
+                yield part(batch.slice(at, upto - at))
+                at = upto
+
     both = F.concat("name_tokens", F.array(F.lit(None).cast("string")), "desc_tokens")
-    found = docs.select("entity_type", "sub_type", "entity_id", "dl", F.posexplode(both).alias("place", "term")).filter("term is not null")
-    counted = found.groupBy("term", "entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3)).withColumn("zone", zone())
+    return docs.select("entity_type", "sub_type", "entity_id", "dl", both.alias("both")).mapInArrow(run, PLACED)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """The same with rows of one key and length as one: documents that repeat a key."""
+    return rows.groupBy("term", "entity_type", "sub_type", "entity_id", "dl").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def dealt_by(rows: DataFrame) -> DataFrame:
+    """With p2 and p3, prefixes to partition by, and the zone."""
+    return rows.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3)).withColumn("zone", zone())
+
+
+def positional(docs: DataFrame) -> DataFrame:
+    """The postings with ``places``, and the zone."""
+    return dealt_by(gathered(placed(docs)))
 
 
 def zone() -> Column:

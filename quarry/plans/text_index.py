@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import search
+from quarry.session import swept
 from quarry.sources import folders
 
 KEY = ["entity_type", "entity_id"]
@@ -29,8 +30,8 @@ POSTING_SCHEMA = "term string, entity_type string, sub_type string, entity_id lo
 #: Counts of terms by zone; those of removed documents are negative and say in which segment these lie.
 TERM_SCHEMA = "term string, zone int, n long, most long, least int, home int"
 REMOVED_SCHEMA = "entity_type string, entity_id long"
-#: Tasks to which the terms of a prefix are dealt.
-DEALT = 8
+#: Most tasks to which the terms of a prefix are dealt; tokens of a segment for each of them, so that small segments have few files.
+DEALT, TOKENS_A_DEAL = 8, 16_000_000
 
 
 def digested(texts: DataFrame) -> DataFrame:
@@ -136,17 +137,23 @@ class TextIndex:
         if not added and not gone:
             return self
         if added:
-            self._postings(docs, seg, commit)
+            self._postings(docs, seg, commit, added_len)
         self._counts(seg, commit, bool(added), removed_terms)
         return replace(self, segments=(*self.segments, Segment(seg, commit, added, gone)), n_docs=self.n_docs + added - gone, total_len=self.total_len + added_len - gone_len)
 
     def _write(self, kind: str, rows: DataFrame, seg: int, commit: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{kind}/seg={seg}/commit={commit}")
-
-    def _postings(self, docs: DataFrame, seg: int, commit: str) -> None:
-        rows = search.positional(docs)
-        dealt = rows.repartition(F.col("p2"), F.pmod(F.xxhash64("term"), F.lit(DEALT))).sortWithinPartitions("p2", "zone", "term")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/postings/seg={seg}/commit={commit}")
+        with swept(self.spark):
+            rows.write.mode("overwrite").parquet(f"{self.root}/{kind}/seg={seg}/commit={commit}")
+
+    def _postings(self, docs: DataFrame, seg: int, commit: str, total_len: int) -> None:
+        rows, deals = search.placed(docs), min(DEALT, 1 + total_len // TOKENS_A_DEAL)
+        # documents are told apart by key and length; only where these repeat do postings meet before they are dealt
+        if not docs.groupBy("entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            rows = search.gathered(rows)
+        # prefixes and zone follow from the row, so they are added after the rows have moved
+        dealt = search.dealt_by(rows.repartition(F.substring("term", 1, 2), F.pmod(F.xxhash64("term"), F.lit(deals)))).sortWithinPartitions("p2", "zone", "term")
+        with swept(self.spark):
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/postings/seg={seg}/commit={commit}")
 
     def _counts(self, seg: int, commit: str, added: bool, removed: DataFrame | None) -> None:
         """Writes the counts of a segment's terms, with those that its tombstones take away."""
@@ -155,7 +162,8 @@ class TextIndex:
         if removed is not None:
             rows = rows.unionByName(removed, allowMissingColumns=True)
         rows = rows.withColumn("p2", F.substring("term", 1, 2))
-        rows.repartition("p2").sortWithinPartitions("p2", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/terms/seg={seg}/commit={commit}")
+        with swept(self.spark):
+            rows.repartition("p2").sortWithinPartitions("p2", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/terms/seg={seg}/commit={commit}")
 
     def merged(self, every: bool = False) -> TextIndex:
         """The same documents in fewer segments: all from the first one on that is less than twice as large as those after it, or all."""
@@ -168,9 +176,9 @@ class TextIndex:
         part = replace(self, segments=some)
         self._write("docs", part.docs(), seg, commit)
         docs = self._read("docs", DOC_SCHEMA, (Segment(seg, commit, 1, 0),))
-        count, gone = docs.count(), 0
+        (count, total), gone = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first(), 0
         if count:
-            self._postings(docs, seg, commit)
+            self._postings(docs, seg, commit, total)
         removed_terms = None
         if old and (stones := part._tombstones()) is not None:
             self._write("removed", stones.select(*KEY), seg, commit)

@@ -116,3 +116,27 @@ def test_phrases_stay_inside_a_list_and_repeat_words(spark):
     index = search.Index.over(search.fts_docs(rows))
     found = lambda q: sorted(r.entity_id for r in search.phrase(index, q).collect())
     assert found("x y") == [1, 2, 4] and found("y z") == [3] and found("x x y") == [2] and found("x y x") == [2] and found("z") == [1, 3] and found("y x x") == []
+
+
+def test_postings_of_repeated_keys_and_far_places(spark, tmp_path):
+    """Counts and places are made where the document is; rows of one key still are one document of the index."""
+    from pyspark.sql import functions as F
+
+    rows = [("file", "en", 1, None, "hotel guest", "guest of the hotel, guest"), ("file", "en", 1, None, "hotel guest", "guest of a hotel: guest"), ("file", "en", 2, None, None, None), ("file", "en", 3, None, "booking", " ".join(f"w{k % 7}" for k in range(5000)))]
+    docs = search.fts_docs(text(spark, rows))
+    both = F.concat("name_tokens", F.array(F.lit(None).cast("string")), "desc_tokens")
+    key = ("term", "entity_type", "sub_type", "entity_id", "dl")
+    want = docs.select(*key[1:], F.posexplode(both).alias("place", "term")).filter("term is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    order = lambda df: sorted(map(str, df.select(*key, "tf", "places").collect()))
+    assert order(built(spark, str(tmp_path / "i"), text(spark, rows)).postings()) == order(search.positional(docs)) == order(want)
+
+
+def test_making_postings_shuffles_no_tokens(spark):
+    docs = search.fts_docs(text(spark, [row(random.Random(1), k) for k in range(5)]))
+    assert "Exchange" not in search.placed(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_segment_has_one_file_for_each_prefix(spark, tmp_path):
+    index = built(spark, str(tmp_path / "i"), text(spark, [("file", "en", k, None, "x", " ".join(f"ab{j}" for j in range(50))) for k in range(20)]))
+    files = [f for f in index.postings().inputFiles() if "p2=ab" in f]
+    assert len(files) == 1
