@@ -15,6 +15,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,9 +151,68 @@ def reached(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
     """The same over a table of edges, followed from src_id to dst_id, never to 0."""
     # a written table: where it is small enough Spark broadcasts it at every level
     steps = staged(edges.filter(F.col("dst_id") != UNRESOLVED).select(F.col("src_id").alias("node"), F.col("dst_id").alias("next")).distinct(), "graph-steps")
+    if max_depth is None and seeds.select("seed").limit(FEW + 1).count() > FEW:
+        return reached_in_bits(seeds, steps)
     return reached_by(seeds, lambda frontier: steps, max_depth)
 
 
+#: Seeds up to which a search keeps rows; seeds of a block, a bit each of Spark's bitmaps; rows that are expanded at a time.
+FEW, BLOCK, AT_ONCE = 256, 32768, 64
+
+
+def _fresh(batches):
+    """(node, bits, had) to (node, bits): what is not in ``had``, without empty rows."""
+    for batch in batches:
+        bits, had = (batch.column(c).to_pylist() for c in ("bits", "had"))
+        new = [np.bitwise_and(b, ~h) if h is not None else b for b, h in zip((np.frombuffer(b, np.uint8) for b in bits), (None if h is None else np.frombuffer(h, np.uint8) for h in had))]
+        kept = [k for k, b in enumerate(new) if b.any()]
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(kept, pa.int64())), pa.array([new[k].tobytes() for k in kept], pa.binary())], ["node", "bits"])
+
+
+def _places(batches):
+    """(node, block, depth, bits) to (block, place, node, depth), a row for each bit."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            some = batch.slice(at, AT_ONCE)
+            bits = np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint8).reshape(some.num_rows, -1)
+            row, place = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([some.column("block").take(row), pa.array(place, pa.int64()), some.column("node").take(row), some.column("depth").take(row)], ["block", "place", "node", "depth"])
+
+
+def reached_in_bits(seeds: DataFrame, steps: DataFrame) -> DataFrame:
+    """``reached_by`` without a bound for many seeds: (seed, node, depth).
+
+    What is reached is as many pairs as seeds times nodes, so a node holds a bit for each seed of a
+    block instead of a row. A level sends a node's new bits along its steps; what arrives is joined
+    by OR and what was there before taken off. One block is searched at a time, so shuffles and
+    tables are those of a block; pairs become rows only as the result is read.
+    """
+    few = seeds.select("seed").filter("seed is not null").distinct()
+    blocks = few.count() // (BLOCK * 3 // 4) + 1
+    dealt = few.withColumn("block", F.pmod(F.xxhash64("seed"), F.lit(blocks)))
+    place = F.row_number().over(W.partitionBy("block").orderBy("seed")) - 1
+    # a block with more seeds than bits goes on in another one
+    numbered = staged(dealt.withColumn("n", place).select("seed", (F.col("block") + F.lit(blocks) * F.floor(F.col("n") / BLOCK)).alias("block"), (F.col("n") % BLOCK).cast("long").alias("place")), "graph-seeds")
+    levels = []
+    for block in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
+        own = numbered.filter(F.col("block") == block)
+        frontier = seen = staged(own.groupBy(F.col("seed").alias("node")).agg(F.bitmap_construct_agg("place").alias("bits")), "graph-bits")
+        depth = 0
+        while True:
+            depth += 1
+            sent = frontier.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.bitmap_or_agg("bits").alias("bits"))
+            frontier = staged(sent.join(seen.withColumnRenamed("bits", "had"), "node", "left").select("node", "bits", "had").mapInArrow(_fresh, "node long, bits binary"), "graph-bits")
+            if frontier.isEmpty():
+                break
+            levels.append(frontier.select("node", F.lit(block).cast("long").alias("block"), F.lit(depth).alias("depth"), "bits"))
+            seen = staged(seen.unionByName(frontier).groupBy("node").agg(F.bitmap_or_agg("bits").alias("bits")), "graph-seen")
+    if not levels:
+        return few.sparkSession.createDataFrame([], "seed long, node long, depth int")
+    pairs = reduce(DataFrame.unionByName, levels).mapInArrow(_places, "block long, place long, node long, depth int")
+    return pairs.join(numbered, ["block", "place"]).select("seed", "node", "depth")
+
+
 def downstream(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Repositories that a seed leads to."""
     return reached(seeds, edges, max_depth)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quarry.operators import dependencies, explain, field_impact, graph, impact, trace
@@ -171,3 +173,25 @@ def test_traversals_of_an_empty_graph(spark):
     assert graph.downstream(seeds(spark, 1), g).count() == 0
     assert impact.impact_entries(m, g, seeds(spark, 1)).count() == 0
     assert graph.shortest_paths(spark.createDataFrame([(1, 2)], "from_id long, to_id long"), g).count() == 0
+
+
+def test_many_seeds_are_searched_in_bits(spark, monkeypatch):
+    """Many seeds, more than a block has bits, ids without order and cycles: what a search of each seed finds."""
+    rnd = random.Random(5)
+    ids = [rnd.randrange(1, 1 << 60) for _ in range(60)]
+    pairs = {(rnd.choice(ids), rnd.choice(ids)) for _ in range(90)} | {(ids[0], ids[0])}
+    want = set()
+    for seed in ids[:50]:
+        level, seen, depth = {seed}, {seed}, 0
+        while level:
+            depth += 1
+            level = {b for a, b in pairs if a in level} - seen
+            seen |= level
+            want |= {(seed, n, depth) for n in level}
+    rows = [(a, b, "grpc", None, None, "calls_grpc", 0, k, 0) for k, (a, b) in enumerate(sorted(pairs))]
+    edges = spark.createDataFrame(rows, "src_id long, dst_id long, mechanism string, confidence string, via string, relationship_type string, cls int, e1 long, e2 long")
+    monkeypatch.setattr(graph, "FEW", 3)
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    monkeypatch.setattr(graph, "reached_by", None)
+    got = [tuple(r) for r in graph.downstream(seeds(spark, *ids[:50], ids[0]), edges).collect()]
+    assert len(got) == len(want) and set(got) == want and max(d for _, _, d in want) > 3
