@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.edges import admitted, described, label, metadata_field
-from quarry.operators.graph import Touched, met
+from quarry.operators.graph import Touched, met, reached_by
 from quarry.schema import DIRECT_TYPES, UNRESOLVED, Model
-from quarry.session import cut
+from quarry.session import cut, staged
 
 MAX_DEPTH = 10
 LINK_COLUMNS = ("repo_id", "linked_id", "name", "mechanism", "confidence", "segment", "unresolved", "kind", "cls", "e1", "e2")
@@ -87,6 +87,14 @@ def admits(mechanism: str | None, direction: str) -> Column:
     return F.col("kind").isin(kinds)
 
 
+def depths(model: Model, seeds: DataFrame, direction: str = "upstream", depth: int | str = 1, mechanism: str | None = None) -> DataFrame:
+    """(seed, node, depth) of the repositories among ``dependencies``, for who asks for neither links nor paths: a search over pairs of repositories, once each."""
+    rows = links(model, direction, mechanism).filter("unresolved is null")
+    steps = staged(rows.select(F.col("repo_id").alias("node"), F.col("linked_id").alias("next")).distinct(), "dependency-steps")
+    start = seeds.join(model.repos.select(F.col("id").alias("seed")), "seed", "left_semi")
+    return reached_by(start, lambda frontier: steps, MAX_DEPTH if depth == "all" else int(depth))
+
+
 def dependencies(
     model: Model, seeds: DataFrame, direction: str = "upstream", depth: int | str = 1, mechanism: str | None = None, repo: str | None = None, near: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:

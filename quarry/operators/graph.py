@@ -140,7 +140,8 @@ def reached_by(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], max_dep
     while max_depth is None or depth < max_depth:
         depth += 1
         found = frontier.join(step(frontier), "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = cut(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        # a written level is columns, a fraction of a checkpoint's rows, and leaves no shuffle files
+        frontier = staged(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "graph-level")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -195,3 +195,11 @@ def test_many_seeds_are_searched_in_bits(spark, monkeypatch):
     monkeypatch.setattr(graph, "reached_by", None)
     got = [tuple(r) for r in graph.downstream(seeds(spark, *ids[:50], ids[0]), edges).collect()]
     assert len(got) == len(want) and set(got) == want and max(d for _, _, d in want) > 3
+
+
+def test_depths_of_dependencies_search_pairs_without_paths(spark, shop):
+    want = {(r.seed, r.name, r.depth) for r in dependencies.dependencies(shop, seeds(spark, 1, 2, 3), depth=3).filter("type = 'repo'").collect()}
+    names = {r.id: r.name for r in shop.repos.collect()}
+    found = dependencies.depths(shop, seeds(spark, 1, 2, 3, 99), depth=3)
+    assert found.columns == ["seed", "node", "depth"]
+    assert {(r.seed, names[r.node], r.depth) for r in found.collect()} == want and want
