@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.graph import named, upstream
 from quarry.schema import Model
+from quarry.session import staged
 
 TIERS = {1: "direct", 2: "indirect"}
 
@@ -28,17 +29,30 @@ def impact_entries(model: Model, edges: DataFrame, seeds: DataFrame, mechanism:
     """The affected services with ``mechanisms`` and ``confidence``.
 
     Mechanisms are distinct, in the order of the edges; confidences are all, in the same order.
-    Parallel edges are gathered per pair of services before the pairs are joined with the seeds.
+    What is said of a service depends on the seed only by which of its callees lie inside, so
+    seeds are gathered by these and meet the service's edges once; no list of edges is sent to a seed.
     With ``found``, ``edges`` need to hold only those that begin at a service in it.
     """
-    nodes = impact_nodes(model, edges, seeds, mechanism, max_depth, found)
+    nodes = upstream(seeds, edges, max_depth, mechanism) if found is None else found
     followed = edges if mechanism is None else edges.filter(F.col("mechanism") == mechanism)
-    pairs = followed.groupBy("src_id", "dst_id").agg(F.collect_list(F.struct("cls", "e1", "e2", "mechanism", "confidence")).alias("links"))
-    listed = _inner_links(nodes, seeds, pairs).groupBy("seed", "node").agg(F.array_sort(F.flatten(F.collect_list("links"))).alias("edges"))
-    rows = nodes.join(listed, ["seed", "node"], "left")
-    rows = rows.withColumn("mechanisms", F.coalesce(F.array_distinct(F.transform("edges", lambda e: e["mechanism"])), F.array().cast("array<string>")))
-    rows = rows.withColumn("confidence", F.coalesce(F.transform("edges", lambda e: e["confidence"]), F.array().cast("array<string>")))
-    return rows.drop("edges")
+    inner = _inner_links(nodes, seeds, followed.select("src_id", "dst_id").distinct()).groupBy("seed", "node").agg(F.array_sort(F.collect_set("dst_id")).alias("inner"))
+    # written, so that the shuffles of nodes times callees are gone before the edges move
+    inner = staged(inner, "impact-inner")
+    known = impact_nodes(model, edges, seeds, mechanism, max_depth, nodes).join(inner, ["seed", "node"], "left")
+    alike = known.groupBy("node", "name", "inner").agg(F.collect_list(F.struct("seed", "service", "depth", "tier")).alias("of"))
+    order = ("cls", "e1", "e2", "mechanism", "confidence")
+    links = followed.groupBy(F.col("src_id").alias("node")).agg(F.array_sort(F.collect_list(F.struct(*order, "dst_id"))).alias("links"))
+    links = links.withColumn("links", F.transform("links", lambda e: F.struct(e["dst_id"], e["mechanism"], e["confidence"])))
+    kept = alike.join(links, "node", "left").withColumn("links", F.filter("links", lambda e: F.array_contains("inner", e["dst_id"])))
+    none = F.array().cast("array<string>")
+    said = kept.select("node", "name", "of", F.coalesce(F.array_distinct("links.mechanism"), none).alias("mechanisms"), F.coalesce("links.confidence", none).alias("confidence"))
+    return said.select(F.explode("of").alias("of"), "node", "name", "mechanisms", "confidence").select("of.*", "node", "name", "mechanisms", "confidence")
+
+
+def inner_edges(edges: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seed, node, edges): how many edges each node has into its seed or the seed's nodes; parallel ones are counted before they meet seeds."""
+    pairs = edges.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("n"))
+    return _inner_links(nodes, seeds, pairs).groupBy("seed", "node").agg(F.sum("n").alias("edges"))
 
 
 def impact_stats(nodes: DataFrame) -> DataFrame:

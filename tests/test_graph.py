@@ -65,6 +65,23 @@ def test_impact_collects_edges_into_the_subgraph(spark):
     assert rows["B"].mechanisms == ["http", "grpc", "gateway"] and rows["B"].confidence == ["low", None, None]
 
 
+def test_impact_sends_no_list_of_edges_to_seeds(spark, chain):
+    m, edges = chain
+    entries = impact.impact_entries(m, edges, seeds(spark, 4, 5))
+    after = entries._jdf.queryExecution().executedPlan().toString().split("array_contains(", 1)
+    assert len(after) == 2 and "Exchange" not in after[0]
+    rows = {(r.seed, r.name): (r.mechanisms, r.confidence) for r in entries.collect()}
+    # C calls D and A; A is three steps from D, but four from E
+    assert rows[(4, "C")] == (["gateway", "grpc"], ["medium", None]) and rows[(5, "C")] == (["gateway"], ["medium"])
+
+
+def test_inner_edges_are_counted_by_pair(spark, chain):
+    _, edges = chain
+    twice = edges.unionByName(edges.filter("src_id = 3"))
+    found = graph.upstream(seeds(spark, 5), edges, 3)
+    assert {(r.node, r.edges) for r in impact.inner_edges(twice, seeds(spark, 5), found).collect()} == {(4, 1), (3, 2), (2, 1), (24, 1)}
+
+
 def test_impact_stats_and_histogram(spark, chain):
     m, edges = chain
     entries = impact.impact_entries(m, edges, seeds(spark, 5))
