@@ -103,6 +103,21 @@ def test_trace(spark, chain):
     assert got[(24, 2)][0] == 2
 
 
+def test_summaries_along_searches_equal_those_of_hops(spark, chain):
+    m, edges = chain
+    ids = [1, 2, 3, 4, 5, 6, 24]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if (a, b) != (2, 4)], "from_id long, to_id long")
+    want = trace.trace_summaries(m, trace.trace_hops(m, edges, pairs), pairs)
+    got = trace.searched_summaries(m, edges, pairs).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_levels_of_a_search_hold_numbers_only(spark, chain):
+    _, edges = chain
+    levels = graph.search_levels(spark.createDataFrame([(5,)], "from_id long"), graph.numbered_walks(edges))
+    assert [[tuple(r) for r in level.orderBy("rank").collect()] for level in levels] == [[(5, 4, 5, 1)], [(5, 3, 4, 1)], [(5, 1, 3, 1), (5, 2, 3, 2), (5, 24, 3, 3)]]
+
+
 def test_trace_has_no_limit(spark):
     n = 70
     m = model_of(spark, repos=[repo(i, f"r{i}") for i in range(1, n + 1)], edges=[edge(i, i, i + 1, "calls_grpc") for i in range(1, n)])
