@@ -32,6 +32,8 @@ TERM_SCHEMA = "term string, zone int, n long, most long, least int, home int"
 REMOVED_SCHEMA = "entity_type string, entity_id long"
 #: Most tasks to which the terms of a prefix are dealt; tokens of a segment for each of them, so that small segments have few files.
 DEALT, TOKENS_A_DEAL = 8, 16_000_000
+#: Segments are written once and read by the few row groups of a question's terms, so size counts for more than the time to unpack.
+CODEC = "zstd"
 
 
 def digested(texts: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ class TextIndex:
 
     def _write(self, kind: str, rows: DataFrame, seg: int, commit: str) -> None:
         with swept(self.spark):
-            rows.write.mode("overwrite").parquet(f"{self.root}/{kind}/seg={seg}/commit={commit}")
+            rows.write.mode("overwrite").option("compression", CODEC).parquet(f"{self.root}/{kind}/seg={seg}/commit={commit}")
 
     def _postings(self, docs: DataFrame, seg: int, commit: str, total_len: int) -> None:
         rows, deals = search.placed(docs), min(DEALT, 1 + total_len // TOKENS_A_DEAL)
@@ -153,7 +155,7 @@ class TextIndex:
         # prefixes and zone follow from the row, so they are added after the rows have moved
         dealt = search.dealt_by(rows.repartition(F.substring("term", 1, 2), F.pmod(F.xxhash64("term"), F.lit(deals)))).sortWithinPartitions("p2", "zone", "term")
         with swept(self.spark):
-            dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/postings/seg={seg}/commit={commit}")
+            dealt.write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/postings/seg={seg}/commit={commit}")
 
     def _counts(self, seg: int, commit: str, added: bool, removed: DataFrame | None) -> None:
         """Writes the counts of a segment's terms, with those that its tombstones take away."""
@@ -163,7 +165,7 @@ class TextIndex:
             rows = rows.unionByName(removed, allowMissingColumns=True)
         rows = rows.withColumn("p2", F.substring("term", 1, 2))
         with swept(self.spark):
-            rows.repartition("p2").sortWithinPartitions("p2", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/terms/seg={seg}/commit={commit}")
+            rows.repartition("p2").sortWithinPartitions("p2", "term").write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/terms/seg={seg}/commit={commit}")
 
     def merged(self, every: bool = False) -> TextIndex:
         """The same documents in fewer segments: all from the first one on that is less than twice as large as those after it, or all."""

@@ -140,3 +140,11 @@ def test_a_small_segment_has_one_file_for_each_prefix(spark, tmp_path):
     index = built(spark, str(tmp_path / "i"), text(spark, [("file", "en", k, None, "x", " ".join(f"ab{j}" for j in range(50))) for k in range(20)]))
     files = [f for f in index.postings().inputFiles() if "p2=ab" in f]
     assert len(files) == 1
+
+
+def test_segments_are_written_small(spark, tmp_path):
+    index = built(spark, str(tmp_path / "i"), text(spark, [row(random.Random(1), k) for k in range(5)]))
+    for kind in ("docs", "postings", "terms"):
+        files = list((tmp_path / "i" / kind).rglob("*.parquet"))
+        assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+    assert index.searchable().postings.count() > 0
