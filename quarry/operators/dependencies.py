@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.edges import admitted, described, label, metadata_field
 from quarry.operators.graph import Touched, met, reached_by
 from quarry.schema import DIRECT_TYPES, UNRESOLVED, Model
-from quarry.session import cut, staged
+from quarry.session import staged
 
 MAX_DEPTH = 10
 LINK_COLUMNS = ("repo_id", "linked_id", "name", "mechanism", "confidence", "segment", "unresolved", "kind", "cls", "e1", "e2")
@@ -106,7 +106,7 @@ def dependencies(
     (node), or more; without it all links are made first.
     """
     limit = MAX_DEPTH if depth == "all" else int(depth)
-    hops = cut(links(model, direction, mechanism)) if near is None else None
+    hops = staged(links(model, direction, mechanism), "dependency-links") if near is None else None
     next_hops = (lambda frontier: hops) if near is None else (lambda frontier: near(frontier).filter(admits(mechanism, direction)))
     start = seeds.join(model.repos.select(F.col("id").alias("seed"), F.col("name")), "seed")
     frontier = start.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("rank"), F.array("name").alias("path"))
@@ -118,7 +118,8 @@ def dependencies(
         found = found.withColumn("key", key).join(seen, ["seed", "key"], "left_anti")
         path = F.concat("before", F.array("segment", "name")).alias("path")
         best = found.groupBy("seed", "key").agg(F.min_by(F.struct("linked_id", "name", "mechanism", "confidence", "unresolved", path, F.struct("rank", "cls", "e1", "e2").alias("by")), F.struct("rank", "cls", "e1", "e2")).alias("b"))
-        level = cut(best.select("seed", "key", "b.*", F.lit(d).alias("depth"), F.row_number().over(W.partitionBy("seed").orderBy("b.by")).cast("long").alias("rank")))
+        # columns, as names and paths repeat, and no shuffle files stay behind
+        level = staged(best.select("seed", "key", "b.*", F.lit(d).alias("depth"), F.row_number().over(W.partitionBy("seed").orderBy("b.by")).cast("long").alias("rank")), "dependency-level")
         if level.isEmpty():
             break
         levels.append(level)

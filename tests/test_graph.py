@@ -235,3 +235,10 @@ def test_depths_of_dependencies_search_pairs_without_paths(spark, shop):
     found = dependencies.depths(shop, seeds(spark, 1, 2, 3, 99), depth=3)
     assert found.columns == ["seed", "node", "depth"]
     assert {(r.seed, names[r.node], r.depth) for r in found.collect()} == want and want
+
+
+def test_dependencies_keep_no_checkpoints(spark, chain):
+    m, _ = chain
+    found = dependencies.dependencies(m, seeds(spark, 1), depth=3)
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.name, r.depth) for r in found.orderBy("depth", "rank").collect()] == [("B", 1), ("C", 2), ("D", 3)]
