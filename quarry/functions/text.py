@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry.operators.fixed_values import CAMEL, CAPITALS, NO_TOKEN
 
+#: What these three leave between blanks: capitals before a capitalized word, a word with the capitals it begins with, capitals.
+WORD = "[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+"
+
 
 def tokenized(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits, joined by blanks; camel case is split, null gives ''.
@@ -25,8 +28,8 @@ def words(text: str) -> tuple[str, ...]:
 
 
 def tokens(text: Column) -> Column:
-    """The words of ``tokenized`` as an array, empty for no words."""
-    return F.filter(F.split(tokenized(text), " "), lambda w: w != "")
+    """The words of ``tokenized`` as an array, empty for no words; one pattern finds them, so a text is passed once."""
+    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower), F.array().cast("array<string>"))
 
 
 def capitalized(word: Column) -> Column:

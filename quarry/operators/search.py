@@ -70,9 +70,9 @@ def postings(docs: DataFrame) -> DataFrame:
     return counted.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3))
 
 
-#: What a document says of a term; and the tokens that a task orders at a time.
+#: What a document says of a term; and the tokens that a task orders at a time, for itself and as a run of a stored index.
 PLACED = "term string, entity_type string, sub_type string, entity_id long, dl int, tf long, places array<int>"
-SORTED_AT_ONCE = 1 << 20
+SORTED_AT_ONCE, RUN, SENT_AT_ONCE = 1 << 20, 1 << 21, 1 << 16
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -81,19 +81,41 @@ def placed(docs: DataFrame) -> DataFrame:
     A document's terms are all in its row, so nothing is shuffled to count them. ``places`` says
     where the term stands, names first; a place is left free between the two lists.
     """
+    return _placed(docs, PLACED, SORTED_AT_ONCE, False)
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """The same with the zone, in runs of about two million tokens, each in order of term and zone.
+
+    Nothing is shuffled or spilled to order them, and pages of a file that is written so hold few
+    terms, so their bounds say which ones a question reads.
+    """
+    return _placed(docs, f"{PLACED}, zone int", RUN, True)
+
+
+def _placed(docs: DataFrame, ddl: str, at_once: int, by_term: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(PLACED))
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    kept = ("entity_type", "sub_type", "entity_id", "dl")
+    lengths = lambda lists: pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column("both")
         words = pc.dictionary_encode(pc.list_flatten(lists))
         code, size = words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
-        length = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        length = lengths(lists)
         doc = np.repeat(np.arange(len(length)), length)
         place = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
-        key = doc * size + code
+        if by_term:
+            rank, zones = np.empty(size, np.int64), batch.column("zone").fill_null(-1).to_numpy(zero_copy_only=False)
+            rank[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(size)
+            by_zone = np.empty(len(length), np.int64)
+            by_zone[np.argsort(zones, kind="stable")] = np.arange(len(length))
+            key = np.where(code >= 0, rank[code], 0) * len(length) + by_zone[doc] if size else code
+        else:
+            key = doc * size + code
         real = np.flatnonzero(code >= 0)
         order = real[np.argsort(key[real], kind="stable")]
         key = key[order]
@@ -102,21 +124,42 @@ def placed(docs: DataFrame) -> DataFrame:
         owner = pa.array(doc[order][first])
         term = words.dictionary.take(pa.array(code[order][first]))
         places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
-        columns = [term, *(batch.column(c).take(owner) for c in ("entity_type", "sub_type", "entity_id", "dl")), pa.array(np.diff(ends)), places]
+        columns = [term, *(batch.column(c).take(owner) for c in kept), pa.array(np.diff(ends)), places]
+        columns += [batch.column("zone").take(owner)] if by_term else []
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def run(batches):
+    def pieces(batches):
+        """Batches cut where they reach ``at_once`` tokens."""
         for batch in batches:
-            many = np.cumsum(pc.list_value_length(batch.column("both")).fill_null(0).to_numpy(zero_copy_only=False))
+            many = np.cumsum(lengths(batch.column("both")))
             at = 0
             while at < batch.num_rows:
-                upto = int(np.searchsorted(many, (many[at - 1] if at else 0) + SORTED_AT_ONCE, side="right"))
+                upto = int(np.searchsorted(many, (many[at - 1] if at else 0) + at_once, side="right"))
                 upto = max(upto, at + 1)
-                yield part(batch.slice(at, upto - at))
+                yield batch.slice(at, upto - at)
                 at = upto
 
+    def gathered_up(batches):
+        """Small ones of ``pieces`` as one, up to ``at_once`` tokens."""
+        some, have = [], 0
+        for piece in pieces(batches):
+            n = int(lengths(piece.column("both")).sum())
+            if some and have + n > at_once:
+                yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+                some, have = [], 0
+            some.append(piece)
+            have += n
+        if some:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+    def run(batches):
+        for batch in gathered_up(b for b in batches if b.num_rows) if by_term else pieces(batches):
+            made = part(batch)
+            for at in range(0, made.num_rows, SENT_AT_ONCE):
+                yield made.slice(at, SENT_AT_ONCE)
+
     both = F.concat("name_tokens", F.array(F.lit(None).cast("string")), "desc_tokens")
-    return docs.select("entity_type", "sub_type", "entity_id", "dl", both.alias("both")).mapInArrow(run, PLACED)
+    return docs.select(*kept, *([zone().alias("zone")] if by_term else []), both.alias("both")).mapInArrow(run, ddl)
 
 
 def gathered(rows: DataFrame) -> DataFrame:
@@ -126,7 +169,12 @@ def gathered(rows: DataFrame) -> DataFrame:
 
 def dealt_by(rows: DataFrame) -> DataFrame:
     """With p2 and p3, prefixes to partition by, and the zone."""
-    return rows.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3)).withColumn("zone", zone())
+    return prefixed(rows).withColumn("zone", zone())
+
+
+def prefixed(rows: DataFrame) -> DataFrame:
+    """With p2 and p3."""
+    return rows.withColumn("p2", F.substring("term", 1, 2)).withColumn("p3", F.substring("term", 1, 3))
 
 
 def positional(docs: DataFrame) -> DataFrame:

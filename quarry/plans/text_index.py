@@ -8,6 +8,11 @@ Segments are merged so that each stays at least twice as large as all that are
 newer, so there are few of them and a document is rewritten a logarithmic number
 of times.
 
+Postings of a small segment are dealt to files by the first two characters of
+their terms. Those of a large one stay where their documents are, in runs that
+are ordered by term, so that none of them is shuffled: the bounds of pages tell
+which ones hold a question's terms.
+
 An index is a value: every change returns another one, and readers of the former
 keep their files until these are deleted.
 """
@@ -27,11 +32,13 @@ from quarry.sources import folders
 KEY = ["entity_type", "entity_id"]
 DOC_SCHEMA = "entity_type string, sub_type string, entity_id long, owner long, digest long, name_tokens array<string>, desc_tokens array<string>, dl int"
 POSTING_SCHEMA = "term string, entity_type string, sub_type string, entity_id long, dl int, tf long, places array<int>, p3 string, zone int"
+#: The same in runs; prefixes follow from the term.
+RUN_SCHEMA = f"{search.PLACED}, zone int"
 #: Counts of terms by zone; those of removed documents are negative and say in which segment these lie.
 TERM_SCHEMA = "term string, zone int, n long, most long, least int, home int"
 REMOVED_SCHEMA = "entity_type string, entity_id long"
-#: Most tasks to which the terms of a prefix are dealt; tokens of a segment for each of them, so that small segments have few files.
-DEALT, TOKENS_A_DEAL = 8, 16_000_000
+#: Tokens up to which a segment's postings are dealt by prefix, so that small segments have few files.
+DEALT_TOKENS = 1_000_000
 #: Segments are written once and read by the few row groups of a question's terms, so size counts for more than the time to unpack.
 CODEC = "zstd"
 
@@ -43,12 +50,13 @@ def digested(texts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Segment:
-    """``docs`` documents, live when it was written, and ``removed`` tombstones of earlier ones."""
+    """``docs`` documents, live when it was written, and ``removed`` tombstones of earlier ones; ``runs`` if its postings are in runs."""
 
     seg: int
     commit: str
     docs: int
     removed: int
+    runs: bool = False
 
 
 @dataclass(frozen=True)
@@ -96,12 +104,28 @@ class TextIndex:
 
     def postings(self) -> DataFrame:
         """The postings of live documents; a question's terms prune partitions and row groups."""
-        rows = self._read("postings", POSTING_SCHEMA, tuple(s for s in self.segments if s.docs))
-        return self._live(rows).select("term", "entity_type", "sub_type", "entity_id", "dl", "tf", "places", "p2", "p3", "zone")
+        return self._live(self._all_postings(tuple(s for s in self.segments if s.docs))).select("term", "entity_type", "sub_type", "entity_id", "dl", "tf", "places", "p2", "p3", "zone")
+
+    def _all_postings(self, segments: tuple[Segment, ...]) -> DataFrame:
+        """The postings of segments, dealt by prefix or in runs."""
+        dealt, inside = tuple(s for s in segments if not s.runs), tuple(s for s in segments if s.runs)
+        rows = self._read("postings", POSTING_SCHEMA, dealt)
+        if not inside:
+            return rows
+        found = search.prefixed(self._read("runs", RUN_SCHEMA, inside))
+        return found.unionByName(rows) if dealt else found
 
     def terms(self) -> DataFrame:
         """(term, zone, n, most, least, p2): sums of ``n`` count live documents; ``most`` and ``least`` bound them."""
-        return self._read("terms", TERM_SCHEMA, self.segments).drop("seg", "commit", "home")
+        return self._all_terms(self.segments).drop("seg", "commit", "home")
+
+    def _all_terms(self, segments: tuple[Segment, ...]) -> DataFrame:
+        dealt, inside = tuple(s for s in segments if not s.runs), tuple(s for s in segments if s.runs)
+        rows = self._read("terms", TERM_SCHEMA, dealt)
+        if not inside:
+            return rows
+        found = self._read("counts", TERM_SCHEMA, inside).withColumn("p2", F.substring("term", 1, 2))
+        return found.unionByName(rows) if dealt else found
 
     def stats(self) -> DataFrame:
         return self.spark.createDataFrame([(self.n_docs, self.total_len)], "n_docs long, total_len long")
@@ -138,34 +162,50 @@ class TextIndex:
         added, added_len = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if not added and not gone:
             return self
-        if added:
-            self._postings(docs, seg, commit, added_len)
-        self._counts(seg, commit, bool(added), removed_terms)
-        return replace(self, segments=(*self.segments, Segment(seg, commit, added, gone)), n_docs=self.n_docs + added - gone, total_len=self.total_len + added_len - gone_len)
+        last = Segment(seg, commit, added, gone, bool(added) and self._postings(docs, seg, commit, added_len))
+        self._counts(last, removed_terms)
+        return replace(self, segments=(*self.segments, last), n_docs=self.n_docs + added - gone, total_len=self.total_len + added_len - gone_len)
 
     def _write(self, kind: str, rows: DataFrame, seg: int, commit: str) -> None:
         with swept(self.spark):
             rows.write.mode("overwrite").option("compression", CODEC).parquet(f"{self.root}/{kind}/seg={seg}/commit={commit}")
 
-    def _postings(self, docs: DataFrame, seg: int, commit: str, total_len: int) -> None:
-        rows, deals = search.placed(docs), min(DEALT, 1 + total_len // TOKENS_A_DEAL)
-        # documents are told apart by key and length; only where these repeat do postings meet before they are dealt
-        if not docs.groupBy("entity_type", "sub_type", "entity_id", "dl").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-            rows = search.gathered(rows)
+    def _postings(self, docs: DataFrame, seg: int, commit: str, total_len: int) -> bool:
+        """Writes the postings of a segment's documents; whether in runs."""
+        # documents are told apart by key and length; only where these repeat do postings meet
+        key = ["entity_type", "sub_type", "entity_id", "dl"]
+        with swept(self.spark):
+            again = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+            repeated = not again.isEmpty()
+        if total_len > DEALT_TOKENS:
+            rows = search.runs(docs)
+            if repeated:
+                same = again.select(*[F.col(k).alias(f"again_{k}") for k in key])
+                on = [F.col(k).eqNullSafe(F.col(f"again_{k}")) for k in key]
+                some = search.dealt_by(search.gathered(search.placed(docs.join(same, on, "left_semi"))))
+                rows = search.runs(docs.join(same, on, "left_anti")).unionByName(some.select(*rows.columns).sortWithinPartitions("term", "zone"))
+            self._write("runs", rows, seg, commit)
+            return True
+        rows = search.placed(docs)
+        rows = search.gathered(rows) if repeated else rows
         # prefixes and zone follow from the row, so they are added after the rows have moved
-        dealt = search.dealt_by(rows.repartition(F.substring("term", 1, 2), F.pmod(F.xxhash64("term"), F.lit(deals)))).sortWithinPartitions("p2", "zone", "term")
+        dealt = search.dealt_by(rows.repartition(F.substring("term", 1, 2))).sortWithinPartitions("p2", "zone", "term")
         with swept(self.spark):
             dealt.write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/postings/seg={seg}/commit={commit}")
+        return False
 
-    def _counts(self, seg: int, commit: str, added: bool, removed: DataFrame | None) -> None:
+    def _counts(self, segment: Segment, removed: DataFrame | None) -> None:
         """Writes the counts of a segment's terms, with those that its tombstones take away."""
-        own = self._read("postings", POSTING_SCHEMA, (Segment(seg, commit, 1, 0),) if added else ())
+        own = self._all_postings((segment,) if segment.docs else ())
         rows = search.term_counts(own).withColumn("home", F.lit(None).cast("int"))
         if removed is not None:
             rows = rows.unionByName(removed, allowMissingColumns=True)
+        if segment.runs:  # as they are counted, for bounds of pages tell where a term is here too
+            self._write("counts", rows.sortWithinPartitions("term"), segment.seg, segment.commit)
+            return
         rows = rows.withColumn("p2", F.substring("term", 1, 2))
         with swept(self.spark):
-            rows.repartition("p2").sortWithinPartitions("p2", "term").write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/terms/seg={seg}/commit={commit}")
+            rows.repartition("p2").sortWithinPartitions("p2", "term").write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "static").partitionBy("p2").parquet(f"{self.root}/terms/seg={segment.seg}/commit={segment.commit}")
 
     def merged(self, every: bool = False) -> TextIndex:
         """The same documents in fewer segments: all from the first one on that is less than twice as large as those after it, or all."""
@@ -179,17 +219,16 @@ class TextIndex:
         self._write("docs", part.docs(), seg, commit)
         docs = self._read("docs", DOC_SCHEMA, (Segment(seg, commit, 1, 0),))
         (count, total), gone = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first(), 0
-        if count:
-            self._postings(docs, seg, commit, total)
+        inside = bool(count) and self._postings(docs, seg, commit, total)
         removed_terms = None
         if old and (stones := part._tombstones()) is not None:
             self._write("removed", stones.select(*KEY), seg, commit)
             gone = self._read("removed", REMOVED_SCHEMA, (Segment(seg, commit, 0, 1),)).count()
             # documents of the merged segments have left with their counts, those of older ones have not
-            removed_terms = part._read("terms", TERM_SCHEMA, some).filter(F.col("home") < some[0].seg).groupBy("term", "zone", "home").agg(F.sum("n").alias("n"))
+            removed_terms = part._all_terms(some).filter(F.col("home") < some[0].seg).groupBy("term", "zone", "home").agg(F.sum("n").alias("n"))
         if count or gone:
-            self._counts(seg, commit, bool(count), removed_terms)
-        return replace(self, segments=(*old, *([Segment(seg, commit, count, gone)] if count or gone else [])))
+            self._counts(Segment(seg, commit, count, gone, inside), removed_terms)
+        return replace(self, segments=(*old, *([Segment(seg, commit, count, gone, inside)] if count or gone else [])))
 
     def differences(self, texts: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(texts to write, keys to remove) that make the documents of these owners (owner) equal to ``texts``; equal ones are in neither."""

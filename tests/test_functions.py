@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,11 @@ def test_admitted():
     assert E.admitted(None, ("a", "b")) == ["a", "b"]
     assert E.admitted("grpc", ("calls_grpc", "calls_http")) == ["calls_grpc"]
     assert E.admitted("nothing", ("calls_grpc",)) == []
+
+
+def test_tokens_are_the_words_of_tokenized(spark):
+    rnd = random.Random(4)
+    rows = [(k, "".join(rnd.choice("aAbBz019Z._ -\néİ\U0001f600") for _ in range(rnd.randint(0, 30)))) for k in range(3000)] + [(-1, None)]
+    got = spark.createDataFrame(rows, "k long, s string").select("s", T.tokens(F.col("s")).alias("t"), T.tokenized(F.col("s")).alias("want")).collect()
+    assert all(r.t == r.want.split(" ") if r.want else r.t == [] for r in got)
+    assert "regexp_replace" not in spark.range(1).select(T.tokens(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()

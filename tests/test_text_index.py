@@ -148,3 +148,36 @@ def test_segments_are_written_small(spark, tmp_path):
         files = list((tmp_path / "i" / kind).rglob("*.parquet"))
         assert files and all(f.name.endswith(".zstd.parquet") for f in files)
     assert index.searchable().postings.count() > 0
+
+
+def test_a_large_segment_is_written_in_runs_and_answers_alike(spark, tmp_path, monkeypatch):
+    """No posting of a large segment is shuffled; random changes, repeated keys and merges answer as dealt segments do."""
+    from quarry.plans import text_index
+
+    rnd = random.Random(11)
+    rows = {k: row(rnd, k) for k in range(60)}
+    twice = [row(rnd, 7)[:2] + (70, 1, "hotel guest", f"the hotel {w}") for w in ("a", "b")]
+    want = built(spark, str(tmp_path / "dealt"), text(spark, [*rows.values(), *twice]))
+    monkeypatch.setattr(text_index, "DEALT_TOKENS", 20)
+    some = built(spark, str(tmp_path / "runs"), text(spark, [*rows.values(), *twice]))
+    assert some.segments[0].runs and not want.segments[0].runs and not (tmp_path / "runs" / "postings").exists()
+    assert "Exchange" not in search.runs(some.docs())._jdf.queryExecution().executedPlan().toString()
+    order = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert order(some.postings()) == order(want.postings()) and order(some.terms()) == order(want.terms()) and answers(some) == answers(want)
+    later, gone = [row(rnd, k) for k in range(5, 30)] + [row(rnd, 99)], spark.createDataFrame([("module", 40), ("module", 70)], "entity_type string, entity_id long")
+    some, few = some.changed(text(spark, later), gone), some.changed(text(spark, later[:1]))
+    assert [s.runs for s in some.segments] == [True, True] and [s.runs for s in few.segments] == [True, False]
+    assert text_index.TextIndex.of(spark, some.root, some.state()) == some
+    now = {**rows, **{r[2]: r for r in later}}
+    now.pop(40)
+    monkeypatch.setattr(text_index, "DEALT_TOKENS", 1_000_000)
+    fresh = built(spark, str(tmp_path / "fresh"), text(spark, list(now.values())))
+    assert answers(some) == answers(fresh) == answers(some.merged(every=True))
+    few_now = {**rows, later[0][2]: later[0]}
+    assert answers(few) == answers(built(spark, str(tmp_path / "few"), text(spark, [*few_now.values(), *twice])))
+
+
+def test_a_run_holds_each_term_together(spark):
+    docs = search.fts_docs(text(spark, [("file", "en", k, None, f"t{k % 9} t{k % 5}", " ".join(f"w{j % 11}" for j in range(k % 40))) for k in range(300)])).repartition(1)
+    rows = [(r.term, r.zone) for r in search.runs(docs).collect()]
+    assert rows == sorted(rows) and len(rows) > 300
