@@ -24,14 +24,16 @@ def stamp(spark: SparkSession, sf_dir: str) -> str:
     return "\n".join(folders.stamped(spark, f"{sf_dir.rstrip('/')}/*.parquet"))
 
 
-def derived(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], Any]) -> Any:
-    """What ``make`` returns for a new folder, made by the first question about these tables."""
+def derived(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], Any], more: Callable[[Any], Any] | None = None) -> Any:
+    """What ``make`` returns for a new folder, made by the first question about these tables; ``more`` adds to it what a question lacks."""
     key, now = (spark.sparkContext.applicationId, sf_dir, kind), stamp(spark, sf_dir)
     if key in _MADE and _MADE[key][0] != now:
         folders.delete(spark, _MADE.pop(key)[1])
     if key not in _MADE:
         path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
         _MADE[key] = (now, path, make(path))
+    if more is not None:
+        _MADE[key] = (*_MADE[key][:2], more(_MADE[key][2]))
     return _MADE[key][2]
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import dependencies, graph
 from quarry.schema import UNRESOLVED, Model
+from quarry.session import swept
 from quarry.sources import folders
 
 BUCKETS, PART = 64, "part"
@@ -59,6 +60,8 @@ class GraphStore:
 
     def read(self, kind: str, buckets: list[int] | None = None) -> DataFrame:
         """A table, or some buckets of it."""
+        if self.state["tables"] and kind not in self.state["tables"]:
+            raise ValueError(f"this graph was stored without {kind}")
         schema, paths = TABLES[kind][1], self._paths(kind, buckets)
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -103,7 +106,8 @@ class GraphStore:
     def _put(self, kind: str, rows: DataFrame, tables: dict, touched: list[int]) -> None:
         commit = uuid.uuid4().hex
         rows = rows.withColumn(PART, self._part(F.col(TABLES[kind][0]))).withColumn("commit", F.lit(commit))
-        rows.hint("rebalance", PART).write.mode("append").partitionBy(PART, "commit").parquet(f"{self.root}/{kind}")
+        with swept(self.spark):
+            rows.hint("rebalance", PART).write.mode("append").partitionBy(PART, "commit").parquet(f"{self.root}/{kind}")
         there = {p.split(f"{PART}=")[1].split("/")[0] for p in folders.matching(self.spark, f"{self.root}/{kind}/{PART}=*/commit={commit}")}
         for bucket in map(str, touched):
             tables[kind].pop(bucket, None)
@@ -112,20 +116,28 @@ class GraphStore:
 
     def written(self, model: Model) -> GraphStore:
         """The graph of a whole model in place of what was stored."""
-        tables: dict[str, dict[str, str]] = {kind: {} for kind in TABLES}
-        # both orders of the edges are written from one derivation
-        self._put("out", made("out", model), tables, list(range(self.state["buckets"])))
-        first = GraphStore(self.spark, self.root, {**self.state, "tables": tables})
-        self._put("in", first.read("out").filter(F.col("dst_id") != UNRESOLVED), tables, list(range(self.state["buckets"])))
-        for kind in ("upstream", "downstream"):
-            self._put(kind, made(kind, model), tables, list(range(self.state["buckets"])))
-        return GraphStore(self.spark, self.root, {**self.state, "tables": tables})
+        return GraphStore(self.spark, self.root, {**self.state, "tables": {}}).completed(model, tuple(TABLES))
+
+    def completed(self, model: Model, kinds: tuple[str, ...]) -> GraphStore:
+        """With these tables of the same model, of which those that are stored already stay."""
+        store = self
+        for kind in [k for k in TABLES if k in kinds and k not in self.state["tables"]]:
+            # both orders of the edges are written from one derivation
+            there = kind == "in" and "out" in store.state["tables"]
+            rows = store.read("out").filter(F.col("dst_id") != UNRESOLVED) if there else made(kind, model)
+            tables: dict[str, dict[str, str]] = {**store.state["tables"], kind: {}}
+            self._put(kind, rows, tables, list(range(self.state["buckets"])))
+            store = GraphStore(self.spark, self.root, {**self.state, "tables": tables})
+        return store
 
     def updated(self, before: Model, after: Model, repo_ids: list[int]) -> GraphStore:
-        """The graph after all rows of these repositories changed from ``before`` to ``after``."""
+        """The graph, in the tables that it has, after all rows of these repositories changed from ``before`` to ``after``."""
         touching = graph.touched(before, after, repo_ids)
-        tables = {kind: dict(self.state["tables"].get(kind, {})) for kind in TABLES}
+        tables = {kind: dict(self.state["tables"].get(kind, {})) for kind in self.state["tables"] or TABLES}
         for source, kinds in (("out", ("out", "in")), ("upstream", ("upstream",)), ("downstream", ("downstream",))):
+            kinds = tuple(k for k in kinds if k in tables)
+            if not kinds:
+                continue
             old, new = made(source, before, touching), made(source, after, touching)
             both = folders.staged(self.spark, old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))), f"{self.root}/_stage")
             for kind in kinds:

@@ -103,3 +103,21 @@ def test_searches_end_where_they_meet(spark):
     assert seen.agg(F.min("node"), F.max("node")).first() == (28, 36)
     assert graph.two_ended_paths(pairs(spark, [(30, 34)]), lambda frontier: walks).count() == 4
     assert graph.two_ended_paths(pairs(spark, [(5, 5)]), lambda frontier: walks).count() == 0
+
+
+def test_a_graph_has_the_tables_that_were_asked_for(spark, tmp_path):
+    """Tables that no question has asked for are neither written nor brought up to date, and never read as empty."""
+    before = model_of(spark, **random_model(spark, random.Random(3)))
+    after = before.with_tables(edges=before.edges.filter("repo_id <> 3"))
+    empty = GraphStore.of(spark, str(tmp_path / "g"), None)
+    whole = GraphStore.of(spark, str(tmp_path / "h"), None).written(before)
+    some = empty.completed(before, ("out",))
+    later = some.updated(before, after, [3])
+    assert set(some.state["tables"]) == set(later.state["tables"]) == {"out"} and [f.name for f in (tmp_path / "g").iterdir() if f.name in TABLES] == ["out"]
+    rows = lambda store, kind: sorted(str(tuple(r)) for r in store.read(kind).collect())
+    assert rows(later, "out") == rows(whole.updated(before, after, [3]), "out") != rows(some, "out")
+    with pytest.raises(ValueError, match="without upstream"):
+        later.read("upstream")
+    full = some.completed(before, tuple(TABLES))
+    assert content(full) == content(whole) and full.state["tables"]["out"] == some.state["tables"]["out"]
+    assert content(full.updated(before, after, [3])) == content(whole.updated(before, after, [3]))
