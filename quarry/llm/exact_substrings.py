@@ -53,6 +53,7 @@ from pyspark.sql.types import StructType
 from quarry.llm.common import byte_view, known, numbered, odd_ids, releasing, sliced, written
 from quarry.llm.shingles import _BACK, _BASE, _BYTE, _power, mix
 from quarry.llm.suffixes import repeats
+from quarry.session import swept
 
 LENGTH, GRAM, RUN, HOT = 100, 32, 256, 20_000
 #: Bytes hashed at a time, and bytes of segments sorted together.
@@ -241,7 +242,10 @@ def _found(contested: bool, bucket, doc, at) -> pa.RecordBatch:
 
 
 def fetched(contested: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(bucket, doc, pos, n, data): the bytes of the segments, cut from their documents."""
+    """(bucket, doc, pos, n, data): the bytes of the segments, cut from their documents.
+
+    Other columns of ``docs`` come along unread: a shuffle of all its columns is the one that later joins use again.
+    """
     wanted = contested.groupBy("doc").agg(F.collect_list(F.struct("bucket", "pos", "n")).alias("parts"))
 
     def run(batches):
@@ -259,7 +263,7 @@ def fetched(contested: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _cut(rows)
 
-    return docs.join(wanted, "doc").select("doc", "data", "parts").mapInArrow(releasing(run), "bucket long, doc long, pos long, n long, data binary")
+    return docs.join(wanted, "doc").select("doc", "data", "parts", *[c for c in docs.columns if c not in ("doc", "data")]).mapInArrow(releasing(run), "bucket long, doc long, pos long, n long, data binary")
 
 
 def _cut(rows: list[tuple]) -> pa.RecordBatch:
@@ -334,10 +338,11 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = all_segments(docs, length, gram).repartition(n, "bucket").sortWithinPartitions("bucket", "content", "check", "doc", "at")
-    found = written(collapsed(met), "suffix-collapsed")
+    with swept(spark):  # all segments are shuffled here, more than the texts' size: gone before the texts are
+        found = written(collapsed(met), "suffix-collapsed")
     contested = found.filter("contested")
     hot = contested.groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket", F.ceil(F.col("count") / 1000).cast("int").alias("parts"))
-    cut = fetched(contested.select("bucket", "doc", "pos", "n"), docs, length).join(hot, "bucket", "left")
+    cut = fetched(contested.select("bucket", "doc", "pos", "n"), docs, length).withColumn("bucket", known(F.col("bucket"))).join(hot, "bucket", "left")
     even = cut.filter("parts is null").select("bucket", "doc", "pos", "n", "data")
     nth = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))
     each = cut.filter("parts is not null").withColumn("nth", nth).select(
@@ -350,6 +355,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bool = False) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept_sha256, and with ``text`` what is kept as text) of documents (doc, data)."""
+    docs = docs.withColumn("doc", known(F.col("doc")))
     runs = removed(docs, length, gram).groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
 
     def run(batches):

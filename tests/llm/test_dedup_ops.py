@@ -1,8 +1,10 @@
 """MinHash, suffix-array dedup, tiled embeddings, mixing and sharding against brute force, and the pipeline."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -191,6 +193,46 @@ def test_rows_without_a_doc_id_and_texts_of_a_repeated_one_are_documents_of_thei
     assert kept == sorted(x[-1] for x in expected)
 
 
+def shuffled(spark):
+    """Bytes of each shuffle whose files are there."""
+    out = {}
+    for top in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs():
+        for at, _, names in os.walk(top.getPath()):
+            for name in names:
+                if m := re.match(r"shuffle_(\d+)_\d+_\d+\.data$", name):
+                    out[int(m[1])] = out.get(int(m[1]), 0) + os.path.getsize(f"{at}/{name}")
+    return out
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_passages_are_cut_with_one_shuffle_of_the_texts_and_none_of_segments_left(spark, tmp_path, odd):
+    rnd = random.Random(17)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passages = [word(200) for _ in range(20)]
+    texts = [word(3000) + (rnd.choice(passages) if k % 3 else "") + word(3000) for k in range(200)]
+    rows = [(k, t, len(t), "s") for k, t in enumerate(texts)] + [(3, texts[3], len(texts[3]), "s")] * odd
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string").write.parquet(f"{tmp_path}/in")
+    size = sum(map(len, texts))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/in")
+        numbering = set(shuffled(spark))
+        out = exact_substrings.cleaned(docs)
+        time.sleep(1)  # files go in the background
+        # the numbering of odd rows deals whole texts once; segments are larger than texts
+        assert sum(n for k, n in shuffled(spark).items() if k not in numbering) < (0.1 + 1.2 * odd) * size
+        before = set(shuffled(spark))
+        out.write.parquet(f"{tmp_path}/out")
+        assert sum(n for k, n in shuffled(spark).items() if k not in before) < 1.5 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = brute_kept(texts)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(r.doc_id, r.source): (hashlib.sha256(r.text.encode()).hexdigest(), r.n_chars) for r in got} == {(k, "s"): (v[3], v[0] - v[1]) for k, v in want.items()}
+    assert len(got) == len(rows) and sum(v[2] for v in want.values()) > 50
+
+
 def test_difference_cover_and_blockwise_order():
     assert {(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.V))
     rng = np.random.default_rng(0)
