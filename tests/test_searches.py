@@ -56,3 +56,24 @@ def test_hops_of_more_walks_than_are_sent_and_of_repeated_ids(spark, tangle, mon
 def test_no_walks_at_all(spark):
     m = model_of(spark, repos=[repo(1, "A"), repo(2, "B")])
     assert trace.trace_all_hops(m, graph.graph_edges(m)).collect() == []
+
+
+@pytest.mark.parametrize("text", [1, searches.TEXT])
+def test_summaries_of_all_services_are_made_without_a_shuffle(spark, tangle, monkeypatch, text):
+    monkeypatch.setattr(searches, "TEXT", text)
+    m, edges = tangle
+    got = trace.trace_all_summaries(m, edges)
+    assert "Exchange" not in plan(got)
+    pairs = trace.all_pairs(m)
+    want = trace.trace_summaries(m, trace.trace_hops(m, edges, pairs), pairs)
+    assert rows(got) == rows(want)
+    assert {"S30"} == {r["to"] for r in got.filter("from_id = 1 and hop_count is null").collect()}
+    monkeypatch.setattr(searches, "WALKS", 3)
+    assert rows(trace.trace_all_summaries(m, edges)) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_the_registered_summaries_are_made_without_a_shuffle(spark):
+    from quarry.plans import registry
+
+    assert "Exchange" not in plan(registry.QUERIES["trace_summary"](spark, "/root/testdata/sf0.001"))
