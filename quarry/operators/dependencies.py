@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.edges import admitted, described, label, metadata_field
+from quarry.operators import searches
 from quarry.operators.graph import Touched, met, reached_by
 from quarry.schema import DIRECT_TYPES, UNRESOLVED, Model
 from quarry.session import staged
@@ -95,6 +96,35 @@ def depths(model: Model, seeds: DataFrame, direction: str = "upstream", depth: i
     return reached_by(start, lambda frontier: steps, MAX_DEPTH if depth == "all" else int(depth))
 
 
+def all_paths(model: Model, direction: str = "upstream", depth: int | str = 1, mechanism: str | None = None) -> DataFrame:
+    """(seed, name, type, mechanism, depth, path) of every repository's ``dependencies``, the path as a text.
+
+    Rows are as many as repositories times what each reaches, so they are made by searches within
+    tasks as the result is read; what is written are the first links of each two repositories, and
+    the unresolved names, each once.
+    """
+    limit = MAX_DEPTH if depth == "all" else int(depth)
+    rows = links(model, direction, mechanism).filter("repo_id is not null")
+    between = rows.filter("unresolved is null").groupBy("repo_id", "linked_id", "mechanism", "segment", "cls", "e2").agg(F.min("e1").alias("e1"))
+    order = F.struct("cls", "e1", "e2")
+    first = between.groupBy(F.col("repo_id").alias("node"), F.col("linked_id").alias("next")).agg(F.min(F.struct(order.alias("by"), "mechanism", "segment")).alias("l"))
+    steps = staged(first.select("node", "next", F.row_number().over(W.partitionBy("node").orderBy("l.by")).alias("nth"), "l.mechanism", "l.segment"), "dependency-steps")
+    open_ = rows.filter("unresolved is not null").select(F.col("unresolved").alias("name"), "kind", "repo_id")
+    # dealt by name before they are gathered: gathered lists are wider than their rows
+    names = staged(open_.repartition("name", "kind").groupBy("name", "kind").agg(F.collect_set("repo_id").alias("owners")), "dependency-names")
+    found = searches.all_dependencies(model, steps, names, limit) if limit > 0 else None
+    if found is None:
+        out = dependencies(model, model.repos.select(F.col("id").alias("seed")), direction, depth, mechanism)
+        return out.select("seed", "name", "type", "mechanism", "depth", F.array_join("path", " > ").alias("path"))
+    columns = ("seed", "name", "type", "mechanism", "depth", "path")
+    out = found[0].withColumn("type", F.lit("repo")).select(*columns)
+    for part in found[1]:
+        name, kind = F.col("name"), F.col("kind")
+        path = F.concat("path", F.lit(" > "), label(kind), F.lit(" > "), name)
+        out = out.unionByName(part.select("seed", "name", F.lit("unresolved").alias("type"), described(kind, F.lit(None).cast("string"), unresolved=name).alias("mechanism"), "depth", path.alias("path")))
+    return out
+
+
 def dependencies(
     model: Model, seeds: DataFrame, direction: str = "upstream", depth: int | str = 1, mechanism: str | None = None, repo: str | None = None, near: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:

@@ -3,9 +3,11 @@ import random
 
 import pytest
 
-from quarry.operators import graph, searches, trace
+from pyspark.sql import functions as F
+
+from quarry.operators import dependencies, graph, searches, trace
 from quarry.schema import model_of
-from tests.seed import edge, repo, topic
+from tests.seed import edge, repo, topic, unresolved
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,40 @@ def test_the_registered_summaries_are_made_without_a_shuffle(spark):
     from quarry.plans import registry
 
     assert "Exchange" not in plan(registry.QUERIES["trace_summary"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.fixture(scope="module")
+def callers(spark):
+    """Services that call each other and names that several of them call, some in two ways and more than once."""
+    rnd = random.Random(7)
+    calls = [edge(k, rnd.randint(1, 12), rnd.randint(1, 13), rnd.choice(["calls_grpc", "calls_http"]), rnd.choice(["high", None])) for k in range(1, 26)]
+    names = [unresolved(100 + k, rnd.choice([*range(1, 13), 77]), rnd.choice(["calls_grpc", "calls_http"]), f"N{k % 7}") for k in range(40)]
+    topics = [topic(200 + k, rnd.randint(1, 12), rnd.choice(["produces_kafka", "consumes_kafka"]), f"t{k % 3}") for k in range(8)]
+    return model_of(spark, repos=[repo(k, f"S{k}") for k in range(1, 13)], edges=[*calls, *names, *topics])
+
+
+def listed(spark, m, **how):
+    found = dependencies.dependencies(m, spark.createDataFrame([(k,) for k in range(1, 13)], "seed long"), **how)
+    return rows(found.select("seed", "name", "type", "mechanism", "depth", F.array_join("path", " > ").alias("path")))
+
+
+@pytest.mark.parametrize("limits", [{}, {"AT_ONCE": 1, "KEPT": 5, "ROWS": 3, "TEXT": 1}, {"WALKS": 3}])
+def test_paths_of_all_dependencies_equal_those_of_the_search_by_joins(spark, callers, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(searches, name, value)
+    got = dependencies.all_paths(callers, depth=3)
+    assert limits.get("WALKS") or "Exchange" not in plan(got)
+    assert {r.type for r in got.collect()} == {"repo", "unresolved"} and {r.depth for r in got.collect()} == {1, 2, 3}
+    assert rows(got) == listed(spark, callers, depth=3)
+
+
+@pytest.mark.parametrize("how", [{"depth": 1}, {"depth": "all", "mechanism": "http"}, {"direction": "downstream", "depth": 2}])
+def test_paths_of_all_dependencies_of_other_questions(spark, callers, how):
+    assert rows(dependencies.all_paths(callers, **how)) == listed(spark, callers, **how)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_the_registered_paths_of_dependencies_are_made_without_a_shuffle(spark):
+    from quarry.plans import registry
+
+    assert "Exchange" not in plan(registry.QUERIES["deps_paths"](spark, "/root/testdata/sf0.001"))
